@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_table
+from .common import kept_table, rows_kept
 
 RADIX = 4
 RUN = "digest binary, bytes bigint, check bigint, id bigint, row bigint, copies bigint, dest int"
@@ -117,18 +117,6 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
 
 def drop_exact_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: str = "largest") -> DataFrame:
-    """The rows of docs that stay, with all their columns.
-
-    Rows are met again by id and digest. Where one id and text occur in several rows these are alike in both
-    and one of them, any, stays.
-    """
-    rows = kept_table(digest_rows(docs, text_col, id_col), "digests")
-    best = kept_table(merge_runs(rows, keep).select("id", "digest"), "winners")
-    twice = rows.groupBy("id", "digest").count().filter("count > 1").select(F.col("id").alias("__id"), F.col("digest").alias("__digest"))
-    chosen = best.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"))
-    marked = docs.withColumn("__d", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
-    met = F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__d") == F.col("__digest"))
-    stay = marked.join(chosen, met, "left_semi")
-    once = stay.join(twice, met, "left_anti")
-    repeated = stay.join(twice, met, "left_semi").dropDuplicates([id_col, "__d"])
-    return once.unionByName(repeated).drop("__d")
+    """The rows of docs that stay, with all their columns."""
+    best = kept_table(merge_runs(digest_rows(docs, text_col, id_col), keep).select(F.col("id").alias(id_col), "digest"), "winners")
+    return rows_kept(docs, best, F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)), id_col)

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding_join import embedding_join
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
+from .ngram_join import ngram_join
 from .sharding import shard_documents
 from .token_counts import encoded_lengths, length_histogram
 
@@ -16,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents")).drop("text_md5")
+
+
+def op3_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join(table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -33,7 +43,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_mixing, op8_sharding, op9_exact_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_ngram_join, op3_embedding_join, op7_mixing, op8_sharding, op9_exact_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
