@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .common import unsigned_crc
 from .embedding_join import embedding_join
 from .exact_dedup import exact_dedup
+from .language_id import fit_language, predict_language
 from .mixing import mix_sources
 from .ngram_join import ngram_join
+from .quality import fit_quality, score_quality
 from .sharding import shard_documents
 from .token_counts import encoded_lengths, length_histogram
+from .toxicity import fit_toxicity, toxic_passages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +27,32 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents")).drop("text_md5")
 
 
+def remainder(column: str, of: int) -> Column:
+    return F.coalesce(unsigned_crc(column) % of, F.lit(0))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels.filter(remainder("doc_id", 5) != 0))
+    found = toxic_passages(docs, model)
+    return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 def op3_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join(table(spark, sf_dir, "embeddings"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = fit_language(docs.filter(remainder("doc_id", 3) != 1))
+    return predict_language(docs, network).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -43,7 +70,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op3_embedding_join, op7_mixing, op8_sharding, op9_exact_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_embedding_join, op4_quality, op5_language_id, op7_mixing, op8_sharding, op9_exact_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
