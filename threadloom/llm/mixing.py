@@ -61,7 +61,7 @@ def source_targets(sizes: DataFrame, cycle: tuple[float, ...] = CYCLE, share: fl
 
 
 def mix_sources(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weight: Column | None = None, seed: int = 7, cycle: tuple[float, ...] = CYCLE, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """One row for each row of docs: id_col, size, source, source_size, target, epochs, taken.
+    """One row for each row of docs: id_col, size, source, source_size, target, epochs, check (a hash of the text), taken.
 
     size is the number of words (null text: 0). taken is size times epochs, epochs being the complete epochs
     of the source plus one for sampled documents. The document at which the rest of the target is reached is
@@ -71,8 +71,8 @@ def mix_sources(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """
     w = weight if weight is not None else quality_weight(F.col(text_col))
     base = kept_table(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.greatest(F.coalesce(w.cast("double"), F.lit(1e-6)), F.lit(1e-6)).alias("w"))
-        .select("id", "source", "size", (-F.log(uniform(F.col("id"), seed)) / F.col("w")).alias("key"), F.monotonically_increasing_id().alias("row")),
+        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("check"), word_count(F.col(text_col)).alias("size"), F.greatest(F.coalesce(w.cast("double"), F.lit(1e-6)), F.lit(1e-6)).alias("w"))
+        .select("id", "source", "size", "check", (-F.log(uniform(F.col("id"), seed)) / F.col("w")).alias("key"), F.monotonically_increasing_id().alias("row")),
         "mix",
     )
     # key -> 1 - exp(-key) is monotone and spreads the keys over [0, 1).
@@ -105,4 +105,12 @@ def mix_sources(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     )
     clear = marked.filter((F.col("bin") != F.col("edge_bin")) | F.col("edge_bin").isNull()).withColumn("sampled", F.coalesce(F.col("bin") < F.col("edge_bin"), F.col("budget") > 0))
     done = clear.unionByName(picked).withColumn("epochs", F.col("complete") + F.col("sampled").cast("bigint"))
-    return done.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", "epochs", (F.col("size") * F.col("epochs")).alias("taken"))
+    return done.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", "epochs", "check", (F.col("size") * F.col("epochs")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+    """The rows of docs as often as mix_sources takes them, with all their columns. Repeated rows of one id and text are taken as often as the one taken most."""
+    mixed = mix_sources(docs, text_col, id_col, source_col, **options)
+    want = kept_table(mixed.filter("epochs > 0").groupBy(F.col(id_col).alias("__id"), F.col("check").alias("__check")).agg(F.max("epochs").cast("int").alias("__epochs")), "epochs")
+    met = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__check"))
+    return docs.join(want, met).withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__epochs")))).select(*docs.columns)

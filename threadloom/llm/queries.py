@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .language_id import fit_language, predict_language
 from .mixing import mix_sources
 from .ngram_join import ngram_join
+from .pieces import encode_pieces
 from .quality import fit_quality, score_quality
 from .sharding import shard_documents
 from .token_counts import encoded_lengths, length_histogram
@@ -53,6 +54,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(docs, network).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -70,7 +75,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_embedding_join, op4_quality, op5_language_id, op7_mixing, op8_sharding, op9_exact_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_embedding_join, op4_quality, op5_language_id, op6_pieces, op7_mixing, op8_sharding, op9_exact_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
