@@ -35,7 +35,7 @@ def epochs(histories_: DataFrame) -> DataFrame:
     histories_: session_id, seq, hashes (null: the history couldn't be read). Only neighbours are compared.
     """
     h = histories_.withColumn("prev", F.lag("hashes").over(REQUESTS)).withColumn("first", F.row_number().over(REQUESTS) == 1)
-    h = h.withColumn("common_prefix", F.coalesce(common_prefix(F.col("hashes"), F.col("prev")), F.lit(0)))
+    h = h.withColumn("common_prefix", F.when(F.col("prev").isNull() | F.col("hashes").isNull(), F.lit(0)).otherwise(common_prefix(F.col("hashes"), F.col("prev"))))
     bad = F.col("hashes").isNull() | (F.col("prev").isNull() & ~F.col("first"))
     shrunk = (F.col("common_prefix") == F.size("hashes")) & (F.size("hashes") < F.size("prev"))
     kept = F.col("common_prefix") == F.size("prev")
@@ -86,7 +86,8 @@ def pressure(now: DataFrame, threshold: int) -> DataFrame:
 
 def triggers(requests: DataFrame, threshold: int, pause_seconds: int, margin: int = 10_000) -> DataFrame:
     """Adds trigger: emergency, tokens or pause (a gap since the session's last request), or none. requests: session_id, ts, selected."""
-    gap = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(W.partitionBy("session_id").orderBy("ts", "request_id"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    gap = at - F.lag(at).over(W.partitionBy("session_id").orderBy("ts", "request_id"))
     pause = (F.col("selected") > threshold // 2) & (gap > pause_seconds * 1_000_000)
     return requests.withColumn("trigger", F.when(F.col("selected") > threshold + margin, "emergency").when(F.col("selected") > threshold, "tokens").when(F.coalesce(pause, F.lit(False)), "pause").otherwise("none"))
 
