@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions import tokens as T
 
-REQUESTS = W.partitionBy("session_id").orderBy("seq")
+
+def by_request() -> WindowSpec:
+    return W.partitionBy("session_id").orderBy("seq")
 
 
 def row_hash(role: Column, content: Column) -> Column:
@@ -34,14 +36,14 @@ def epochs(histories_: DataFrame) -> DataFrame:
 
     histories_: session_id, seq, hashes (null: the history couldn't be read). Only neighbours are compared.
     """
-    h = histories_.withColumn("prev", F.lag("hashes").over(REQUESTS)).withColumn("first", F.row_number().over(REQUESTS) == 1)
+    h = histories_.withColumn("prev", F.lag("hashes").over(by_request())).withColumn("first", F.row_number().over(by_request()) == 1)
     h = h.withColumn("common_prefix", F.when(F.col("prev").isNull() | F.col("hashes").isNull(), F.lit(0)).otherwise(common_prefix(F.col("hashes"), F.col("prev"))))
     bad = F.col("hashes").isNull() | (F.col("prev").isNull() & ~F.col("first"))
     shrunk = (F.col("common_prefix") == F.size("hashes")) & (F.size("hashes") < F.size("prev"))
     kept = F.col("common_prefix") == F.size("prev")
     reason = F.when(F.col("first"), "initial").when(bad, "invalid_history").when(kept & (F.size("hashes") == F.size("prev")), "unchanged").when(kept, "appended").when(shrunk, "history_shrunk").otherwise("history_changed")
     h = h.withColumn("reason", reason).withColumn("new", F.col("reason").isin("initial", "invalid_history", "history_shrunk", "history_changed").cast("int"))
-    return h.withColumn("epoch", F.sum("new").over(REQUESTS.rowsBetween(W.unboundedPreceding, 0))).select("session_id", "seq", "epoch", "common_prefix", "reason")
+    return h.withColumn("epoch", F.sum("new").over(by_request().rowsBetween(W.unboundedPreceding, 0))).select("session_id", "seq", "epoch", "common_prefix", "reason")
 
 
 def current_only(responses: DataFrame, epochs_: DataFrame) -> DataFrame:

@@ -6,15 +6,25 @@ serves all of an operator; histories are cut to `max_messages` rows before, whic
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SESSION = W.partitionBy("session_id")
-ORDER = SESSION.orderBy("idx")
-BEFORE = ORDER.rowsBetween(W.unboundedPreceding, -1)
-AFTER = ORDER.rowsBetween(1, W.unboundedFollowing)
-DOWN = SESSION.orderBy(F.desc("idx")).rowsBetween(W.unboundedPreceding, 0)
+
+def in_session() -> WindowSpec:
+    return W.partitionBy("session_id")
+
+
+def in_order() -> WindowSpec:
+    return in_session().orderBy("idx")
+
+
+def rows_before() -> WindowSpec:
+    return in_order().rowsBetween(W.unboundedPreceding, -1)
+
+
+def from_the_end() -> WindowSpec:
+    return in_session().orderBy(F.desc("idx")).rowsBetween(W.unboundedPreceding, 0)
 
 
 def first_messages(messages: DataFrame, most: int = 10_000) -> DataFrame:
@@ -22,7 +32,7 @@ def first_messages(messages: DataFrame, most: int = 10_000) -> DataFrame:
 
 
 def last_messages(messages: DataFrame, most: int = 10_000) -> DataFrame:
-    return messages.withColumn("_n", F.count("*").over(SESSION)).filter(F.col("idx") >= F.col("_n") - most).drop("_n")
+    return messages.withColumn("_n", F.count("*").over(in_session())).filter(F.col("idx") >= F.col("_n") - most).drop("_n")
 
 
 def with_active_pair(messages: DataFrame) -> DataFrame:
@@ -30,10 +40,10 @@ def with_active_pair(messages: DataFrame) -> DataFrame:
 
     Frames have role, use_ids and result_ids (arrays of ids).
     """
-    n = F.count("*").over(SESSION)
+    n = F.count("*").over(in_session())
     answered = lambda use, result: F.arrays_overlap(F.coalesce(use, F.array().cast("array<string>")), F.coalesce(result, F.array().cast("array<string>")))
-    last = (F.col("idx") == n - 1) & (F.col("role") == "user") & (F.lag("role").over(ORDER) == "assistant") & answered(F.lag("use_ids").over(ORDER), F.col("result_ids"))
-    one_before = (F.col("idx") == n - 2) & (F.col("role") == "assistant") & (F.lead("role").over(ORDER) == "user") & answered(F.col("use_ids"), F.lead("result_ids").over(ORDER))
+    last = (F.col("idx") == n - 1) & (F.col("role") == "user") & (F.lag("role").over(in_order()) == "assistant") & answered(F.lag("use_ids").over(in_order()), F.col("result_ids"))
+    one_before = (F.col("idx") == n - 2) & (F.col("role") == "assistant") & (F.lead("role").over(in_order()) == "user") & answered(F.col("use_ids"), F.lead("result_ids").over(in_order()))
     return messages.withColumn("active", F.coalesce(last | one_before, F.lit(False)))
 
 
@@ -48,14 +58,14 @@ def collapse_cutoff(messages: DataFrame, floor: int, keep_recent: int, max_messa
     for name, value in (("has_use", F.lit(False)), ("has_result", F.lit(False)), ("active", F.lit(False))):
         if name not in m.columns:
             m = m.withColumn(name, value)
-    m = m.withColumn("n", F.count("*").over(SESSION)).withColumn("kept", F.sum("tok").over(DOWN))
-    m = m.withColumn("found", F.max(F.when((F.col("kept") >= floor) & (F.col("idx") >= 1), F.col("idx"))).over(SESSION))
-    m = m.withColumn("most", F.least(F.col("n") - keep_recent, F.coalesce(F.min(F.when(F.col("active"), F.col("idx"))).over(SESSION), F.col("n"))))
-    m = m.withColumn("cut", F.least("found", "most")).withColumn("pair", (F.lag("role").over(ORDER) == "assistant") & F.lag("has_use").over(ORDER))
-    m = m.withColumn("archived", F.sum("tok").over(BEFORE) - F.first("tok").over(ORDER.rowsBetween(W.unboundedPreceding, 0)))
+    m = m.withColumn("n", F.count("*").over(in_session())).withColumn("kept", F.sum("tok").over(from_the_end()))
+    m = m.withColumn("found", F.max(F.when((F.col("kept") >= floor) & (F.col("idx") >= 1), F.col("idx"))).over(in_session()))
+    m = m.withColumn("most", F.least(F.col("n") - keep_recent, F.coalesce(F.min(F.when(F.col("active"), F.col("idx"))).over(in_session()), F.col("n"))))
+    m = m.withColumn("cut", F.least("found", "most")).withColumn("pair", (F.lag("role").over(in_order()) == "assistant") & F.lag("has_use").over(in_order()))
+    m = m.withColumn("archived", F.sum("tok").over(rows_before()) - F.first("tok").over(in_order().rowsBetween(W.unboundedPreceding, 0)))
     at = (F.col("role") == "user") & F.col("has_result")
     moved = F.when(at & (F.col("idx") + 1 <= F.col("most")), F.col("idx") + 1).when(at & (F.col("idx") > 1) & F.coalesce(F.col("pair"), F.lit(False)), F.col("idx") - 1).otherwise(F.col("idx"))
-    m = m.withColumn("final", F.max(F.when(F.col("idx") == F.col("cut"), moved)).over(SESSION))
+    m = m.withColumn("final", F.max(F.when(F.col("idx") == F.col("cut"), moved)).over(in_session()))
     good = (F.col("n") >= 2) & (F.col("found") >= 2) & (F.col("n") - keep_recent >= 1) & (F.col("final") >= 2) & (F.col("final") < F.col("n")) & (F.col("final") <= F.col("most"))
     m = m.withColumn("cutoff", F.when(F.coalesce(good, F.lit(False)), F.col("final")).otherwise(F.lit(-1)))
     return m.groupBy("session_id").agg(F.first("n").alias("n"), F.first("cutoff").alias("cutoff"), F.coalesce(F.max(F.when(F.col("idx") == F.col("cutoff"), F.col("archived"))), F.lit(0)).alias("archived_tokens"))
@@ -71,7 +81,7 @@ def islands(rows: DataFrame, flag: Column, by: list[str] | None = None) -> DataF
 
 def compactable_runs(stages: DataFrame, least: int = 50, tail: int = 5) -> DataFrame:
     """(session_id, start, end) of runs of stage 3 of at least so many rows within [1, n - tail]."""
-    m = stages.withColumn("n", F.count("*").over(SESSION))
+    m = stages.withColumn("n", F.count("*").over(in_session()))
     found = islands(m, (F.col("stage") == 3) & (F.col("idx") >= 1) & (F.col("idx") <= F.col("n") - tail))
     return found.groupBy("session_id", "run").agg(F.max("idx").alias("end")).filter(F.col("end") - F.col("run") + 1 >= least).select("session_id", F.col("run").alias("start"), "end")
 
@@ -103,8 +113,8 @@ def compacted_rows(roles: DataFrame, runs: DataFrame) -> DataFrame:
 def fold_events(events: DataFrame, key: Column) -> DataFrame:
     """(session_id, idx, event, n): three or more neighbours of one key become their first with its count; empty keys never fold."""
     m = events.withColumn("_key", key)
-    new = F.coalesce((F.col("_key") == "") | (F.col("_key") != F.lag("_key").over(ORDER)), F.lit(True))
-    m = m.withColumn("_run", F.sum(F.when(new, 1).otherwise(0)).over(ORDER.rowsBetween(W.unboundedPreceding, 0)))
+    new = F.coalesce((F.col("_key") == "") | (F.col("_key") != F.lag("_key").over(in_order())), F.lit(True))
+    m = m.withColumn("_run", F.sum(F.when(new, 1).otherwise(0)).over(in_order().rowsBetween(W.unboundedPreceding, 0)))
     run = W.partitionBy("session_id", "_run")
     m = m.withColumn("n", F.count("*").over(run)).withColumn("_first", F.row_number().over(run.orderBy("idx")))
     return m.filter((F.col("n") <= 2) | (F.col("_first") == 1)).select("session_id", "idx", F.when(F.col("n") > 2, F.concat("event", F.lit(" ("), F.col("n").cast("string"), F.lit("x)"))).otherwise(F.col("event")).alias("event"), F.when(F.col("n") > 2, F.col("n")).otherwise(1).alias("n"))
@@ -112,22 +122,22 @@ def fold_events(events: DataFrame, key: Column) -> DataFrame:
 
 def merge_adjacent(messages: DataFrame) -> DataFrame:
     """(session_id, idx, role, texts): neighbours of one role become one row with all their texts in order."""
-    new = F.coalesce(F.col("role") != F.lag("role").over(ORDER), F.lit(True))
-    m = messages.withColumn("_run", F.sum(F.when(new, 1).otherwise(0)).over(ORDER.rowsBetween(W.unboundedPreceding, 0)))
+    new = F.coalesce(F.col("role") != F.lag("role").over(in_order()), F.lit(True))
+    m = messages.withColumn("_run", F.sum(F.when(new, 1).otherwise(0)).over(in_order().rowsBetween(W.unboundedPreceding, 0)))
     texts = F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"])
     return m.groupBy("session_id", "_run").agg(F.min("idx").alias("idx"), F.first("role").alias("role"), texts.alias("texts")).drop("_run")
 
 
 def keep_last_marks(blocks: DataFrame, limit: int = 4) -> DataFrame:
     """Blocks with `marked`, of which each session keeps the last `limit`."""
-    rank = F.row_number().over(SESSION.orderBy(F.col("marked").desc(), F.desc("idx"), F.desc("pos")))
+    rank = F.row_number().over(in_session().orderBy(F.col("marked").desc(), F.desc("idx"), F.desc("pos")))
     return blocks.withColumn("marked", F.col("marked") & (rank <= limit))
 
 
 def boundary_mark(blocks: DataFrame, boundary: Column, limit: int = 4, ttl: str = "ephemeral") -> DataFrame:
     """Strips all marks, sets one on the last block of the row before the boundary, and gives marks one time to live: 1h if any had it."""
-    last = F.max(F.when(F.col("idx") == boundary - 1, F.col("pos"))).over(SESSION)
-    hour = F.max((F.col("marked") & (F.coalesce(F.col("ttl"), F.lit("")) == "1h")).cast("int")).over(SESSION)
+    last = F.max(F.when(F.col("idx") == boundary - 1, F.col("pos"))).over(in_session())
+    hour = F.max((F.col("marked") & (F.coalesce(F.col("ttl"), F.lit("")) == "1h")).cast("int")).over(in_session())
     m = blocks.withColumn("_hour", hour).withColumn("marked", F.coalesce((F.col("idx") == boundary - 1) & (F.col("pos") == last), F.lit(False)))
     return keep_last_marks(m, limit).withColumn("ttl", F.when(F.col("marked"), F.when((F.col("_hour") == 1) | F.lit(ttl == "1h"), "1h").otherwise(ttl))).drop("_hour")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as X
 from threadloom.functions import tokens as T
-from threadloom.operators.history import SESSION
+from threadloom.operators.history import in_session
 
 
 def call_info(uses: DataFrame) -> DataFrame:
@@ -88,13 +88,13 @@ def stubbed_rows(blocks: DataFrame, keep_recent: int, pivot: DataFrame | None =
     """
     m = blocks if pivot is None else blocks.join(pivot, "session_id", "left")
     latest = F.col("latest") if pivot is not None else F.lit("")
-    n = F.count("*").over(SESSION)
+    n = F.count("*").over(in_session())
     tools = F.col("has_use") | F.col("has_result")
     fixed = (F.col("idx") == 0) | F.col("active") | ((F.col("tok") <= least) & ~tools)
     guarded = (F.col("idx") >= n - keep_recent) | X.is_pivot(F.coalesce("text", F.lit("")), latest) | X.is_task_list(F.coalesce("text", F.lit("")))
     m = m.withColumn("_sure", F.when(fixed, F.lit(None)).when(~guarded, F.lit(True)))
-    from threadloom.operators.history import BEFORE
+    from threadloom.operators.history import rows_before
 
-    had_use = F.last(F.when(F.col("_sure"), F.col("has_use")), ignorenulls=True).over(BEFORE)
+    had_use = F.last(F.when(F.col("_sure"), F.col("has_use")), ignorenulls=True).over(rows_before())
     forced = ~fixed & guarded & F.col("has_result") & F.coalesce(had_use, F.lit(False))
     return m.withColumn("action", F.when(F.coalesce("_sure", F.lit(False)) | forced, "stub").otherwise("keep")).drop("_sure")

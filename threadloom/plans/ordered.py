@@ -106,7 +106,7 @@ def merged(spark, sf):
 
 @query("g8_following_assistant", f"WITH {MSG} SELECT session_id, idx, coalesce(max(CASE WHEN role = 'assistant' THEN idx END) OVER (PARTITION BY session_id) > idx, false) AS answered FROM msg")
 def following(spark, sf):
-    return messages(spark, sf).select("session_id", "idx", F.coalesce(F.max(F.when(F.col("role") == "assistant", F.col("idx"))).over(H.SESSION) > F.col("idx"), F.lit(False)).alias("answered"))
+    return messages(spark, sf).select("session_id", "idx", F.coalesce(F.max(F.when(F.col("role") == "assistant", F.col("idx"))).over(H.in_session()) > F.col("idx"), F.lit(False)).alias("answered"))
 
 
 @query("g9_last_rows", f"WITH {MSG} SELECT session_id, idx FROM (SELECT *, count(*) OVER (PARTITION BY session_id) AS n FROM msg) WHERE idx >= n - 3")
@@ -118,7 +118,7 @@ def last_rows(spark, sf):
 b AS (SELECT *, floor(heat * 20) + CASE WHEN pin THEN 30 ELSE 0 END AS boost FROM s)
 SELECT session_id, idx, CASE WHEN age IS NULL OR age < 15 + boost THEN 0 WHEN age < 45 + boost THEN 1 WHEN age < 150 + boost THEN 2 ELSE 3 END AS stage FROM b""")
 def stage(spark, sf):
-    m = messages(spark, sf).withColumn("n", F.count("*").over(H.SESSION))
+    m = messages(spark, sf).withColumn("n", F.count("*").over(H.in_session()))
     age = F.when(F.col("idx") % 4 != 0, F.col("idx") * 11)
     return m.select("session_id", "idx", T.stage(age, (F.col("idx") % 5) / F.lit(5.0), F.col("idx") % 3 == 0, F.col("n"), F.lit(1.0)).alias("stage"))
 

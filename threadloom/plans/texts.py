@@ -203,7 +203,7 @@ def log_text(spark, sf):
 
 @query("b16_decisions", f"WITH {MSG}, m AS (SELECT *, lag(role) OVER w AS pr, lag(text) OVER w AS pt, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS s FROM msg WINDOW w AS (PARTITION BY session_id ORDER BY idx)) SELECT session_id, idx, role = 'user' AND s <> '' AND s NOT LIKE '%?' AND (length(s) < 30 OR coalesce(length(s) < 100 AND pr = 'assistant' AND length(trim(pt, ' ' || chr(9) || chr(10) || chr(13))) > 400, false) OR len(list_filter({list_sql(X.DECISION_MARKERS)}, lambda k: contains(lower(text), k))) > 0) AS decision FROM m")
 def decisions(spark, sf):
-    return messages(spark, sf).select("session_id", "idx", X.is_decision(F.col("role"), F.col("text"), F.lag("role").over(H.ORDER), F.lag("text").over(H.ORDER)).alias("decision"))
+    return messages(spark, sf).select("session_id", "idx", X.is_decision(F.col("role"), F.col("text"), F.lag("role").over(H.in_order()), F.lag("text").over(H.in_order())).alias("decision"))
 
 
 @query("b17_tasklist", f"WITH {MSG} SELECT session_id, idx, idx % 3 = 1 OR contains(text, 'TODO:') OR contains(text, '- [x]') OR contains(text, '- [X]') OR contains(text, '- [ ]') AS tasks FROM msg")
