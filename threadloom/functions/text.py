@@ -391,8 +391,45 @@ def without_userinfo(url: Column) -> Column:
 
 
 def log_safe(text: Column, session_id: Column) -> Column:
-    plain = F.replace(F.replace(F.replace(text, F.lit("\r"), F.lit("\\r")), F.lit("\n"), F.lit("\\n")), F.lit("\x1b"), F.lit("\\x1b"))
-    return F.when(F.coalesce(session_id, F.lit("")) == "", plain).otherwise(F.replace(plain, session_id, F.lit("[session]")))
+    """Without the session's id and escape characters, line ends spelt out."""
+    known = F.when(F.coalesce(session_id, F.lit("")) == "", text).otherwise(F.replace(text, session_id, F.lit("[REDACTED]")))
+    return F.replace(F.replace(F.replace(known, F.lit("\x1b"), F.lit("")), F.lit("\r"), F.lit("\\r")), F.lit("\n"), F.lit("\\n"))
+
+
+# Parts of keys that no log line shows.
+HIDDEN_KEYS = ("authorization", "proxy-authorization", "api-key", "cookie", "set-cookie", "body", "messages", "system", "tools", "prompt", "payload", "base64", "fingerprint")
+
+
+def is_shown_key(key: Column) -> Column:
+    low = F.lower(key)
+    return (key != "") & ~any_of(low, HIDDEN_KEYS) & ~low.endswith("session_id")
+
+
+def log_line(level: Column, request_id: Column, message: Column, attributes: Column, session_id: Column) -> Column:
+    """Level, #request, message and the attributes (map) that may be shown, by key."""
+    shown = F.filter(F.array_sort(F.map_entries(attributes)), lambda e: is_shown_key(e["key"]) & (e["key"] != "request_id") & (e["value"] != ""))
+    pairs = F.array_join(F.transform(shown, lambda e: F.concat(e["key"], F.lit("="), log_safe(e["value"], session_id))), " ")
+    return F.concat_ws(" ", F.nullif(level, F.lit("")), F.concat(F.lit("#"), request_id.cast("string")), log_safe(message, session_id), F.nullif(pairs, F.lit("")))
+
+
+def joined_text(blocks: Column) -> Column:
+    """The text blocks of a message with a blank between."""
+    said = F.transform(F.filter(blocks, lambda b: (b["type"] == "text") & (b["text"] != "")), lambda b: b["text"])
+    return trim(F.array_join(said, " "))
+
+
+def result_text(content: Column, end: str = "\n", closed: bool = False) -> Column:
+    """The text of an answer's raw content: a string, or the texts of nested blocks joined by (closed: each ended with) `end`."""
+    kind = F.schema_of_variant(F.try_parse_json(content))
+    nested = F.from_json(content, "array<struct<type:string,text:string>>")
+    texts = F.transform(F.filter(nested, lambda b: F.coalesce(b["text"], F.lit("")) != ""), lambda b: b["text"])
+    joined = F.array_join(F.transform(texts, lambda t: F.concat(t, F.lit(end))), "") if closed else F.array_join(texts, end)
+    return F.when(kind == "STRING", F.try_variant_get(F.try_parse_json(content), "$", "string")).when(kind.startswith("ARRAY"), joined).otherwise(F.lit(""))
+
+
+def match_terms(terms: Column, most: int = 20) -> Column:
+    """The terms of a search, any of which may match: not empty, the first twenty."""
+    return F.slice(F.filter(terms, lambda t: t != ""), 1, most)
 
 
 def is_task_list(text: Column) -> Column:

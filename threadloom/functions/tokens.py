@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import base64
+import binascii
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 MESSAGE_OVERHEAD = 4
 MOST = 9223372036854775807
@@ -54,8 +59,63 @@ def gif_size(data: Column) -> Column:
     return F.when(F.substring(head, 1, 8) == "47494638", F.struct(number(13).alias("width"), number(17).alias("height")))
 
 
-def image_tokens(data: Column) -> Column:
-    size = F.coalesce(png_size(data), gif_size(data))
+def webp_size(data: Column) -> Column:
+    """(width, height) from the head of base64 WebP data of its three kinds, or null."""
+    head = F.hex(F.unbase64(F.substring(data, 1, 40)))
+    low = lambda at, n: F.conv(F.concat(*(F.substring(head, at + 2 * k, 2) for k in reversed(range(n)))), 16, 10).cast("bigint")
+    kind = F.substring(head, 25, 8)
+    bits = low(43, 4)
+    extended = F.struct((low(49, 3) + 1).alias("width"), (low(55, 3) + 1).alias("height"))
+    lossy = F.struct((low(53, 2) % 16384).alias("width"), (low(57, 2) % 16384).alias("height"))
+    lossless = F.struct((bits % 16384 + 1).alias("width"), (F.floor(bits / 16384) % 16384 + 1).alias("height"))
+    webp = (F.substring(head, 1, 8) == "52494646") & (F.substring(head, 17, 8) == "57454250")
+    return F.when(webp & (kind == "56503858"), extended).when(webp & (kind == "56503820") & (F.substring(head, 47, 6) == "9D012A"), lossy).when(webp & (kind == "5650384C") & (F.substring(head, 41, 2) == "2F"), lossless)
+
+
+#: Base64 characters of a JPEG in which its frame header is looked for.
+JPEG_HEAD = 87_384
+
+
+def jpeg_size(data: Column) -> Column:
+    """(width, height) from the frame header of base64 JPEG data, or null; segments before it are walked in Arrow batches."""
+    @arrow_udf("struct<width: bigint, height: bigint>")
+    def read(column: pa.Array) -> pa.Array:
+        return pa.array([frame_size(x.as_py()) for x in column], pa.struct([("width", pa.int64()), ("height", pa.int64())]))
+
+    return read(F.substring(data, 1, JPEG_HEAD))
+
+
+def frame_size(data: str | None) -> dict[str, int] | None:
+    """Width and height that the first start-of-frame segment gives."""
+    try:
+        raw = base64.b64decode((data or "")[: len(data or "") // 4 * 4])
+    except binascii.Error:
+        return None
+    if raw[:2] != b"\xff\xd8":
+        return None
+    at = 2
+    while (at := raw.find(b"\xff", at)) >= 0:
+        while at < len(raw) and raw[at] == 0xFF:
+            at += 1
+        if at + 3 > len(raw):
+            return None
+        marker, at = raw[at], at + 1
+        if marker in (0xD8, 0xD9) or 0xD0 <= marker <= 0xD7:
+            continue
+        size = int.from_bytes(raw[at : at + 2], "big")
+        if size < 2 or at + size > len(raw):
+            return None
+        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC) and size >= 7:
+            return {"height": int.from_bytes(raw[at + 3 : at + 5], "big"), "width": int.from_bytes(raw[at + 5 : at + 7], "big")}
+        at += size
+    return None
+
+
+def image_tokens(data: Column, media_type: Column | None = None) -> Column:
+    """Tokens of base64 data by the size in its head; with a media type JPEG is read too."""
+    size = F.coalesce(png_size(data), gif_size(data), webp_size(data))
+    if media_type is not None:
+        size = F.coalesce(size, F.when(media_type == "image/jpeg", jpeg_size(data)))
     return F.coalesce(visual_tokens(size["width"], size["height"]), payload_fallback(F.length(data)))
 
 
@@ -71,7 +131,7 @@ def saturating_subtract(a: Column, b: Column) -> Column:
 def budget(threshold: Column) -> dict[str, Column]:
     """Shares of a threshold: 2, 3, 25 and 30 percent, each rounded down, and what is left."""
     share = lambda p: F.floor(threshold * p / 100).cast("bigint")
-    parts = {"retrieval": share(2), "narrative": share(3), "re_expansion": share(25), "fresh": share(30)}
+    parts = {"narrative": share(2), "retrieval": share(3), "re_expansion": share(25), "fresh": share(30)}
     return parts | {"stub": threshold - parts["retrieval"] - parts["narrative"] - parts["re_expansion"] - parts["fresh"]}
 
 
@@ -98,3 +158,43 @@ def stage(age: Column, intensity: Column, pinned: Column, length: Column, pressu
 def intensity(errors: Column, tool_uses: Column, last_user_length: Column) -> Column:
     """0 to 1: errors, many tool calls and a long request among the last messages."""
     return F.least(F.lit(1.0), errors * F.lit(0.15) + F.when(tool_uses > 5, 0.2).otherwise(0.0) + F.when(last_user_length > 500, 0.15).otherwise(0.0))
+
+
+def cache_gap_seconds(ttl: Column) -> Column:
+    """The pause after which a cache of that time to live counts as gone: 61 or 4 minutes."""
+    return F.when(ttl == "1h", 61 * 60).otherwise(4 * 60)
+
+
+def snapshot_ttl_seconds(ttl: Column) -> Column:
+    """How long a frozen prefix is kept: 65 or 30 minutes."""
+    return F.when(ttl == "1h", 65 * 60).otherwise(30 * 60)
+
+
+def spent_in_order(costs: Column, limit: Column) -> Column:
+    """Which of an array of costs fit one after another into a limit; one that doesn't is passed over."""
+    zero = F.struct(F.lit(0).cast("bigint").alias("spent"), F.array().cast("array<boolean>").alias("fits"))
+
+    def step(acc: Column, c: Column) -> Column:
+        ok = (c >= 0) & (acc["spent"] + c <= limit)
+        return F.struct(F.when(ok, acc["spent"] + c).otherwise(acc["spent"]).cast("bigint").alias("spent"), F.concat(acc["fits"], F.array(ok)).alias("fits"))
+
+    return F.aggregate(costs, zero, step, lambda acc: acc["fits"])
+
+
+def bpe_tokens(text: Column, vocabulary: str, pattern: str) -> Column:
+    """Exact byte-pair tokens with a rank file; null text has none. Needs the tiktoken package on the executors."""
+    @arrow_udf("bigint")
+    def count(column: pa.Array) -> pa.Array:
+        import tiktoken
+
+        if vocabulary not in _ENCODERS:
+            with open(vocabulary, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+            _ENCODERS[vocabulary] = tiktoken.Encoding(name="own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        encode = _ENCODERS[vocabulary].encode_ordinary
+        return pa.array([len(encode(x.as_py())) if x.is_valid else 0 for x in column], pa.int64())
+
+    return count(text)
+
+
+_ENCODERS: dict = {}

@@ -18,6 +18,12 @@ def files(uses: DataFrame) -> DataFrame:
     return uses.select("session_id", F.explode(X.all_paths(F.col("input"))).alias("path")).distinct()
 
 
+def file_counts(uses: DataFrame) -> DataFrame:
+    """(session_id, key, n): how often calls name each file, by its base name."""
+    named = F.array_compact(F.array(X.filled(F.col("input"), "file_path"), X.filled(F.col("input"), "path")))
+    return uses.select("session_id", F.explode(named).alias("p")).groupBy("session_id", F.substring_index("p", "/", -1).alias("key")).agg(F.count("*").alias("n"))
+
+
 def timeline(uses: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """(session_id, idx, event) of calls that do something and of what users say."""
     events = uses.select("session_id", "idx", X.timeline_event(F.col("name"), F.col("input"), F.col("idx")).alias("event"))

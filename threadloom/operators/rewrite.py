@@ -50,6 +50,12 @@ def compress(results: DataFrame, uses: DataFrame, sizes: DataFrame, keep_recent:
     return m.select("session_id", "idx", "tool_use_id", F.when(large, summary).otherwise(F.col("content")).alias("content"), large.alias("compressed"))
 
 
+def saved(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(compressed, saved): how many answers were compressed and the tokens that saves, 0 at least."""
+    b = before.agg(F.sum(T.estimate(F.col("content"))).alias("b")).first()[0] or 0
+    return after.agg(F.count_if("compressed").alias("compressed"), F.greatest(F.lit(b) - F.coalesce(F.sum(T.estimate(F.col("content"))), F.lit(0)), F.lit(0)).alias("saved"))
+
+
 def compress_thinking(blocks: DataFrame, least: int = 500) -> DataFrame:
     """Thinking blocks of old rows: large signed ones go unless the row has nothing else, large unsigned ones become a placeholder."""
     from pyspark.sql import Window as W

@@ -392,3 +392,34 @@ def inject(spark, sf):
     stub = m.filter("idx = 1").select("session_id", F.col("text").alias("stub_text"))
     p = m.select("session_id").distinct().join(stub, "session_id", "left").select("session_id", F.when(F.col("session_id") % 2 == 0, "deep_search").otherwise("recovery").alias("kind"), F.lit(1).cast("bigint").alias("idx"), "stub_text", F.lit("[Retrieved]").alias("payload"))
     return S.inject(m, p).select("session_id", "idx", "text")
+
+
+@query("f9_compaction_stats", f"WITH {ACT}, f AS (SELECT session_id, regexp_extract(coalesce(file_path, path), '[^/]*$') AS key, count(*) AS n FROM uses WHERE idx BETWEEN 2 AND 60 AND coalesce(file_path, path) IS NOT NULL GROUP BY 1, 2) SELECT * FROM f")
+def compaction_stats(spark, sf):
+    return A.file_counts(tool_uses(spark, sf).filter("idx between 2 and 60"))
+
+
+@query("f15_recall_outcome", f"WITH {FOUND}, {RANKING}, {UNDOMINATED} SELECT query_id, (SELECT count(*) FROM fb WHERE fb.query_id = u.query_id) AS candidates, count(*) AS selected FROM und u GROUP BY 1")
+def recall_outcome(spark, sf):
+    p = placed(spark, sf)
+    kept = S.undominated(p.filter("place <= 3")).groupBy("query_id").agg(F.count("*").alias("selected"))
+    return p.groupBy("query_id").agg(F.count("*").alias("candidates")).join(kept, "query_id")
+
+
+@query("f16_saved_tokens", f"WITH j AS ({J1}) SELECT count(*) FILTER (compressed) AS compressed, (sum(strlen(r.content) // 4) - sum(strlen(j.content) // 4))::BIGINT AS saved FROM j JOIN (WITH {ACT} SELECT tool_use_id, content FROM results) r USING (tool_use_id)")
+def saved_tokens(spark, sf):
+    r = tool_results(spark, sf)
+    c = R.compress(r, drop_uses(tool_uses(spark, sf)), sizes(r), 8)
+    return R.saved(r, c)
+
+
+@query("i5_transition", f"WITH {ARCHIVE} SELECT 'k1' AS key, 'v2' AS value, (SELECT count(*) FROM archive WHERE isolated = 1 OR (session_id = 'src3' AND block_range_end >= 50)) AS hidden")
+def transition(spark, sf):
+    from threadloom.sources.store import Store, scratch
+
+    store = Store(spark, scratch(spark))
+    store.save_blocks(archives(spark, sf))
+    store.put_state([("k1", "v1")])
+    store.commit_transition("k1", "v2", "src3", 50)
+    hidden = store.blocks().filter("isolated = 1").count()
+    return store.state().select("key", "value").withColumn("hidden", F.lit(hidden))

@@ -28,7 +28,7 @@ def block_tokens(spark, sf):
     return r.unionByName(u.select("session_id", "idx", T.block_tokens(F.lit("tool_use"), none, none, F.col("name"), F.col("input"), none).alias("tok")))
 
 
-@query("d_budget_split", "SELECT o_orderkey AS id, t, t * 2 // 100 AS retrieval, t * 3 // 100 AS narrative, t * 25 // 100 AS re_expansion, t * 30 // 100 AS fresh, t - t * 2 // 100 - t * 3 // 100 - t * 25 // 100 - t * 30 // 100 AS stub FROM (SELECT o_orderkey, 1000 + (o_orderkey * 37) % 200000 AS t FROM orders)")
+@query("d_budget_split", "SELECT o_orderkey AS id, t, t * 2 // 100 AS narrative, t * 3 // 100 AS retrieval, t * 25 // 100 AS re_expansion, t * 30 // 100 AS fresh, t - t * 2 // 100 - t * 3 // 100 - t * 25 // 100 - t * 30 // 100 AS stub FROM (SELECT o_orderkey, 1000 + (o_orderkey * 37) % 200000 AS t FROM orders)")
 def budget_split(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (1000 + (F.col("o_orderkey") * 37) % 200000).alias("t"))
     return o.select("id", "t", *(c.alias(k) for k, c in T.budget(F.col("t")).items()))
@@ -108,3 +108,15 @@ def media_facts(spark, sf):
 @query("ext_token_rollup", f"WITH {MSG} SELECT session_id, role, sum(tok)::BIGINT AS tokens, count(*) AS n FROM msg GROUP BY ROLLUP (session_id, role)")
 def token_rollup(spark, sf):
     return messages(spark, sf).rollup("session_id", "role").agg(F.sum("tok").alias("tokens"), F.count("*").alias("n"))
+
+
+@query("d12_spending", "SELECT p_partkey AS id, [true, c1 <= 100 - 40, c2 <= 100 - 40 - CASE WHEN c1 <= 60 THEN c1 ELSE 0 END] AS fits FROM (SELECT p_partkey, p_partkey % 90 AS c1, p_partkey % 50 AS c2 FROM part)")
+def spending(spark, sf):
+    k = F.col("p_partkey")
+    return table(spark, sf, "part").select(k.alias("id"), T.spent_in_order(F.array(F.lit(40).cast("bigint"), k % 90, k % 50), F.lit(100)).alias("fits"))
+
+
+@query("d15_cache_gap", "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 3660 ELSE 240 END AS gap, CASE WHEN p_partkey % 2 = 0 THEN 3900 ELSE 1800 END AS keep FROM part")
+def cache_gap(spark, sf):
+    ttl = F.when(F.col("p_partkey") % 2 == 0, "1h").otherwise("ephemeral")
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), T.cache_gap_seconds(ttl).alias("gap"), T.snapshot_ttl_seconds(ttl).alias("keep"))

@@ -196,7 +196,7 @@ def userinfo(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.without_userinfo(F.concat(F.lit("https://me:pw@"), F.expr("substr(url, instr(url, '://') + 3)"))).alias("url"))
 
 
-@query("c38_log_text", "SELECT doc_id, replace(replace(text, chr(13), '\\r'), chr(10), '\\n') || ' [session]' AS line FROM documents")
+@query("c38_log_text", "SELECT doc_id, replace(replace(replace(text, chr(27), ''), chr(13), '\\r'), chr(10), '\\n') || ' [REDACTED]' AS line FROM documents")
 def log_text(spark, sf):
     return docs(spark, sf).select("doc_id", X.log_safe(F.concat(F.col("text"), F.lit(" sess-9")), F.lit("sess-9")).alias("line"))
 
@@ -221,3 +221,35 @@ def pivot(spark, sf):
 @query("b20_latest_user", f"WITH {MSG} SELECT session_id, max_by(text, idx) AS latest FROM msg WHERE role = 'user' GROUP BY 1")
 def latest_user(spark, sf):
     return H.latest_user_text(messages(spark, sf))
+
+
+@query("c20_result_text", f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN t ELSE t || {NL} || 'two' END AS text FROM (SELECT doc_id, replace(replace(substr(text, 1, 40), chr(10), ' '), chr(92), '') AS t FROM documents WHERE text NOT LIKE '%\"%')")
+def result_text(spark, sf):
+    t = F.replace(F.replace(F.substring("text", 1, 40), F.lit("\n"), F.lit(" ")), F.lit("\\"), F.lit(""))
+    raw = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('"'), t, F.lit('"'))).otherwise(F.concat(F.lit('[{"type":"text","text":"'), t, F.lit('"},{"type":"image"},{"type":"text","text":"two"}]')))
+    return docs(spark, sf).filter(~F.col("text").contains('"')).select("doc_id", X.result_text(raw).alias("text"))
+
+
+@query("c30_match_terms", "SELECT item_id, array_to_string(list_filter(string_split(text, ' '), lambda w: w <> '')[1:20], ' ') AS terms FROM benchmark")
+def match_terms(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", F.array_join(X.match_terms(F.split("text", " ", -1)), " ").alias("terms"))
+
+
+@query("a16_log_lines", "SELECT event_id, 'WARN #' || event_id || ' said [REDACTED] kind=' || event_type AS line FROM events")
+def log_lines(spark, sf):
+    e = table(spark, sf, "events")
+    attrs = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("api-key"), F.lit("k"), F.lit("my_session_id"), F.lit("s"), F.lit("body"), F.lit("b"))
+    return e.select("event_id", X.log_line(F.lit("WARN"), F.col("event_id"), F.lit("said sess-1"), attrs, F.lit("sess-1")).alias("line"))
+
+
+@query("b21_pinned_paths", f"WITH {ACT} SELECT session_id, string_agg(DISTINCT file_path, ',' ORDER BY file_path) AS paths FROM uses WHERE file_path IS NOT NULL GROUP BY 1")
+def pinned_paths(spark, sf):
+    u = tool_uses(spark, sf).withColumn("p", F.try_element_at("input", F.lit("file_path"))).filter("p is not null")
+    return u.groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_set("p")), ",").alias("paths"))
+
+
+@query("e4_overlap", f"WITH w AS (SELECT DISTINCT item_id, unnest({words_sql('text')}) AS w FROM benchmark), d AS (SELECT DISTINCT doc_id, unnest({words_sql('text')}) AS w FROM documents) SELECT item_id, doc_id, count(*) AS shared FROM w JOIN d USING (w) GROUP BY ALL HAVING count(*) >= 8")
+def overlap(spark, sf):
+    w = table(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(X.words(F.col("text")))).alias("w"))
+    d = docs(spark, sf).select("doc_id", F.explode(F.array_distinct(X.words(F.col("text")))).alias("w"))
+    return w.join(d, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared")).filter("shared >= 8")
