@@ -59,7 +59,7 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,44 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9}
+    return {"op1_ngram_join": OP1, "op3_embedding_join": OP3, "op7_mixing": OP7, "op9_exact_dedup": OP9}
+
+
+OP1 = r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+cls AS (SELECT text, min(doc_id) AS c, count(*) AS copies FROM t GROUP BY 1),
+w AS (SELECT c, regexp_extract_all(lower(text), '[0-9a-z_\x{80}-\x{10FFFF}]+') AS ws FROM cls),
+sh AS (SELECT DISTINCT c, s FROM (SELECT c, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM w)),
+n AS (SELECT c, count(*) AS n FROM sh GROUP BY 1),
+p AS (SELECT a.c AS a, b.c AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.c < b.c GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.c = a JOIN n y ON y.c = b WHERE k >= 0.8 * (x.n + y.n - k) - 1e-9),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT c AS a, c AS b FROM cls UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+g AS (SELECT a AS c, min(b) AS class_id FROM r GROUP BY 1),
+k AS (SELECT e.a AS c, count(*) AS texts, sum(copies)::BIGINT AS docs FROM e JOIN cls ON cls.c = e.b GROUP BY 1)
+SELECT doc_id, class_id, (coalesce(docs, 0) + copies - 1)::BIGINT AS n_links, coalesce(texts, 0)::BIGINT AS n_text_links, copies, doc_id = class_id AS kept
+FROM t JOIN cls USING (text) JOIN g USING (c) LEFT JOIN k USING (c)
+"""
+OP3 = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE embedding IS NOT NULL),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+g AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY 1), k AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM g LEFT JOIN k USING (vec_id)
+"""
+OP7 = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+  -ln((('0x' || substr(md5('7:' || doc_id), 1, 13))::BIGINT + 0.5) / 4503599627370496.0) / greatest(coalesce(0.25 + 0.75 * length(translate(text, '0123456789#$%&*|<>{}[]()!?_=+~^/\@', '')) / nullif(length(text), 0), 0.25), 1e-6) AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM s),
+f AS (SELECT *, 2.0::DOUBLE * source_size / weight AS full_at FROM w),
+u AS (SELECT *, coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY full_at, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used, sum(weight) OVER (ORDER BY full_at, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, sum(source_size) OVER () AS total FROM f),
+v AS (SELECT *, (1.5::DOUBLE * total - used) / rest AS level FROM u),
+t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, coalesce((SELECT max(level) FROM v WHERE level <= full_at) * weight, 2.0::DOUBLE * source_size)) AS target FROM v),
+b AS (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0) AS complete FROM t),
+c AS (SELECT d.*, b.source_size, b.target, b.complete, b.target - b.complete * b.source_size AS budget, sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size::BIGINT AS size, source_size, round(target, 6) AS target, (size * (complete + CASE WHEN upto <= budget OR 2 * budget > 2 * upto - size THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
+"""
 
 
 OP9 = """
