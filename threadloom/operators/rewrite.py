@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as X
 from threadloom.functions import tokens as T
-from threadloom.operators.history import in_session
+from threadloom.operators.history import in_session, rows_before
 
 
 def call_info(uses: DataFrame) -> DataFrame:
@@ -58,8 +59,6 @@ def saved(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def compress_thinking(blocks: DataFrame, least: int = 500) -> DataFrame:
     """Thinking blocks of old rows: large signed ones go unless the row has nothing else, large unsigned ones become a placeholder."""
-    from pyspark.sql import Window as W
-
     row = W.partitionBy("session_id", "idx")
     signed = (F.col("type") == "thinking") & (F.coalesce("signature", F.lit("")) != "")
     m = blocks.withColumn("_other", F.max((~signed).cast("int")).over(row))
@@ -99,8 +98,6 @@ def stubbed_rows(blocks: DataFrame, keep_recent: int, pivot: DataFrame | None =
     fixed = (F.col("idx") == 0) | F.col("active") | ((F.col("tok") <= least) & ~tools)
     guarded = (F.col("idx") >= n - keep_recent) | X.is_pivot(F.coalesce("text", F.lit("")), latest) | X.is_task_list(F.coalesce("text", F.lit("")))
     m = m.withColumn("_sure", F.when(fixed, F.lit(None)).when(~guarded, F.lit(True)))
-    from threadloom.operators.history import rows_before
-
     had_use = F.last(F.when(F.col("_sure"), F.col("has_use")), ignorenulls=True).over(rows_before())
     forced = ~fixed & guarded & F.col("has_result") & F.coalesce(had_use, F.lit(False))
     return m.withColumn("action", F.when(F.coalesce("_sure", F.lit(False)) | forced, "stub").otherwise("keep")).drop("_sure")

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadloom.config import EngineConfig
 from threadloom.functions import fingerprints as FP
 from threadloom.functions import requests as RQ
 from threadloom.functions import tokens as T
 from threadloom.functions import usage as U
 from threadloom.operators import continuity as C
+from threadloom.operators.requests import tracked as keep
+from threadloom.plans.forwarding import forwarded
 from threadloom.plans.registry import query
 from threadloom.plans.views import MSG, REQ, USAGE, messages, requests, table, usage
+from threadloom.sources.bodies import parse_content, probes
+from threadloom.sources.events import event_rows, lifecycles, scaled_events
 
 HASHES = f"WITH {MSG}, {REQ}, hs AS (SELECT session_id, seq, list(sha256(role || chr(31) || text) ORDER BY idx) AS h FROM req GROUP BY 1, 2)"
 EPOCHS = f"""{HASHES}, lg AS (SELECT *, lag(h) OVER (PARTITION BY session_id ORDER BY seq) AS p FROM hs),
@@ -50,14 +56,8 @@ def k5(spark, sf):
     return C.baselines(u)
 
 
-FULL_IN = f"WITH {MSG}, b AS (SELECT session_id, idx, sum(tok) OVER (PARTITION BY session_id ORDER BY idx)::BIGINT AS messages_tok, session_id % 5 AS kind, idx + 1 AS n FROM msg)"
-BASE_TOK = "CASE WHEN kind = 4 THEN NULL ELSE 300 + session_id * 7 % 900 END"
-
-
 def pressure_inputs(spark, sf):
     """Each row of a conversation as a request whose baseline is one message older: kinds of it by session."""
-    from pyspark.sql import Window as W
-
     m = messages(spark, sf)
     up = W.partitionBy("session_id").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
     s, kind = F.col("session_id"), F.col("session_id") % 5
@@ -136,8 +136,6 @@ def l6(spark, sf):
     return table(spark, sf, "documents").select("doc_id", FP.is_fingerprint(c).alias("long"), FP.is_short_hash(c).alias("short"))
 
 
-
-
 def fields():
     return {k: F.col(k) for k in U.INPUTS}
 
@@ -230,8 +228,6 @@ def b1(spark, sf):
 def b14(spark, sf):
     n = F.col("event_id")
     body = F.concat(F.lit('{"model": "m'), (n % 3).cast("string"), F.lit('", "stream": '), F.when(n % 2 == 0, "true").otherwise("false"), F.lit(', "messages": ['), F.array_join(F.array_repeat(F.lit("{}"), (n % 4).cast("int")), ","), F.lit("]}"))
-    from threadloom.sources.bodies import probes
-
     model, count, stream = probes(body)
     return table(spark, sf, "events").select("event_id", model.alias("model"), count.alias("n"), stream.alias("stream"))
 
@@ -245,8 +241,6 @@ def a15(spark, sf):
 
 @query("a5_content_kinds", f"WITH {MSG} SELECT session_id, idx, CASE idx % 4 WHEN 0 THEN 'string' WHEN 1 THEN 'array' WHEN 2 THEN 'invalid' ELSE 'empty' END AS kind, CASE WHEN idx % 4 = 0 THEN text WHEN idx % 4 = 1 THEN 'a' WHEN idx % 4 = 2 THEN '' END AS first, CASE WHEN idx % 4 = 3 THEN 0 ELSE 1 END AS n FROM msg WHERE text NOT LIKE '%\\%'")
 def a5(spark, sf):
-    from threadloom.sources.bodies import parse_content
-
     k = F.col("idx") % 4
     m = messages(spark, sf).filter(~F.col("text").contains("\\"))
     raw = F.when(k == 0, F.to_json(F.array("text"))).when(k == 1, '[{"type": "text", "text": "a", "cache_control": {"type": "ephemeral"}}]').when(k == 2, "{broken")
@@ -255,9 +249,6 @@ def a5(spark, sf):
     return m.select("session_id", "idx", kind.alias("kind"), F.get(blocks, F.lit(0))["text"].alias("first"), F.size(blocks).alias("n"))
 
 
-SSE_SQL = """st AS (SELECT event_id AS stream_id, CASE event_id % 6 WHEN 0 THEN true ELSE false END AS complete, CASE WHEN event_id % 6 IN (0, 3) THEN 8 + event_id END AS actual FROM events)"""
-
-
 def streams(spark, sf):
     """Event streams of a response each: whole, without an end, with two starts, with a wrong name, malformed, with nothing."""
     n = F.col("event_id")
@@ -272,23 +263,17 @@ def streams(spark, sf):
 
 @query("k15_sse_lifecycle", "SELECT event_id AS stream_id, event_id % 6 = 0 AS complete, CASE WHEN event_id % 6 = 0 THEN 8 + event_id END AS actual FROM events")
 def k15(spark, sf):
-    from threadloom.sources.events import event_rows, lifecycles
-
     return lifecycles(event_rows(streams(spark, sf)))
 
 
 @query("n4_sse", "SELECT event_id AS stream_id, 0 AS seq, floor(event_id * 0.5) AS input_tokens, 4.0::DOUBLE AS cache_read FROM events WHERE event_id % 6 = 0")
 def n4(spark, sf):
-    from threadloom.sources.events import event_rows, scaled_events
-
     e = scaled_events(event_rows(streams(spark, sf).filter("stream_id % 6 = 0")), 0.5).filter("type = 'message_start'")
     return e.select("stream_id", "seq", F.get_json_object("data", "$.message.usage.input_tokens").cast("double").alias("input_tokens"), F.get_json_object("data", "$.message.usage.cache_read_input_tokens").cast("double").alias("cache_read"))
 
 
 @query("a13_sse_events", "SELECT event_id AS stream_id, CASE event_id % 6 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 2 WHEN 4 THEN 3 ELSE 1 END AS n FROM events")
 def a13(spark, sf):
-    from threadloom.sources.events import event_rows
-
     return event_rows(streams(spark, sf)).groupBy("stream_id").agg(F.count("*").alias("n"))
 
 
@@ -300,20 +285,13 @@ def session_window(spark, sf):
 
 @query("b23_tracked", "SELECT event_id FROM events WHERE event_id % 4 IN (0, 3)")
 def tracked(spark, sf):
-    from threadloom.operators.requests import tracked as keep
-
     role = F.when(F.col("event_id") % 4 == 0, "main").when(F.col("event_id") % 4 == 1, "subagent").when(F.col("event_id") % 4 == 2, "title").otherwise("unknown")
     return keep(table(spark, sf, "events").select("event_id", role.alias("request_role"))).select("event_id")
 
 
-
-
 @query("e2e_forwarded", f"WITH {MSG} SELECT session_id, count(*) AS n FROM msg GROUP BY 1 HAVING count(*) < 4")
 def forwarded_short(spark, sf):
     """Histories too short to fold go on with all their rows."""
-    from threadloom.config import EngineConfig
-    from threadloom.plans.forwarding import forwarded
-
     m = messages(spark, sf).select("session_id", "idx", "role", "text")
     out = forwarded(m, EngineConfig(keep_recent=2), floor=400)
     short = m.groupBy("session_id").agg(F.count("*").alias("_n")).filter("_n < 4").select("session_id")
@@ -323,7 +301,4 @@ def forwarded_short(spark, sf):
 @query("e2e_folded")
 def forwarded_all(spark, sf):
     """Every conversation as it would go on."""
-    from threadloom.config import EngineConfig
-    from threadloom.plans.forwarding import forwarded
-
     return forwarded(messages(spark, sf).select("session_id", "idx", "role", "text"), EngineConfig(keep_recent=2), floor=400)

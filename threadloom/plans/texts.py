@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import text as X
 from threadloom.operators import history as H
 from threadloom.plans.registry import query
-from threadloom.plans.views import ACT, EDGES_SQL, KW_SQL, MSG, drop_uses, list_sql, messages, table, tool_results, tool_uses, truncate_sql, words_sql
+from threadloom.plans.views import ACT, KW_SQL, MSG, drop_uses, list_sql, messages, table, tool_results, tool_uses, truncate_sql, words_sql
 
 
 def docs(spark, sf):
@@ -134,9 +134,6 @@ def top5_counts(spark, sf):
     return w.groupBy("source").agg(F.collect_list(F.struct("key", "n")).alias("pairs")).select("source", X.counts_line(F.col("pairs")).alias("line"))
 
 
-HINTED = "SELECT doc_id, text || ' deep_search(''' || substr(text, 1, 20) || ''') and deep_search(''  Read src/k' || (doc_id % 9) || '.py '')' AS t FROM documents WHERE text NOT LIKE '%''%'"
-
-
 @query("c28_hints", f"SELECT doc_id, trim(unnest([substr(text, 1, 20), 'Read src/k' || (doc_id % 9) || '.py']), ' ' || chr(9) || chr(10) || chr(13)) AS hint FROM documents WHERE text NOT LIKE '%''%'")
 def hints(spark, sf):
     d = docs(spark, sf).filter(~F.col("text").contains("'"))
