@@ -79,31 +79,38 @@ def mix_sources(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     place = F.lit(1.0) - F.exp(-F.col("key"))
     coarse = F.least(F.floor(place * BINS), F.lit(BINS - 1)).cast("int")
     fine = F.least(F.floor((place * BINS - F.floor(place * BINS)) * BINS), F.lit(BINS - 1)).cast("int")
-    base = base.withColumn("bin", coarse * BINS + fine)
+    base = base.withColumn("bin", coarse).withColumn("fine", fine)
     targets = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), cycle, share, most)
     size = F.nullif(F.col("source_size"), F.lit(0))
     targets = targets.withColumn("complete", F.coalesce(F.floor(F.col("target") / size), F.lit(0)).cast("bigint"))
     targets = kept_table(targets.withColumn("budget", F.col("target") - F.col("complete") * F.col("source_size")), "targets")
 
-    def ends(sums: DataFrame, by: str, of: str) -> DataFrame:
-        """For each source the first bin at whose end the running sum is over the budget, and the sum before it."""
-        upto = W.partitionBy("source").orderBy(by)
-        run = sums.withColumn("upto", F.sum("s").over(upto)).withColumn("before", F.col("upto") - F.col("s"))
-        met = run.join(targets.select(F.col("source").alias("_s"), "budget"), F.col("source").eqNullSafe(F.col("_s")))
+    def ends(sums: DataFrame, by: str, goals: DataFrame) -> DataFrame:
+        """(_s, edge, before): for each source the first bin at whose end the running sum reaches the budget, and the sum before it.
+
+        sums has at most BINS rows for a source; goals has _s, budget and start, the sum before the first bin.
+        """
+        met = sums.join(goals, F.col("source").eqNullSafe(F.col("_s")))
+        met = met.withColumn("upto", F.col("start") + F.sum("s").over(W.partitionBy("source").orderBy(by)))
         over = met.filter(F.col("upto") >= F.col("budget"))
-        return over.groupBy("source").agg(F.min_by(F.struct(F.col(by).alias(of), F.col("before")), by).alias("x")).select(F.col("source").alias("_s"), "x.*")
+        return over.groupBy("source").agg(F.min_by(F.struct(F.col(by).alias("edge"), (F.col("upto") - F.col("s")).alias("before")), by).alias("x")).select(F.col("source").alias("_s"), "x.*")
 
-    by_bin = base.groupBy("source", "bin").agg(F.sum("size").alias("s"))
-    edge = kept_table(ends(by_bin, "bin", "edge_bin"), "edges")
+    goals = targets.select(F.col("source").alias("_s"), "budget", F.lit(0).cast("bigint").alias("start"))
+    first = kept_table(ends(base.groupBy("source", "bin").agg(F.sum("size").alias("s")), "bin", goals).join(targets.select(F.col("source").alias("_t"), "budget"), F.col("_s").eqNullSafe(F.col("_t"))).drop("_t"), "first-edges")
+    inner = base.join(first.select(F.col("_s").alias("_f"), "edge"), F.col("source").eqNullSafe(F.col("_f")) & (F.col("bin") == F.col("edge")))
+    second = ends(inner.groupBy("source", "fine").agg(F.sum("size").alias("s")), "fine", first.select("_s", "budget", F.col("before").alias("start")))
+    edge = kept_table(first.select("_s", F.col("edge").alias("edge_bin")).join(second.select(F.col("_s").alias("_f"), F.col("edge").alias("edge_fine"), "before"), F.col("_s").eqNullSafe(F.col("_f"))).drop("_f"), "edges")
     marked = base.join(targets.withColumnRenamed("source", "_t"), F.col("source").eqNullSafe(F.col("_t"))).drop("_t").join(edge, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    at_edge = marked.filter(F.col("bin") == F.col("edge_bin"))
+    here = (F.col("bin") == F.col("edge_bin")) & (F.col("fine") == F.col("edge_fine"))
+    at_edge = marked.filter(here)
     order = W.partitionBy("source").orderBy("key", "id", "row")
     picked = (
         at_edge.withColumn("upto", F.col("before") + F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)))
         .withColumn("sampled", (F.col("upto") <= F.col("budget")) | (F.lit(2) * F.col("budget") > F.lit(2) * F.col("upto") - F.col("size")))
         .drop("upto")
     )
-    clear = marked.filter((F.col("bin") != F.col("edge_bin")) | F.col("edge_bin").isNull()).withColumn("sampled", F.coalesce(F.col("bin") < F.col("edge_bin"), F.col("budget") > 0))
+    below = (F.col("bin") < F.col("edge_bin")) | ((F.col("bin") == F.col("edge_bin")) & (F.col("fine") < F.col("edge_fine")))
+    clear = marked.filter(~F.coalesce(here, F.lit(False))).withColumn("sampled", F.coalesce(below, F.col("budget") > 0))
     done = clear.unionByName(picked).withColumn("epochs", F.col("complete") + F.col("sampled").cast("bigint"))
     return done.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", "epochs", "check", (F.col("size") * F.col("epochs")).alias("taken"))
 
