@@ -63,14 +63,18 @@ def rows_kept(docs: DataFrame, chosen: DataFrame, digest: F.Column, id_col: str)
     """The rows of docs that `chosen` (id_col, digest) has, with all their columns.
 
     Ids that are chosen as often as docs has them keep their rows without a look at any text. Of the others the
-    rows with a chosen digest stay, one for each id and digest.
+    rows with a chosen digest stay, one for each id and digest. Documents are shuffled once, by id; the hint keeps
+    it so at every size, as the ids that stay are as many as the documents.
     """
     want = chosen.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n"))
     have = docs.groupBy(F.col(id_col).cast("bigint").alias("__have")).agg(F.count("*").alias("__m"))
     both = kept_table(want.join(have, F.col("__id").eqNullSafe(F.col("__have"))).select("__id", (F.col("__n") < F.col("__m")).alias("__some")), "chosen")
     met = F.col(id_col).cast("bigint").eqNullSafe(F.col("__id"))
-    plain = docs.join(both.filter(~F.col("__some")), met, "left_semi")
-    some = docs.withColumn("__d", digest).join(both.filter("__some"), met, "left_semi")
+    some = both.filter("__some")
+    if some.isEmpty():
+        return docs.join(both.hint("merge"), met, "left_semi")
+    plain = docs.join(both.filter(~F.col("__some")).hint("merge"), met, "left_semi")
+    some = docs.withColumn("__d", digest).join(some, met, "left_semi")
     pairs = chosen.select(F.col(id_col).alias("__id"), F.col("digest").alias("__digest"))
     some = some.join(pairs, met & (F.col("__d") == F.col("__digest")), "left_semi").dropDuplicates([id_col, "__d"])
     return plain.unionByName(some.drop("__d"))

@@ -120,4 +120,4 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     mixed = mix_sources(docs, text_col, id_col, source_col, **options)
     want = kept_table(mixed.filter("epochs > 0").groupBy(F.col(id_col).alias("__id"), F.col("check").alias("__check")).agg(F.max("epochs").cast("int").alias("__epochs")), "epochs")
     met = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__check"))
-    return docs.join(want, met).withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__epochs")))).select(*docs.columns)
+    return docs.join(want.hint("merge"), met).withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__epochs")))).select(*docs.columns)
