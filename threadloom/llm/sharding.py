@@ -17,7 +17,7 @@ from .common import checkpointed, kept_table, shared_dir
 
 #: Cells into which ranks are split, so that no window holds a shard.
 CELLS = 256
-#: A hub with more than this share of all documents is ranked document by document.
+#: A hub with more than this share of all memberships is ranked document by document; there are fewer than its inverse.
 WIDE_HUB = 1 / 1000
 
 
@@ -44,10 +44,12 @@ def label_propagation(docs: DataFrame, links: DataFrame, n_shards: int = 8, roun
     """
     spark = docs.sparkSession
     shared_dir(spark)
-    n = docs.count()
     links = links.filter(F.col("hub").isNotNull()).select("row", "hub").distinct()
     sized = links.groupBy("hub").agg(F.count("*").alias("members")).filter("members > 1")
-    links = kept_table(links.join(sized, "hub").select("row", "hub", (F.col("members") > F.lit(max(2.0, n * WIDE_HUB))).alias("wide")), "links")
+    sized = kept_table(sized, "hubs")
+    many = sized.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    links = kept_table(links.join(sized, "hub").select("row", "hub", (F.col("members") > F.lit(max(2.0, many * WIDE_HUB))).alias("wide")), "links")
+    wide = kept_table(sized.filter(F.col("members") > F.lit(max(2.0, many * WIDE_HUB))).select("hub"), "wide-hubs")
     start = ranked(docs.select("row"), [], F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(CELLS)), [F.col("row")], "place")
     state = checkpointed(start.select("row", F.pmod("place", F.lit(n_shards)).cast("int").alias("shard")))
     home = links.groupBy("row").agg(F.min("hub").alias("hub"), F.max("wide").alias("wide"))
@@ -55,7 +57,10 @@ def label_propagation(docs: DataFrame, links: DataFrame, n_shards: int = 8, roun
         at = links.join(state, "row")
         counts = at.groupBy("hub", "shard").agg(F.count("*").alias("n"))
         shown = counts.groupBy("hub").agg(F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("found"))
-        near = links.select("row", "hub").join(shown, "hub").select("row", F.explode("found").alias("other", "n")).groupBy("row", "other").agg(F.sum("n").alias("n"))
+        # At most 1 / WIDE_HUB hubs are wide, so their counts are a table of proven size.
+        slim = links.filter(~F.col("wide")).select("row", "hub").join(shown, "hub")
+        broad = links.filter("wide").select("row", "hub").join(F.broadcast(shown.join(F.broadcast(wide), "hub", "left_semi")), "hub")
+        near = slim.unionByName(broad).select("row", F.explode("found").alias("other", "n")).groupBy("row", "other").agg(F.sum("n").alias("n"))
         lead = home.join(near, "row").join(state, "row").withColumn("tie", F.xxhash64("hub", "other"))
         best = lead.groupBy("row").agg(F.max(F.struct("n", "tie", "other")).alias("b"), F.max(F.when(F.col("other") == F.col("shard"), F.col("n"))).alias("here"), F.first("shard").alias("shard"), F.first("hub").alias("hub"), F.first("wide").alias("wide"))
         moves = best.filter(F.col("b.other") != F.col("shard")).select("row", "shard", F.col("b.other").alias("to"), (F.col("b.n") - F.coalesce("here", F.lit(0))).alias("gain"), "hub", "wide")
