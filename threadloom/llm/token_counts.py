@@ -21,6 +21,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokenisation pattern that this vocabulary was made with; a fixed value of the tokenizer.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Lengths in a span of the histogram.
+SPAN = 1024
+
 
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str = VOCABULARY):
@@ -52,19 +55,29 @@ def length_histogram(lengths: DataFrame, by: list[str] | None = None) -> DataFra
     share of documents of at most L (the quantile of L). An empty table gives no row.
     """
     by = by or []
-    counts = lengths.groupBy(*by, "n_tokens").agg(F.count("*").alias("n_docs"))
-    down = W.partitionBy(*by).orderBy(F.desc("n_tokens")).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*by)
     n, length = F.col("n_docs"), F.col("n_tokens")
+    counts = lengths.groupBy(*by, "n_tokens").agg(F.count("*").alias("n_docs")).withColumn("_span", F.floor(length / SPAN))
+    # Sums of spans of lengths first: no window holds more than SPAN lengths or all spans.
+    down = W.partitionBy(*by).orderBy(F.desc("_span")).rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(*by)
+    spans = counts.groupBy(*by, "_span").agg(F.sum(n).alias("_docs"), F.sum(n * length).alias("_tokens"))
+    spans = spans.select(
+        *(F.col(c).alias(f"_k_{c}") for c in by), F.col("_span").alias("_at"), F.coalesce(F.sum("_docs").over(down), F.lit(0)).alias("_docs_above"), F.coalesce(F.sum("_tokens").over(down), F.lit(0)).alias("_tokens_above"),
+        F.sum("_docs").over(whole).alias("docs_total"), F.sum("_tokens").over(whole).alias("tokens_total"),
+    )
+    met = F.col("_span") == F.col("_at")
+    for c in by:
+        met &= F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    within = W.partitionBy(*by, "_span").orderBy(F.desc("n_tokens")).rowsBetween(W.unboundedPreceding, 0)
     return (
-        counts.withColumn("docs_at_least", F.sum(n).over(down))
-        .withColumn("tokens_at_least", F.sum(n * length).over(down))
-        .withColumn("docs_total", F.sum(n).over(whole))
-        .withColumn("tokens_total", F.sum(n * length).over(whole))
+        counts.join(spans, met)
+        .withColumn("docs_at_least", F.col("_docs_above") + F.sum(n).over(within))
+        .withColumn("tokens_at_least", F.col("_tokens_above") + F.sum(n * length).over(within))
         .withColumn("docs_cut", F.col("docs_at_least") - n)
         .withColumn("tokens_cut", (F.col("tokens_at_least") - n * length) - F.col("docs_cut") * length)
         .withColumn("tokens_kept", F.col("tokens_total") - F.col("tokens_cut"))
         .withColumn("share_up_to", (F.col("docs_total") - F.col("docs_cut")) / F.col("docs_total"))
+        .select(*by, "n_tokens", "n_docs", "docs_at_least", "tokens_at_least", "docs_total", "tokens_total", "docs_cut", "tokens_cut", "tokens_kept", "share_up_to")
     )
 
 
