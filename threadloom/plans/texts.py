@@ -147,6 +147,13 @@ def paths(spark, sf):
     return p.select("page_id", F.explode(X.paths(F.concat(F.lit("see "), F.col("url"), F.lit(", src/a.py and /tmp/x; "), F.substring("html", 1, 300)))).alias("path"))
 
 
+@query("c29_paths_whole", f"SELECT DISTINCT page_id, w AS path FROM (SELECT page_id, unnest(list_transform(regexp_split_to_array('see ' || url || ', src/a.py and /tmp/x; ' || html, '[ ' || chr(10) || chr(9) || ',;\"'']'), lambda w: trim(w, '.,;:!?()[]{{}}<>\"'))) AS w FROM pages) WHERE strlen(w) >= 3 AND (regexp_matches(w, '^.:[\\\\/]') OR w LIKE '/%' OR (w LIKE '%/%' AND w LIKE '%.%'))")
+def whole_paths(spark, sf):
+    """c29_paths over all of each page."""
+    p = table(spark, sf, "pages")
+    return p.select("page_id", F.explode(X.paths(F.concat(F.lit("see "), F.col("url"), F.lit(", src/a.py and /tmp/x; "), F.col("html")))).alias("path"))
+
+
 TAGGED = """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN ' a <system-reminder> noise </system-reminder> b ' WHEN 1 THEN '<system-reminder>SessionStart: This is just a gentle reminder</system-reminder>' WHEN 2 THEN '<system-reminder>
 # claudeMd
 rules</system-reminder> tail' WHEN 3 THEN 'x
