@@ -2,6 +2,9 @@
 
 import re
 
+from pyspark.sql import functions as F
+
+from threadloom.functions import text as X
 from threadloom.plans import catalog
 
 QUERIES = catalog.queries()
@@ -23,3 +26,47 @@ def test_paths_past_the_head(spark, tmp_path):
     want = {(k, w) for k, url, html in pages for w in paths(f"see {url}, src/a.py and /tmp/x; {html}")}
     assert len(got) == len(want) and set(got) == want
     assert {(1, "/late/one"), (1, "src/late.go"), (3, "lib/end.py")} <= want
+
+
+NOISE, CONTEXT = "<system-reminder>noise</system-reminder>", "<system-reminder>\n# claudeMd\nrules</system-reminder>"
+TAGGED = [
+    "plain", "", "a < b", "x" * 90 + f" {NOISE} y", "x" * 90 + "\n[skill-hint]use\nit[/skill-hint] y", f"{CONTEXT}{NOISE}" + "z" * 60 + CONTEXT,
+    f"<system-reminder>open {NOISE} mid {NOISE} end", f"<system-reminder>\n# userEmail\n{CONTEXT} mid {CONTEXT} {NOISE}", NOISE + "w" * 70 + "<system-reminder>never closed",
+    "q" * 60 + "<system-reminder>SessionStart: this is ambient context</system-reminder>", f" {NOISE}{NOISE} ", "[skill-hint]open" + "k" * 80,
+]
+LEADS = (" a <system-reminder> noise </system-reminder> b ", "<system-reminder>SessionStart: This is just a gentle reminder</system-reminder>", "<system-reminder>\n# claudeMd\nrules</system-reminder> tail", "x\n[skill-hint]use it[/skill-hint] y", "<system-reminder>This is ambient context</system-reminder>z", "<system-reminder>unknown</system-reminder>")
+
+
+def persistent(body):
+    return any(x.strip() in ("# claudeMd", "# currentDate", "# userEmail", "# attachedProject") for x in body.split("\n"))
+
+
+def parted(text, goes):
+    """text without the reminders whose body goes() names, and how many those are."""
+    out, at, n = "", 0, 0
+    while (a := text.find("<system-reminder>", at)) >= 0 and (b := text.find("</system-reminder>", a)) >= 0:
+        gone = goes(text[a + 17 : b].strip())
+        out, n, at = out + (text[at:a] if gone else text[at : b + 18]), n + gone, b + 18
+    return out + text[at:], n
+
+
+def cleaned(text):
+    said = ("task tools haven't been used recently", "this is just a gentle reminder", "this is ambient context", "this may or may not be related")
+    out, _ = parted(text, lambda b: (b.lower() == "noise" or any(k in b.lower() for k in said)) and "SessionStart:" not in b and not persistent(b))
+    out = re.sub(r"(?s)\n?\[skill-hint\].*?\[/skill-hint\]", "", out)
+    return text if out == text else out.strip(" \t\n\r")
+
+
+def test_reminders_anywhere(spark, tmp_path):
+    rows = [(k * 6 + lead, text) for k, text in enumerate(TAGGED) for lead in range(6)]
+    whole = {k: LEADS[k % 6] + text + LEADS[k % 6] for k, text in rows}
+    got = run(spark, tmp_path, "c31_strip_reminders_whole", "documents", rows, "doc_id bigint, text string")
+    assert len(got) == len(rows) and dict(got) == {k: cleaned(t) for k, t in whole.items()}
+    got = [tuple(r) for r in QUERIES["c32_detach_context_whole"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted((k, *parted(t, persistent)) for k, t in whole.items())
+
+
+def test_reminders_go_at_their_own_place(spark):
+    open_ = f"<system-reminder>open {NOISE}"
+    row = spark.createDataFrame([(f"{open_} mid {NOISE}",)], "t string").select(X.strip_reminders(F.col("t"))).first()
+    assert row[0] == f"{open_} mid"

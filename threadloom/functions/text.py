@@ -349,14 +349,17 @@ def _body(span: Column) -> Column:
     return F.regexp_extract(span, r"(?s)^<system-reminder>\s*(.*?)\s*</system-reminder>$", 1)
 
 
-def _without(text: Column, spans: Column) -> Column:
-    return F.aggregate(spans, text, lambda acc, s: F.replace(acc, s, F.lit("")))
+def _without(text: Column, drops) -> Column:
+    """Without the reminders whose body drops() names, each at its own place: what stands between reminders is put together again with the others."""
+    spans = F.regexp_extract_all(text, F.lit(REMINDER), F.lit(1))
+    kept = F.transform(spans, lambda s: F.when(drops(_body(s)), F.lit("")).otherwise(s))
+    between = F.split(text, REMINDER, -1)
+    return F.array_join(F.transform(between, lambda p, k: F.concat(p, F.coalesce(F.get(kept, k), F.lit("")))), "")
 
 
 def strip_reminders(text: Column) -> Column:
     """Without temporary reminders and skill hints; session starts, persistent context and unknown ones stay. Trimmed only if changed."""
-    spans = F.filter(F.regexp_extract_all(text, F.lit(REMINDER), F.lit(1)), lambda s: is_temporary(_body(s)) & ~_body(s).contains("SessionStart:") & ~is_persistent(_body(s)))
-    out = F.regexp_replace(_without(text, spans), r"(?s)\n?\[skill-hint\].*?\[/skill-hint\]", "")
+    out = F.regexp_replace(_without(text, lambda b: is_temporary(b) & ~b.contains("SessionStart:") & ~is_persistent(b)), r"(?s)\n?\[skill-hint\].*?\[/skill-hint\]", "")
     return F.when(out == text, text).otherwise(trim(out))
 
 
@@ -365,8 +368,7 @@ def persistent_spans(text: Column) -> Column:
 
 
 def without_persistent(text: Column) -> Column:
-    spans = persistent_spans(text)
-    return F.when(F.size(spans) == 0, text).otherwise(_without(text, spans))
+    return _without(text, is_persistent)
 
 
 def decayed(text: Column, stage: Column, role: Column) -> Column:

@@ -161,13 +161,16 @@ rules</system-reminder> tail' WHEN 3 THEN 'x
 EXPECT = f"""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'a  b ' || rtrim(s, w) WHEN 3 THEN 'x y' || rtrim(s, w) WHEN 4 THEN 'z' || rtrim(s, w) ELSE t END AS clean, CASE WHEN doc_id % 6 = 2 THEN ' tail' || s ELSE t END AS detached, (doc_id % 6 = 2)::INT::BIGINT AS n FROM (SELECT *, ' ' || chr(9) || chr(10) || chr(13) AS w FROM ({TAGGED}))"""
 
 
-def tagged(spark, sf):
+def lead():
     k = F.col("doc_id") % 6
-    lead = (
+    return (
         F.when(k == 0, " a <system-reminder> noise </system-reminder> b ").when(k == 1, "<system-reminder>SessionStart: This is just a gentle reminder</system-reminder>").when(k == 2, "<system-reminder>\n# claudeMd\nrules</system-reminder> tail")
         .when(k == 3, "x\n[skill-hint]use it[/skill-hint] y").when(k == 4, "<system-reminder>This is ambient context</system-reminder>z").otherwise("<system-reminder>unknown</system-reminder>")
     )
-    return docs(spark, sf).filter(~F.col("text").contains("<")).select("doc_id", F.concat(lead, F.substring("text", 1, 50)).alias("t"))
+
+
+def tagged(spark, sf):
+    return docs(spark, sf).filter(~F.col("text").contains("<")).select("doc_id", F.concat(lead(), F.substring("text", 1, 50)).alias("t"))
 
 
 @query("c31_strip_reminders", f"SELECT doc_id, clean FROM ({EXPECT})")
@@ -180,6 +183,29 @@ def detach(spark, sf):
     return tagged(spark, sf).select("doc_id", X.without_persistent(F.col("t")).alias("detached"), F.size(X.persistent_spans(F.col("t"))).cast("bigint").alias("n"))
 
 
+SPAN = "(?s)<system-reminder>.*?</system-reminder>"
+BODY = r"regexp_extract(s, '(?s)^<system-reminder>\s*(.*?)\s*</system-reminder>$', 1)"
+PERSISTENT = rf"regexp_matches({BODY}, '(?m)^\s*# ({'|'.join(X.CONTEXT_HEADINGS)})\s*$')"
+TEMPORARY = f"(lower({BODY}) = 'noise' OR len(list_filter({list_sql(X.TEMPORARY_MARKERS)}, lambda k: contains(lower({BODY}), k))) > 0)"
+#: The rule for any text: pieces between reminders, each followed by its reminder unless that goes. The lead of c31 stands before and after all of the text.
+WITHOUT = lambda goes: f"array_to_string(list_transform(string_split_regex(t, '{SPAN}'), lambda p, i: p || coalesce(list_transform(spans, lambda s: CASE WHEN {goes} THEN '' ELSE s END)[i], '')), '')"
+WHOLE_TAGGED = f"SELECT doc_id, t, regexp_extract_all(t, '{SPAN}') AS spans FROM (SELECT doc_id, lead || text || lead AS t FROM (SELECT doc_id, text, {TAGGED.split('SELECT doc_id, ')[1].split(' || substr')[0]} AS lead FROM documents))"
+
+
+def whole_tagged(spark, sf):
+    return docs(spark, sf).select("doc_id", F.concat(lead(), F.col("text"), lead()).alias("t"))
+
+
+@query("c31_strip_reminders_whole", rf"SELECT doc_id, CASE WHEN c = t THEN t ELSE trim(c, ' ' || chr(9) || chr(10) || chr(13)) END AS clean FROM (SELECT doc_id, t, regexp_replace({WITHOUT(f"{TEMPORARY} AND NOT contains({BODY}, 'SessionStart:') AND NOT {PERSISTENT}")}, '(?s)\n?\[skill-hint\].*?\[/skill-hint\]', '', 'g') AS c FROM ({WHOLE_TAGGED}))")
+def strip_whole(spark, sf):
+    return whole_tagged(spark, sf).select("doc_id", X.strip_reminders(F.col("t")).alias("clean"))
+
+
+@query("c32_detach_context_whole", f"SELECT doc_id, {WITHOUT(PERSISTENT)} AS detached, len(list_filter(spans, lambda s: {PERSISTENT}))::BIGINT AS n FROM ({WHOLE_TAGGED})")
+def detach_whole(spark, sf):
+    return whole_tagged(spark, sf).select("doc_id", X.without_persistent(F.col("t")).alias("detached"), F.size(X.persistent_spans(F.col("t"))).cast("bigint").alias("n"))
+
+
 @query("c33_decay_text", f"WITH {MSG} SELECT session_id, idx, CASE idx % 4 WHEN 0 THEN text WHEN 3 THEN '' ELSE CASE WHEN length(text) > lim THEN substr(text, 1, lim) || '...' ELSE text END END AS text FROM (SELECT *, CASE role WHEN 'user' THEN CASE idx % 4 WHEN 1 THEN 200 ELSE 80 END WHEN 'assistant' THEN CASE idx % 4 WHEN 1 THEN 120 ELSE 50 END END AS lim FROM msg)")
 def decay(spark, sf):
     return messages(spark, sf).select("session_id", "idx", X.decayed(F.col("text"), F.col("idx") % 4, F.col("role")).alias("text"))
