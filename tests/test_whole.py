@@ -70,3 +70,15 @@ def test_reminders_go_at_their_own_place(spark):
     open_ = f"<system-reminder>open {NOISE}"
     row = spark.createDataFrame([(f"{open_} mid {NOISE}",)], "t string").select(X.strip_reminders(F.col("t"))).first()
     assert row[0] == f"{open_} mid"
+
+
+HARD = ["", "plain", 'say "x"' + "q" * 50, "back\\slash \\n \\u0041", "two\nlines\r\n\tand" + " more" * 40, "it's 'so'", '[{"type":"text"}]', "é\u2028🌲\x01\x1b", "  blank  ", "deep_search('in it') and deep_search('') 'x'"]
+
+
+def test_result_text_of_any_text(spark, tmp_path):
+    rows = [(2 * k + odd, t) for k, t in enumerate(HARD) for odd in (0, 1)]
+    got = run(spark, tmp_path, "c20_result_text_whole", "documents", rows, "doc_id bigint, text string")
+    assert len(got) == len(rows) and dict(got) == {k: t if k % 2 == 0 else "\n".join(x for x in (t, "two") if x) for k, t in rows}
+    got = [tuple(r) for r in QUERIES["c28_hints_whole"](spark, str(tmp_path)).collect()]
+    marks = {k: re.findall(r"(?s)deep_search\('(.*?)'\)", f"{t} deep_search('{t}') and deep_search('  Read src/k{k % 9}.py ')") for k, t in rows}
+    assert sorted(got) == sorted((k, h.strip(" \t\n\r")) for k, found in marks.items() for h in found if h.strip(" \t\n\r"))

@@ -141,6 +141,13 @@ def hints(spark, sf):
     return d.select("doc_id", F.explode(X.hints(t)).alias("hint"))
 
 
+@query("c28_hints_whole", rf"SELECT doc_id, trim(h, ' ' || chr(9) || chr(10) || chr(13)) AS hint FROM (SELECT doc_id, unnest(regexp_extract_all(text || ' deep_search(''' || text || ''') and deep_search(''  Read src/k' || (doc_id % 9) || '.py '')', '(?s)deep_search\(''(.*?)''\)', 1)) AS h FROM documents) WHERE hint <> ''")
+def whole_hints(spark, sf):
+    """c28_hints with whole texts in the marks, apostrophes too."""
+    t = F.concat(F.col("text"), F.lit(" deep_search('"), F.col("text"), F.lit("') and deep_search('  Read src/k"), (F.col("doc_id") % 9).cast("string"), F.lit(".py ')"))
+    return docs(spark, sf).select("doc_id", F.explode(X.hints(t)).alias("hint"))
+
+
 @query("c29_paths", f"SELECT DISTINCT page_id, w AS path FROM (SELECT page_id, unnest(list_transform(regexp_split_to_array('see ' || url || ', src/a.py and /tmp/x; ' || substr(html, 1, 300), '[ ' || chr(10) || chr(9) || ',;\"'']'), lambda w: trim(w, '.,;:!?()[]{{}}<>\"'))) AS w FROM pages) WHERE strlen(w) >= 3 AND (regexp_matches(w, '^.:[\\\\/]') OR w LIKE '/%' OR (w LIKE '%/%' AND w LIKE '%.%'))")
 def paths(spark, sf):
     p = table(spark, sf, "pages")
@@ -260,6 +267,17 @@ def result_text(spark, sf):
     return docs(spark, sf).filter(~F.col("text").contains('"')).select("doc_id", X.result_text(raw).alias("text"))
 
 
+@query("c20_result_text_whole", f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text WHEN text = '' THEN 'two' ELSE text || {NL} || 'two' END AS text FROM documents")
+def whole_result_text(spark, sf):
+    """c20_result_text with whole texts, whatever they hold."""
+    none = F.lit(None).cast("string")
+    block = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    one = F.to_json(F.array("text"))
+    nested = F.to_json(F.array(block("text", F.col("text")), block("image", none), block("text", F.lit("two"))))
+    raw = F.when(F.col("doc_id") % 2 == 0, F.substr(one, F.lit(2), F.length(one) - 2)).otherwise(nested)
+    return docs(spark, sf).select("doc_id", X.result_text(raw).alias("text"))
+
+
 @query("c30_match_terms", "SELECT item_id, array_to_string(list_filter(string_split(text, ' '), lambda w: w <> '')[1:20], ' ') AS terms FROM benchmark")
 def match_terms(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.array_join(X.match_terms(F.split("text", " ", -1)), " ").alias("terms"))
