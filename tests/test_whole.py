@@ -82,3 +82,12 @@ def test_result_text_of_any_text(spark, tmp_path):
     got = [tuple(r) for r in QUERIES["c28_hints_whole"](spark, str(tmp_path)).collect()]
     marks = {k: re.findall(r"(?s)deep_search\('(.*?)'\)", f"{t} deep_search('{t}') and deep_search('  Read src/k{k % 9}.py ')") for k, t in rows}
     assert sorted(got) == sorted((k, h.strip(" \t\n\r")) for k, found in marks.items() for h in found if h.strip(" \t\n\r"))
+
+
+def test_every_stream_is_scaled(spark, tmp_path):
+    n = list(range(24))
+    got = run(spark, tmp_path, "n4_sse_all", "events", [(k,) for k in n], "event_id bigint")
+    start = lambda k: ("message_start", f'{{"type":"message_start","message":{{"type":"message","usage":{{"input_tokens":{k // 2},"cache_read_input_tokens":4}}}}}}')
+    stop, delta, ping = ("message_stop", '{"type":"message_stop"}'), ("content_block_delta", '{"type":"content_block_delta"}'), ("message_stop", '{"type":"ping"}')
+    kinds = lambda k: ([start(k), delta, stop], [stop, start(k)], [start(k), start(k), stop], [start(k), delta], [start(k), ping, stop], [delta])[k % 6]
+    assert sorted(got) == sorted((k, i, *e) for k in n for i, e in enumerate(kinds(k)))

@@ -272,6 +272,19 @@ def n4(spark, sf):
     return e.select("stream_id", "seq", F.get_json_object("data", "$.message.usage.input_tokens").cast("double").alias("input_tokens"), F.get_json_object("data", "$.message.usage.cache_read_input_tokens").cast("double").alias("cache_read"))
 
 
+START = """'{"type":"message_start","message":{"type":"message","usage":{"input_tokens":' || (CASE WHEN event_id > 0 THEN event_id // 2 ELSE event_id END) || ',"cache_read_input_tokens":4}}}'"""
+STOP, DELTA, PING = (f"""'{{"type":"{k}"}}'""" for k in ("message_stop", "content_block_delta", "ping"))
+
+
+@query("n4_sse_all", f"""WITH s AS (SELECT event_id, {START} AS a, {STOP} AS z, {DELTA} AS d, {PING} AS p FROM events),
+l AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN ['message_start', 'content_block_delta', 'message_stop'] WHEN 1 THEN ['message_stop', 'message_start'] WHEN 2 THEN ['message_start', 'message_start', 'message_stop'] WHEN 3 THEN ['message_start', 'content_block_delta'] WHEN 4 THEN ['message_start', 'message_stop', 'message_stop'] ELSE ['content_block_delta'] END AS names,
+CASE event_id % 6 WHEN 0 THEN [a, d, z] WHEN 1 THEN [z, a] WHEN 2 THEN [a, a, z] WHEN 3 THEN [a, d] WHEN 4 THEN [a, p, z] ELSE [d] END AS datas FROM s)
+SELECT event_id AS stream_id, i - 1 AS seq, names[i] AS event, datas[i] AS data FROM l, unnest(range(1, len(names) + 1)) AS u(i)""")
+def n4_all(spark, sf):
+    """Every event of every stream after scaling, rewritten or as it was."""
+    return scaled_events(event_rows(streams(spark, sf)), 0.5).select("stream_id", "seq", "event", "data")
+
+
 @query("a13_sse_events", "SELECT event_id AS stream_id, CASE event_id % 6 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 2 WHEN 4 THEN 3 ELSE 1 END AS n FROM events")
 def a13(spark, sf):
     return event_rows(streams(spark, sf)).groupBy("stream_id").agg(F.count("*").alias("n"))
