@@ -1,6 +1,8 @@
 """Queries over whole texts, by brute force on small tables."""
 
 import re
+from collections import Counter
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -91,3 +93,17 @@ def test_every_stream_is_scaled(spark, tmp_path):
     stop, delta, ping = ("message_stop", '{"type":"message_stop"}'), ("content_block_delta", '{"type":"content_block_delta"}'), ("message_stop", '{"type":"ping"}')
     kinds = lambda k: ([start(k), delta, stop], [stop, start(k)], [start(k), start(k), stop], [start(k), delta], [start(k), ping, stop], [delta])[k % 6]
     assert sorted(got) == sorted((k, i, *e) for k in n for i, e in enumerate(kinds(k)))
+
+
+def test_files_of_every_run(spark, tmp_path):
+    events = [(k, datetime(2024, 1, 1) + timedelta(minutes=k), 7, ("view", "click", "purchase", "error", "signup")[k % 5], 1.0, f'{{"k": {k % 4}}}') for k in range(100)]
+    spark.createDataFrame([(k, "a text") for k in range(5)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = run(spark, tmp_path, "f9_compacted_files", "events", events, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string")
+    want = Counter((7, a, b, f"k{k % 4}" + ("" if kind == "click" else ".py")) for k, _, _, kind, *_ in events for a, b in ((1, 66), (68, 133), (135, 195)) if a <= 2 * k <= b and kind != "error")
+    assert sorted(got) == sorted((*k, n) for k, n in want.items())
+
+
+def test_all_places(spark, sf):
+    every = QUERIES["h7_all_places"](spark, sf)
+    assert sorted(every.filter("place <= 9").collect()) == sorted(QUERIES["h7_ranked"](spark, sf).collect())
+    assert every.filter("place > 9").count() > 0

@@ -20,10 +20,11 @@ def files(uses: DataFrame) -> DataFrame:
     return uses.select("session_id", F.explode(X.all_paths(F.col("input"))).alias("path")).distinct()
 
 
-def file_counts(uses: DataFrame) -> DataFrame:
-    """(session_id, key, n): how often calls name each file, by its base name."""
+def file_counts(uses: DataFrame, *by: str) -> DataFrame:
+    """(session_id, key, n), or of other columns than session_id: how often calls name each file, by its base name."""
+    by = by or ("session_id",)
     named = F.array_compact(F.array(X.filled(F.col("input"), "file_path"), X.filled(F.col("input"), "path")))
-    return uses.select("session_id", F.explode(named).alias("p")).groupBy("session_id", F.substring_index("p", "/", -1).alias("key")).agg(F.count("*").alias("n"))
+    return uses.select(*by, F.explode(named).alias("p")).groupBy(*by, F.substring_index("p", "/", -1).alias("key")).agg(F.count("*").alias("n"))
 
 
 def timeline(uses: DataFrame, texts: DataFrame | None = None) -> DataFrame:

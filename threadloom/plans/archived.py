@@ -13,7 +13,7 @@ from threadloom.operators import history as H
 from threadloom.operators import rewrite as R
 from threadloom.operators import search as S
 from threadloom.operators import storage as ST
-from threadloom.plans.ordered import CUT, MSG_ROWS
+from threadloom.plans.ordered import ACT_ROWS, CUT, MSG_ROWS, RUNS, stages
 from threadloom.plans.registry import query
 from threadloom.plans.texts import EAGER, EVENT
 from threadloom.plans.views import ACT, ARCHIVE, KW_SQL, MSG, archives, drop_uses, list_sql, messages, table, tool_results, tool_uses, words_sql
@@ -340,6 +340,11 @@ def ranking(spark, sf):
     return placed(spark, sf).filter("place <= 9").select("query_id", "block_id", "place")
 
 
+@query("h7_all_places", f"WITH {FOUND}, {RANKING} SELECT query_id, block_id, k AS place FROM ranked")
+def all_places(spark, sf):
+    return placed(spark, sf).select("query_id", "block_id", "place")
+
+
 def dominates(a: str, b: str) -> str:
     """SQL: whether kept candidate b rules candidate a out."""
     o = f"(least({a}.block_range_end, {b}.block_range_end) - greatest({a}.block_range_start, {b}.block_range_start) + 1)"
@@ -399,6 +404,14 @@ def compaction_stats(spark, sf):
     return A.file_counts(tool_uses(spark, sf).filter("idx between 2 and 60"))
 
 
+@query("f9_compacted_files", f"""WITH {ACT_ROWS}, {RUNS} SELECT r.session_id, start, "end", regexp_extract(coalesce(file_path, path), '[^/]*$') AS key, count(*) AS n FROM runs r JOIN uses u ON u.session_id = r.session_id AND u.idx BETWEEN start AND "end" WHERE coalesce(file_path, path) IS NOT NULL GROUP BY ALL""")
+def compacted_files(spark, sf):
+    """How often calls name each file within each run that compaction finds."""
+    runs = H.compactable_runs(stages(spark, sf))
+    inside = tool_uses(spark, sf).join(runs, "session_id").filter("idx between start and end")
+    return A.file_counts(inside, "session_id", "start", "end")
+
+
 @query("f15_recall_outcome", f"WITH {FOUND}, {RANKING}, {UNDOMINATED} SELECT query_id, (SELECT count(*) FROM fb WHERE fb.query_id = u.query_id) AS candidates, count(*) AS selected FROM und u GROUP BY 1")
 def recall_outcome(spark, sf):
     p = placed(spark, sf)
