@@ -162,6 +162,26 @@ def test_embedding_join(spark):
         assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i, _ in bad[:-1]) and got[None].component_id is None
 
 
+def test_embedding_join_lengths(spark):
+    x = {d: rng.standard_normal((40, d)) for d in (3, 9, 20)}
+    for v in x.values():
+        v[10:20] = v[10] + 0.01 * rng.standard_normal((10, v.shape[1]))
+        v[25] = v[26]
+    rows = [(1000 * d + i, v.tolist()) for d in x for i, v in enumerate(x[d])] + [(7, [1.0] * 5)]
+    for leaf in (8192, 10):
+        got = {r.vec_id: r for r in embedding_join(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), leaf=leaf).collect()}
+        assert len(got) == len(rows) and got[7].n_links == 0 and got[7].kept
+        for d, v in x.items():
+            u = v / np.linalg.norm(v, axis=1)[:, None]
+            near = (u @ u.T) >= 0.95
+            np.fill_diagonal(near, False)
+            root = np.arange(len(v))
+            for _ in range(50):
+                root = np.minimum(root, np.where(near, root[None], 10**6).min(axis=1))
+            assert [got[1000 * d + i].n_links for i in range(len(v))] == near.sum(axis=1).tolist()
+            assert [got[1000 * d + i].component_id - 1000 * d for i in range(len(v))] == root.tolist()
+
+
 def test_embedding_join_empty(spark):
     df = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert embedding_join(df).count() == 0

@@ -11,6 +11,7 @@ once. A task sends on counts and spanning links, not pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -161,12 +162,24 @@ def _compare(dims: int, threshold: float, budget: list[float]):
     return run
 
 
+def _links(used: DataFrame, dims: int, n: int, threshold: float, leaf: int) -> DataFrame:
+    """(vec, root, links) among classes (v, vec, copies) of n vectors of one length."""
+    share = (2 - 2 * threshold) * (1 + 1e-9) + 1e-12
+    budget = [share * (s.stop - s.start) / dims for s in blocks_of(dims)]
+    levels = max(0, int(np.ceil(np.log2(max(n / leaf, 1)))))
+    taken = used.orderBy(F.xxhash64("vec")).limit(SAMPLE).select("v").toPandas() if levels else None
+    points = _unit(np.array(taken["v"].tolist(), np.float64)) @ rotation(dims) if levels else np.zeros((0, dims))
+    trees = [cuts_of(points[:, s], levels) for s in blocks_of(dims)]
+    dealt = used.select("vec", "copies", "v").mapInArrow(_deal(dims, trees, [float(np.sqrt(x)) for x in budget]), f"task bigint, visitor boolean, vec bigint, copies bigint, v {used.schema['v'].dataType.simpleString()}")
+    return dealt.repartition("task").sortWithinPartitions("task", "visitor").mapInArrow(_compare(dims, threshold, budget), "vec bigint, root bigint, links bigint")
+
+
 def embedding_join(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, leaf: int = LEAF) -> DataFrame:
     """One row for each row of vectors: id_col, n_links, component_id, kept.
 
     Vectors are linked if their cosine in double precision is at least threshold (over 0). Null, empty and zero
-    vectors, those with null or non-finite components, and those whose length is not the table's most frequent
-    one (the longest of equals) link with nothing. n_links counts the other vectors linked directly,
+    vectors and those with null or non-finite components link with nothing. Vectors of every length that occurs are
+    compared, with those of their own length. n_links counts the other vectors linked directly,
     component_id is the smallest id reachable by links, the own one included. kept: id = component_id. Rows
     with null id link with nothing, their component_id is null and kept is true. Rows that repeat an id with
     different vectors are vectors of their own that share it; a repeated id makes `kept` true for each.
@@ -175,28 +188,19 @@ def embedding_join(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     e = F.col("e")
     good = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(e, lambda x: x != 0)
     base = kept_table(vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("e"), F.monotonically_increasing_id().alias("row")).withColumn("good", F.coalesce(F.col("id").isNotNull() & good, F.lit(False))), "vectors")
-    usual = base.filter("good").groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    if usual is None:
+    lengths = base.filter("good").groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()
+    if not lengths:
         return base.select(F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    dims, n = usual["d"], usual["n"]
     # Equal vectors are one class, named by its first row.
-    rows = base.filter(F.col("good") & (F.size("e") == dims)).select("row", F.col("e").alias("v"))
-    used = kept_table(rows.groupBy("v").agg(F.min("row").alias("vec"), F.count("*").alias("copies")), "used")
-    share = (2 - 2 * threshold) * (1 + 1e-9) + 1e-12
-    budget = [share * (s.stop - s.start) / dims for s in blocks_of(dims)]
-    levels = max(0, int(np.ceil(np.log2(max(n / leaf, 1)))))
-    taken = used.orderBy(F.xxhash64("vec")).limit(SAMPLE).select("v").toPandas() if levels else None
-    points = _unit(np.array(taken["v"].tolist(), np.float64)) @ rotation(dims) if levels else np.zeros((0, dims))
-    trees = [cuts_of(points[:, s], levels) for s in blocks_of(dims)]
-    dealt = used.select("vec", "copies", "v").mapInArrow(_deal(dims, trees, [float(np.sqrt(x)) for x in budget]), f"task bigint, visitor boolean, vec bigint, copies bigint, v {base.schema['e'].dataType.simpleString()}")
-    links = dealt.repartition("task").sortWithinPartitions("task", "visitor").mapInArrow(_compare(dims, threshold, budget), "vec bigint, root bigint, links bigint")
-    links = kept_table(links, "links")
+    used = kept_table(base.filter("good").select("row", F.col("e").alias("v")).groupBy("v").agg(F.min("row").alias("vec"), F.count("*").alias("copies")), "used")
+    found = [kept_table(_links(used.filter(F.size("v") == d), d, n, threshold, leaf), "links") for d, n in lengths if n > 1]
+    links = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "vec bigint, root bigint, links bigint")
     counts = links.groupBy("vec").agg(F.sum("links").alias("n"))
     groups = components(links.select(F.col("vec").alias("a"), F.col("root").alias("b")).filter("a <> b")).select(F.col("node").alias("vec"), F.col("root"))
     groups = used.select("v", "vec", "copies").join(groups, "vec", "left").join(counts, "vec", "left").withColumn("root", F.coalesce("root", "vec"))
     classes = groups.select("v", "root", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"))
-    named = base.filter(F.col("good") & (F.size("e") == dims)).select("id", F.col("e").alias("v")).join(classes, "v").select("id", "root", "n")
-    named = named.unionByName(base.filter(~(F.col("good") & (F.size("e") == dims))).select("id", F.lit(None).cast("bigint").alias("root"), F.lit(0).cast("bigint").alias("n")))
+    named = base.filter("good").select("id", F.col("e").alias("v")).join(classes, "v").select("id", "root", "n")
+    named = named.unionByName(base.filter("not good").select("id", F.lit(None).cast("bigint").alias("root"), F.lit(0).cast("bigint").alias("n")))
     named = kept_table(named, "named")
     least = named.filter("root is not null").groupBy("root").agg(F.min("id").alias("least"))
     named = named.join(least, "root", "left").withColumn("component", F.coalesce("least", "id"))
