@@ -1,9 +1,9 @@
-"""N-gram Jaccard join: MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: MinHash banding, then exact verification.
 
-Texts that are equal are one class from the start. Every class has a MinHash signature dealt to `trees` tries
-of `depth` values. Trie paths are matched on prefixes: the prefix is shortened from the full depth until a pair
-at the threshold is met in some tree with the target recall. Classes under one trie node are sorted by the rest
-of their paths and gathered around leaders: a leader covers those whose signatures agree as much as linked
+Texts that are equal are one class from the start. Every class has a MinHash signature dealt to `trees` bands
+of `depth` values. Bands are matched by a hash of their first values, as many for all as a formula allows: the
+longest prefix by which a pair at the threshold is met in some band with the target recall. No trie is built.
+Classes that share such a node are sorted by the first band and gathered around leaders: a leader covers those whose signatures agree as much as linked
 sets do, and is tied to all that a covered set could still be linked with, so ties connect whatever is linked
 and there are never more of them than members and leaders call for. Nodes with many members are cut into
 blocks whose leaders meet again. Tied classes form candidate components; within these all shingle sets are
