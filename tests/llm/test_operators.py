@@ -182,6 +182,28 @@ def test_embedding_join_lengths(spark):
             assert [got[1000 * d + i].component_id - 1000 * d for i in range(len(v))] == root.tolist()
 
 
+def test_leaves_within():
+    """Each leaf that holds a vector near enough is visited, whatever the cuts."""
+    from threadloom.llm.embedding_join import cuts_of, leaves_within
+
+    x = rng.standard_normal((500, 4))
+    tree = cuts_of(x, 5)
+    own, at, leaf = leaves_within(x, tree, 0.3)
+    visits = set(zip(at.tolist(), leaf.tolist(), strict=True))
+    gap = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    for i, j in np.argwhere(gap <= 0.3).tolist():
+        assert own[i] >= own[j] or (i, own[j]) in visits
+    assert len(visits) < 500 * 31 / 4 and np.bincount(own).max() < 30
+
+
+def test_embedding_join_extremes(spark):
+    """Components whose squares overflow or vanish, a repeated id with two vectors, extra columns with the operator's own names."""
+    rows = [(1, [1e200, 0.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [1e-200, 1e-210, 0.0]), (4, [0.0, 1.0, 0.0]), (5, [0.0, 0.0, 1.0]), (5, [1.0, 1e-3, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("n_links", F.lit("x")).withColumn("root", F.lit(7)).withColumn("e", F.lit(7))
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_join(df).collect())
+    assert got == [(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 0, 4, True), (5, 0, 5, True), (5, 3, 1, False)]
+
+
 def test_embedding_join_empty(spark):
     df = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert embedding_join(df).count() == 0

@@ -3,9 +3,10 @@
 Unit vectors are rotated and split into blocks of few dimensions. cos >= c means |a-b|^2 <= 2-2c, so in one
 block at least the squared distance is within the block's share of that, in proportion to its dimensions.
 Each block is range-joined on its own: median cuts of a bounded sample give leaves, a vector lies in one leaf and
-visits all leaves within the block's radius. What is near in a block is verified on whole vectors in double
-precision. A pair counts in the first block where it is near and in the leaf of its smaller id, so it is counted
-once. A task sends on counts and spanning links, not pairs.
+visits the later leaves that its budget reaches, each cut crossed spending what its gap adds to the squared
+distance. Only block coordinates travel for that; what has a near vector in some leaf goes on with its whole
+vector and is verified in double precision. A pair counts in the first block where it is near and in the later of
+its two leaves, so it is counted once. A task sends on counts and spanning links, not pairs.
 """
 
 from __future__ import annotations
@@ -19,14 +20,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept_table
-from .grouping import components, local_roots
+from .grouping import binary_matrix, components, local_roots
 
-BLOCK_DIMS = 8
+#: Dimensions of a block, about: wide enough that unrelated vectors are hardly ever near in one.
+BLOCK_DIMS = 16
 #: Vectors that a leaf should hold.
 LEAF = 8192
 #: Vectors from which the cuts are taken. They place the cuts only; any cuts give the same result.
 SAMPLE = 16384
-CHUNK = 2048
+#: Rows and columns of the largest matrix of distances.
+CHUNK = 1024
+#: Values that rounding could carry over a bound are computed again, by one formula for all tasks.
+CLOSE = 1e-12
 
 
 def rotation(dims: int, seed: int = 11) -> np.ndarray:
@@ -35,31 +40,49 @@ def rotation(dims: int, seed: int = 11) -> np.ndarray:
 
 
 def blocks_of(dims: int) -> list[slice]:
-    return [slice(k, min(k + BLOCK_DIMS, dims)) for k in range(0, dims, BLOCK_DIMS)]
+    ends = np.cumsum([len(x) for x in np.array_split(np.arange(dims), max(1, round(dims / BLOCK_DIMS)))])
+    return [slice(int(a), int(b)) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-def cuts_of(points: np.ndarray, levels: int) -> list[tuple[int, float]]:
-    """A complete binary tree of (dimension, median) in heap order; level k cuts dimension k, and so on round."""
-    tree: list[tuple[int, float]] = [(0, 0.0)] * ((1 << levels) - 1)
-    held = {0: points}
-    for node in range(len(tree)):
-        p = held.pop(node)
-        d = int(np.log2(node + 1)) % max(points.shape[1], 1)
-        m = float(np.median(p[:, d])) if len(p) else 0.0
-        tree[node] = (d, m)
-        held[2 * node + 1], held[2 * node + 2] = p[p[:, d] <= m], p[p[:, d] > m]
-    return tree
+def budgets(dims: int, threshold: float) -> list[float]:
+    """Each block's share of the squared distance that a link may have, with what rounding may add."""
+    share = (2 - 2 * threshold) * (1 + 1e-9) + 1e-12
+    return [share * (s.stop - s.start) / dims for s in blocks_of(dims)]
 
 
-def leaves_within(points: np.ndarray, tree: list[tuple[int, float]], radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """(point, leaf) for all leaves that come within the radius of a point along every cut; radius 0: the own leaf."""
-    at, node = np.arange(len(points)), np.zeros(len(points), np.int64)
-    for _ in range(int(np.log2(len(tree) + 1))):
-        dims, cut = np.array([t[0] for t in tree])[node], np.array([t[1] for t in tree])[node]
-        x = points[at, dims]
-        low, high = x - radius <= cut, x + radius > cut
-        at, node = np.concatenate([at[low], at[high]]), np.concatenate([2 * node[low] + 1, 2 * node[high] + 2])
-    return at, node - len(tree)
+def cuts_of(points: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Dimensions and medians of a complete binary tree in heap order; a node cuts the dimension in which its points spread most."""
+    dims, cuts = np.zeros((1 << levels) - 1, np.int64), np.zeros((1 << levels) - 1)
+    held = {0: points}
+    for node in range(len(cuts)):
+        p = held.pop(node)
+        if len(p):
+            dims[node] = int(p.var(axis=0).argmax())
+            cuts[node] = float(np.median(p[:, dims[node]]))
+        right = p[:, dims[node]] > cuts[node]
+        held[2 * node + 1], held[2 * node + 2] = p[~right], p[right]
+    return dims, cuts
+
+
+def leaves_within(points: np.ndarray, tree: tuple[np.ndarray, np.ndarray], budget: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each point's own leaf, and (point, leaf) for all later leaves whose cells may hold points within the squared distance."""
+    dims, cuts = tree
+    n = len(points)
+    at, node, spent, gaps = np.arange(n), np.zeros(n, np.int64), np.zeros(n), np.zeros_like(points)
+    for _ in range(int(np.log2(len(cuts) + 1))):
+        d = dims[node]
+        x = points[at, d]
+        right = x > cuts[node]
+        away = (x - cuts[node]) ** 2
+        more = np.maximum(away - gaps[np.arange(len(at)), d], 0)
+        over = np.flatnonzero(spent + more <= budget)
+        far = gaps[over]
+        far[np.arange(len(over)), d[over]] += more[over]
+        home, other = 2 * node + 1 + right, 2 * node[over] + 2 - right[over]
+        at, node, spent, gaps = np.concatenate([at, at[over]]), np.concatenate([home, other]), np.concatenate([spent, (spent + more)[over]]), np.concatenate([gaps, far])
+    own, leaf = node[:n] - len(cuts), node[n:] - len(cuts)
+    keep = leaf > own[at[n:]]
+    return own, at[n:][keep], leaf[keep]
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -68,110 +91,197 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; divided by the largest component first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True) if len(x) else x
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def _deal(dims: int, trees: list[list[tuple[int, float]]], radius: list[float]):
-    """Each vector once as data in its leaf of every block, and as a visitor in all leaves it is near to."""
+def _deal(dims: int, trees: list[tuple[np.ndarray, np.ndarray]], budget: list[float]):
+    """Each vector's block coordinates once as data in its leaf of every block, and as a visitor in later leaves."""
     turn = rotation(dims)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
             v, ids = _matrix(b.column("v"), dims), b.column("vec").to_numpy()
-            rotated = _unit(v) @ turn
-            copies = b.column("copies")
-            for k, s in enumerate(blocks_of(dims)):
-                for visitor in (False, True):
-                    at, leaf = leaves_within(rotated[:, s], trees[k], radius[k] if visitor else 0.0)
-                    task = (np.int64(k) << 48) | leaf.astype(np.int64)
-                    for lo in range(0, len(at), 8192):
-                        part = at[lo : lo + 8192]
-                        yield pa.RecordBatch.from_arrays([pa.array(task[lo : lo + 8192]), pa.array(np.full(len(part), visitor)), pa.array(ids[part]), copies.take(pa.array(part)), b.column("v").take(pa.array(part))], names=["task", "visitor", "vec", "copies", "v"])
+            for lo in range(0, b.num_rows, 2048):
+                rotated = _unit(v[lo : lo + 2048]) @ turn
+                for k, s in enumerate(blocks_of(dims)):
+                    own, at, leaf = leaves_within(rotated[:, s], trees[k], budget[k])
+                    who, task = np.concatenate([np.arange(len(own)), at]), (np.int64(k) << 48) | np.concatenate([own, leaf])
+                    visits = np.arange(len(who)) >= len(own)
+                    flat = np.ascontiguousarray(rotated[:, s], np.float32)
+                    for x in range(0, len(who), 8192):
+                        part = flat[who[x : x + 8192]]
+                        blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * flat.shape[1]), len(part), [None, pa.py_buffer(part)]).cast(pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(task[x : x + 8192]), pa.array(visits[x : x + 8192]), pa.array(ids[lo + who[x : x + 8192]]), blob], names=["task", "visitor", "vec", "x"])
+
+    return run
+
+
+def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, pa.RecordBatch, bool]]:
+    """(task, whether visitors, rows, whether these are the last of the task) of a stream sorted by task and visitor."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        task, visits = b.column("task").to_numpy(), b.column("visitor").to_numpy(zero_copy_only=False)
+        edges = np.r_[0, np.flatnonzero((task[1:] != task[:-1]) | (visits[1:] != visits[:-1])) + 1, len(task)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if held is not None:
+                yield (*held, held[0] != task[lo])
+            held = (int(task[lo]), bool(visits[lo]), b.slice(lo, hi - lo))
+    if held is not None:
+        yield (*held, True)
+
+
+def _widened(x: np.ndarray, budget: float) -> tuple[np.ndarray, np.ndarray]:
+    """p, q with p[i] @ q[j] = |x[i] - x[j]|^2 - budget, but for rounding."""
+    square, one = (x * x).sum(axis=1), np.ones(len(x), np.float32)
+    return np.column_stack([-2 * x, square - np.float32(budget + 1e-5), one]), np.column_stack([x, one, square])
+
+
+def _near(budget: list[float], widths: list[int]):
+    """The rows of a leaf, data and visitors, that have a near vector there in the leaf's block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh: list[pa.RecordBatch] = []
+        p = q = ids = met = None
+
+        def out(task: int, visits: bool, vec: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(vec), task)), pa.array(np.full(len(vec), visits)), pa.array(vec)], names=["task", "visitor", "vec"])
+
+        for task, visits, b, last in _tasks(batches):
+            k = task >> 48
+            if not visits:
+                fresh.append(b)
+            if fresh and (visits or last):  # the leaf's data are complete
+                t = pa.Table.from_batches(fresh)
+                fresh = []
+                ids = t.column("vec").to_numpy()
+                p, q = _widened(binary_matrix(t.column("x"), np.float32, widths[k]), budget[k])
+                met = np.zeros(len(ids), bool)
+                for i in range(0, len(ids), CHUNK):
+                    for j in range(i, len(ids), CHUNK):
+                        gap = p[i : i + CHUNK] @ q[j : j + CHUNK].T
+                        if i == j:
+                            np.fill_diagonal(gap, 1)
+                        rows = np.flatnonzero(gap.min(axis=1) <= 0)
+                        if len(rows):
+                            met[i + rows] = True
+                            met[j + np.flatnonzero((gap[rows] <= 0).any(axis=0))] = True
+            if visits and ids is not None:
+                x = _widened(binary_matrix(b.column("x"), np.float32, widths[k]), budget[k])[0]
+                vec, hit = b.column("vec").to_numpy(), np.zeros(b.num_rows, bool)
+                for i in range(0, len(x), CHUNK):
+                    for j in range(0, len(ids), CHUNK):
+                        gap = x[i : i + CHUNK] @ q[j : j + CHUNK].T
+                        rows = np.flatnonzero(gap.min(axis=1) <= 0)
+                        if len(rows):
+                            hit[i + rows] = True
+                            met[j + np.flatnonzero((gap[rows] <= 0).any(axis=0))] = True
+                if hit.any():
+                    yield out(task, True, vec[hit])
+            if last:
+                if met is not None and met.any():
+                    yield out(task, False, ids[met])
+                p = q = ids = met = None
 
     return run
 
 
 def _compare(dims: int, threshold: float, budget: list[float]):
+    """Counts and spanning links of a leaf's pairs, verified on whole vectors."""
     turn, parts = rotation(dims), blocks_of(dims)
 
-    def near(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, ids_a, ids_b, k: int):
-        """Pairs (i, j) of linked vectors, ids_a[i] < ids_b[j], that block k counts."""
-        s = parts[k]
-        xa, xb = ra[:, s].astype(np.float32), rb[:, s].astype(np.float32)
+    def within(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, k: int) -> np.ndarray:
+        """Which pairs are near in block k."""
+        xa, xb = ra[:, parts[k]], rb[:, parts[k]]
         away = (xa * xa).sum(1)[:, None] + (xb * xb).sum(1)[None, :] - 2 * (xa @ xb.T)
-        flat = np.flatnonzero((away <= budget[k] + 1e-5).ravel())
-        i, j = flat // len(xb), flat % len(xb)
-        right = ids_a[i] < ids_b[j]
-        i, j = i[right], j[right]
-        for lo in range(0, len(i), 65536):
-            p, q = i[lo : lo + 65536], j[lo : lo + 65536]
-            gap = (ra[p] - rb[q]) ** 2
-            by_block = np.stack([gap[:, x].sum(axis=1) for x in parts], axis=1) <= np.array(budget)
-            mine = by_block[:, k] & (by_block[:, :k].sum(axis=1) == 0)
-            p, q = p[mine], q[mine]
-            linked = (a[p] * b[q]).sum(axis=1) >= threshold
-            yield p[linked], q[linked]
+        near = away <= budget[k]
+        i, j = np.nonzero(np.abs(away - budget[k]) < CLOSE)
+        for lo in range(0, len(i), 256):
+            gap = (a[i[lo : lo + 256]] - b[j[lo : lo + 256]])[:, None, :] * turn.T[parts[k]][None]
+            near[i[lo : lo + 256], j[lo : lo + 256]] = (gap.sum(axis=2) ** 2).sum(axis=1) <= budget[k]
+        return near
+
+    def links(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, k: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that block k counts; of a chunk with itself each once."""
+        mine = within(a, b, ra, rb, k)
+        if same:
+            mine &= ~np.tri(len(a), dtype=bool)
+        for other in range(k if mine.any() else 0):
+            mine &= ~within(a, b, ra, rb, other)
+        if not mine.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        cosine = a @ b.T
+        i, j = np.nonzero(mine & (np.abs(cosine - threshold) < CLOSE))
+        cosine[i, j] = (a[i] * b[j]).sum(axis=1)
+        return np.nonzero(mine & (cosine >= threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, data, out = None, [], []
-        vec = one = rot = many = None
-
-        for b in batches:
-            tasks, visitor, ids = b.column("task").to_numpy(), b.column("visitor").to_numpy(zero_copy_only=False), b.column("vec").to_numpy()
-            copies = b.column("copies").to_numpy()
-            unit = _unit(_matrix(b.column("v"), dims)) if b.num_rows else np.zeros((0, dims))
-            edges = np.r_[0, np.flatnonzero((tasks[1:] != tasks[:-1]) | (visitor[1:] != visitor[:-1])) + 1, len(tasks)] if len(tasks) else [0]
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if tasks[lo] != task:
-                    task, data, vec = tasks[lo], [], None
-                if not visitor[lo]:
-                    data.append((ids[lo:hi], unit[lo:hi], copies[lo:hi]))
-                    continue
-                if not data:
-                    continue
-                if vec is None:  # a task's data are complete when its first visitor comes
-                    vec, one, many = (np.concatenate(x) for x in zip(*data, strict=True))
-                    rot = one @ turn
-                k = int(task) >> 48
-                for at in range(lo, hi, CHUNK):
-                    end = min(at + CHUNK, hi)
-                    turned = unit[at:end] @ turn
-                    for d in range(0, len(vec), CHUNK):
-                        for i, j in near(one[d : d + CHUNK], unit[at:end], rot[d : d + CHUNK], turned, vec[d : d + CHUNK], ids[at:end], k):
-                            if len(i):
-                                width = min(CHUNK, len(vec) - d)
-                                root = local_roots(width + end - at, i, width + j)
-                                count = np.bincount(np.concatenate([i, width + j]), np.concatenate([copies[at:end][j], many[d : d + CHUNK][i]]), width + end - at)
-                                some = np.flatnonzero(count)
-                                names = np.concatenate([vec[d : d + width], ids[at:end]])
-                                out.append((names[some], names[root[some]], count[some]))
-                                if sum(len(x[0]) for x in out) > 100_000:
-                                    yield flush(out)
-        if out:
-            yield flush(out)
-
-    def flush(out: list) -> pa.RecordBatch:
-        a, r, n = (np.concatenate(x) for x in zip(*out, strict=True))
-        out.clear()
-        pair, at = np.unique(np.stack([a, r]), axis=1, return_inverse=True)
-        total = np.bincount(at.ravel(), weights=n).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(total)], names=["vec", "root", "links"])
+        fresh: list[pa.RecordBatch] = []
+        one = rot = ids = many = None
+        held: list = []
+
+        def note(names: np.ndarray, copies: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if not len(i):
+                return
+            root = local_roots(len(names), i, j)
+            count = np.bincount(np.concatenate([i, j]), np.concatenate([copies[j], copies[i]]), len(names))
+            some = np.flatnonzero(count)
+            held.append((names[some], names[root[some]], count[some]))
+            if sum(len(x[0]) for x in held) > 100_000:
+                yield flush()
+
+        def flush() -> pa.RecordBatch:
+            a, r, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            pair, at = np.unique(np.stack([a, r]), axis=1, return_inverse=True)
+            total = np.bincount(at.ravel(), weights=n).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(total)], names=["vec", "root", "links"])
+
+        for task, visits, b, last in _tasks(batches):
+            k = task >> 48
+            if not visits:
+                fresh.append(b)
+            if fresh and (visits or last):
+                t = pa.Table.from_batches(fresh)
+                fresh = []
+                ids, many, one = t.column("vec").to_numpy(), t.column("copies").to_numpy(), _unit(_matrix(t.column("v"), dims))
+                rot = one @ turn
+                for i in range(0, len(ids), CHUNK):
+                    for j in range(i, len(ids), CHUNK):
+                        x, y = slice(i, i + CHUNK), slice(j, j + CHUNK)
+                        p, q = links(one[x], one[y], rot[x], rot[y], k, i == j)
+                        n = len(ids[x]) if i != j else 0
+                        yield from note(np.concatenate([ids[x], ids[y]]) if n else ids[x], np.concatenate([many[x], many[y]]) if n else many[x], p, n + q)
+            if visits and ids is not None:
+                mine, names, copies = _unit(_matrix(b.column("v"), dims)), b.column("vec").to_numpy(), b.column("copies").to_numpy()
+                turned = mine @ turn
+                for i in range(0, len(names), CHUNK):
+                    for j in range(0, len(ids), CHUNK):
+                        x, y = slice(i, i + CHUNK), slice(j, j + CHUNK)
+                        p, q = links(mine[x], one[y], turned[x], rot[y], k, False)
+                        yield from note(np.concatenate([names[x], ids[y]]), np.concatenate([copies[x], many[y]]), p, len(names[x]) + q)
+            if last:
+                one = rot = ids = many = None
+        if held:
+            yield flush()
 
     return run
 
 
 def _links(used: DataFrame, dims: int, n: int, threshold: float, leaf: int) -> DataFrame:
     """(vec, root, links) among classes (v, vec, copies) of n vectors of one length."""
-    share = (2 - 2 * threshold) * (1 + 1e-9) + 1e-12
-    budget = [share * (s.stop - s.start) / dims for s in blocks_of(dims)]
+    budget, parts = budgets(dims, threshold), blocks_of(dims)
     levels = max(0, int(np.ceil(np.log2(max(n / leaf, 1)))))
-    taken = used.orderBy(F.xxhash64("vec")).limit(SAMPLE).select("v").toPandas() if levels else None
+    taken = used.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("v").toPandas() if levels else None
     points = _unit(np.array(taken["v"].tolist(), np.float64)) @ rotation(dims) if levels else np.zeros((0, dims))
-    trees = [cuts_of(points[:, s], levels) for s in blocks_of(dims)]
-    dealt = used.select("vec", "copies", "v").mapInArrow(_deal(dims, trees, [float(np.sqrt(x)) for x in budget]), f"task bigint, visitor boolean, vec bigint, copies bigint, v {used.schema['v'].dataType.simpleString()}")
-    return dealt.repartition("task").sortWithinPartitions("task", "visitor").mapInArrow(_compare(dims, threshold, budget), "vec bigint, root bigint, links bigint")
+    trees = [cuts_of(points[:, s], levels) for s in parts]
+    dealt = used.select("vec", "v").mapInArrow(_deal(dims, trees, budget), "task bigint, visitor boolean, vec bigint, x binary")
+    near = dealt.repartition("task").sortWithinPartitions("task", "visitor").mapInArrow(_near(budget, [s.stop - s.start for s in parts]), "task bigint, visitor boolean, vec bigint")
+    met = kept_table(near, "near").hint("merge").join(used, "vec").select("task", "visitor", "vec", "copies", "v")
+    return met.repartition("task").sortWithinPartitions("task", "visitor").mapInArrow(_compare(dims, threshold, budget), "vec bigint, root bigint, links bigint")
 
 
 def embedding_join(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, leaf: int = LEAF) -> DataFrame:
