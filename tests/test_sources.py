@@ -1,6 +1,7 @@
 """The store, media heads, byte-pair counts and the whole way of a history."""
 
 import base64
+import json
 import struct
 from pathlib import Path
 
@@ -90,10 +91,18 @@ def test_stub_pairs(spark):
     assert got == {0: "keep", 1: "stub", 2: "stub", 3: "stub", 4: "stub", 5: "stub", 6: "stub", 7: "keep"}
 
 
-def test_message_delta_loses_inputs(spark):
-    text = 'event: message_delta\ndata: {"type":"message_delta","usage":{"input_tokens":5,"output_tokens":7}}\n\n'
-    e = E.scaled_events(E.event_rows(spark.createDataFrame([(1, text)], "stream_id bigint, text string")), 0.5)
-    assert e.first().data == '{"type":"message_delta","usage":{"output_tokens":7}}'
+def test_scaling_keeps_the_event(spark):
+    start = '{"type":"message_start","message":{"id":"msg_1","content":[{"type":"text","text":"input_tokens"}],"usage":{"input_tokens":7,"cache_read_input_tokens":0,"cache_creation_input_tokens":"5","cache_creation":{"x":1.5},"output_tokens":2,"total_tokens":9,"service_tier":"standard"}}}'
+    delta = '{"type":"message_delta","delta":{"stop_reason":"end_turn"},"usage":{"input_tokens":5,"output_tokens":7,"total_tokens":12}}'
+    bare = ['{"type":"message_start","message":{"usage":null}}', '{"type":"message_start", bad', '{"type": "ping"}']
+    text = "".join(f"event: x\ndata: {d}\n\n" for d in (start, delta, *bare))
+    for factor, total, inputs in ((0.5, 5, 3), (1.0, 9, 7)):
+        got = [r.data for r in E.scaled_events(E.event_rows(spark.createDataFrame([(1, text)], "stream_id bigint, text string")), factor).orderBy("seq").collect()]
+        want = json.loads(start)
+        want["message"]["usage"] |= {"input_tokens": inputs, "total_tokens": total}
+        assert json.loads(got[0]) == want
+        assert json.loads(got[1]) == {"type": "message_delta", "delta": {"stop_reason": "end_turn"}, "usage": {"output_tokens": 7, "total_tokens": 7 if factor < 1 else 12}}
+        assert got[2:] == bare
 
 
 def test_summary_sections_keep_the_end(spark):

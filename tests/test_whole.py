@@ -1,5 +1,6 @@
 """Queries over whole texts, by brute force on small tables."""
 
+import json
 import re
 from collections import Counter
 from datetime import datetime, timedelta
@@ -24,7 +25,7 @@ def paths(text):
 
 def test_paths_past_the_head(spark, tmp_path):
     pages = [(1, "http://a.b/c", "<p>" + "word " * 200 + '<a href="/late/one">x</a> see src/late.go; C:\\\\d'), (2, "http://a.b/d", "/x"), (3, "u", "y" * 400 + " (lib/end.py)")]
-    got = run(spark, tmp_path, "c29_paths_whole", "pages", pages, "page_id bigint, url string, html string")
+    got = run(spark, tmp_path, "c29_paths", "pages", pages, "page_id bigint, url string, html string")
     want = {(k, w) for k, url, html in pages for w in paths(f"see {url}, src/a.py and /tmp/x; {html}")}
     assert len(got) == len(want) and set(got) == want
     assert {(1, "/late/one"), (1, "src/late.go"), (3, "lib/end.py")} <= want
@@ -62,9 +63,9 @@ def cleaned(text):
 def test_reminders_anywhere(spark, tmp_path):
     rows = [(k * 6 + lead, text) for k, text in enumerate(TAGGED) for lead in range(6)]
     whole = {k: LEADS[k % 6] + text + LEADS[k % 6] for k, text in rows}
-    got = run(spark, tmp_path, "c31_strip_reminders_whole", "documents", rows, "doc_id bigint, text string")
+    got = run(spark, tmp_path, "c31_strip_reminders", "documents", rows, "doc_id bigint, text string")
     assert len(got) == len(rows) and dict(got) == {k: cleaned(t) for k, t in whole.items()}
-    got = [tuple(r) for r in QUERIES["c32_detach_context_whole"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in QUERIES["c32_detach_context"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted((k, *parted(t, persistent)) for k, t in whole.items())
 
 
@@ -79,26 +80,29 @@ HARD = ["", "plain", 'say "x"' + "q" * 50, "back\\slash \\n \\u0041", "two\nline
 
 def test_result_text_of_any_text(spark, tmp_path):
     rows = [(2 * k + odd, t) for k, t in enumerate(HARD) for odd in (0, 1)]
-    got = run(spark, tmp_path, "c20_result_text_whole", "documents", rows, "doc_id bigint, text string")
+    got = run(spark, tmp_path, "c20_result_text", "documents", rows, "doc_id bigint, text string")
     assert len(got) == len(rows) and dict(got) == {k: t if k % 2 == 0 else "\n".join(x for x in (t, "two") if x) for k, t in rows}
-    got = [tuple(r) for r in QUERIES["c28_hints_whole"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in QUERIES["c28_hints"](spark, str(tmp_path)).collect()]
     marks = {k: re.findall(r"(?s)deep_search\('(.*?)'\)", f"{t} deep_search('{t}') and deep_search('  Read src/k{k % 9}.py ')") for k, t in rows}
     assert sorted(got) == sorted((k, h.strip(" \t\n\r")) for k, found in marks.items() for h in found if h.strip(" \t\n\r"))
 
 
 def test_every_stream_is_scaled(spark, tmp_path):
     n = list(range(24))
-    got = run(spark, tmp_path, "n4_sse_all", "events", [(k,) for k in n], "event_id bigint")
-    start = lambda k: ("message_start", f'{{"type":"message_start","message":{{"type":"message","usage":{{"input_tokens":{k // 2},"cache_read_input_tokens":4}}}}}}')
+    got = run(spark, tmp_path, "n4_sse", "events", [(k,) for k in n], "event_id bigint")
+    compact = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"))
+    use = lambda k: {"input_tokens": k // 2, "cache_read_input_tokens": 4, "output_tokens": 1, "total_tokens": k // 2 + 5}
+    start = lambda k: ("message_start", compact({"type": "message_start", "message": {"id": f"msg_{k}", "type": "message", "role": "assistant", "model": "m", "content": [], "usage": use(k)}}))
+    spent = ("message_delta", compact({"type": "message_delta", "delta": {"stop_reason": "end_turn"}, "usage": {"output_tokens": 7, "total_tokens": 7}}))
     stop, delta, ping = ("message_stop", '{"type":"message_stop"}'), ("content_block_delta", '{"type":"content_block_delta"}'), ("message_stop", '{"type":"ping"}')
-    kinds = lambda k: ([start(k), delta, stop], [stop, start(k)], [start(k), start(k), stop], [start(k), delta], [start(k), ping, stop], [delta])[k % 6]
+    kinds = lambda k: ([start(k), delta, stop], [stop, start(k)], [start(k), start(k), stop], [start(k), spent], [start(k), ping, stop], [delta])[k % 6]
     assert sorted(got) == sorted((k, i, *e) for k in n for i, e in enumerate(kinds(k)))
 
 
 def test_files_of_every_run(spark, tmp_path):
     events = [(k, datetime(2024, 1, 1) + timedelta(minutes=k), 7, ("view", "click", "purchase", "error", "signup")[k % 5], 1.0, f'{{"k": {k % 4}}}') for k in range(100)]
     spark.createDataFrame([(k, "a text") for k in range(5)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = run(spark, tmp_path, "f9_compacted_files", "events", events, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string")
+    got = run(spark, tmp_path, "f9_compaction_stats", "events", events, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string")
     want = Counter((7, a, b, f"k{k % 4}" + ("" if kind == "click" else ".py")) for k, _, _, kind, *_ in events for a, b in ((1, 66), (68, 133), (135, 195)) if a <= 2 * k <= b and kind != "error")
     assert sorted(got) == sorted((*k, n) for k, n in want.items())
 

@@ -183,11 +183,15 @@ def signatures(text: Column, most: int = 5) -> Column:
     return F.transform(found, lambda s: F.concat(F.lower(F.regexp_extract(s, r"^(\w+)", 1)), F.lit(" "), F.regexp_extract(s, r"(\w[\w.]*)$", 1)))
 
 
-def result_summary(name: Column, content: Column, keywords: Column) -> Column:
+def result_facts(content: Column) -> Column:
+    """What a summary says of a tool result's text, so that it is read once however many calls answer with it: lines and up to five signatures."""
+    return F.struct(line_count(content).alias("lines"), F.array_join(signatures(content), "; ").alias("key"))
+
+
+def result_summary(name: Column, facts: Column, keywords: Column) -> Column:
     """What stands for a large tool result: the tool, the lines, up to five signatures, a hint."""
-    found = signatures(content)
-    key = F.when(F.size(found) > 0, F.concat(F.lit(", key: "), F.array_join(found, "; "))).otherwise(F.lit(""))
-    return with_hint(F.concat(F.lit("[context compressed: "), F.coalesce(name, F.lit("tool")), F.lit(", "), line_count(content).cast("string"), F.lit(" lines"), key, F.lit("]")), keywords)
+    key = F.when(facts["key"] != "", F.concat(F.lit(", key: "), facts["key"])).otherwise(F.lit(""))
+    return with_hint(F.concat(F.lit("[context compressed: "), F.coalesce(name, F.lit("tool")), F.lit(", "), facts["lines"].cast("string"), F.lit(" lines"), key, F.lit("]")), keywords)
 
 
 def eager_stub(name: Column, input_: Column, content: Column) -> Column:

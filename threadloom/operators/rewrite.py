@@ -47,14 +47,15 @@ def compress(results: DataFrame, uses: DataFrame, sizes: DataFrame, keep_recent:
     m = with_calls(results, uses).join(sizes, "session_id")
     within = (F.col("idx") >= 1) & (F.col("idx") < F.greatest(F.col("n") - keep_recent, F.lit(1))) & (F.col("active_from").isNull() | (F.col("idx") < F.col("active_from")))
     large = within & (T.estimate(F.col("content")) > least)
-    summary = X.result_summary(F.coalesce("name", F.lit("tool")), F.col("content"), F.coalesce("keywords", F.lit("")))
+    summary = X.result_summary(F.coalesce("name", F.lit("tool")), X.result_facts(F.col("content")), F.coalesce("keywords", F.lit("")))
     return m.select("session_id", "idx", "tool_use_id", F.when(large, summary).otherwise(F.col("content")).alias("content"), large.alias("compressed"))
 
 
 def saved(before: DataFrame, after: DataFrame) -> DataFrame:
     """(compressed, saved): how many answers were compressed and the tokens that saves, 0 at least."""
-    b = before.agg(F.sum(T.estimate(F.col("content"))).alias("b")).first()[0] or 0
-    return after.agg(F.count_if("compressed").alias("compressed"), F.greatest(F.lit(b) - F.coalesce(F.sum(T.estimate(F.col("content"))), F.lit(0)), F.lit(0)).alias("saved"))
+    tokens = F.coalesce(F.sum(T.estimate(F.col("content"))), F.lit(0))
+    whole = before.agg(tokens.alias("n")).scalar()
+    return after.agg(F.count_if("compressed").alias("compressed"), tokens.alias("left")).select("compressed", F.greatest(whole - F.col("left"), F.lit(0)).alias("saved"))
 
 
 def compress_thinking(blocks: DataFrame, least: int = 500) -> DataFrame:

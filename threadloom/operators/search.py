@@ -37,22 +37,22 @@ def phrase_in(tokens: Column, phrase: Column) -> Column:
 def bm25(posts: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, posting_id, block_id, keyword, rank): postings that hold a phrase of a query, best (most negative) rank first.
 
-    queries: query_id, term. Corpus figures count all postings. A phrase is found through its rarest word's
-    postings, an equi join, and its frequency is the number of postings that hold it all.
+    queries: query_id, term. Corpus figures count all postings. A phrase is looked up by its longest word, an equi
+    join that only postings with an asked word pass, and its frequency is the number of postings that hold it all.
     """
-    stats = posts.agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
-    n, mean = stats["n"], stats["mean"] or 1.0
-    words = posts.select("posting_id", F.explode(F.array_distinct("tokens")).alias("word"))
+    figures = posts.agg(F.struct(F.count("*").alias("n"), F.coalesce(F.avg("size"), F.lit(1.0)).alias("mean"))).scalar()
+    n, mean = figures["n"], figures["mean"]
     asked = queries.select("query_id", "term", search_tokens(F.col("term")).alias("phrase")).filter(F.size("phrase") > 0).distinct()
-    rare = words.groupBy("word").agg(F.count("*").alias("df"))
-    pick = asked.select("term", "phrase", F.explode(F.array_distinct("phrase")).alias("word")).distinct().join(rare, "word")
-    pick = pick.groupBy("term").agg(F.min_by("word", F.struct("df", "word")).alias("word"), F.first("phrase").alias("phrase"))
-    hits = pick.join(words, "word").join(posts.select("posting_id", "block_id", "keyword", "tokens", "size"), "posting_id").filter(phrase_in(F.col("tokens"), F.col("phrase")))
-    count = hits.groupBy("term").agg(F.countDistinct("posting_id").alias("hits"))
-    idf = F.greatest(F.log((F.lit(n) - F.col("hits") + 0.5) / (F.col("hits") + 0.5)), F.lit(1e-6))
+    longest = F.element_at(F.array_sort(F.transform("phrase", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
+    pick = asked.select("term", "phrase", longest.alias("word")).distinct()
+    held = posts.select("posting_id", "block_id", "keyword", "tokens", "size", F.explode(F.array_distinct("tokens")).alias("word"))
+    hits = held.join(pick, "word").filter(phrase_in(F.col("tokens"), F.col("phrase")))
     starts = F.sequence(F.lit(1), F.col("size") - F.size("phrase") + 1)
     times = F.size(F.filter(starts, lambda i: F.slice("tokens", i, F.size("phrase")) == F.col("phrase")))
-    score = idf * times * (K1 + 1) / (times + K1 * (1 - B + B * F.col("size") / F.lit(mean)))
+    hits = hits.select("term", "posting_id", "block_id", "keyword", "size", times.alias("times"))
+    count = hits.groupBy("term").agg(F.count("*").alias("hits"))
+    idf = F.greatest(F.log((n - F.col("hits") + 0.5) / (F.col("hits") + 0.5)), F.lit(1e-6))
+    score = idf * F.col("times") * (K1 + 1) / (F.col("times") + K1 * (1 - B + B * F.col("size") / mean))
     scored = hits.join(count, "term").select("term", "posting_id", "block_id", "keyword", score.alias("score"))
     return asked.select("query_id", "term").join(scored, "term").groupBy("query_id", "posting_id", "block_id", "keyword").agg((-F.sum("score")).alias("rank"))
 

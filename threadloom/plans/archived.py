@@ -289,8 +289,8 @@ mt AS (SELECT query_id, posting_id, block_id, keyword, -greatest(ln(((SELECT cou
 
 
 def kw_posts(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("block_id"), F.explode(F.array_distinct(X.words(F.col("text")))).alias("keyword")).filter(F.col("keyword").rlike("^[a-z]+$"))
-    d = d.withColumn("posting_id", F.col("block_id") * 100000 + F.row_number().over(W.partitionBy("block_id").orderBy("keyword")))
+    words = F.array_sort(F.filter(F.array_distinct(X.words(F.col("text"))), lambda w: w.rlike("^[a-z]+$")))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("block_id"), F.posexplode(words).alias("pos", "keyword")).withColumn("posting_id", F.col("block_id") * 100000 + F.col("pos") + 1).drop("pos")
     terms = F.filter(X.words(F.col("text")), lambda w: w.rlike("^[a-z]+$"))
     few = F.slice(F.array_except(F.array_distinct(terms), X.strings([*X.STOP_WORDS, *X.COMMON_RECALL_WORDS])), 1, 8)
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(few).alias("term"))
@@ -399,13 +399,8 @@ def inject(spark, sf):
     return S.inject(m, p).select("session_id", "idx", "text")
 
 
-@query("f9_compaction_stats", f"WITH {ACT}, f AS (SELECT session_id, regexp_extract(coalesce(file_path, path), '[^/]*$') AS key, count(*) AS n FROM uses WHERE idx BETWEEN 2 AND 60 AND coalesce(file_path, path) IS NOT NULL GROUP BY 1, 2) SELECT * FROM f")
+@query("f9_compaction_stats", f"""WITH {ACT_ROWS}, {RUNS} SELECT r.session_id, start, "end", regexp_extract(coalesce(file_path, path), '[^/]*$') AS key, count(*) AS n FROM runs r JOIN uses u ON u.session_id = r.session_id AND u.idx BETWEEN start AND "end" WHERE coalesce(file_path, path) IS NOT NULL GROUP BY ALL""")
 def compaction_stats(spark, sf):
-    return A.file_counts(tool_uses(spark, sf).filter("idx between 2 and 60"))
-
-
-@query("f9_compacted_files", f"""WITH {ACT_ROWS}, {RUNS} SELECT r.session_id, start, "end", regexp_extract(coalesce(file_path, path), '[^/]*$') AS key, count(*) AS n FROM runs r JOIN uses u ON u.session_id = r.session_id AND u.idx BETWEEN start AND "end" WHERE coalesce(file_path, path) IS NOT NULL GROUP BY ALL""")
-def compacted_files(spark, sf):
     """How often calls name each file within each run that compaction finds."""
     runs = H.compactable_runs(stages(spark, sf))
     inside = tool_uses(spark, sf).join(runs, "session_id").filter("idx between start and end")

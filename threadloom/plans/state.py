@@ -239,10 +239,10 @@ def a15(spark, sf):
     return table(spark, sf, "events").select("event_id", F.map_values(RQ.redacted_headers(h))[0].alias("value"))
 
 
-@query("a5_content_kinds", f"WITH {MSG} SELECT session_id, idx, CASE idx % 4 WHEN 0 THEN 'string' WHEN 1 THEN 'array' WHEN 2 THEN 'invalid' ELSE 'empty' END AS kind, CASE WHEN idx % 4 = 0 THEN text WHEN idx % 4 = 1 THEN 'a' WHEN idx % 4 = 2 THEN '' END AS first, CASE WHEN idx % 4 = 3 THEN 0 ELSE 1 END AS n FROM msg WHERE text NOT LIKE '%\\%'")
+@query("a5_content_kinds", f"WITH {MSG} SELECT session_id, idx, CASE idx % 4 WHEN 0 THEN 'string' WHEN 1 THEN 'array' WHEN 2 THEN 'invalid' ELSE 'empty' END AS kind, CASE WHEN idx % 4 = 0 THEN text WHEN idx % 4 = 1 THEN 'a' WHEN idx % 4 = 2 THEN '' END AS first, CASE WHEN idx % 4 = 3 THEN 0 ELSE 1 END AS n FROM msg")
 def a5(spark, sf):
     k = F.col("idx") % 4
-    m = messages(spark, sf).filter(~F.col("text").contains("\\"))
+    m = messages(spark, sf)
     raw = F.when(k == 0, F.to_json(F.array("text"))).when(k == 1, '[{"type": "text", "text": "a", "cache_control": {"type": "ephemeral"}}]').when(k == 2, "{broken")
     raw = F.when(k == 0, F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
     kind, blocks = parse_content(raw)
@@ -253,11 +253,12 @@ def streams(spark, sf):
     """Event streams of a response each: whole, without an end, with two starts, with a wrong name, malformed, with nothing."""
     n = F.col("event_id")
     k = n % 6
-    use = F.concat(F.lit('{"type":"message_start","message":{"type":"message","usage":{"input_tokens":'), n.cast("string"), F.lit(',"cache_read_input_tokens":8}}}'))
+    use = F.concat(F.lit('{"type":"message_start","message":{"id":"msg_'), n.cast("string"), F.lit('","type":"message","role":"assistant","model":"m","content":[],"usage":{"input_tokens":'), n.cast("string"), F.lit(',"cache_read_input_tokens":8,"output_tokens":1,"total_tokens":'), (n + 9).cast("string"), F.lit("}}}"))
     start = F.concat(F.lit("event: message_start\ndata: "), use)
     stop = F.lit('event: message_stop\ndata: {"type":"message_stop"}')
     delta = F.lit('event: content_block_delta\ndata: {"type":"content_block_delta"}')
-    text = F.when(k == 0, F.concat_ws("\n\n", start, delta, stop)).when(k == 1, F.concat_ws("\n\n", stop, start)).when(k == 2, F.concat_ws("\n\n", start, start, stop)).when(k == 3, F.concat_ws("\n\n", start, delta)).when(k == 4, F.concat_ws("\n\n", start, F.lit('event: message_stop\ndata: {"type":"ping"}'), stop)).otherwise(delta)
+    spent = F.concat(F.lit('event: message_delta\ndata: {"type":"message_delta","delta":{"stop_reason":"end_turn"},"usage":{"input_tokens":'), n.cast("string"), F.lit(',"output_tokens":7,"total_tokens":'), (n + 7).cast("string"), F.lit("}}"))
+    text = F.when(k == 0, F.concat_ws("\n\n", start, delta, stop)).when(k == 1, F.concat_ws("\n\n", stop, start)).when(k == 2, F.concat_ws("\n\n", start, start, stop)).when(k == 3, F.concat_ws("\n\n", start, spent)).when(k == 4, F.concat_ws("\n\n", start, F.lit('event: message_stop\ndata: {"type":"ping"}'), stop)).otherwise(delta)
     return table(spark, sf, "events").select(n.alias("stream_id"), text.alias("text"))
 
 
@@ -266,21 +267,16 @@ def k15(spark, sf):
     return lifecycles(event_rows(streams(spark, sf)))
 
 
-@query("n4_sse", "SELECT event_id AS stream_id, 0 AS seq, floor(event_id * 0.5) AS input_tokens, 4.0::DOUBLE AS cache_read FROM events WHERE event_id % 6 = 0")
-def n4(spark, sf):
-    e = scaled_events(event_rows(streams(spark, sf).filter("stream_id % 6 = 0")), 0.5).filter("type = 'message_start'")
-    return e.select("stream_id", "seq", F.get_json_object("data", "$.message.usage.input_tokens").cast("double").alias("input_tokens"), F.get_json_object("data", "$.message.usage.cache_read_input_tokens").cast("double").alias("cache_read"))
-
-
-START = """'{"type":"message_start","message":{"type":"message","usage":{"input_tokens":' || (CASE WHEN event_id > 0 THEN event_id // 2 ELSE event_id END) || ',"cache_read_input_tokens":4}}}'"""
+START = """'{"message":{"content":[],"id":"msg_' || event_id || '","model":"m","role":"assistant","type":"message","usage":{"cache_read_input_tokens":4,"input_tokens":' || event_id // 2 || ',"output_tokens":1,"total_tokens":' || event_id // 2 + 5 || '}},"type":"message_start"}'"""
+SPENT = """'{"delta":{"stop_reason":"end_turn"},"type":"message_delta","usage":{"output_tokens":7,"total_tokens":7}}'"""
 STOP, DELTA, PING = (f"""'{{"type":"{k}"}}'""" for k in ("message_stop", "content_block_delta", "ping"))
 
 
-@query("n4_sse_all", f"""WITH s AS (SELECT event_id, {START} AS a, {STOP} AS z, {DELTA} AS d, {PING} AS p FROM events),
-l AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN ['message_start', 'content_block_delta', 'message_stop'] WHEN 1 THEN ['message_stop', 'message_start'] WHEN 2 THEN ['message_start', 'message_start', 'message_stop'] WHEN 3 THEN ['message_start', 'content_block_delta'] WHEN 4 THEN ['message_start', 'message_stop', 'message_stop'] ELSE ['content_block_delta'] END AS names,
-CASE event_id % 6 WHEN 0 THEN [a, d, z] WHEN 1 THEN [z, a] WHEN 2 THEN [a, a, z] WHEN 3 THEN [a, d] WHEN 4 THEN [a, p, z] ELSE [d] END AS datas FROM s)
+@query("n4_sse", f"""WITH s AS (SELECT event_id, {START} AS a, {STOP} AS z, {DELTA} AS d, {SPENT} AS u, {PING} AS p FROM events),
+l AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN ['message_start', 'content_block_delta', 'message_stop'] WHEN 1 THEN ['message_stop', 'message_start'] WHEN 2 THEN ['message_start', 'message_start', 'message_stop'] WHEN 3 THEN ['message_start', 'message_delta'] WHEN 4 THEN ['message_start', 'message_stop', 'message_stop'] ELSE ['content_block_delta'] END AS names,
+CASE event_id % 6 WHEN 0 THEN [a, d, z] WHEN 1 THEN [z, a] WHEN 2 THEN [a, a, z] WHEN 3 THEN [a, u] WHEN 4 THEN [a, p, z] ELSE [d] END AS datas FROM s)
 SELECT event_id AS stream_id, i - 1 AS seq, names[i] AS event, datas[i] AS data FROM l, unnest(range(1, len(names) + 1)) AS u(i)""")
-def n4_all(spark, sf):
+def n4(spark, sf):
     """Every event of every stream after scaling, rewritten or as it was."""
     return scaled_events(event_rows(streams(spark, sf)), 0.5).select("stream_id", "seq", "event", "data")
 

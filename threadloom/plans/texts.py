@@ -99,8 +99,8 @@ def result_stub(spark, sf):
 @query("c18_result_summary", f"WITH {ACT}, c AS (SELECT r.tool_use_id, u.name, {KW_SQL} AS kw, 'def Alpha' || {NL} || content AS t FROM results r JOIN uses u ON u.session_id = r.session_id AND u.id = r.tool_use_id) SELECT tool_use_id, '[context compressed: ' || name || ', ' || len(string_split(t, {NL})) || ' lines, key: def Alpha] → deep_search(''' || replace(kw, ''')', ' )') || ''')' AS summary FROM c")
 def result_summary(spark, sf):
     u = tool_uses(spark, sf).select("session_id", F.col("id").alias("tool_use_id"), "name", "input")
-    j = tool_results(spark, sf).join(u, ["session_id", "tool_use_id"])
-    return j.select("tool_use_id", X.result_summary(F.col("name"), F.concat(F.lit("def Alpha\n"), F.col("content")), X.tool_keywords(F.col("name"), F.col("input"))).alias("summary"))
+    r = tool_results(spark, sf, facts=X.result_facts(F.concat(F.lit("def Alpha\n"), F.col("text"))))
+    return r.join(u, ["session_id", "tool_use_id"]).select("tool_use_id", X.result_summary(F.col("name"), F.col("facts"), X.tool_keywords(F.col("name"), F.col("input"))).alias("summary"))
 
 
 EAGER = f"""CASE name WHEN 'Read' THEN '[Read ' || file_path || ' — ' || n || ' lines]' WHEN 'Grep' THEN '[Grep ''' || pattern || ''' in ' || path || ' — ' || n || ' matches]'
@@ -134,40 +134,18 @@ def top5_counts(spark, sf):
     return w.groupBy("source").agg(F.collect_list(F.struct("key", "n")).alias("pairs")).select("source", X.counts_line(F.col("pairs")).alias("line"))
 
 
-@query("c28_hints", f"SELECT doc_id, trim(unnest([substr(text, 1, 20), 'Read src/k' || (doc_id % 9) || '.py']), ' ' || chr(9) || chr(10) || chr(13)) AS hint FROM documents WHERE text NOT LIKE '%''%'")
+@query("c28_hints", rf"SELECT doc_id, trim(h, ' ' || chr(9) || chr(10) || chr(13)) AS hint FROM (SELECT doc_id, unnest(regexp_extract_all(text || ' deep_search(''' || text || ''') and deep_search(''  Read src/k' || (doc_id % 9) || '.py '')', '(?s)deep_search\(''(.*?)''\)', 1)) AS h FROM documents) WHERE hint <> ''")
 def hints(spark, sf):
-    d = docs(spark, sf).filter(~F.col("text").contains("'"))
-    t = F.concat(F.col("text"), F.lit(" deep_search('"), F.substring("text", 1, 20), F.lit("') and deep_search('  Read src/k"), (F.col("doc_id") % 9).cast("string"), F.lit(".py ')"))
-    return d.select("doc_id", F.explode(X.hints(t)).alias("hint"))
-
-
-@query("c28_hints_whole", rf"SELECT doc_id, trim(h, ' ' || chr(9) || chr(10) || chr(13)) AS hint FROM (SELECT doc_id, unnest(regexp_extract_all(text || ' deep_search(''' || text || ''') and deep_search(''  Read src/k' || (doc_id % 9) || '.py '')', '(?s)deep_search\(''(.*?)''\)', 1)) AS h FROM documents) WHERE hint <> ''")
-def whole_hints(spark, sf):
-    """c28_hints with whole texts in the marks, apostrophes too."""
     t = F.concat(F.col("text"), F.lit(" deep_search('"), F.col("text"), F.lit("') and deep_search('  Read src/k"), (F.col("doc_id") % 9).cast("string"), F.lit(".py ')"))
     return docs(spark, sf).select("doc_id", F.explode(X.hints(t)).alias("hint"))
 
 
-@query("c29_paths", f"SELECT DISTINCT page_id, w AS path FROM (SELECT page_id, unnest(list_transform(regexp_split_to_array('see ' || url || ', src/a.py and /tmp/x; ' || substr(html, 1, 300), '[ ' || chr(10) || chr(9) || ',;\"'']'), lambda w: trim(w, '.,;:!?()[]{{}}<>\"'))) AS w FROM pages) WHERE strlen(w) >= 3 AND (regexp_matches(w, '^.:[\\\\/]') OR w LIKE '/%' OR (w LIKE '%/%' AND w LIKE '%.%'))")
+@query("c29_paths", f"SELECT DISTINCT page_id, w AS path FROM (SELECT page_id, unnest(list_transform(regexp_split_to_array('see ' || url || ', src/a.py and /tmp/x; ' || html, '[ ' || chr(10) || chr(9) || ',;\"'']'), lambda w: trim(w, '.,;:!?()[]{{}}<>\"'))) AS w FROM pages) WHERE strlen(w) >= 3 AND (regexp_matches(w, '^.:[\\\\/]') OR w LIKE '/%' OR (w LIKE '%/%' AND w LIKE '%.%'))")
 def paths(spark, sf):
-    p = table(spark, sf, "pages")
-    return p.select("page_id", F.explode(X.paths(F.concat(F.lit("see "), F.col("url"), F.lit(", src/a.py and /tmp/x; "), F.substring("html", 1, 300)))).alias("path"))
-
-
-@query("c29_paths_whole", f"SELECT DISTINCT page_id, w AS path FROM (SELECT page_id, unnest(list_transform(regexp_split_to_array('see ' || url || ', src/a.py and /tmp/x; ' || html, '[ ' || chr(10) || chr(9) || ',;\"'']'), lambda w: trim(w, '.,;:!?()[]{{}}<>\"'))) AS w FROM pages) WHERE strlen(w) >= 3 AND (regexp_matches(w, '^.:[\\\\/]') OR w LIKE '/%' OR (w LIKE '%/%' AND w LIKE '%.%'))")
-def whole_paths(spark, sf):
-    """c29_paths over all of each page."""
     p = table(spark, sf, "pages")
     return p.select("page_id", F.explode(X.paths(F.concat(F.lit("see "), F.col("url"), F.lit(", src/a.py and /tmp/x; "), F.col("html")))).alias("path"))
 
 
-TAGGED = """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN ' a <system-reminder> noise </system-reminder> b ' WHEN 1 THEN '<system-reminder>SessionStart: This is just a gentle reminder</system-reminder>' WHEN 2 THEN '<system-reminder>
-# claudeMd
-rules</system-reminder> tail' WHEN 3 THEN 'x
-[skill-hint]use it[/skill-hint] y' WHEN 4 THEN '<system-reminder>This is ambient context</system-reminder>z' ELSE '<system-reminder>unknown</system-reminder>' END || substr(text, 1, 50) AS t, substr(text, 1, 50) AS s FROM documents WHERE text NOT LIKE '%<%'"""
-EXPECT = f"""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'a  b ' || rtrim(s, w) WHEN 3 THEN 'x y' || rtrim(s, w) WHEN 4 THEN 'z' || rtrim(s, w) ELSE t END AS clean, CASE WHEN doc_id % 6 = 2 THEN ' tail' || s ELSE t END AS detached, (doc_id % 6 = 2)::INT::BIGINT AS n FROM (SELECT *, ' ' || chr(9) || chr(10) || chr(13) AS w FROM ({TAGGED}))"""
-
-
 def lead():
     k = F.col("doc_id") % 6
     return (
@@ -176,41 +154,31 @@ def lead():
     )
 
 
-def tagged(spark, sf):
-    return docs(spark, sf).filter(~F.col("text").contains("<")).select("doc_id", F.concat(lead(), F.substring("text", 1, 50)).alias("t"))
-
-
-@query("c31_strip_reminders", f"SELECT doc_id, clean FROM ({EXPECT})")
-def strip(spark, sf):
-    return tagged(spark, sf).select("doc_id", X.strip_reminders(F.col("t")).alias("clean"))
-
-
-@query("c32_detach_context", f"SELECT doc_id, detached, n FROM ({EXPECT})")
-def detach(spark, sf):
-    return tagged(spark, sf).select("doc_id", X.without_persistent(F.col("t")).alias("detached"), F.size(X.persistent_spans(F.col("t"))).cast("bigint").alias("n"))
-
-
 SPAN = "(?s)<system-reminder>.*?</system-reminder>"
 BODY = r"regexp_extract(s, '(?s)^<system-reminder>\s*(.*?)\s*</system-reminder>$', 1)"
 PERSISTENT = rf"regexp_matches({BODY}, '(?m)^\s*# ({'|'.join(X.CONTEXT_HEADINGS)})\s*$')"
 TEMPORARY = f"(lower({BODY}) = 'noise' OR len(list_filter({list_sql(X.TEMPORARY_MARKERS)}, lambda k: contains(lower({BODY}), k))) > 0)"
 #: The rule for any text: pieces between reminders, each followed by its reminder unless that goes. The lead of c31 stands before and after all of the text.
 WITHOUT = lambda goes: f"array_to_string(list_transform(string_split_regex(t, '{SPAN}'), lambda p, i: p || coalesce(list_transform(spans, lambda s: CASE WHEN {goes} THEN '' ELSE s END)[i], '')), '')"
-WHOLE_TAGGED = f"SELECT doc_id, t, regexp_extract_all(t, '{SPAN}') AS spans FROM (SELECT doc_id, lead || text || lead AS t FROM (SELECT doc_id, text, {TAGGED.split('SELECT doc_id, ')[1].split(' || substr')[0]} AS lead FROM documents))"
+LEAD = """CASE doc_id % 6 WHEN 0 THEN ' a <system-reminder> noise </system-reminder> b ' WHEN 1 THEN '<system-reminder>SessionStart: This is just a gentle reminder</system-reminder>' WHEN 2 THEN '<system-reminder>
+# claudeMd
+rules</system-reminder> tail' WHEN 3 THEN 'x
+[skill-hint]use it[/skill-hint] y' WHEN 4 THEN '<system-reminder>This is ambient context</system-reminder>z' ELSE '<system-reminder>unknown</system-reminder>' END"""
+TAGGED = f"SELECT doc_id, t, regexp_extract_all(t, '{SPAN}') AS spans FROM (SELECT doc_id, lead || text || lead AS t FROM (SELECT doc_id, text, {LEAD} AS lead FROM documents))"
 
 
-def whole_tagged(spark, sf):
+def tagged(spark, sf):
     return docs(spark, sf).select("doc_id", F.concat(lead(), F.col("text"), lead()).alias("t"))
 
 
-@query("c31_strip_reminders_whole", rf"SELECT doc_id, CASE WHEN c = t THEN t ELSE trim(c, ' ' || chr(9) || chr(10) || chr(13)) END AS clean FROM (SELECT doc_id, t, regexp_replace({WITHOUT(f"{TEMPORARY} AND NOT contains({BODY}, 'SessionStart:') AND NOT {PERSISTENT}")}, '(?s)\n?\[skill-hint\].*?\[/skill-hint\]', '', 'g') AS c FROM ({WHOLE_TAGGED}))")
-def strip_whole(spark, sf):
-    return whole_tagged(spark, sf).select("doc_id", X.strip_reminders(F.col("t")).alias("clean"))
+@query("c31_strip_reminders", rf"SELECT doc_id, CASE WHEN c = t THEN t ELSE trim(c, ' ' || chr(9) || chr(10) || chr(13)) END AS clean FROM (SELECT doc_id, t, regexp_replace({WITHOUT(f"{TEMPORARY} AND NOT contains({BODY}, 'SessionStart:') AND NOT {PERSISTENT}")}, '(?s)\n?\[skill-hint\].*?\[/skill-hint\]', '', 'g') AS c FROM ({TAGGED}))")
+def strip(spark, sf):
+    return tagged(spark, sf).select("doc_id", X.strip_reminders(F.col("t")).alias("clean"))
 
 
-@query("c32_detach_context_whole", f"SELECT doc_id, {WITHOUT(PERSISTENT)} AS detached, len(list_filter(spans, lambda s: {PERSISTENT}))::BIGINT AS n FROM ({WHOLE_TAGGED})")
-def detach_whole(spark, sf):
-    return whole_tagged(spark, sf).select("doc_id", X.without_persistent(F.col("t")).alias("detached"), F.size(X.persistent_spans(F.col("t"))).cast("bigint").alias("n"))
+@query("c32_detach_context", f"SELECT doc_id, {WITHOUT(PERSISTENT)} AS detached, len(list_filter(spans, lambda s: {PERSISTENT}))::BIGINT AS n FROM ({TAGGED})")
+def detach(spark, sf):
+    return tagged(spark, sf).select("doc_id", X.without_persistent(F.col("t")).alias("detached"), F.size(X.persistent_spans(F.col("t"))).cast("bigint").alias("n"))
 
 
 @query("c33_decay_text", f"WITH {MSG} SELECT session_id, idx, CASE idx % 4 WHEN 0 THEN text WHEN 3 THEN '' ELSE CASE WHEN length(text) > lim THEN substr(text, 1, lim) || '...' ELSE text END END AS text FROM (SELECT *, CASE role WHEN 'user' THEN CASE idx % 4 WHEN 1 THEN 200 ELSE 80 END WHEN 'assistant' THEN CASE idx % 4 WHEN 1 THEN 120 ELSE 50 END END AS lim FROM msg)")
@@ -260,16 +228,8 @@ def latest_user(spark, sf):
     return H.latest_user_text(messages(spark, sf))
 
 
-@query("c20_result_text", f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN t ELSE t || {NL} || 'two' END AS text FROM (SELECT doc_id, replace(replace(substr(text, 1, 40), chr(10), ' '), chr(92), '') AS t FROM documents WHERE text NOT LIKE '%\"%')")
+@query("c20_result_text", f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text WHEN text = '' THEN 'two' ELSE text || {NL} || 'two' END AS text FROM documents")
 def result_text(spark, sf):
-    t = F.replace(F.replace(F.substring("text", 1, 40), F.lit("\n"), F.lit(" ")), F.lit("\\"), F.lit(""))
-    raw = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('"'), t, F.lit('"'))).otherwise(F.concat(F.lit('[{"type":"text","text":"'), t, F.lit('"},{"type":"image"},{"type":"text","text":"two"}]')))
-    return docs(spark, sf).filter(~F.col("text").contains('"')).select("doc_id", X.result_text(raw).alias("text"))
-
-
-@query("c20_result_text_whole", f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text WHEN text = '' THEN 'two' ELSE text || {NL} || 'two' END AS text FROM documents")
-def whole_result_text(spark, sf):
-    """c20_result_text with whole texts, whatever they hold."""
     none = F.lit(None).cast("string")
     block = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
     one = F.to_json(F.array("text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,12 +43,13 @@ def tool_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("session_id", (F.col("r") * 2).alias("idx"), F.concat(F.lit("tu_"), n.cast("string")).alias("id"), name.alias("name"), made.alias("input"), "event_id")
 
 
-def tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """session_id, idx, tool_use_id, content, is_error: the answer to each call, a document's text."""
+def tool_results(spark: SparkSession, sf_dir: str, **of_text: Column) -> DataFrame:
+    """session_id, idx, tool_use_id, content, is_error: the answer to each call, a document's text. of_text: further columns, made of each document's text once."""
     docs = table(spark, sf_dir, "documents")
-    n = docs.count()
+    n = docs.agg(F.count("*")).scalar()
     e = _events(spark, sf_dir).withColumn("doc_id", F.col("event_id") % n)
-    return e.join(docs.select("doc_id", F.col("text").alias("content")), "doc_id").select("session_id", (F.col("r") * 2 + 1).alias("idx"), F.concat(F.lit("tu_"), F.col("event_id").cast("string")).alias("tool_use_id"), "content", (F.col("event_type") == "error").alias("is_error"), "event_id")
+    texts = docs.select("doc_id", F.col("text").alias("content"), *(c.alias(k) for k, c in of_text.items()))
+    return e.join(texts, "doc_id").select("session_id", (F.col("r") * 2 + 1).alias("idx"), F.concat(F.lit("tu_"), F.col("event_id").cast("string")).alias("tool_use_id"), "content", (F.col("event_type") == "error").alias("is_error"), "event_id", *of_text)
 
 
 ACT = """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,17 +32,54 @@ def lifecycles(events: DataFrame) -> DataFrame:
     return g.select("stream_id", F.coalesce(ok, F.lit(False)).alias("complete"), F.when(ok, F.col("actual")).alias("actual"))
 
 
+OBJECT = "map<string,variant>"
+
+
+def _number(value: Column) -> Column:
+    """A variant's number; null for anything else."""
+    kind = F.schema_of_variant(value)
+    return F.when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.try_variant_get(value, "$", "double"))
+
+
+def _json_number(value: Column) -> Column:
+    """A number as JSON, without a fraction if it has none."""
+    return F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(value.cast("string"))
+
+
+def scaled_usage(usage: Column, factor: float) -> Column:
+    """A usage object (a map of variants) with positive input fields times the factor, rounded down, and its total, if there is one, made anew from them and the output."""
+    if factor >= 1:
+        return usage
+    scaled = F.transform_values(usage, lambda k, v: F.when(k.isin(*U.INPUTS) & (_number(v) > 0), F.floor(_number(v) * factor).cast("double")))
+    total = F.coalesce(_number(F.try_element_at(usage, F.lit("output_tokens"))), F.lit(0.0))
+    for k in U.INPUTS:
+        total = total + F.coalesce(F.try_element_at(scaled, F.lit(k)), F.lit(0.0))
+    put = lambda k, v: F.when(k == "total_tokens", total).otherwise(F.try_element_at(scaled, k))
+    return F.transform_values(usage, lambda k, v: F.coalesce(F.parse_json(_json_number(put(k, v))), v))
+
+
 def scaled_events(events: DataFrame, factor: float) -> DataFrame:
-    """Events with scaled usage in message_start, and no input fields in the usage of message_delta; the other data stay as they were."""
-    use = F.get_json_object("data", "$.message.usage")
-    fields = F.from_json(use, "map<string,string>")
-    named = lambda k, v: F.when(k.isin(*U.INPUTS) & (v.try_cast("double") > 0), F.floor(v.try_cast("double") * factor).cast("string")).otherwise(v)
-    scaled = F.to_json(F.transform_values(fields, named)) if factor < 1 else F.to_json(fields)
-    start = F.concat(F.lit('{"type":"message_start","message":{"type":"message","usage":'), F.regexp_replace(scaled, r'"(-?[0-9.]+)"', "$1"), F.lit("}}"))
-    delta = F.from_json(F.get_json_object("data", "$.usage"), "map<string,string>")
-    kept = F.to_json(F.map_filter(delta, lambda k, v: ~k.isin(*U.INPUTS)))
-    ended = F.concat(F.lit('{"type":"message_delta","usage":'), F.regexp_replace(kept, r'"(-?[0-9.]+)"', "$1"), F.lit("}"))
-    return events.withColumn("data", F.when((F.col("type") == "message_start") & use.isNotNull(), start).when((F.col("type") == "message_delta") & delta.isNotNull(), ended).otherwise(F.col("data")))
+    """Events with scaled usage in message_start; in message_delta the usage loses its input fields first. All else in their data stays.
+
+    Rewritten data are compact JSON with the names of an object in order; data without a usage object, and what is
+    no JSON object, stay as they are, byte for byte.
+    """
+    def put(whole: Column, name: str, value: Column) -> Column:
+        return F.transform_values(whole, lambda k, v: F.when(k == name, value).otherwise(v))
+
+    def inner(whole: Column, name: str) -> Column:
+        v = F.try_element_at(whole, F.lit(name))
+        return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.try_variant_get(v, "$", OBJECT))
+
+    e = events.withColumn("_whole", F.when(F.col("type").isin("message_start", "message_delta"), F.from_json("data", OBJECT)))
+    e = e.withColumn("_message", inner(F.col("_whole"), "message"))
+    start = inner(F.col("_message"), "usage")
+    delta = inner(F.col("_whole"), "usage")
+    left = F.map_filter(delta, lambda k, v: ~k.isin(*U.INPUTS))
+    started = put(F.col("_whole"), "message", F.to_variant_object(put(F.col("_message"), "usage", F.to_variant_object(scaled_usage(start, factor)))))
+    ended = put(F.col("_whole"), "usage", F.to_variant_object(scaled_usage(left, factor)))
+    fresh = F.when((F.col("type") == "message_start") & start.isNotNull(), F.to_json(F.to_variant_object(started))).when((F.col("type") == "message_delta") & delta.isNotNull(), F.to_json(F.to_variant_object(ended)))
+    return e.withColumn("data", F.coalesce(fresh, "data")).drop("_whole", "_message")
 
 
 def baseline_changes(lifecycles_: DataFrame, requests: DataFrame) -> DataFrame:
