@@ -42,11 +42,36 @@ def test_store_old_schema(spark):
     path = scratch(spark)
     store = Store(spark, path)
     old = spark.createDataFrame([(1, "s", 0, 9)], "block_id bigint, session_id string, block_range_start bigint, block_range_end bigint")
-    store._commit({"blocks": old})
+    store._commit(lambda now: {"blocks": ([], old)})
     row = store.blocks().first()
     assert (row.history_epoch, row.isolated, row.content_hash) == (1, 0, None)
 
 
+def test_store_two_writers(spark, sf):
+    """A writer whose number is taken starts again, so that neither change is lost."""
+    path = scratch(spark)
+    one, two = Store(spark, path), Store(spark, path)
+    a = views.archives(spark, sf)
+    one.save_blocks(a.filter("block_id < 10"))
+    real, turns = one._current, []
+
+    def late():
+        found = real()
+        if not turns:
+            turns.append(1)
+            two.save_blocks(a.filter("block_id between 10 and 19"))
+        return found
+
+    one._current = late
+    one.save_blocks(a.filter("block_id between 15 and 29"))
+    one._current = real
+    ids = [r.block_id for r in two.blocks().select("block_id").collect()]
+    assert len(set(ids)) == len(ids) == Store(spark, path).blocks().count() and max(ids) > 19
+    assert {10, 11} & set(ids) and len(one._current()[1]["blocks"]) == 3
+    one.compact()
+    assert len(one._current()[1]["blocks"]) == 1 and one.blocks().count() == len(ids)
+
+
 def encoded(raw):
     return base64.b64encode(raw).decode()
 

@@ -1,8 +1,9 @@
 """An archive store of versioned Parquet tables.
 
-Each change writes new versions of the tables it touches and then one small commit file that names them; readers
-follow the newest commit, so several tables change at once or not at all, and a writer that is lost leaves the
-last commit as it was. Paths go through Spark's own file systems.
+A table is a list of parts. Each change writes parts and then one small commit file that names all parts of all
+tables; readers follow the newest commit, so several tables change at once or not at all, and a writer that is
+lost leaves the last commit as it was. Adding blocks writes the new ones only. A writer that finds its number taken
+starts again from the commit that took it. Paths go through Spark's own file systems.
 """
 
 from __future__ import annotations
@@ -10,7 +11,9 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +24,17 @@ STATE = "key string, value string, updated_at timestamp"
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='threadloom-store-')}"
-    return f"{base}/store-{uuid.uuid4().hex}"
+    """A fresh folder under spark.checkpoint.dir; where that is unset a temporary one, in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{base or 'file://' + tempfile.mkdtemp(prefix='threadloom-store-')}/store-{uuid.uuid4().hex}"
+
+
+#: How often a writer starts again because another one took its number.
+TRIES = 20
+#: What a change makes of the parts that a table has: (parts to keep, rows to add).
+Change = tuple[list[str], DataFrame]
 
 
 class Store:
@@ -39,69 +50,91 @@ class Store:
     def _commits(self) -> list[str]:
         return sorted(f.getPath().getName() for f in self._fs.listStatus(self._path(f"{self.path}/commits")) if f.getPath().getName().endswith(".json"))
 
-    def _current(self) -> dict[str, str]:
+    def _read(self, commit: str) -> dict[str, list[str]]:
+        return json.loads(self.spark.read.text(f"{self.path}/commits/{commit}", wholetext=True).first()[0])
+
+    def _current(self) -> tuple[int, dict[str, list[str]]]:
+        """The next commit's number and what the last one names, both from one listing."""
         names = self._commits()
-        if not names:
-            return {}
-        return json.loads(self.spark.read.text(f"{self.path}/commits/{names[-1]}", wholetext=True).first()[0])
-
-    def _commit(self, changes: dict[str, DataFrame]) -> None:
-        """Writes the tables, then the commit; creating the commit file fails if another writer made that number."""
-        now = self._current()
-        number = len(self._commits())
-        for table, df in changes.items():
-            version = f"{table}/v-{uuid.uuid4().hex}"
-            df.write.parquet(f"{self.path}/{version}")
-            now[table] = version
-        out = self._fs.create(self._path(f"{self.path}/commits/{number:012d}.json"), False)
-        out.write(bytearray(json.dumps(now).encode()))
-        out.close()
-
-    def _table(self, name: str, schema: str | None = None) -> DataFrame | None:
-        version = self._current().get(name)
-        if version is None:
+        return (int(names[-1].removesuffix(".json")) + 1, self._read(names[-1])) if names else (0, {})
+
+    def _commit(self, change: Callable[[dict[str, list[str]]], dict[str, Change]]) -> None:
+        """Writes what change makes of the current parts, then the commit. Creating the commit file fails if another writer made that number; then all starts again."""
+        for _ in range(TRIES):
+            number, now = self._current()
+            for table, (kept, fresh) in change(now).items():
+                part = f"{table}/v-{uuid.uuid4().hex}"
+                fresh.write.parquet(f"{self.path}/{part}")
+                now = now | {table: [*kept, part]}
+            try:
+                out = self._fs.create(self._path(f"{self.path}/commits/{number:012d}.json"), False)
+            except Py4JJavaError as e:
+                if "FileAlreadyExists" not in str(e.java_exception):
+                    raise
+                continue
+            out.write(bytearray(json.dumps(now).encode()))
+            out.close()
+            return
+        raise RuntimeError(f"other writers took {TRIES} numbers one after another")
+
+    def _table(self, name: str, now: dict[str, list[str]], schema: str | None = None) -> DataFrame | None:
+        parts = now.get(name)
+        if not parts:
             return self.spark.createDataFrame([], schema) if schema else None
-        return self.spark.read.parquet(f"{self.path}/{version}")
+        return self.spark.read.option("mergeSchema", "true").parquet(*(f"{self.path}/{p}" for p in parts))
 
     def blocks(self) -> DataFrame | None:
         """Stored blocks; columns that older versions lack have their defaults."""
-        b = self._table("blocks")
+        return self._blocks(self._current()[1])
+
+    def _blocks(self, now: dict[str, list[str]]) -> DataFrame | None:
+        b = self._table("blocks", now)
         for name, (kind, value) in BLOCK_DEFAULTS.items():
             if b is not None:
                 b = b.withColumn(name, F.coalesce(F.col(name), F.lit(value)) if name in b.columns else F.lit(value).cast(kind))
         return b
 
     def save_blocks(self, fresh: DataFrame) -> None:
-        """Adds what storage.accepted lets in."""
-        old = self.blocks()
-        self._commit({"blocks": storage.accepted(fresh, fresh.filter("false")) if old is None else storage.accepted(fresh, old).unionByName(old)})
+        """Adds what storage.accepted lets in, as a part of its own."""
+
+        def change(now: dict[str, list[str]]) -> dict[str, Change]:
+            old = self._blocks(now)
+            return {"blocks": (now.get("blocks", []), storage.accepted(fresh, fresh.filter("false") if old is None else old))}
+
+        self._commit(change)
 
     def state(self) -> DataFrame:
-        return self._table("state", STATE)
+        return self._table("state", self._current()[1], STATE)
 
-    def _with_state(self, pairs: list[tuple[str, str]]) -> DataFrame:
+    def _with_state(self, now: dict[str, list[str]], pairs: list[tuple[str, str]]) -> Change:
         new = self.spark.createDataFrame(pairs, "key string, value string").withColumn("updated_at", F.current_timestamp())
-        return self.state().join(new.select("key"), "key", "left_anti").select("key", "value", "updated_at").unionByName(new)
+        return [], self._table("state", now, STATE).join(new.select("key"), "key", "left_anti").select("key", "value", "updated_at").unionByName(new)
 
     def put_state(self, pairs: list[tuple[str, str]]) -> None:
-        self._commit({"state": self._with_state(pairs)})
+        self._commit(lambda now: {"state": self._with_state(now, pairs)})
 
     def delete_state(self, key: str) -> None:
-        self._commit({"state": self.state().filter(F.col("key") != key)})
+        self._commit(lambda now: {"state": ([], self._table("state", now, STATE).filter(F.col("key") != key))})
 
     def commit_transition(self, key: str, value: str, session: str, prefix: int) -> None:
-        """A session's new state, and its blocks past the common prefix hidden, in one commit."""
+        """A session's new state, and its blocks past the common prefix hidden, in one commit. This rewrites the blocks."""
         if not session or not key or prefix < 0:
             raise ValueError("a transition needs a session, a key and a prefix of 0 or more")
-        changes = {"state": self._with_state([(key, value)])}
-        if self.blocks() is not None:
-            changes["blocks"] = storage.isolate(self.blocks(), F.lit(session), F.lit(prefix))
-        self._commit(changes)
+
+        def change(now: dict[str, list[str]]) -> dict[str, Change]:
+            blocks = self._blocks(now)
+            changes = {"state": self._with_state(now, [(key, value)])}
+            return changes if blocks is None else changes | {"blocks": ([], storage.isolate(blocks, F.lit(session), F.lit(prefix)))}
+
+        self._commit(change)
+
+    def compact(self) -> None:
+        """Makes one part of each table's parts."""
+        self._commit(lambda now: {name: ([], self._table(name, now)) for name, parts in now.items() if len(parts) > 1})
 
     def vacuum(self, keep: int = 1) -> None:
-        """Deletes versions that none of the last commits name."""
-        names = self._commits()[-keep:]
-        live = {v for n in names for v in json.loads(self.spark.read.text(f"{self.path}/commits/{n}", wholetext=True).first()[0]).values()}
+        """Deletes parts that none of the last commits name. No writer may be at work."""
+        live = {p for n in self._commits()[-keep:] for parts in self._read(n).values() for p in parts}
         for table in ("blocks", "state"):
             folder = self._path(f"{self.path}/{table}")
             for f in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
