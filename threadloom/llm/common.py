@@ -4,20 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of whole texts in one Arrow batch; bounds a Python worker's memory with texts of usual length.
-TEXT_BATCH = 1000
+#: Bytes of text that an operator turns into arrays at once; a longer text is a slice of its own.
+SLICE = 2 << 20
+#: Tables written by this process that drop_tables may delete.
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
+    """The folder all executors see (spark.checkpoint.dir); a temporary one only in local mode, where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='threadloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -30,18 +36,45 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_written() -> list[str]:
+    """Paths of the tables written so far and not dropped."""
+    return list(_written)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that no frame in use reads any more."""
+    jvm = spark._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _written:
+            _written.remove(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
-    """Bounds the rows that an Arrow batch of texts holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts in `column` have `most` bytes at most, or one row: bounds the arrays made of them."""
+    for lo, hi in text_bounds(batch.column(column), most):
+        yield batch.slice(lo, hi - lo)
+
+
+def text_bounds(column: pa.Array, most: int = SLICE) -> list[tuple[int, int]]:
+    ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    out, lo, done = [], 0, 0
+    while lo < len(ends):
+        hi = max(int(np.searchsorted(ends, done + most, "right")), lo + 1)
+        out.append((lo, hi))
+        lo, done = hi, int(ends[hi - 1])
+    return out
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

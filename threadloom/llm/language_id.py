@@ -16,17 +16,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_buffer
+from .common import slices, text_buffer
+from .words import mixed, span_hashes
 
 WINDOW = 128
 WIDTHS = (2, 3, 4, 5)
 FILTERS, EMBEDDING = 10, 6
-#: Labelled documents that the network is trained on at most, those of smallest hash; a window each from beginning, middle and end.
-SAMPLE = 4000
-EPOCHS, RATE = 8, 4e-3
+#: Labelled documents that the network is trained on at most, those of smallest hash, and windows of each, those of smallest hash of all its windows.
+SAMPLE, PER_TEXT = 4000, 3
+#: Epochs, or as many more as make the least number of steps on a small sample.
+EPOCHS, STEPS, RATE = 8, 200, 4e-3
 #: Windows that go through the network at once; small, so that all stays in the cache.
 CHUNK = 64
-BATCH = 500
 
 
 @dataclass
@@ -71,41 +72,55 @@ def windows_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out.reshape(-1, WINDOW), first
 
 
+def mask_of(embedding: int = EMBEDDING, filters: int = FILTERS) -> np.ndarray:
+    """Ones where a filter has weights: narrower ones end before the longest."""
+    mask = np.zeros((max(WIDTHS) * embedding, filters * len(WIDTHS)), np.float32)
+    for k, w in enumerate(WIDTHS):
+        mask[: w * embedding, k * filters : (k + 1) * filters] = 1
+    return mask
+
+
+def gradients(net: ByteNetwork, windows: np.ndarray, labels: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """The mean cross-entropy of windows and its derivatives by the network's arrays."""
+    widest, e = max(WIDTHS), net.embed.shape[1]
+    unfolded, a = net.pooled(windows)
+    n, length = windows.shape
+    where = a.argmax(axis=1)
+    top = np.take_along_axis(a, where[:, None, :], 1)[:, 0] + net.bias
+    h = np.maximum(top, 0)
+    z = h @ net.out + net.shift
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    d = z / z.sum(axis=1, keepdims=True)
+    loss = float(-np.log(np.maximum(d[np.arange(n), labels], 1e-30)).mean())
+    d[np.arange(n), labels] -= 1
+    d /= n
+    dh = (d @ net.out.T) * (top > 0)
+    picked = unfolded.reshape(n, length, -1)[np.arange(n)[:, None], where]  # (n, f, widest * e)
+    g = {"out": h.T @ d, "shift": d.sum(axis=0), "bias": dh.sum(axis=0), "filters": np.einsum("nf,nfk->kf", dh, picked) * mask}
+    back = (dh[:, :, None] * net.filters.T[None]).reshape(n, -1, widest, e)
+    byte = np.pad(windows, ((0, 0), (0, widest - 1)))[np.arange(n)[:, None, None], where[:, :, None] + np.arange(widest)]
+    g["embed"] = np.zeros_like(net.embed)
+    np.add.at(g["embed"], byte.ravel(), back.reshape(-1, e))
+    return loss, g
+
+
 def train_network(windows: np.ndarray, labels: np.ndarray, names: list[str], epochs: int = EPOCHS, seed: int = 3) -> ByteNetwork:
     """Adam on the cross-entropy of windows, in batches of 128; labels are places in names."""
     rng = np.random.default_rng(seed)
-    widest, f = max(WIDTHS), FILTERS * len(WIDTHS)
-    mask = np.zeros((widest * EMBEDDING, f), np.float32)
-    for k, w in enumerate(WIDTHS):
-        mask[: w * EMBEDDING, k * FILTERS : (k + 1) * FILTERS] = 1
+    mask = mask_of()
+    f = mask.shape[1]
     p = {
         "embed": rng.normal(0, 0.5, (256, EMBEDDING)).astype(np.float32), "filters": (rng.normal(0, 0.3, mask.shape) * mask).astype(np.float32),
         "bias": np.zeros(f, np.float32), "out": rng.normal(0, 0.2, (f, len(names))).astype(np.float32), "shift": np.zeros(len(names), np.float32),
     }
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
     net = ByteNetwork(names, *p.values())
+    epochs = max(epochs, -(-STEPS // -(-len(windows) // 128)))
     for epoch in range(epochs):
         order = rng.permutation(len(windows))
         for lo in range(0, len(order), 128):
             at = order[lo : lo + 128]
-            w, y = windows[at], labels[at]
-            unfolded, a = net.pooled(w)
-            n, length = w.shape
-            where = a.argmax(axis=1)
-            top = np.take_along_axis(a, where[:, None, :], 1)[:, 0] + p["bias"]
-            h = np.maximum(top, 0)
-            z = h @ p["out"] + p["shift"]
-            z = np.exp(z - z.max(axis=1, keepdims=True))
-            d = z / z.sum(axis=1, keepdims=True)
-            d[np.arange(n), y] -= 1
-            d /= n
-            dh = (d @ p["out"].T) * (top > 0)
-            picked = unfolded.reshape(n, length, -1)[np.arange(n)[:, None], where]  # (n, f, widest * e)
-            g = {"out": h.T @ d, "shift": d.sum(axis=0), "bias": dh.sum(axis=0), "filters": np.einsum("nf,nfk->kf", dh, picked) * mask}
-            back = (dh[:, :, None] * p["filters"].T[None]).reshape(n, f, widest, EMBEDDING)
-            byte = np.pad(w, ((0, 0), (0, widest - 1)))[np.arange(n)[:, None, None], where[:, :, None] + np.arange(widest)]
-            g["embed"] = np.zeros_like(p["embed"])
-            np.add.at(g["embed"], byte.ravel(), back.reshape(-1, EMBEDDING))
+            _, g = gradients(net, windows[at], labels[at], mask)
             step += 1
             rate = RATE * (0.3 if epoch >= epochs * 2 // 3 else 1)
             for k in p:
@@ -115,30 +130,55 @@ def train_network(windows: np.ndarray, labels: np.ndarray, names: list[str], epo
     return net
 
 
-def fit_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> ByteNetwork | None:
-    """Trains on at most `sample` rows with a text with letters and a lang; None if there are none. Labels are learned in code point order."""
+def chosen_windows(windows: np.ndarray, first: np.ndarray, most: int) -> np.ndarray:
+    """Places of the `most` windows of smallest hash of each text."""
+    flat = windows.ravel()
+    starts = np.arange(len(windows)) * WINDOW
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    h = mixed(span_hashes(flat, starts, starts + WINDOW) + (np.arange(len(windows)) - first[text]).astype(np.uint64)) if len(windows) else np.zeros(0, np.uint64)
+    order = np.lexsort((h, text))
+    return np.sort(order[np.arange(len(order)) - first[text[order]] < most])
+
+
+def fit_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, per_text: int = PER_TEXT) -> ByteNetwork | None:
+    """Trains on at most `sample` rows with a text with letters and a lang, `per_text` windows of each; None if there are none.
+
+    Labels are learned in code point order. Windows come from anywhere in a whole text and are taken in the order
+    of their documents' hashes, so the network doesn't depend on how the table is laid out.
+    """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    # The hash decides first and alone, so that no texts but the sample's leave their tasks, and of these only pieces.
+    # The hash decides first and alone, so that no texts but the sample's are cut into windows.
     h = F.xxhash64(id_col, text_col)
     cut = known.select(h.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if cut is None:
         return None
-    n = F.char_length(text_col)
-    begins = [F.lit(1), F.greatest(F.floor((n - WINDOW) / 2) + 1, F.lit(1)).cast("int"), F.greatest(n - WINDOW + 1, F.lit(1)).cast("int")]
-    pieces = F.array_distinct(F.array(*(F.substr(text_col, at, F.lit(WINDOW)) for at in begins)))
-    rows = known.filter(h <= cut).select(F.col(lang_col).alias("lang"), pieces.alias("pieces")).limit(sample).toPandas()
-    rows = rows.explode("pieces")
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in slices(whole, "t")):
+            windows, first = windows_of(b.column("t"))
+            at = chosen_windows(windows, first, per_text)
+            text = np.searchsorted(first, at, "right") - 1
+            blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WINDOW), len(at), [None, pa.py_buffer(np.ascontiguousarray(windows[at]))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("h").take(pa.array(text)), b.column("lang").take(pa.array(text)), pa.array(at - first[text]), blob], names=["h", "lang", "place", "window"])
+
+    rows = known.filter(h <= cut).select(h.alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t"))
+    rows = rows.mapInArrow(cut_up, "h bigint, lang string, place bigint, window binary").orderBy("h", "place", "lang").limit(sample * per_text).toPandas()
+    rows = rows.sort_values(["h", "place", "lang"], kind="stable")
     names = sorted(rows["lang"].unique())
-    windows, first = windows_of(pa.array(rows["pieces"], pa.string()))
-    return train_network(windows[first[:-1]], np.array([names.index(x) for x in rows["lang"]]), names)
+    windows = np.frombuffer(b"".join(rows["window"]), np.uint8).reshape(-1, WINDOW)
+    return train_network(windows, np.array([names.index(x) for x in rows["lang"]]), names)
 
 
 def predict_language(docs: DataFrame, network: ByteNetwork | None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id_col, lang_pred, score) for each row: `und` with score 0 for null texts, texts without a letter, or without a network."""
-    small_batches(docs.sparkSession, BATCH)
+    """(id_col, lang_pred, score) for each row: `und` with score 0 for null texts, texts without a letter, or without a network.
+
+    All windows of a text count, however long it is; of equal means the first label in code point order is taken.
+    Repeated rows are rows of their own, null ids stay null, an empty table gives no rows; other columns are
+    ignored, whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "t")):
             windows, first = windows_of(b.column("t"))
             letters = b.column("letters").to_numpy(zero_copy_only=False)
             if network is None:
@@ -153,5 +193,3 @@ def predict_language(docs: DataFrame, network: ByteNetwork | None, text_col: str
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     return rows.mapInArrow(run, "id bigint, lang_pred string, score double").withColumnRenamed("id", id_col)
-
-

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_table, rows_kept, small_batches
+from .common import kept_table, rows_kept, slices
 from .grouping import binary_matrix, components, local_roots, whole_groups
 from .words import mixed, shingles, words
 
@@ -30,7 +30,6 @@ BLOCK = 512
 GATHER = 4096
 #: What a signature's agreement may fall short of the similarity: two to three standard errors.
 SLACK = 0.1
-BATCH = 500
 
 
 def recall(similarity: float, trees: int, prefix: int) -> float:
@@ -61,7 +60,7 @@ def mixed_once(h: np.ndarray) -> np.ndarray:
 
 def _sketches(size: int, trees: int, depth: int, prefix: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "t")):
             hashes, _, _, first, _ = words(b.column("t"))
             sets, at = shingles(hashes, first, size)
             sig = signatures(sets, at, trees * depth)
@@ -119,7 +118,7 @@ def _gather(values: int, cover: float, reach: float):
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "t")):
             hashes, _, _, first, _ = words(b.column("t"))
             sets, at = shingles(hashes, first, size)
             blobs = [np.unique(sets[x:y]).tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
@@ -199,7 +198,6 @@ def ngram_join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     with the smallest id of each component; of repeated rows exactly one is kept. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark, BATCH)
     prefix, values = prefix_length(threshold, trees, depth, target), trees * depth
     source = _digested(docs, text_col, id_col)
     sketches = kept_table(source.withColumn("row", F.monotonically_increasing_id()).select("id", "row", "digest", "t").mapInArrow(_sketches(size, trees, depth, prefix), "id bigint, row bigint, digest binary, nodes array<bigint>, signature binary"), "sketches")

@@ -3,7 +3,8 @@
 A logistic classifier on the make-up of a text gives each document its own evidence. Hosts and the paths below
 them have quality rates of their own: a Beta prior fitted to the spread between hosts shrinks sparse hosts to the
 global rate, one fitted to the spread within hosts shrinks sparse paths to their host. A document's posterior
-log-odds are its own plus what its path's rate adds to the global rate.
+log-odds are its own plus what the rate of the other documents of its path adds to the global rate; its own score
+is left out of its site, so that no evidence counts twice.
 """
 
 from __future__ import annotations
@@ -14,13 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import kept_table, small_batches, text_buffer
+from .common import kept_table, text_bounds, text_buffer
 from .toxicity import logistic
 from .words import IS_WORD, span_hashes, spans_of
 
 #: Labelled rows that the classifier is fitted on at most, those of smallest hash of the id.
 SAMPLE = 20_000
-BATCH = 500
 CLASSES = {
     "upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "blank": (32, 9), "line": (10, 13), "other": range(128, 256),
     "stop": (46, 44, 59, 58), "shout": (33, 63), "bar": (124,), "symbol": (35, 36, 37, 38, 42, 64, 94, 126, 43, 61, 92), "bracket": (40, 41, 60, 62, 91, 93, 123, 125), "quote": (34, 39, 96, 45, 95, 47),
@@ -58,28 +58,34 @@ def text_make_up(column: pa.Array) -> np.ndarray:
     return np.column_stack([np.ones(len(n)), np.sqrt(shares[:, 1:]), log_words, log_words**2 / 10, np.log1p(letters), words_, words_**2, pairs, words_ * log_words, count == 0])
 
 
+def whole_make_up(column: pa.Array) -> np.ndarray:
+    """text_make_up of a column of any size, slice by slice."""
+    return np.concatenate([text_make_up(column.slice(lo, hi - lo)) for lo, hi in text_bounds(column)] or [text_make_up(column)])
+
+
 def _classify(weights: np.ndarray):
     @arrow_udf("double")
     def own_quality(text: pa.Array) -> pa.Array:
-        z = np.clip(text_make_up(text) @ weights, -12, 12)
+        z = np.clip(whole_make_up(text) @ weights, -12, 12)
         return pa.array(1 / (1 + np.exp(-z)))
 
     return own_quality
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> np.ndarray:
-    """Classifier weights from at most `sample` rows of labels (id_col, quality 0/1); nulls don't count. Without both classes the weights are 0 but for the constant."""
-    small_batches(docs.sparkSession, BATCH)
+    """Classifier weights from at most `sample` rows of labels (id_col, quality 0/1) and as many of docs; nulls don't count, of rows that repeat an id one does. Without both classes the weights are 0 but for the constant."""
     chosen = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("id")).agg(F.max("quality").cast("int").alias("quality")).orderBy(F.xxhash64("id"), "id").limit(sample)
     chosen = kept_table(chosen, "labels")
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most `sample` rows of 12 bytes
 
     @arrow_udf("array<double>")
     def make_up(text: pa.Array) -> pa.Array:
-        x = text_make_up(text)
+        x = whole_make_up(text)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
-    seen = rows.select("quality", make_up("text").alias("x")).toPandas()
+    # One row an id: a group keeps its row of smallest text hash, and no more than `sample` rows reach the driver.
+    made = rows.select("id", "quality", F.xxhash64("text").alias("h"), make_up(F.coalesce("text", F.lit(""))).alias("x"))
+    seen = made.groupBy("id").agg(F.min_by(F.struct("quality", "x"), F.struct("h", "x")).alias("s")).select("id", "s.*").toPandas().sort_values("id")
     width = text_make_up(pa.array([""])).shape[1]
     if seen["quality"].nunique() < 2:
         weights = np.zeros(width)
@@ -102,11 +108,11 @@ def path_of(source: Column, within: Column) -> Column:
 
 
 def site_rates(scored: DataFrame) -> DataFrame:
-    """(host, path, n, host_rate, path_rate, global_rate) from (host, path, own): posterior means under moment-fitted Beta priors.
+    """(host, path, n, good, host_n, host_good, of_host, of_path, host_rate, path_rate, global_rate) from (host, path, own): posterior means under moment-fitted Beta priors.
 
-    A prior's strength is rate (1 - rate) / variance - 1, the variance being what the spread of group means
-    leaves after the spread expected of means of so many documents; 1 at least and 1e6 at most. What is grouped
-    twice never holds more than a row for each path.
+    A prior's strength (of_host, of_path) is rate (1 - rate) / variance - 1, the variance being what the spread of
+    group means leaves after the spread expected of means of so many documents; 1 at least and 1e6 at most. What is
+    grouped twice never holds more than a row for each path.
     """
     paths = kept_table(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("own").alias("good"), F.sum(F.col("own") * F.col("own")).alias("square")), "paths")
     whole = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("square").alias("square"), F.count("*").alias("paths"), F.countDistinct("host").alias("hosts")).first()
@@ -122,11 +128,23 @@ def site_rates(scored: DataFrame) -> DataFrame:
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
     between = hosts.agg(F.sum(F.col("host_n") * F.pow(F.col("host_good") / F.col("host_n") - rate, 2)) / n).first()[0]
     of_host = strength(between, whole["hosts"])
-    hosts = hosts.select("host", ((F.col("host_good") + of_host * rate) / (F.col("host_n") + of_host)).alias("host_rate"))
+    hosts = hosts.withColumn("host_rate", shrunk(F.col("host_good"), F.col("host_n"), F.lit(rate), F.lit(of_host)))
     met = kept_table(paths.join(hosts, "host"), "met")
     inner = met.agg(F.sum(F.col("n") * F.pow(F.col("good") / F.col("n") - F.col("host_rate"), 2)) / n).first()[0]
-    of_path = strength(inner, whole["paths"])
-    return met.select("host", "path", "n", "host_rate", ((F.col("good") + of_path * F.col("host_rate")) / (F.col("n") + of_path)).alias("path_rate"), F.lit(rate).alias("global_rate"))
+    of_path = F.lit(strength(inner, whole["paths"]))
+    path_rate = shrunk(F.col("good"), F.col("n"), F.col("host_rate"), of_path)
+    return met.select("host", "path", "n", "good", "host_n", "host_good", F.lit(of_host).alias("of_host"), of_path.alias("of_path"), "host_rate", path_rate.alias("path_rate"), F.lit(rate).alias("global_rate"))
+
+
+def shrunk(good: Column, n: Column, prior: Column, strength: Column) -> Column:
+    """The posterior mean of a rate with `good` of n, under a Beta prior of that mean and strength."""
+    return (good + strength * prior) / (n + strength)
+
+
+def without_own(own: Column) -> Column:
+    """A document's path rate when its own score is taken out of its path and host, from the columns of site_rates."""
+    host = shrunk(F.greatest(F.col("host_good") - own, F.lit(0.0)), F.col("host_n") - 1, F.col("global_rate"), F.col("of_host"))
+    return shrunk(F.greatest(F.col("good") - own, F.lit(0.0)), F.col("n") - 1, host, F.col("of_path"))
 
 
 def _log_odds(p: Column) -> Column:
@@ -139,28 +157,32 @@ def posterior(own: Column, path_rate: Column, global_rate: Column) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
+def _judged(docs: DataFrame, weights: np.ndarray, text_col: str, source_col: str, path: Column | None) -> DataFrame:
+    """(whole, own, host_rate, path_rate, score): every row of docs as the struct `whole`, so that no column's name can clash."""
+    source = F.col(source_col)
+    below = path if path is not None else path_of(source, F.col("lang") if "lang" in docs.columns else F.lit(""))
+    own = _classify(weights)(F.coalesce(F.col(text_col), F.lit("")))
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), host_of(source).alias("host"), below.alias("path"), own.alias("own"))
+    return marked.withColumn("path", F.coalesce("path", F.lit("")))
+
+
+def _scored(marked: DataFrame) -> DataFrame:
+    rates = kept_table(site_rates(marked.select("host", "path", "own")), "rates")
+    met = marked.join(rates, ["host", "path"])
+    return met.withColumn("score", posterior(F.col("own"), without_own(F.col("own")), F.col("global_rate")))
+
+
 def score_quality(docs: DataFrame, weights: np.ndarray, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", path: Column | None = None, least: float = 0.5) -> DataFrame:
     """One row for each row of docs: id_col, own_score, host_rate, path_rate, score, kept.
 
-    Null text counts as empty; a null source is a host of its own, a null path a path of its own. kept is
-    score >= least. Repeated rows are rows of their own; an empty table gives no rows.
+    Null text counts as empty; a null source is a host of its own, a null path the empty one. host_rate and
+    path_rate are those of the whole site, score leaves the document's own part out of them. kept is
+    score >= least. Repeated rows are rows of their own; an empty table gives no rows; other columns are ignored.
     """
-    small_batches(docs.sparkSession, BATCH)
-    source = F.col(source_col)
-    below = path if path is not None else path_of(source, F.col("lang") if "lang" in docs.columns else F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), host_of(source).alias("host"), below.alias("path"), _classify(weights)(F.coalesce(F.col(text_col), F.lit(""))).alias("own"))
-    rows = kept_table(rows, "own")
-    rates = site_rates(rows)
-    return rows.join(rates.drop("n"), ["host", "path"]).select(F.col("id").alias(id_col), F.col("own").alias("own_score"), "host_rate", "path_rate", posterior(F.col("own"), F.col("path_rate"), F.col("global_rate")).alias("score")).withColumn("kept", F.col("score") >= least)
+    marked = kept_table(_judged(docs.select(*dict.fromkeys((id_col, text_col, source_col, *(["lang"] if "lang" in docs.columns else [])))), weights, text_col, source_col, path).withColumn("whole", F.col(f"whole.`{id_col}`")), "own")
+    return _scored(marked).select(F.col("whole").alias(id_col), F.col("own").alias("own_score"), "host_rate", "path_rate", "score").withColumn("kept", F.col("score") >= least)
 
 
 def keep_quality(docs: DataFrame, weights: np.ndarray, text_col: str = "text", source_col: str = "source", path: Column | None = None, least: float = 0.5) -> DataFrame:
-    """The rows of docs with score >= least, with all their columns."""
-    small_batches(docs.sparkSession, BATCH)
-    source = F.col(source_col)
-    below = path if path is not None else path_of(source, F.col("lang") if "lang" in docs.columns else F.lit(""))
-    own = _classify(weights)(F.coalesce(F.col(text_col), F.lit("")))
-    marked = docs.withColumn("__own", own).withColumn("__host", host_of(source)).withColumn("__path", below)
-    rates = kept_table(site_rates(marked.select(F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__own").alias("own"))).select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("path_rate").alias("__rate"), F.col("global_rate").alias("__all")), "rates")
-    met = marked.join(rates, ["__host", "__path"])
-    return met.filter(posterior(F.col("__own"), F.col("__rate"), F.col("__all")) >= least).select(*docs.columns)
+    """The rows of docs with score >= least, with all their columns; nulls, repeated rows and empty tables as in score_quality."""
+    return _scored(_judged(docs, weights, text_col, source_col, path)).filter(F.col("score") >= least).select("whole.*")

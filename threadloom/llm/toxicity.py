@@ -3,8 +3,8 @@
 Tokens are words, known by themselves and by their beginnings, so that a stem counts whatever follows it. Log-odds
 of a token in toxic against other documents have a Dirichlet prior at the base rate. Tokens of the lexicon
 score their log-odds, all others the small negative log-likelihood ratio of not being in it; every maximal
-segment of a text is found in one scan. A segment's E-value K n exp(-lambda S) has lambda from the scores of
-clean text and K from the best segments of clean documents, by maximum likelihood. A logistic curve of the best
+segment of a text is found in one scan. A segment's E-value K n exp(-lambda S) has lambda from the scores that the
+words of clean text have, and K from the best segments of clean documents, by maximum likelihood. A logistic curve of the best
 segment's and all significant segments' evidence, fitted on labelled documents, gives the score.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_table, small_batches
+from .common import kept_table, slices
 from .words import mixed, span_hashes, words
 
 #: Labelled rows that the model is fitted on at most, those of smallest hash of the id.
@@ -29,7 +29,6 @@ BEGINNINGS = (3, 4, 5, 6, 7, 8, 10)
 #: Toxic documents that a token must occur in, the prior's documents, and the least log-odds.
 LEAST_DOCS, PRIOR, LEAST_ODDS = 5, 2.0, 2.7
 SIGNIFICANT = 0.05
-BATCH = 500
 
 
 @dataclass
@@ -59,7 +58,7 @@ def _document_counts(known: np.ndarray | None):
     """(token, toxic documents, other documents); with known, of known tokens only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "text")):
             tokens, _, _, first, _ = word_tokens(b.column("text"))
             toxic = b.column("toxic").to_numpy()
             doc = np.repeat(np.arange(len(toxic)), np.diff(first))
@@ -108,22 +107,23 @@ def segments(scores: np.ndarray, gaps: np.ndarray, drift: float) -> list[tuple[i
     return [(a, b, r - x) for (a, b), x, r in zip(span, left, right, strict=True)]
 
 
-def _scan(column: pa.Array, model: ToxicityModel):
-    """For each text its number of words, best segment score and hit words with their odds."""
+def _scan(column: pa.Array, model: ToxicityModel, places: bool = False):
+    """For each text its number of words, its segments and its hit words; with places, the places of these in the lexicon."""
     tokens, starts, ends, first, flat = word_tokens(column)
-    odds = np.zeros(len(starts))
+    place = np.full(len(starts), -1)
     if len(model.tokens):
         for t in tokens:
             at = np.minimum(np.searchsorted(model.tokens, t), len(model.tokens) - 1)
-            new = (odds == 0) & (model.tokens[at] == t) & (t != 0)
-            odds[new] = model.odds[at[new]]
-    hit = np.flatnonzero(odds)
+            new = (place < 0) & (model.tokens[at] == t) & (t != 0)
+            place[new] = at[new]
+    odds = np.where(place < 0, 0.0, model.odds[place] if len(model.odds) else 0.0)
+    hit = np.flatnonzero(place >= 0)
     at = np.searchsorted(hit, first)
     for d in range(len(first) - 1):
         h = hit[at[d] : at[d + 1]]
         n = int(first[d + 1] - first[d])
-        if not len(h):
-            yield n, [], starts, ends, first[d], h
+        if places or not len(h):
+            yield n, [], starts, ends, first[d], place[h]
             continue
         gaps = np.diff(np.r_[first[d] - 1, h]) - 1
         yield n, segments(odds[h], gaps, model.drift), starts, ends, first[d], h
@@ -168,8 +168,7 @@ def decay_rate(values: np.ndarray, weights: np.ndarray) -> float:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> ToxicityModel:
-    """Fits on at most `sample` rows of labels (id_col, toxic 0/1; null labels and ids don't count), each text once a label."""
-    small_batches(docs.sparkSession, BATCH)
+    """Fits on at most `sample` rows of labels (id_col, toxic 0/1; null labels and ids don't count), each text once a label. Without both labels, as in an empty table, scores are one constant."""
     chosen = labels.filter(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("id")).agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(sample)
     chosen = kept_table(chosen, "labels")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -196,21 +195,31 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_
     model.tokens, model.odds = token[order], odds[good][order]
 
     def rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            toxic = b.column("toxic").to_numpy()
-            n, hits = [], []
-            for words_, _, _, _, _, h in _scan(b.column("text"), model):
-                n.append(words_), hits.append(len(h))
-            yield pa.RecordBatch.from_arrays([pa.array(toxic.astype(np.int64)), pa.array(n, pa.int64()), pa.array(hits, pa.int64())], names=["token", "yes", "no"])
-
-    seen = {r["token"]: r for r in rows.mapInArrow(rates, schema).groupBy("token").agg(F.sum("yes").alias("n"), F.sum("no").alias("h")).collect()}
-    rate = [(seen[k]["h"] + 0.5) / (seen[k]["n"] + 1) for k in (0, 1)]
+        for b in (part for whole in batches for part in slices(whole, "text")):
+            n, hits = np.zeros(2, np.int64), [np.zeros(len(model.odds), np.int64), np.zeros(len(model.odds), np.int64)]
+            for toxic, (words_, _, _, _, _, h) in zip(b.column("toxic").to_pylist(), _scan(b.column("text"), model, places=True), strict=True):
+                n[toxic] += words_
+                hits[toxic] += np.bincount(h, minlength=len(model.odds))
+            place = [-1, -1, *(np.flatnonzero(hits[0])), *(np.flatnonzero(hits[1]))]
+            toxic = np.r_[0, 1, np.zeros(np.count_nonzero(hits[0]), np.int64), np.ones(np.count_nonzero(hits[1]), np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(toxic), pa.array(np.r_[n, hits[0][hits[0] > 0], hits[1][hits[1] > 0]])], names=["token", "yes", "no"])
+
+    # A row for each token of the lexicon and label at most, and the words of all texts under -1.
+    seen = rows.mapInArrow(rates, schema).groupBy("token", "yes").agg(F.sum("no").alias("n")).collect()
+    size, hits = [0, 0], np.zeros((2, len(model.odds)))
+    for r in seen:
+        if r["token"] < 0:
+            size[r["yes"]] = r["n"]
+        else:
+            hits[r["yes"], r["token"]] = r["n"]
+    rate = [(hits[k].sum() + 0.5) / (size[k] + 1) for k in (0, 1)]
     model.drift = max(math.log((1 - rate[0]) / (1 - rate[1])), 1e-3)
-    typical = float(np.median(model.odds)) if len(model.odds) else LEAST_ODDS
-    model.lam = decay_rate(np.array([typical, -model.drift]), np.array([rate[0], 1 - rate[0]]))
+    # The scores of clean text: each token of the lexicon as often as it comes there, half a hit shared by all, else the drift.
+    scores = np.r_[model.odds if len(model.odds) else LEAST_ODDS, -model.drift]
+    model.lam = decay_rate(scores, np.r_[hits[0] + 0.5 / max(len(model.odds), 1) if len(model.odds) else 0.5, max(size[0] - hits[0].sum(), 1.0)])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "text")):
             x = np.array([(n, max([0.0, *(s for _, _, s in found)])) for n, found, *_ in _scan(b.column("text"), model)]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(x[:, 0].astype(np.int64)), pa.array(x[:, 1])], names=["toxic", "n", "best"])
 
@@ -219,7 +228,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_
     model.k = float(len(clean) / max((np.maximum(clean["n"], 1) * np.exp(-model.lam * clean["best"])).sum(), 1e-9))
 
     def proofs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "text")):
             x = np.array([evidence(n, found, model) for n, found, *_ in _scan(b.column("text"), model)]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["toxic", "one", "all"])
 
@@ -235,13 +244,14 @@ PASSAGE = "array<struct<first_word: bigint, last_word: bigint, score: double, e_
 def toxic_passages(docs: DataFrame, model: ToxicityModel, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id_col, score, n_words, passages: every significant passage by its first and last word, with score and E-value.
 
-    Null and empty texts have no words, no passages, and the score of a text without any evidence.
+    Null and empty texts have no words, no passages, and the score of a text without any evidence. Whole texts are
+    scanned, however long. Repeated rows are rows of their own, null ids stay null, an empty table gives no rows;
+    other columns are ignored, whatever their names.
     """
-    small_batches(docs.sparkSession, BATCH)
     kind = pa.list_(pa.struct([("first_word", pa.int64()), ("last_word", pa.int64()), ("score", pa.float64()), ("e_value", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "t")):
             score, size, passages = [], [], []
             for n, found, _, _, first, h in _scan(b.column("t"), model):
                 score.append(probability(evidence(n, found, model), model))

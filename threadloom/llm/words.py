@@ -17,11 +17,13 @@ IS_WORD[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]]
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 BYTE_VALUE = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+#: Powers that a worker keeps between batches, 32 MB; those for a longer text go with it.
+KEPT = 1 << 22
 _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** n modulo 2 ** 64; kept, and doubled when more are asked for."""
+    """base ** 0 .. base ** n modulo 2 ** 64; kept up to KEPT of them, and doubled when more are asked for."""
     have = _powers.get(base)
     if have is None or len(have) <= n:
         size = 1 << max(16, (n + 1).bit_length())
@@ -30,7 +32,8 @@ def powers(base: int, n: int) -> np.ndarray:
         while k < size:
             have[k : 2 * k] = have[:k] * np.uint64(pow(base, k, 1 << 64))
             k *= 2
-        _powers[base] = have
+        if size <= KEPT:
+            _powers[base] = have
     return have[: n + 1]
 
 
