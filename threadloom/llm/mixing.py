@@ -3,8 +3,9 @@
 A source whose target is f times its size gives floor(f) complete epochs; the rest of its target is a weighted
 sample without replacement. Every document draws the exponential key -ln(u) / weight, u from its id and the
 seed; documents are taken in the order of their keys until their sizes add up to the rest. The order is never
-built over a whole source: keys fall into bins, sums of bins find the bin in which the budget ends, finer bins
-within that one the place, and only what shares the last bin is sorted.
+built over a whole source: the logarithms of keys fall into bins of one width, as fine for small weights as for
+large ones, sums of bins find the bin in which the budget ends, finer bins within that one the place, and only
+what shares the last bin is sorted.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from .common import kept_table
 
 #: Weights dealt to the sources in order, again and again.
 CYCLE = (5.0, 2.0, 1.0)
-BINS = 1024
+#: Bins for each factor of e between keys, and fine bins in each of these. Powers of two, so that bins follow the order of keys.
+COARSE, FINE = 32, 1024
 
 
 def word_count(text: Column) -> Column:
@@ -33,31 +35,42 @@ def quality_weight(text: Column) -> Column:
 
 def uniform(id_col: Column, seed: int) -> Column:
     """In (0, 1), from the id's decimal text and the seed: 52 bits of an MD5 digest."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("null"))).cast("binary")), 1, 13), 16, 10).cast("double")
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), id_col.cast("string")).cast("binary")), 1, 13), 16, 10).cast("double")
     return (bits + 0.5) / F.lit(float(2**52))
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
+    """Adds for each of sums what the rows before this one add up to, in an order without ties, and `_all_<sum>`, the whole.
+
+    Rows are dealt to ranges of the order; a window holds one range, and one more the sums of the ranges.
+    """
+    part = kept_table(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).withColumns({f"_of_{k}": c for k, c in sums.items()}), name)
+    parts = part.groupBy("_part").agg(*(F.sum(f"_of_{k}").alias(f"_in_{k}") for k in sums))
+    up_to = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(F.col("_part").alias("_at"), *(F.coalesce(F.sum(f"_in_{k}").over(up_to), F.lit(0)).alias(f"_to_{k}") for k in sums), *(F.sum(f"_in_{k}").over(W.partitionBy()).alias(f"_all_{k}") for k in sums))
+    within = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    met = part.join(parts, F.col("_part") == F.col("_at")).withColumns({k: F.col(f"_to_{k}") + F.coalesce(F.sum(f"_of_{k}").over(within), F.lit(0)) for k in sums})
+    return met.select(*df.columns, *sums, *(f"_all_{k}" for k in sums))
+
+
 def source_targets(sizes: DataFrame, cycle: tuple[float, ...] = CYCLE, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(source, source_size, target) from (source, source_size), a row for each source.
 
     Sources in code point order, null last, weigh as cycle says and share `share` times all sizes; no target
     is over `most` times its source, and what is over goes to the others by weight until none is above. Such
-    sharing ends at one level: target = min(most * size, level * weight). Sorted by the level at which each
-    source is full, a running sum shows the first source that isn't.
+    sharing ends at one level: target = min(most * size, level * weight). In the order of the levels at which
+    sources are full, running sums show the first source that isn't. No window holds all sources.
     """
-    rank = F.row_number().over(W.orderBy(F.asc_nulls_last("source")))
     weights = F.array(*(F.lit(float(x)) for x in cycle))
-    by_level = W.orderBy(F.col("full_at"), F.asc_nulls_last("source"))
-    below = by_level.rowsBetween(W.unboundedPreceding, -1)
-    return (
-        sizes.withColumn("weight", F.element_at(weights, ((rank - 1) % len(cycle) + 1).cast("int")))
-        .withColumn("full_at", F.lit(most) * F.col("source_size") / F.col("weight"))
-        .withColumn("used", F.coalesce(F.sum(F.lit(most) * F.col("source_size")).over(below), F.lit(0.0)))
-        .withColumn("rest", F.sum("weight").over(by_level.rowsBetween(0, W.unboundedFollowing)))
-        .withColumn("level", (F.lit(share) * F.sum("source_size").over(W.partitionBy()) - F.col("used")) / F.col("rest"))
-        .withColumn("level", F.max(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(W.partitionBy()))
-        .select("source", "source_size", F.least(F.lit(most) * F.col("source_size"), F.coalesce(F.col("level") * F.col("weight"), F.lit(most) * F.col("source_size"))).cast("double").alias("target"))
-    )
+    placed = running(sizes.select("source", "source_size"), [F.asc_nulls_last("source")], {"rank": F.lit(1).cast("bigint")}, "sources")
+    weighed = placed.select("source", "source_size", F.element_at(weights, (F.col("rank") % len(cycle) + 1).cast("int")).alias("weight"))
+    weighed = weighed.withColumn("full_at", F.lit(most) * F.col("source_size") / F.col("weight"))
+    sums = {"used": F.lit(most) * F.col("source_size"), "above": F.col("weight"), "whole": F.col("source_size").cast("double")}
+    filled = running(weighed, [F.col("full_at").asc(), F.asc_nulls_last("source")], sums, "levels")
+    filled = filled.withColumn("level", (F.lit(share) * F.col("_all_whole") - F.col("used")) / (F.col("_all_above") - F.col("above")))
+    level = filled.agg(F.max(F.when(F.col("level") <= F.col("full_at"), F.col("level")))).scalar()
+    full = F.lit(most) * F.col("source_size")
+    return filled.select("source", "source_size", F.least(full, F.coalesce(level * F.col("weight"), full)).cast("double").alias("target"))
 
 
 def mix_sources(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weight: Column | None = None, seed: int = 7, cycle: tuple[float, ...] = CYCLE, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -66,20 +79,20 @@ def mix_sources(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     size is the number of words (null text: 0). taken is size times epochs, epochs being the complete epochs
     of the source plus one for sampled documents. The document at which the rest of the target is reached is
     taken if that brings the source nearer to its target. Null source is a source of its own. Documents of
-    size 0 are part of each epoch and never sampled past the budget. Repeated ids draw one key; ties in keys
-    go by id, then by row. weight is a positive column (null, zero and negative: 1e-6), quality_weight(text) if None.
+    size 0 are part of each epoch and never sampled past the budget. Repeated ids draw one key, null ids one for
+    each text; ties in keys go by id, then by row. weight is a positive column (null, zero and negative: 1e-6),
+    quality_weight(text) if None. An empty table gives no rows; other columns are ignored, whatever their names.
     """
+    named = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
     w = weight if weight is not None else quality_weight(F.col(text_col))
     base = kept_table(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("check"), word_count(F.col(text_col)).alias("size"), F.greatest(F.coalesce(w.cast("double"), F.lit(1e-6)), F.lit(1e-6)).alias("w"))
-        .select("id", "source", "size", "check", (-F.log(uniform(F.col("id"), seed)) / F.col("w")).alias("key"), F.monotonically_increasing_id().alias("row")),
+        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("check"), word_count(F.col(text_col)).alias("size"), F.greatest(F.coalesce(w.cast("double"), F.lit(1e-6)), F.lit(1e-6)).alias("w"), uniform(named, seed).alias("u"))
+        .select("id", "source", "size", "check", (-F.log("u") / F.col("w")).alias("key"), F.monotonically_increasing_id().alias("row")),
         "mix",
     )
-    # key -> 1 - exp(-key) is monotone and spreads the keys over [0, 1).
-    place = F.lit(1.0) - F.exp(-F.col("key"))
-    coarse = F.least(F.floor(place * BINS), F.lit(BINS - 1)).cast("int")
-    fine = F.least(F.floor((place * BINS - F.floor(place * BINS)) * BINS), F.lit(BINS - 1)).cast("int")
-    base = base.withColumn("bin", coarse).withColumn("fine", fine)
+    # Scaling by a power of two and taking off the whole part are exact, so bins never contradict the order of keys.
+    place = F.log("key") * COARSE
+    base = base.withColumn("bin", F.floor(place).cast("int")).withColumn("fine", F.floor((place - F.floor(place)) * FINE).cast("int"))
     targets = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), cycle, share, most)
     size = F.nullif(F.col("source_size"), F.lit(0))
     targets = targets.withColumn("complete", F.coalesce(F.floor(F.col("target") / size), F.lit(0)).cast("bigint"))
@@ -88,7 +101,7 @@ def mix_sources(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     def ends(sums: DataFrame, by: str, goals: DataFrame) -> DataFrame:
         """(_s, edge, before): for each source the first bin at whose end the running sum reaches the budget, and the sum before it.
 
-        sums has at most BINS rows for a source; goals has _s, budget and start, the sum before the first bin.
+        sums has a row for each bin that occurs in a source, some 2000 at most; goals has _s, budget and start, the sum before the first bin.
         """
         met = sums.join(goals, F.col("source").eqNullSafe(F.col("_s")))
         met = met.withColumn("upto", F.col("start") + F.sum("s").over(W.partitionBy("source").orderBy(by)))
