@@ -73,6 +73,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     smallest it knows, until nothing changes. Aggregates combine before they shuffle, and joins back to a node
     with very many neighbours can be split by adaptive execution.
     """
+
     def low_high(df: DataFrame) -> DataFrame:
         return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
 
@@ -86,10 +87,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not seen[0]:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Written apart from the join, so that adaptive execution can split a node with very many neighbours.
+        least = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b")
         large = low_high(large)
-        down = large.groupBy("b").agg(F.min("a").alias("m"))
+        large = checkpointed(large)
+        down = checkpointed(large.groupBy("b").agg(F.min("a").alias("m")))
         small = large.join(down, "b").select(F.col("m").alias("x"), F.col("a").alias("y"), F.col("b").alias("z"))
         small = small.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("x").alias("a"), F.col("z").alias("b")))).alias("e")).select("e.*")
         edges = checkpointed(low_high(small))
