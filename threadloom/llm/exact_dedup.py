@@ -3,9 +3,12 @@
 Every partition turns its texts into one run of (digest, best row, count), sorted by digest. The partitions
 then stand at the corners of a hypercube with `radix` points to a side. In round r each partition hands every
 partition that differs from it in digit r alone the part of its run whose digests carry that partition's
-digit, and merges the runs it gets. After the last round a partition holds one slice of the digest space and
-nothing is ever gathered in one place; a digest occurs at most once in a run, so a group of copies costs a
-partition one row however large it is.
+digit, and merges the runs it gets, verifying that equal digests stand for equal lengths and second hashes. What
+arrives is one sorted run from each of the radix senders, end to end; Spark's sorter is a TimSort, which finds these
+runs and merges them instead of sorting anew, and merges by a priority queue what it had to spill, so that a merge
+is bounded in memory whatever the runs' length. After the last round a partition holds one slice of the digest
+space and nothing is ever gathered in one place; a digest occurs at most once in a run, so a group of copies costs
+a partition one row however large it is.
 """
 
 from __future__ import annotations
