@@ -277,6 +277,56 @@ def test_quality(spark, empty):
     assert rows_of(one) == [("", "en"), ("a.org", "x"), ("src1", "en")]
 
 
+def brute_rates(rows):
+    """site_rates by hand: {(host, path): (host_rate, path_rate)}, and for each row its path's rate without its own score."""
+    n = len(rows)
+    rate = min(max(sum(o for *_, o in rows) / n, 0.001), 0.999)
+    noise = sum(o * o for *_, o in rows) / n - (sum(o for *_, o in rows) / n) ** 2
+    paths, hosts = {}, {}
+    for h, p, o in rows:
+        paths.setdefault((h, p), []).append(o), hosts.setdefault(h, []).append(o)
+    strength = lambda spread, groups: min(max(rate * (1 - rate) / max(spread - noise * groups / n, 1e-9) - 1, 1.0), 1e6)
+    a = strength(sum(len(x) * (np.mean(x) - rate) ** 2 for x in hosts.values()) / n, len(hosts))
+    host = {h: (sum(x) + a * rate) / (len(x) + a) for h, x in hosts.items()}
+    b = strength(sum(len(x) * (np.mean(x) - host[h]) ** 2 for (h, _), x in paths.items()) / n, len(paths))
+    path = {k: (host[k[0]], (sum(x) + b * host[k[0]]) / (len(x) + b)) for k, x in paths.items()}
+    others = []
+    for h, p, o in rows:
+        up = (sum(hosts[h]) - o + a * rate) / (len(hosts[h]) - 1 + a)
+        others.append((sum(paths[h, p]) - o + b * up) / (len(paths[h, p]) - 1 + b))
+    return path, others, rate
+
+
+def test_site_rates_by_hand(spark):
+    from threadloom.llm.quality import posterior, site_rates, without_own
+
+    r = np.random.default_rng(4)
+    rows = [(f"h{h}", f"p{p}", float(np.clip(r.normal(0.3 + 0.06 * h + 0.05 * p, 0.1), 0.01, 0.99))) for h in range(8) for p in range(3) for _ in range(int(r.integers(1, 30)))]
+    d = spark.createDataFrame(rows, "host string, path string, own double").repartition(5)
+    rates = site_rates(d)
+    path, others, rate = brute_rates(rows)
+    got = {(x.host, x.path): x for x in rates.collect()}
+    assert all(math.isclose(got[k].host_rate, v[0], rel_tol=1e-9) and math.isclose(got[k].path_rate, v[1], rel_tol=1e-9) for k, v in path.items())
+    odds = lambda p: math.log(p / (1 - p))
+    want = sorted(1 / (1 + math.exp(-(odds(o) + odds(q) - odds(rate)))) for (*_, o), q in zip(rows, others, strict=True))
+    score = d.join(rates, ["host", "path"]).select(posterior(F.col("own"), without_own(F.col("own")), F.col("global_rate")).alias("s"))
+    assert np.allclose(sorted(x.s for x in score.collect()), want, rtol=1e-9)
+
+
+def test_sites_decide_doubtful_documents(spark):
+    """One doubtful text is kept on a good site and goes on a bad one; alone on its site it stays what it is."""
+    from threadloom.llm import quality as Q
+
+    good, bad = sentence(50).capitalize() + ".", " ".join(w + "$$$" for w in sentence(50).upper().split())
+    half = " ".join([*good.split()[:25], *bad.split()[:25]])
+    rows = [(i, good, "en", "fine.org", 0) for i in range(60)] + [(100 + i, bad, "en", "junk.org", 0) for i in range(60)] + [(200, half, "en", "fine.org", 0), (201, half, "en", "junk.org", 0), (202, half, "en", "lone.org", 0)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    lab = spark.createDataFrame([(i, int(i < 100)) for i in (*range(30), *range(100, 130))], "doc_id bigint, quality int")
+    got = {r.doc_id: r for r in Q.score_quality(d, Q.fit_quality(d, lab)).collect()}
+    assert got[200].own_score == got[201].own_score and got[200].score > got[202].score > got[201].score
+    assert abs(got[202].score - got[202].own_score) < 0.05
+
+
 def test_site_rates_shrink(spark):
     """Sparse hosts move to the global rate more than hosts with many documents of the same mean."""
     from threadloom.llm.quality import site_rates
@@ -305,6 +355,57 @@ def test_windows_cover_all_bytes():
     assert first.tolist() == [0, 0, 2, 2, 5] and w[:2].tobytes().rstrip(b"\0") == ("é" * 100).encode() and w[2:].tobytes().rstrip(b"\0") == b"b" * 300
 
 
+def plain_loss(net, window, label):
+    """One window through the network with plain loops."""
+    from threadloom.llm.language_id import FILTERS, WIDTHS
+
+    e = net.embed.shape[1]
+    padded = [*window, *[0] * (max(WIDTHS) - 1)]
+    pooled = []
+    for f in range(net.filters.shape[1]):
+        width = WIDTHS[f // FILTERS]
+        answers = [sum(net.embed[padded[at + k], j] * net.filters[k * e + j, f] for k in range(width) for j in range(e)) for at in range(len(window))]
+        pooled.append(max(max(answers) + net.bias[f], 0))
+    z = [sum(p * net.out[f, c] for f, p in enumerate(pooled)) + net.shift[c] for c in range(len(net.labels))]
+    total = sum(math.exp(x) for x in z)
+    return [math.exp(x) / total for x in z], -math.log(math.exp(z[label]) / total)
+
+
+def test_network_by_hand():
+    """Probabilities by plain loops, derivatives by small steps."""
+    from threadloom.llm.language_id import ByteNetwork, gradients, mask_of
+
+    r = np.random.default_rng(1)
+    mask = mask_of()
+    net = ByteNetwork(["a", "b", "c"], r.normal(0, 0.5, (256, 6)), r.normal(0, 0.3, mask.shape) * mask, r.normal(0, 0.1, mask.shape[1]), r.normal(0, 0.2, (mask.shape[1], 3)), r.normal(0, 0.1, 3))
+    windows, labels = r.integers(97, 105, (4, 12)).astype(np.uint8), np.array([0, 1, 2, 1])
+    by_hand = [plain_loss(net, w, y) for w, y in zip(windows.tolist(), labels.tolist(), strict=True)]
+    assert np.allclose(net.probabilities(windows), [p for p, _ in by_hand], atol=1e-5)
+    loss, g = gradients(net, windows, labels, mask)
+    assert math.isclose(loss, np.mean([x for _, x in by_hand]), rel_tol=1e-9)
+    for name in ("embed", "filters", "bias", "out", "shift"):
+        array = getattr(net, name)
+        strong = np.argsort(-np.abs(g[name]).ravel())[:6]
+        for k in strong:
+            at = np.unravel_index(k, array.shape)
+            was = array[at]
+            array[at] = was + 1e-6
+            up, _ = gradients(net, windows, labels, mask)
+            array[at] = was - 1e-6
+            down, _ = gradients(net, windows, labels, mask)
+            array[at] = was
+            assert math.isclose((up - down) / 2e-6, g[name][at], rel_tol=1e-3, abs_tol=1e-7)
+    assert not (g["filters"] * (1 - mask)).any()
+
+
+def test_language_layout(spark):
+    """The same network from any layout; windows from whole texts."""
+    docs = [(i, ("qu " if i % 2 else "zz ") * (40 + 9 * i), "aa" if i % 2 else "bb", "s", 0) for i in range(60)]
+    d = spark.createDataFrame(docs, SCHEMA)
+    one, two = fit_language(d.repartition(7)), fit_language(d.repartition(2, "text"))
+    assert all(np.array_equal(getattr(one, k), getattr(two, k)) for k in ("embed", "filters", "bias", "out", "shift"))
+
+
 # --- pieces
 
 
@@ -394,6 +495,37 @@ def test_mixing(spark, corpus, empty):
     assert mixed_documents(d).count() == sum(r.epochs for r in got)
 
 
+@pytest.mark.parametrize("weight", [1e-6, 0.02, 1.0])
+def test_mixing_follows_the_keys(spark, weight):
+    """What is sampled is a prefix of the order of keys, whatever the weights."""
+    docs = [(i, " ".join(["w"] * (1 + i % 7)), "en", f"s{i % 3}", 0) for i in range(3000)] + [(None, "null id " * (k % 5), "en", "s0", 0) for k in range(20)]
+    d = spark.createDataFrame(docs, SCHEMA).repartition(5)
+    w = F.when(F.col("doc_id") % 2 == 0, F.lit(weight)).otherwise(F.lit(weight / 3))
+    got = mix_sources(d, weight=w).collect()
+
+    def key(i):
+        u = (int(hashlib.md5(f"7:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        return -math.log(u) / max(weight if i % 2 == 0 else weight / 3, 1e-6)
+
+    for s in ("s0", "s1", "s2"):
+        mine = [r for r in got if r.source == s and r.doc_id is not None]
+        extra = min(r.epochs for r in mine)
+        taken, left = [key(r.doc_id) for r in mine if r.epochs > extra], [key(r.doc_id) for r in mine if r.epochs == extra]
+        assert not taken or not left or max(taken) <= min(left)
+        rows = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in rows) - rows[0].target) <= 10
+
+
+def test_source_targets_of_many(spark):
+    """Ranges of sources give what one list of all gives."""
+    from threadloom.llm.mixing import source_targets
+
+    sizes = {None: 500} | {f"h{k:03d}{'é' if k % 7 == 0 else ''}": int(rng.integers(0, 50)) ** 3 for k in range(300)}
+    got = {r.source: r.target for r in source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size bigint").repartition(7)).collect()}
+    want = brute_targets(sizes)
+    assert got.keys() == want.keys() and all(math.isclose(got[s], want[s], rel_tol=1e-9, abs_tol=1e-9) for s in want)
+
+
 # --- sharding
 
 
@@ -438,4 +570,30 @@ def test_token_counts(spark, corpus, empty):
     for r in length_quantiles(h, [0.1, 0.5, 1.0]).collect():
         assert r.n_tokens == sorted(n)[math.ceil(r.share * len(n)) - 1]
     assert length_histogram(encoded_lengths(empty)).count() == 0
+    assert "MapInArrow" not in h._jdf.queryExecution().executedPlan().toString()
     assert {r.doc_id: r.n_tokens for r in lengths.collect()}[0] == 0
+
+
+def greedy(ranks, piece):
+    """Byte pairs merged by hand: of all neighbours the pair of lowest rank, the first of equals."""
+    parts = [piece[k : k + 1] for k in range(len(piece))]
+    while len(parts) > 1:
+        rank, k = min((ranks.get(parts[i] + parts[i + 1], math.inf), i) for i in range(len(parts) - 1))
+        if rank == math.inf:
+            break
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+    return len(parts)
+
+
+def test_token_counts_by_hand(spark):
+    import base64
+
+    import regex
+    from threadloom.llm.token_counts import PATTERN, VOCABULARY
+
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(VOCABULARY, "rb") if line.strip())}
+    texts = ["Hello world, it's 2024!", "naïve 😀\t\tx", "  two  blanks\n\n", "antidisestablishmentarianism " * 9, "<|endoftext|>", "日本語のテキスト", sentence(60)]
+    d = spark.createDataFrame([(i, t, i) for i, t in enumerate([*texts, texts[0]])], "doc_id bigint, text string, n_tokens int")
+    got = {r.doc_id: r.n_tokens for r in encoded_lengths(d).collect()}
+    want = [sum(greedy(ranks, p.encode()) for p in regex.findall(PATTERN, t)) for t in texts]
+    assert got == dict(enumerate([*want, want[0]]))

@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import kept_table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokenisation pattern that this vocabulary was made with; a fixed value of the tokenizer.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Lengths in a span of the histogram.
-SPAN = 1024
+SPAN = 256
 
 
 @lru_cache(maxsize=2)
@@ -35,8 +35,10 @@ def encoder(vocabulary: str = VOCABULARY):
 
 
 def encoded_lengths(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(id_col, n_tokens) for each row; null and empty texts have 0 tokens, text of special tokens is ordinary text."""
-    small_batches(docs.sparkSession)
+    """(id_col, n_tokens) for each row; null and empty texts have 0 tokens, text of special tokens is ordinary text.
+
+    Repeated rows are counted each, null ids stay null, an empty table gives no rows; other columns are ignored.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode_ordinary
@@ -56,7 +58,8 @@ def length_histogram(lengths: DataFrame, by: list[str] | None = None) -> DataFra
     """
     by = by or []
     n, length = F.col("n_docs"), F.col("n_tokens")
-    counts = lengths.groupBy(*by, "n_tokens").agg(F.count("*").alias("n_docs")).withColumn("_span", F.floor(length / SPAN))
+    # Two uses follow: the written table has a row for each length and keeps the texts from being encoded twice.
+    counts = kept_table(lengths.groupBy(*by, "n_tokens").agg(F.count("*").alias("n_docs")).withColumn("_span", F.floor(length / SPAN)), "lengths")
     # Sums of spans of lengths first: no window holds more than SPAN lengths or all spans.
     down = W.partitionBy(*by).orderBy(F.desc("_span")).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*by)
