@@ -549,6 +549,49 @@ def test_sharding(corpus, empty, spark):
     assert shard_documents(empty).count() == 0
 
 
+def test_sharding_of_any_layout(spark):
+    """The same shards and slots however rows are dealt; repeated rows and null ids have places of their own."""
+    docs = [(i, f"text {i // 3}", i) for i in range(900)] + [(7, "text 2", 0)] * 30 + [(None, None, 0)] * 5 + [(3, "", 1)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, shard int").withColumn("hub", F.lit("x"))
+    a, b = (sorted(tuple(r) for r in shard_documents(x).select(F.coalesce("doc_id", F.lit(-1)), "size", "text_crc32", "shard", "slot").collect()) for x in (d.repartition(7), d.coalesce(1).orderBy(F.desc("doc_id"))))
+    assert a == b and len(a) == len(docs) and len({(r[3], r[4]) for r in a}) == len(a)
+    counts = np.bincount([r[3] for r in a], minlength=8)
+    assert counts.max() - counts.min() <= 1
+
+
+def plain_propagation(pairs, shards, rounds):
+    """Balanced label propagation on edges with dicts: every node wishes for the shard of most neighbours, wishes are swapped."""
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b), near.setdefault(b, []).append(a)
+    nodes = sorted(near)
+    where = {x: k % shards for k, x in enumerate(np.random.default_rng(3).permutation(nodes))}
+    for _ in range(rounds):
+        wish = {}
+        for x in nodes:
+            n = np.bincount([where[x], *(where[y] for y in near[x])], minlength=shards)
+            if n.argmax() != where[x]:
+                wish.setdefault((where[x], int(n.argmax())), []).append(x)
+        for (a, b), go in wish.items():
+            if a < b:
+                for x, y in zip(go, wish.get((b, a), []), strict=False):
+                    where[x], where[y] = b, a
+    return sum(where[a] != where[b] for a, b in pairs)
+
+
+def test_sharding_cuts_few_edges(spark):
+    """Edges as hubs of two: fewer are cut than at random, and hardly more than by propagation with dicts."""
+    r = np.random.default_rng(9)
+    pairs = sorted({tuple(sorted((int(c * 20 + i), int(c * 20 + j)))) for c in range(40) for i, j in r.integers(0, 20, (60, 2)) if i != j})
+    d = spark.createDataFrame([(i, f"own {i}") for i in range(800)], "doc_id bigint, text string")
+    links = spark.createDataFrame([(x, f"{a}-{b}") for a, b in pairs for x in (a, b)], "doc_id bigint, hub string")
+    where = {x.doc_id: x.shard for x in shard_documents(d, n_shards=4, rounds=8, links=links).collect()}
+    cut = sum(where[a] != where[b] for a, b in pairs)
+    assert cut < 0.6 * 0.75 * len(pairs) and cut <= 1.25 * plain_propagation(pairs, 4, 8)
+    counts = np.bincount(list(where.values()))
+    assert counts.max() - counts.min() <= 1
+
+
 def test_quotas():
     swap, fill = quotas({(0, 1): 5, (1, 0): 2, (2, 1): 4}, {1: 6}, 3)
     assert swap[0, 1] == 2 + fill[1, 0] and swap[1, 0] == 2 and fill[1, 0] + fill.get((1, 2), 0) <= 6

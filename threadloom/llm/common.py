@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that an operator turns into arrays at once; a longer text is a slice of its own.
 SLICE = 2 << 20
-#: Tables written by this process that drop_tables may delete.
-_written: list[str] = []
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see (spark.checkpoint.dir); a temporary one only in local mode, where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,33 +28,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def kept_table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors."""
+    """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors.
+
+    Unlike a checkpoint, which keeps its plan's estimate of size, the table has the size of its files. In loops
+    estimates of joins multiply round by round until the numbers fill the driver's memory.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tables_written() -> list[str]:
-    """Paths of the tables written so far and not dropped."""
-    return list(_written)
-
-
-def drop_tables(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes tables that no frame in use reads any more."""
-    jvm = spark._jvm
-    for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        if path in _written:
-            _written.remove(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def drop_tables(spark: SparkSession, tables: list[DataFrame]) -> None:
+    """Deletes tables of kept_table that no frame in use reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for folder in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
+        if "/tables/" in folder:
+            path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(folder), True)
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:

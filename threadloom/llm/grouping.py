@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import drop_tables, kept_table
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -81,21 +81,21 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         r = df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         return tuple(r)
 
-    edges = checkpointed(low_high(edges))
+    spark = edges.sparkSession
+    edges = kept_table(low_high(edges), "edges")
     seen = mark(edges)
     for _ in range(most_rounds):
         if not seen[0]:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # Written apart from the join, so that adaptive execution can split a node with very many neighbours.
-        least = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b")
-        large = low_high(large)
-        large = checkpointed(large)
-        down = checkpointed(large.groupBy("b").agg(F.min("a").alias("m")))
+        # Written apart from the joins, so that adaptive execution can split a node with very many neighbours.
+        least = kept_table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = kept_table(low_high(both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b")), "large")
+        down = kept_table(large.groupBy("b").agg(F.min("a").alias("m")), "down")
         small = large.join(down, "b").select(F.col("m").alias("x"), F.col("a").alias("y"), F.col("b").alias("z"))
         small = small.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("x").alias("a"), F.col("z").alias("b")))).alias("e")).select("e.*")
-        edges = checkpointed(low_high(small))
+        old, edges = [edges, least, large, down], kept_table(low_high(small), "edges")
+        drop_tables(spark, old)
         fresh = mark(edges)
         if fresh == seen:
             break
