@@ -16,7 +16,7 @@ from threadloom.llm.embedding_join import embedding_join
 from threadloom.llm.exact_dedup import drop_exact_copies, exact_dedup
 from threadloom.llm.language_id import fit_language, predict_language, windows_of
 from threadloom.llm.mixing import mix_sources, mixed_documents
-from threadloom.llm.ngram_join import drop_near_copies, ngram_join, prefix_length, recall
+from threadloom.llm.ngram_join import drop_near_copies, ngram_join, recall, stop_of
 from threadloom.llm.quality import fit_quality, host_of, keep_quality, path_of, score_quality
 from threadloom.llm.sharding import quotas, shard_documents
 from threadloom.llm.token_counts import encoded_lengths, length_histogram, length_quantiles, truncated_totals
@@ -126,10 +126,65 @@ def test_ngram_join_blocks(corpus, monkeypatch):
 
 
 def test_ngram_recall_target():
-    p = prefix_length(0.8, 16, 8, 0.995)
+    p = stop_of(0.8, 16, 8, 0.995)
     assert recall(0.8, 16, p) >= 0.995 > recall(0.8, 16, p + 1)
 
 
+def test_walk():
+    """Whatever agrees as linked sets do is connected by ties, whoever covers it; covered members are no leaders."""
+    from threadloom.llm.grouping import local_roots
+    from threadloom.llm.ngram_join import walk
+
+    r = np.random.default_rng(8)
+    for _ in range(40):
+        sig = []
+        for _ in range(int(r.integers(1, 6))):
+            base = r.integers(0, 60000, 128)
+            for _ in range(int(r.integers(1, 9))):
+                one = base.copy()
+                some = r.random(128) < r.choice([0.02, 0.1, 0.25])
+                one[some] = r.integers(0, 60000, int(some.sum()))
+                sig.append(one)
+        sig = np.array(sig, np.uint16)[r.permutation(len(sig))]
+        if len(sig) < 2:
+            continue
+        open_, a, b = walk(sig, sig[:, 5:8], 0.8, 0.5)
+        root = local_roots(len(sig), a, b)
+        alike = (sig[:, None] == sig[None]).mean(axis=2)
+        linked = np.argwhere(alike >= 0.8)
+        assert (root[linked[:, 0]] == root[linked[:, 1]]).all() and open_.any()
+        assert all((alike[k][open_] >= 0.5).any() for k in np.flatnonzero(~open_))
+
+
+@pytest.mark.parametrize("gather", [4096, 8])
+def test_ngram_recall_in_crowded_parts(spark, monkeypatch, gather):
+    """Pairs at 0.80 to 0.85 in families that share most shingles, in parts of the trie far over what is gathered at once."""
+    import threadloom.llm.ngram_join as N
+
+    monkeypatch.setattr(N, "GATHER", gather)
+    r = np.random.default_rng(12)
+    docs, pairs = [], []
+    for _ in range(6):
+        base = list(r.choice(WORDS, 300))
+        for _ in range(40):
+            t = list(base)
+            for p in r.choice(300, 14, replace=False):  # members of a family: about 0.6 to 0.7 with one another
+                t[p] = "q" + str(r.integers(10**6))
+            docs.append((len(docs), " ".join(t)))
+        for _ in range(10):
+            i = int(r.integers(len(docs) - 40, len(docs)))
+            t = docs[i][1].split()
+            for p in np.linspace(20, 280, 6).astype(int):
+                t[p] = "z" + str(r.integers(10**6))
+            pairs.append((i, len(docs)))
+            docs.append((len(docs), " ".join(t)))
+    sets = shingle_sets(docs)
+    want = {p for p in pairs if len(sets[p[0]] & sets[p[1]]) >= 0.8 * len(sets[p[0]] | sets[p[1]])}
+    assert len(want) >= 40
+    got = {x.doc_id: x.class_id for x in ngram_join(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert np.mean([got[a] == got[b] for a, b in want]) >= 0.98
+
+
 def test_ngram_join_empty_and_repeats(spark, empty):
     assert ngram_join(empty).count() == 0
     t = sentence(30)

@@ -1,13 +1,15 @@
-"""N-gram Jaccard join: MinHash banding, then exact verification.
-
-Texts that are equal are one class from the start. Every class has a MinHash signature dealt to `trees` bands
-of `depth` values. Bands are matched by a hash of their first values, as many for all as a formula allows: the
-longest prefix by which a pair at the threshold is met in some band with the target recall. No trie is built.
-Classes that share such a node are sorted by the first band and gathered around leaders: a leader covers those whose signatures agree as much as linked
-sets do, and is tied to all that a covered set could still be linked with, so ties connect whatever is linked
-and there are never more of them than members and leaders call for. Nodes with many members are cut into
-blocks whose leaders meet again. Tied classes form candidate components; within these all shingle sets are
-compared exactly, in pairs of blocks, and only counts and spanning ties leave a task, not pairs.
+"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
+
+Texts that are equal are one class from the start. Every class has a MinHash signature dealt to `trees` paths of
+`depth` values, and each tree is a trie of the paths in order. A trie's parts below prefixes of `stop` values lie in
+one task each, sorted by the rest of their paths; `stop` is where a pair at the threshold has met in some tree with
+the target recall, so no prefix has to be shorter. Such a part is walked from full paths up: members that share a
+prefix are gathered around leaders, and a leader covers those whose signatures agree as much as linked sets do. A
+covered member is done; only leaders and members without a match go on with a shorter prefix, and so on until the
+target recall is reached. Leaders are tied to all that a covered set could still be linked with, so ties connect
+whatever is linked and there are never more of them than members and leaders call for. Crowded parts are cut into
+blocks, whose leaders then meet in pairs of blocks. Tied classes form candidate components; within these all
+shingle sets are compared exactly, in pairs of blocks, and only counts and spanning ties leave a task, not pairs.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ from .grouping import binary_matrix, components, local_roots, whole_groups
 from .words import mixed, shingles, words
 
 TREES, DEPTH, RECALL = 16, 8, 0.995
-#: Members of a trie node or of a component that one task compares.
-BLOCK = 512
-#: Members of a trie node that are gathered at once.
+#: Sets of a component that one task compares with as many others, and the bytes of their shingles, on average.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
+#: Members of a trie's part that are gathered at once.
 GATHER = 4096
 #: What a signature's agreement may fall short of the similarity: two to three standard errors.
 SLACK = 0.1
@@ -36,12 +38,12 @@ def recall(similarity: float, trees: int, prefix: int) -> float:
     return 1 - (1 - similarity**prefix) ** trees
 
 
-def prefix_length(threshold: float, trees: int, depth: int, target: float) -> int:
-    """The full depth, shortened until pairs at the threshold are met with the target recall (1 at least)."""
-    prefix = depth
-    while prefix > 1 and recall(threshold, trees, prefix) < target:
-        prefix -= 1
-    return prefix
+def stop_of(threshold: float, trees: int, depth: int, target: float) -> int:
+    """The shortest prefix that the walk needs: where pairs at the threshold have met with the target recall (1 at least)."""
+    stop = depth
+    while stop > 1 and recall(threshold, trees, stop) < target:
+        stop -= 1
+    return stop
 
 
 def signatures(sets: np.ndarray, at: np.ndarray, values: int) -> np.ndarray:
@@ -58,7 +60,7 @@ def mixed_once(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _sketches(size: int, trees: int, depth: int, prefix: int):
+def _sketches(size: int, trees: int, depth: int, stop: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for whole in batches for part in slices(whole, "t")):
             hashes, _, _, first, _ = words(b.column("t"))
@@ -66,7 +68,7 @@ def _sketches(size: int, trees: int, depth: int, prefix: int):
             sig = signatures(sets, at, trees * depth)
             paths = sig.reshape(-1, trees, depth)
             key = np.broadcast_to(np.arange(1, trees + 1, dtype=np.uint64), paths.shape[:2]).copy()
-            for k in range(prefix):
+            for k in range(stop):
                 key = mixed(key * np.uint64(0x9FB21C651E98DF25) + paths[:, :, k].astype(np.uint64))
             some = np.diff(at) > 0
             nodes = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(some, trees, 0))].astype(np.int32)), pa.array(key[some].view(np.int64).ravel()))
@@ -76,42 +78,84 @@ def _sketches(size: int, trees: int, depth: int, prefix: int):
     return run
 
 
-def _gather(values: int, cover: float, reach: float):
+def walk(sig: np.ndarray, paths: np.ndarray, cover: float, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gathers a trie's part from full paths up: (who is not covered, ties a, ties b). paths: the rest of each member's path.
+
+    A leader that covers others stays one and meets all members of each longer run, covered ones too, so that what
+    is linked with a covered member is tied to its leader.
+    """
+    n = len(sig)
+    if n == 2:
+        met = (sig[0] == sig[1]).mean() >= reach
+        return np.array([True, not met]), np.zeros(int(met), np.int64), np.ones(int(met), np.int64)
+    order = np.lexsort(paths.T[::-1]) if paths.shape[1] else np.arange(n)
+    sig, paths = sig[order], paths[order]
+    shared = np.cumprod(paths[1:] == paths[:-1], axis=1).sum(axis=1)
+    covered, leads = np.zeros(n, bool), np.zeros(n, bool)
+    a, b = [], []
+    for level in range(paths.shape[1], -1, -1):
+        edges = np.r_[0, np.flatnonzero(shared < level) + 1, n]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if hi - lo < 2 or (level < paths.shape[1] and shared[lo : hi - 1].min() > level):
+                continue  # alone, or no larger than the run below
+            here = np.arange(lo, hi)
+            for i in (*here[leads[lo:hi]], *here[~leads[lo:hi]]):
+                if covered[i]:
+                    continue
+                alike = (sig[lo:hi] == sig[i]).mean(axis=1)
+                near = lo + np.flatnonzero(alike >= reach)
+                a.append(np.full(len(near), i)), b.append(near)
+                done = (alike >= cover) & ~covered[lo:hi] & ~leads[lo:hi]
+                done[i - lo] = False
+                covered[lo:hi] |= done
+                leads[i] |= done.any()
+    none = [np.zeros(0, np.int64)]
+    open_ = np.zeros(n, bool)
+    open_[order[~covered]] = True
+    return open_, order[np.concatenate(a or none)], order[np.concatenate(b or none)]
+
+
+def _gather(trees: int, depth: int, stop: int, cover: float, reach: float):
     """For each block spanning ties (a, b) of what its leaders tie together, and its leaders (a, a) with their signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in whole_groups(batches, ["node", "block"]):
-            sig = binary_matrix(t.column("signature"), "<u2", values)
-            node = t.column("node").to_numpy()
+            sig = binary_matrix(t.column("signature"), "<u2", trees * depth)
+            node, tree = t.column("node").to_numpy(), t.column("tree").to_numpy()
             is_leader, root = np.zeros(t.num_rows, bool), np.arange(t.num_rows)
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                part = sig[lo:hi]
-                if hi - lo == 2:
-                    is_leader[lo] = True
-                    if (part[0] == part[1]).mean() >= reach:
-                        root[lo + 1] = lo
-                    else:
-                        is_leader[hi - 1] = True
-                    continue
-                lead, member = [], []
-                order = lo + np.lexsort(part.T[: values // 16][::-1])
-                open_ = order
-                while len(open_):
-                    i = open_[0]
-                    is_leader[i] = True
-                    alike = (part == sig[i]).mean(axis=1)
-                    near = np.flatnonzero(alike >= reach)
-                    lead.append(np.full(len(near), i - lo)), member.append(near)
-                    open_ = open_[1:][alike[open_[1:] - lo] < cover]
-                root[lo:hi] = lo + local_roots(hi - lo, np.concatenate(lead), np.concatenate(member))
+                part, k = sig[lo:hi], int(tree[lo]) * depth
+                is_leader[lo:hi], one, other = walk(part, part[:, k + stop : k + depth], cover, reach)
+                root[lo:hi] = lo + local_roots(hi - lo, one, other)
             cls, many = t.column("cls").to_numpy(), t.column("members").to_numpy()
-            tied = np.flatnonzero(root != np.arange(t.num_rows))
-            a, b = np.concatenate([root[tied], np.flatnonzero(is_leader)]), np.concatenate([tied, np.flatnonzero(is_leader)])
+            tied, leaders = np.flatnonzero(root != np.arange(t.num_rows)), np.flatnonzero(is_leader & (many > GATHER))
+            a, b = np.concatenate([root[tied], leaders]), np.concatenate([tied, leaders])
             for at in range(0, len(a), 4096):
                 x, y = a[at : at + 4096], b[at : at + 4096]
                 own = x == y
                 blobs = t.column("signature").combine_chunks().take(pa.array(x, mask=~own))
-                yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(many[x]), pa.array(cls[x]), pa.array(cls[y]), blobs], names=["node", "members", "a", "b", "signature"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(cls[x]), pa.array(cls[y]), blobs], names=["node", "a", "b", "signature"])
+
+    return run
+
+
+def _meet(values: int, reach: float):
+    """Spanning ties between the leaders of two blocks, or of one, each compared with each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bounds in whole_groups(batches, ["node", "one", "other"]):
+            sig = binary_matrix(t.column("signature"), "<u2", values)
+            one, other, block, cls = (t.column(c).to_numpy() for c in ("one", "other", "block", "cls"))
+            root = np.arange(t.num_rows)
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                left, right = lo + np.flatnonzero(block[lo:hi] == one[lo]), lo + np.flatnonzero(block[lo:hi] == other[lo])
+                a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for i in left:
+                    near = right[(sig[right] == sig[i]).mean(axis=1) >= reach]
+                    a.append(np.full(len(near), i - lo)), b.append(near - lo)
+                root[lo:hi] = lo + local_roots(hi - lo, np.concatenate(a), np.concatenate(b))
+            tied = np.flatnonzero(root != np.arange(t.num_rows))
+            yield pa.RecordBatch.from_arrays([pa.array(cls[root[tied]]), pa.array(cls[tied])], names=["a", "b"])
 
     return run
 
@@ -198,13 +242,13 @@ def ngram_join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     with the smallest id of each component; of repeated rows exactly one is kept. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    prefix, values = prefix_length(threshold, trees, depth, target), trees * depth
+    stop = stop_of(threshold, trees, depth, target)
     source = _digested(docs, text_col, id_col)
-    sketches = kept_table(source.withColumn("row", F.monotonically_increasing_id()).select("id", "row", "digest", "t").mapInArrow(_sketches(size, trees, depth, prefix), "id bigint, row bigint, digest binary, nodes array<bigint>, signature binary"), "sketches")
+    sketches = kept_table(source.withColumn("row", F.monotonically_increasing_id()).select("id", "row", "digest", "t").mapInArrow(_sketches(size, trees, depth, stop), "id bigint, row bigint, digest binary, nodes array<bigint>, signature binary"), "sketches")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     classes = kept_table(sketches.groupBy("digest").agg(F.min(order).alias("best"), F.min(F.struct("row", "id")).alias("first"), F.count("*").alias("copies")).select("digest", "best", F.col("first.row").alias("cls"), F.col("first.id").alias("of"), "copies"), "classes")
     one_each = sketches.select("row", "nodes").join(classes.select("cls"), F.col("row") == F.col("cls"), "left_semi")
-    ties = _ties(one_each, sketches.select(F.col("row").alias("cls"), "signature"), values, threshold)
+    ties = _ties(one_each, sketches.select(F.col("row").alias("cls"), "signature"), trees, depth, stop, threshold)
     parts = components(ties).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
     links = kept_table(_links(source, parts, classes, size, threshold), "links")
     counts = links.groupBy("cls").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
@@ -222,29 +266,27 @@ def _digested(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), text.alias("t"))
 
 
-def _ties(paths: DataFrame, signed: DataFrame, values: int, threshold: float) -> DataFrame:
-    """Ties (a, b) between classes that could be linked, from their trie nodes (row, nodes) and the signatures (cls, signature) of all rows."""
-    at = paths.select(F.col("row").alias("cls"), F.explode("nodes").alias("node"))
+def _ties(paths: DataFrame, signed: DataFrame, trees: int, depth: int, stop: int, threshold: float) -> DataFrame:
+    """Ties (a, b) between classes that could be linked, from their prefixes in every tree (row, nodes) and the signatures (cls, signature) of all rows."""
+    at = paths.select(F.col("row").alias("cls"), F.posexplode("nodes").alias("tree", "node"))
     shared = at.groupBy("node").agg(F.count("*").alias("members")).filter("members > 1")
     met = kept_table(at.join(shared, "node"), "met")
     rows = met.hint("merge").join(signed, "cls")
-    found, reach = [], 2 * threshold - 1 - SLACK
-    while True:
-        blocks = F.ceil(F.col("members") / F.lit(GATHER)).cast("bigint")
-        dealt = rows.select("node", F.pmod(F.xxhash64("cls", F.lit(len(found))), blocks).alias("block"), "cls", "signature", "members").repartition("node", "block").sortWithinPartitions("node", "block", "cls")
-        out = kept_table(dealt.mapInArrow(_gather(values, threshold, max(reach, 0.0)), "node bigint, members bigint, a bigint, b bigint, signature binary"), "ties")
-        found.append(out.filter("a <> b").select("a", "b"))
-        # Leaders of nodes that were cut into blocks meet again; links may now be two covers further apart.
-        reach -= 1 - threshold
-        again = out.filter(F.col("a") == F.col("b")).filter(F.col("members") > GATHER)
-        left = again.groupBy("node").agg(F.count("*").alias("now"), F.max("members").alias("before")).filter("now < before")
-        if left.isEmpty():
-            break
-        rows = again.select("node", F.col("a").alias("cls"), "signature").join(left.select("node", F.col("now").alias("members")), "node")
-    ties = found[0]
-    for more in found[1:]:
-        ties = ties.unionByName(more)
-    return ties
+    blocks = F.ceil(F.col("members") / F.lit(GATHER)).cast("bigint")
+    dealt = rows.select("node", F.pmod(F.xxhash64("cls"), blocks).alias("block"), "tree", "cls", "signature", "members").repartition("node", "block").sortWithinPartitions("node", "block", "cls")
+    # A covered set is within 1 - threshold of its leader, a linked one within that of the covered one.
+    reach = max(2 * threshold - 1 - SLACK, 0.0)
+    out = kept_table(dealt.mapInArrow(_gather(trees, depth, stop, threshold, reach), "node bigint, a bigint, b bigint, signature binary"), "ties")
+    ties = out.filter("a <> b").select("a", "b")
+    leaders = out.filter("a = b").select("node", F.col("a").alias("cls"), "signature")
+    if leaders.isEmpty():
+        return ties
+    # Linked sets of two blocks may both be covered: their leaders are a step further apart.
+    cut = leaders.groupBy("node").agg(F.ceil(F.count("*") / F.lit(GATHER)).cast("int").alias("blocks"))
+    placed = leaders.join(cut, "node").withColumn("block", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int"))
+    pairs = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", F.least("block", "j").alias("one"), F.greatest("block", "j").alias("other"), "block", "cls", "signature")
+    pairs = pairs.repartition("node", "one", "other").sortWithinPartitions("node", "one", "other", "cls")
+    return ties.unionByName(kept_table(pairs.mapInArrow(_meet(trees * depth, max(3 * threshold - 2 - SLACK, 0.0)), "a bigint, b bigint"), "more-ties"))
 
 
 def _links(source: DataFrame, parts: DataFrame, classes: DataFrame, size: int, threshold: float) -> DataFrame:
@@ -254,8 +296,8 @@ def _links(source: DataFrame, parts: DataFrame, classes: DataFrame, size: int, t
     sets = kept_table(sets.mapInArrow(_sets(size), "cls bigint, shingles binary"), "sets")
     if sets.count() > wanted.count():  # repeated rows of one id and text
         sets = sets.dropDuplicates(["cls"])
-    sizes = wanted.groupBy("comp").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    sizes = wanted.join(sets.select("cls", F.octet_length("shingles").alias("size")), "cls").groupBy("comp").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("n") / F.lit(BLOCK), F.col("bytes") / F.lit(BLOCK_BYTES))).cast("int")
     dealt = wanted.select("cls", "comp", "copies").join(sizes, "comp").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).join(sets, "cls")
     pairs = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("comp", F.least("block", "j").alias("one"), F.greatest("block", "j").alias("other"), "block", "cls", "copies", "shingles")
     pairs = pairs.repartition("comp", "one", "other").sortWithinPartitions("comp", "one", "other", "cls")
