@@ -156,7 +156,7 @@ def test_walk():
         assert all((alike[k][open_] >= 0.5).any() for k in np.flatnonzero(~open_))
 
 
-@pytest.mark.parametrize("gather", [4096, 8])
+@pytest.mark.parametrize("gather", [1024, 8])
 def test_ngram_recall_in_crowded_parts(spark, monkeypatch, gather):
     """Pairs at 0.80 to 0.85 in families that share most shingles, in parts of the trie far over what is gathered at once."""
     import threadloom.llm.ngram_join as N

@@ -40,11 +40,19 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_tables(spark: SparkSession, tables: list[DataFrame]) -> None:
-    """Deletes tables of kept_table that no frame in use reads any more."""
+    """Deletes tables of kept_table that no frame in use reads any more; frames of other files are left alone."""
     path = spark._jvm.org.apache.hadoop.fs.Path
+    own = path(f"{shared_dir(spark)}/tables")
+    own = own.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(own).toString() + "/"
     for folder in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
-        if "/tables/" in folder:
-            path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(folder), True)
+        fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.makeQualified(path(folder)).toString().startswith(own):
+            fs.delete(path(folder), True)
+
+
+def as_struct(docs: DataFrame) -> F.Column:
+    """All columns of a row as one struct, so that none can clash with a name that an operator uses."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
@@ -85,15 +93,15 @@ def rows_kept(docs: DataFrame, chosen: DataFrame, digest: F.Column, id_col: str)
     rows with a chosen digest stay, one for each id and digest. Documents are shuffled once, by id; the hint keeps
     it so at every size, as the ids that stay are as many as the documents.
     """
-    want = chosen.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n"))
-    have = docs.groupBy(F.col(id_col).cast("bigint").alias("__have")).agg(F.count("*").alias("__m"))
-    both = kept_table(want.join(have, F.col("__id").eqNullSafe(F.col("__have"))).select("__id", (F.col("__n") < F.col("__m")).alias("__some")), "chosen")
-    met = F.col(id_col).cast("bigint").eqNullSafe(F.col("__id"))
-    some = both.filter("__some")
-    if some.isEmpty():
-        return docs.join(both.hint("merge"), met, "left_semi")
-    plain = docs.join(both.filter(~F.col("__some")).hint("merge"), met, "left_semi")
-    some = docs.withColumn("__d", digest).join(some, met, "left_semi")
-    pairs = chosen.select(F.col(id_col).alias("__id"), F.col("digest").alias("__digest"))
-    some = some.join(pairs, met & (F.col("__d") == F.col("__digest")), "left_semi").dropDuplicates([id_col, "__d"])
-    return plain.unionByName(some.drop("__d"))
+    want = chosen.groupBy(F.col(id_col).alias("want")).agg(F.count("*").alias("n"))
+    have = docs.select(F.col(id_col).cast("bigint").alias("have")).groupBy("have").agg(F.count("*").alias("m"))
+    both = kept_table(want.join(have, F.col("want").eqNullSafe(F.col("have"))).select("want", (F.col("n") < F.col("m")).alias("some")), "chosen")
+    rows = docs.select(as_struct(docs).alias("whole"), F.col(id_col).cast("bigint").alias("have"))
+    met = F.col("have").eqNullSafe(F.col("want"))
+    plain = rows.join(both.filter("not some").hint("merge"), met, "left_semi").select("whole.*")
+    if both.filter("some").isEmpty():
+        return plain
+    pairs = chosen.select(F.col(id_col).alias("want"), F.col("digest").alias("wanted"))
+    some = docs.select(as_struct(docs).alias("whole"), F.col(id_col).cast("bigint").alias("have"), digest.alias("digest")).join(both.filter("some"), met, "left_semi")
+    some = some.join(pairs, met & (F.col("digest") == F.col("wanted")), "left_semi").dropDuplicates(["have", "digest"])
+    return plain.unionByName(some.select("whole.*"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import kept_table
+from .common import as_struct, kept_table
 
 #: Weights dealt to the sources in order, again and again.
 CYCLE = (5.0, 2.0, 1.0)
@@ -132,5 +132,6 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     """The rows of docs as often as mix_sources takes them, with all their columns. Repeated rows of one id and text are taken as often as the one taken most."""
     mixed = mix_sources(docs, text_col, id_col, source_col, **options)
     want = kept_table(mixed.filter("epochs > 0").groupBy(F.col(id_col).alias("__id"), F.col("check").alias("__check")).agg(F.max("epochs").cast("int").alias("__epochs")), "epochs")
-    met = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__check"))
-    return docs.join(want.hint("merge"), met).withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__epochs")))).select(*docs.columns)
+    met = F.col("id").eqNullSafe(F.col("__id")) & (F.col("check") == F.col("__check"))
+    rows = docs.select(as_struct(docs).alias("whole"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("check"))
+    return rows.join(want.hint("merge"), met).select("whole", F.explode(F.sequence(F.lit(1), F.col("__epochs")))).select("whole.*")

@@ -29,7 +29,7 @@ TREES, DEPTH, RECALL = 16, 8, 0.995
 #: Sets of a component that one task compares with as many others, and the bytes of their shingles, on average.
 BLOCK, BLOCK_BYTES = 512, 16 << 20
 #: Members of a trie's part that are gathered at once.
-GATHER = 4096
+GATHER = 1024
 #: What a signature's agreement may fall short of the similarity: two to three standard errors.
 SLACK = 0.1
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import kept_table, text_bounds, text_buffer
+from .common import as_struct, kept_table, text_bounds, text_buffer
 from .toxicity import logistic
 from .words import IS_WORD, span_hashes, spans_of
 
@@ -162,7 +162,7 @@ def _judged(docs: DataFrame, weights: np.ndarray, text_col: str, source_col: str
     source = F.col(source_col)
     below = path if path is not None else path_of(source, F.col("lang") if "lang" in docs.columns else F.lit(""))
     own = _classify(weights)(F.coalesce(F.col(text_col), F.lit("")))
-    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), host_of(source).alias("host"), below.alias("path"), own.alias("own"))
+    marked = docs.select(as_struct(docs).alias("whole"), host_of(source).alias("host"), below.alias("path"), own.alias("own"))
     return marked.withColumn("path", F.coalesce("path", F.lit("")))
 
 
