@@ -312,6 +312,6 @@ def embedding_join(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     named = base.filter("good").select("id", F.col("e").alias("v")).join(classes, "v").select("id", "root", "n")
     named = named.unionByName(base.filter("not good").select("id", F.lit(None).cast("bigint").alias("root"), F.lit(0).cast("bigint").alias("n")))
     named = kept_table(named, "named")
-    least = named.filter("root is not null").groupBy("root").agg(F.min("id").alias("least"))
+    least = kept_table(named.filter("root is not null").groupBy("root").agg(F.min("id").alias("least")), "least")
     named = named.join(least, "root", "left").withColumn("component", F.coalesce("least", "id"))
     return named.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))

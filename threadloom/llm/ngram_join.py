@@ -254,7 +254,8 @@ def ngram_join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     counts = links.groupBy("cls").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     groups = components(links.select(F.col("cls").alias("a"), F.col("root").alias("b")).filter("a <> b")).select(F.col("node").alias("cls"), "root")
     named = classes.select("digest", "cls", "best", "copies").join(groups, "cls", "left").join(counts, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = named.groupBy("root").agg(F.min("best").alias("least"))
+    named = kept_table(named, "named")
+    least = kept_table(named.groupBy("root").agg(F.min("best").alias("least")), "least")
     named = named.join(least, "root").select("digest", "copies", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("docs", F.lit(0)).alias("docs"), F.col("least.id").alias("class_id"), F.col("least.row").alias("keep_row"))
     return sketches.select("id", "row", "digest").join(named, "digest").select(
         F.col("id").alias(id_col), "class_id", (F.col("docs") + F.col("copies") - 1).cast("bigint").alias("n_links"), F.col("texts").cast("bigint").alias("n_text_links"), "copies", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_md5")

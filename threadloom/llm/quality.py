@@ -184,5 +184,9 @@ def score_quality(docs: DataFrame, weights: np.ndarray, text_col: str = "text",
 
 
 def keep_quality(docs: DataFrame, weights: np.ndarray, text_col: str = "text", source_col: str = "source", path: Column | None = None, least: float = 0.5) -> DataFrame:
-    """The rows of docs with score >= least, with all their columns; nulls, repeated rows and empty tables as in score_quality."""
-    return _scored(_judged(docs, weights, text_col, source_col, path)).filter(F.col("score") >= least).select("whole.*")
+    """The rows of docs with score >= least, with all their columns; nulls, repeated rows and empty tables as in score_quality.
+
+    Rows are written beside their own scores, which sites and the decision both need: reading them back takes a
+    fraction of what scoring whole texts again would.
+    """
+    return _scored(kept_table(_judged(docs, weights, text_col, source_col, path), "judged")).filter(F.col("score") >= least).select("whole.*")
