@@ -1,6 +1,7 @@
 """Values of column functions on small inputs."""
 
 import base64
+import json
 import struct
 
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ def test_run_keys(spark):
 
 def test_result_summary_signatures(spark):
     text = "func Foo(\nType Bar\nclass A.B\n"
-    got = value(spark, X.result_summary(F.lit("Read"), F.col("t"), F.lit("")), t=text)
+    got = value(spark, X.result_summary(F.lit("Read"), X.result_facts(F.col("t")), F.lit("")), t=text)
     assert got == "[context compressed: Read, 4 lines, key: func Foo; type Bar; class A.B]"
 
 
@@ -85,6 +86,8 @@ def test_content_round_trip(spark):
     assert value(spark, B.rebuild_content(kind, blocks), r=raw) == '[{"type":"text","text":"a"},{"type":"tool_use","id":"1","name":"Read","input":{}}]'
     assert value(spark, B.rebuild_content(kind, blocks), r='"say \\"x\\""') == '"say \\"x\\""'
     assert value(spark, kind, r="{bad") == "invalid"
+    marked = '[{"type":"text","text":"a","cache_control":{"type":"ephemeral"},"note":"x\\"y","none":null}]'
+    assert json.loads(value(spark, B.rebuild_content(kind, blocks), r=marked)) == json.loads(marked)
 
 
 def test_unknown_fields_stay(spark):
@@ -94,7 +97,10 @@ def test_unknown_fields_stay(spark):
     assert rest.count() == 0
     row = B.message_rows(ok).first()
     assert row.content_kind == "array" and row.blocks[0].extra["cache_control"] == '{"type":"ephemeral"}'
-    assert B.block_rows(B.message_rows(ok)).count() == 1
+    assert row.extra == {"more": "null"} and B.block_rows(B.message_rows(ok)).count() == 1
+    said = spark.createDataFrame([("s", 1, '{"messages":[{"role":"user","content":"say \\"x\\""},{"role":"user"}]}')], "session_id string, request_id bigint, body string")
+    rows = B.message_rows(said).orderBy("idx").collect()
+    assert (rows[0].content_kind, rows[0].blocks[0].text) == ("string", 'say "x"') and rows[1].content_kind == "empty"
 
 
 def test_config_defaults():

@@ -105,9 +105,3 @@ def test_files_of_every_run(spark, tmp_path):
     got = run(spark, tmp_path, "f9_compaction_stats", "events", events, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string")
     want = Counter((7, a, b, f"k{k % 4}" + ("" if kind == "click" else ".py")) for k, _, _, kind, *_ in events for a, b in ((1, 66), (68, 133), (135, 195)) if a <= 2 * k <= b and kind != "error")
     assert sorted(got) == sorted((*k, n) for k, n in want.items())
-
-
-def test_all_places(spark, sf):
-    every = QUERIES["h7_all_places"](spark, sf)
-    assert sorted(every.filter("place <= 9").collect()) == sorted(QUERIES["h7_ranked"](spark, sf).collect())
-    assert every.filter("place > 9").count() > 0

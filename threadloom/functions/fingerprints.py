@@ -42,6 +42,20 @@ def history_block(block: Column, input_mode: Column, role: Column) -> Column:
     return F.to_json(F.struct(block["type"].alias("type"), block["text"].alias("text"), keep(block["thinking"]).alias("thinking"), keep(block["signature"]).alias("signature"), block["id"].alias("id"), block["name"].alias("name"), block["input"].alias("input"), block["tool_use_id"].alias("tool_use_id"), block["content"].alias("content"), block["is_error"].alias("is_error")))
 
 
+# Block types that have no use for an input.
+WITHOUT_INPUT = ("text", "thinking", "tool_result")
+
+
+def boundary_content(raw: Column) -> Column:
+    """Canonical JSON of a message's content for a boundary's hash: blocks that have no use for an input lose a null one; all else stays, nulls too."""
+    blocks = F.from_json(raw, "array<map<string,variant>>")
+    kind = lambda b: F.try_variant_get(F.try_element_at(b, F.lit("type")), "$", "string")
+    bare = lambda b: F.map_filter(b, lambda k, v: ~((k == "input") & kind(b).isin(*WITHOUT_INPUT) & (v.isNull() | F.coalesce(F.is_variant_null(v), F.lit(True)))))
+    out = F.transform(blocks, lambda b: F.when(F.coalesce(kind(b).isin(*WITHOUT_INPUT), F.lit(False)), bare(b)).otherwise(b))
+    objects = F.coalesce(F.forall(blocks, lambda b: b.isNotNull()), F.lit(False))
+    return F.when(objects, F.to_json(F.to_variant_object(out))).otherwise(canonical(raw))
+
+
 def history_message(role: Column, content_kind: Column, blocks: Column, input_mode: Column) -> Column:
     """SHA-256 of a message; a lone text block counts as its text, whatever the content's kind was."""
     lone = (F.size(blocks) == 1) & (F.get(blocks, F.lit(0))["type"] == "text")

@@ -119,6 +119,11 @@ def image_tokens(data: Column, media_type: Column | None = None) -> Column:
     return F.coalesce(visual_tokens(size["width"], size["height"]), payload_fallback(F.length(data)))
 
 
+def source_tokens(kind: Column, data: Column, media_type: Column | None = None) -> Column:
+    """Tokens of an image or document block by its source: base64 data by its size, any other source 32."""
+    return F.when(F.coalesce(kind == "base64", F.lit(False)) & (F.coalesce(data, F.lit("")) != ""), image_tokens(data, media_type)).otherwise(F.lit(32).cast("bigint"))
+
+
 def saturating_add(a: Column, b: Column) -> Column:
     """The sum, or the nearest 64-bit number."""
     return F.coalesce(F.try_add(a.cast("bigint"), b.cast("bigint")), F.when(a > 0, F.lit(MOST)).otherwise(F.lit(-MOST - 1)))

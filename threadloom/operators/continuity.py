@@ -129,3 +129,9 @@ def warned_once(mismatches: DataFrame) -> DataFrame:
 def pinned(path: Column, active_paths: Column) -> Column:
     """Whether a path ends like an active one or the other way round."""
     return F.coalesce((path != "") & F.exists(active_paths, lambda p: path.endswith(p) | p.endswith(path)), F.lit(False))
+
+
+def migrated(legacy: DataFrame, current: DataFrame) -> DataFrame:
+    """(session_id, epoch, value): state that was kept by bare session (session_id, value) becomes that of epoch 1 where there is none yet."""
+    old = legacy.select("session_id", F.lit(1).cast("bigint").alias("epoch"), "value")
+    return current.select("session_id", "epoch", "value").unionByName(old.join(current.select("session_id", "epoch"), ["session_id", "epoch"], "left_anti"))

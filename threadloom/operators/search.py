@@ -147,6 +147,37 @@ def signals(messages: DataFrame, most: int = 3) -> DataFrame:
     return once.withColumn("place", F.row_number().over(W.partitionBy("session_id").orderBy("order"))).filter(F.col("place") <= most).drop("_n", "order")
 
 
+def recalled(messages: DataFrame, posts: DataFrame, blocks: DataFrame, limit: int) -> DataFrame:
+    """(session_id, place, block_id, kind, idx, stub_text, payload, cost, level): what goes into each conversation.
+
+    Each signal of a conversation asks for the best block that is visible; a block counts for the first signal that
+    finds it and must meet that signal's threshold. What is left is ranked, freed of dominated blocks, and taken
+    while the budget of `limit` tokens lasts. messages: session_id, idx, role, text; posts: postings(); blocks:
+    archive blocks.
+    """
+    s = signals(messages).withColumn("query_id", F.concat_ws(":", F.col("session_id").cast("string"), F.col("place").cast("string")))
+    asked = F.when(F.col("exact_path").isNotNull(), F.array("exact_path")).otherwise(F.col("terms"))
+    best = top(by_block(bm25(posts, s.select("query_id", F.explode(asked).alias("term"))), blocks), 1).drop("place")
+    s = s.select("query_id", F.col("session_id").alias("asker"), F.col("place").alias("signal"), "kind", "idx", "exact_path")
+    c = best.join(s, "query_id").withColumn("_n", F.row_number().over(W.partitionBy("asker", "block_id").orderBy("signal"))).filter("_n = 1")
+    c = c.withColumn("same_session", F.col("session_id") == F.col("asker").cast("string")).filter(meets(F.col("matched"), F.col("same_session"), F.col("exact_path"), F.col("terms")))
+    c = ranked(c.withColumn("query_id", F.col("asker")).withColumn("span", F.col("block_range_end") - F.col("block_range_start")))
+    c = undominated(c).join(c.drop("place"), ["query_id", "block_id"])
+    prefix = F.concat(F.lit("[Retrieved archive #"), F.col("place").cast("string"), F.lit(" — source="), F.col("session_id"), F.lit(", range="), F.col("block_range_start").cast("string"), F.lit("-"), F.col("block_range_end").cast("string"), F.lit(", ~"), F.col("estimated_tokens").cast("string"), F.lit(" tokens]\n\n"))
+    c = c.filter(F.col("summary_text") != "").withColumn("prefix", prefix)
+    spent = budgeted(c.select("query_id", "place", "block_id", "prefix", "summary_text"), F.lit(limit).cast("bigint"))
+    out = spent.join(c.select("query_id", "block_id", "kind", "idx", "prefix", "summary_text"), ["query_id", "block_id"])
+    short = F.when(F.col("level") == 2000, X.shorten_summary(F.col("summary_text"), 2000)).when(F.col("level") == 1000, X.shorten_summary(F.col("summary_text"), 1000)).otherwise(X.shorten_summary(F.col("summary_text"), 500))
+    stub = messages.select(F.col("session_id").alias("query_id"), "idx", F.col("text").alias("stub_text"))
+    out = out.withColumn("payload", F.concat("prefix", short)).join(stub, ["query_id", "idx"], "left")
+    return out.select(F.col("query_id").alias("session_id"), "place", "block_id", "kind", "idx", "stub_text", "payload", "cost", "level")
+
+
+def with_recalled(messages: DataFrame, posts: DataFrame, blocks: DataFrame, limit: int) -> DataFrame:
+    """Messages with what they recall put in."""
+    return inject(messages, recalled(messages, posts, blocks, limit))
+
+
 def inject(messages: DataFrame, payloads: DataFrame) -> DataFrame:
     """Messages with payloads (session_id, kind, idx, stub_text, payload): in place of the stub's text, or after the last user text."""
     last = messages.filter("role = 'user'").groupBy("session_id").agg(F.max("idx").alias("last_user"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadloom.config import EngineConfig
 from threadloom.functions import text as X
 from threadloom.functions import tokens as T
 from threadloom.operators import archive as A
@@ -13,10 +14,11 @@ from threadloom.operators import history as H
 from threadloom.operators import rewrite as R
 from threadloom.operators import search as S
 from threadloom.operators import storage as ST
+from threadloom.plans.forwarding import forwarded
 from threadloom.plans.ordered import ACT_ROWS, CUT, MSG_ROWS, RUNS, stages
 from threadloom.plans.registry import query
-from threadloom.plans.texts import EAGER, EVENT
-from threadloom.plans.views import ACT, ARCHIVE, KW_SQL, MSG, archives, drop_uses, list_sql, messages, table, tool_results, tool_uses, words_sql
+from threadloom.plans.texts import EAGER, EVENT, SENTENCES
+from threadloom.plans.views import ACT, ARCHIVE, KW_SQL, MSG, archives, drop_uses, list_sql, messages, table, tool_results, tool_uses, truncate_sql, words_sql
 from threadloom.sources.store import Store, scratch
 
 NL = "chr(10)"
@@ -335,13 +337,8 @@ def placed(spark, sf):
     return S.ranked(own(found(spark, sf)).withColumn("span", F.col("block_range_end") - F.col("block_range_start")))
 
 
-@query("h7_ranked", f"WITH {FOUND}, {RANKING} SELECT query_id, block_id, k AS place FROM ranked WHERE k <= 9")
+@query("h7_ranked", f"WITH {FOUND}, {RANKING} SELECT query_id, block_id, k AS place FROM ranked")
 def ranking(spark, sf):
-    return placed(spark, sf).filter("place <= 9").select("query_id", "block_id", "place")
-
-
-@query("h7_all_places", f"WITH {FOUND}, {RANKING} SELECT query_id, block_id, k AS place FROM ranked")
-def all_places(spark, sf):
     return placed(spark, sf).select("query_id", "block_id", "place")
 
 
@@ -429,3 +426,24 @@ def transition(spark, sf):
     store.commit_transition("k1", "v2", "src3", 50)
     hidden = store.blocks().filter("isolated = 1").count()
     return store.state().select("key", "value").withColumn("hidden", F.lit(hidden))
+
+
+FOLDED_ROWS = f"""{TAIL}, pre AS (SELECT m.* FROM msg m JOIN o USING (session_id) WHERE cutoff > 0 AND idx < cutoff),
+sp AS (SELECT session_id, min(idx) AS a, max(idx) AS b, count(*) AS n, sum(tok)::BIGINT AS t FROM pre GROUP BY 1),
+tl AS (SELECT session_id, list(event ORDER BY idx) AS l FROM (SELECT session_id, idx, '- [' || idx || '] U: ' || CASE WHEN length({SAID}) <= 120 THEN {SAID} ELSE substr({SAID}, 1, 120) || '…' END || {NL} AS event FROM pre WHERE role = 'user' AND {SAID} <> '' AND {SAID} NOT LIKE '[%') GROUP BY 1),
+cn AS (SELECT session_id, max_by(said, idx) AS said FROM (SELECT session_id, idx, {truncate_sql('c', 300)} AS said FROM (SELECT session_id, idx, array_to_string(s[-2:], ' ') AS c FROM (SELECT session_id, idx, {SENTENCES} AS s FROM pre) WHERE len(s) > 0)) WHERE said <> '' GROUP BY 1),
+su AS (SELECT session_id, 'Archived messages ' || a || '–' || b || '（共 ' || n || ' 条，约 ' || t || ' tokens）' || CASE WHEN l IS NULL THEN '' WHEN len(l) > 120 THEN {NL} || '### Timeline' || {NL} || array_to_string(l[1:20], '') || '  [...' || (len(l) - 120) || ' events omitted...]' || {NL} || array_to_string(l[-100:], '') ELSE {NL} || '### Timeline' || {NL} || array_to_string(l, '') END
+|| coalesce({NL} || '### Conclusion' || {NL} || said || {NL}, '') AS text FROM sp LEFT JOIN tl USING (session_id) LEFT JOIN cn USING (session_id)),
+fr AS (SELECT m.session_id, CASE WHEN cutoff < 0 OR m.idx = 0 THEN m.idx ELSE m.idx - cutoff + 2 END AS idx, m.role, CASE WHEN cutoff > 0 AND m.idx = 0 THEN {HOLDER} ELSE m.text END AS text FROM msg m JOIN oc USING (session_id) WHERE cutoff < 0 OR m.idx = 0 OR m.idx >= cutoff UNION ALL SELECT session_id, 1, 'user', text FROM su)"""
+
+
+@query("e2e_folded", f"{FOLDED_ROWS} SELECT session_id, idx, role, text FROM fr")
+def forwarded_all(spark, sf):
+    """Every conversation as it would go on."""
+    return forwarded(messages(spark, sf).select("session_id", "idx", "role", "text"), EngineConfig(keep_recent=2), floor=400)
+
+
+@query("e2e_forwarded", f"{FOLDED_ROWS} SELECT session_id, count(*) AS n FROM fr GROUP BY 1")
+def forwarded_counts(spark, sf):
+    """How many rows of every conversation would go on."""
+    return forwarded_all(spark, sf).groupBy("session_id").agg(F.count("*").alias("n"))

@@ -296,18 +296,3 @@ def session_window(spark, sf):
 def tracked(spark, sf):
     role = F.when(F.col("event_id") % 4 == 0, "main").when(F.col("event_id") % 4 == 1, "subagent").when(F.col("event_id") % 4 == 2, "title").otherwise("unknown")
     return keep(table(spark, sf, "events").select("event_id", role.alias("request_role"))).select("event_id")
-
-
-@query("e2e_forwarded", f"WITH {MSG} SELECT session_id, count(*) AS n FROM msg GROUP BY 1 HAVING count(*) < 4")
-def forwarded_short(spark, sf):
-    """Histories too short to fold go on with all their rows."""
-    m = messages(spark, sf).select("session_id", "idx", "role", "text")
-    out = forwarded(m, EngineConfig(keep_recent=2), floor=400)
-    short = m.groupBy("session_id").agg(F.count("*").alias("_n")).filter("_n < 4").select("session_id")
-    return out.join(short, "session_id").groupBy("session_id").agg(F.count("*").alias("n"))
-
-
-@query("e2e_folded")
-def forwarded_all(spark, sf):
-    """Every conversation as it would go on."""
-    return forwarded(messages(spark, sf).select("session_id", "idx", "role", "text"), EngineConfig(keep_recent=2), floor=400)

@@ -11,9 +11,17 @@ from threadloom.schema import KNOWN_BLOCK_KEYS, KNOWN_MESSAGE_KEYS
 RAW = "map<string,string>"
 
 
+OPEN = "map<string,variant>"
+
+
+def raw_values(opened: Column) -> Column:
+    """A map of variants as a map of JSON texts: strings keep their quotes, a JSON null is the text null."""
+    return F.transform_values(opened, lambda k, v: F.coalesce(F.to_json(v), F.lit("null")))
+
+
 def fields(raw: Column) -> Column:
-    """The fields of a JSON object, each as raw JSON text; null for anything else."""
-    return F.when(_is_kind(raw, "OBJECT"), F.from_json(raw, RAW))
+    """The fields of a JSON object, each as JSON text; null for anything else."""
+    return F.when(_is_kind(raw, "OBJECT"), raw_values(F.from_json(raw, OPEN)))
 
 
 def _is_kind(raw: Column, kind: str) -> Column:
@@ -25,9 +33,9 @@ BLOCK_JSON = "struct<type:string,text:string,thinking:string,signature:string,id
 
 def blocks_of(raw: Column) -> Column:
     """An array of blocks with what isn't known of each in `extra`."""
-    typed, whole = F.from_json(raw, f"array<{BLOCK_JSON}>"), F.from_json(raw, f"array<{RAW}>")
+    typed, whole = F.from_json(raw, f"array<{BLOCK_JSON}>"), F.from_json(raw, f"array<{OPEN}>")
     known = F.array(*(F.lit(k) for k in KNOWN_BLOCK_KEYS))
-    extra = F.transform(whole, lambda m: F.map_filter(m, lambda k, _: ~F.array_contains(known, k)))
+    extra = F.transform(whole, lambda m: raw_values(F.map_filter(m, lambda k, _: ~F.array_contains(known, k))))
     return F.zip_with(typed, extra, lambda b, e: F.struct(*(b[k].alias(k) for k in KNOWN_BLOCK_KEYS), e.alias("extra")))
 
 
@@ -47,9 +55,13 @@ def parse_content(raw: Column) -> tuple[Column, Column]:
 
 
 def rebuild_content(kind: Column, blocks: Column) -> Column:
-    """JSON of blocks: a lone text block of a string is a string again; empty thinking goes, a call's missing input is {}."""
+    """JSON of blocks: a lone text block of a string is a string again; empty thinking goes, a call's missing input is {}, unknown fields come last."""
     kept = F.filter(blocks, lambda b: ~((b["type"] == "thinking") & (F.coalesce(b["thinking"], F.lit("")) == "")))
-    body = F.transform(kept, lambda b: F.to_json(F.struct(*(F.when((b["type"] == "tool_use") & b["input"].isNull(), F.create_map().cast(RAW)).otherwise(b["input"]).alias(k) if k == "input" else b[k].alias(k) for k in KNOWN_BLOCK_KEYS))))
+    known = lambda b: F.to_json(F.struct(*(F.when((b["type"] == "tool_use") & b["input"].isNull(), F.create_map().cast(RAW)).otherwise(b["input"]).alias(k) if k == "input" else b[k].alias(k) for k in KNOWN_BLOCK_KEYS)))
+    quoted = lambda s: F.substr(F.to_json(F.array(s)), F.lit(2), F.length(F.to_json(F.array(s))) - 2)
+    more = lambda b: F.transform(F.map_entries(b["extra"]), lambda e: F.concat(quoted(e["key"]), F.lit(":"), e["value"]))
+    whole = lambda b: F.when(F.size(b["extra"]) > 0, F.concat(F.regexp_replace(known(b), r"\}$", F.when(known(b) == "{}", "").otherwise(",")), F.array_join(more(b), ","), F.lit("}"))).otherwise(known(b))
+    body = F.transform(kept, whole)
     text = F.to_json(F.array(F.get(kept, F.lit(0))["text"]))
     lone = (kind == "string") & (F.size(kept) == 1)
     return F.when(lone, F.substr(text, F.lit(2), F.length(text) - 2)).otherwise(F.concat(F.lit("["), F.array_join(body, ","), F.lit("]")))
@@ -70,11 +82,11 @@ def usable(requests: DataFrame, config: EngineConfig | None = None) -> tuple[Dat
 
 def message_rows(requests: DataFrame) -> DataFrame:
     """(session_id, request_id, idx, role, content_kind, blocks, extra) of requests (session_id, request_id, body)."""
-    raw = F.from_json(F.get_json_object("body", "$.messages"), f"array<{RAW}>")
+    raw = F.from_json(F.get_json_object("body", "$.messages"), f"array<{OPEN}>")
     m = requests.select("session_id", "request_id", F.posexplode(raw).alias("idx", "m"))
-    kind, blocks = parse_content(F.col("m")["content"])
+    kind, blocks = parse_content(F.to_json(F.col("m")["content"]))
     known = F.array(*(F.lit(k) for k in KNOWN_MESSAGE_KEYS))
-    return m.select("session_id", "request_id", F.col("idx").cast("bigint").alias("idx"), F.col("m")["role"].alias("role"), kind.alias("content_kind"), blocks.alias("blocks"), F.map_filter("m", lambda k, _: ~F.array_contains(known, k)).alias("extra"))
+    return m.select("session_id", "request_id", F.col("idx").cast("bigint").alias("idx"), F.try_variant_get(F.col("m")["role"], "$", "string").alias("role"), kind.alias("content_kind"), blocks.alias("blocks"), raw_values(F.map_filter("m", lambda k, _: ~F.array_contains(known, k))).alias("extra"))
 
 
 def block_rows(messages: DataFrame) -> DataFrame:
