@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Paths of the tables that this process has written.
+written: list[str] = []
 #: Bytes of text that an operator turns into arrays at once; a longer text is a slice of its own.
 SLICE = 2 << 20
 def shared_dir(spark: SparkSession) -> str:
@@ -36,15 +38,17 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession, tables: list[DataFrame]) -> None:
-    """Deletes tables of kept_table that no frame in use reads any more; frames of other files are left alone."""
+def drop_tables(spark: SparkSession, tables: list[DataFrame | str]) -> None:
+    """Deletes tables of kept_table, given as frames or paths, that no frame in use reads any more; other files are left alone."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     own = path(f"{shared_dir(spark)}/tables")
     own = own.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(own).toString() + "/"
-    for folder in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
+    folders = {f.rsplit("/", 1)[0] for t in tables if isinstance(t, DataFrame) for f in t.inputFiles()}
+    for folder in folders | {t for t in tables if isinstance(t, str)}:
         fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
         if fs.makeQualified(path(folder)).toString().startswith(own):
             fs.delete(path(folder), True)
