@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm.common import drop_tables, kept_table
+from threadloom.llm.common import drop_tables, kept_table, written
 from threadloom.llm.exact_dedup import drop_exact_copies
 from threadloom.llm.mixing import mixed_documents
 from threadloom.llm.ngram_join import drop_near_copies
@@ -49,9 +49,11 @@ STAGES = [("quality", quality), ("exact copies", exact_copies), ("near copies",
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. A stage's table goes when the next one's is written."""
+    """All stages over documents. When a stage's table is written, all that it was made of goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mark = len(written)
     for name, stage in STAGES[:-1]:
-        before, docs = docs, kept_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        drop_tables(spark, [before])
+        docs = kept_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_tables(spark, written[mark:-1])
+        del written[mark:-1]
     return STAGES[-1][1](spark, docs, sf_dir)
