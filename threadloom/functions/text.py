@@ -15,8 +15,16 @@ STOP_WORDS = (
     "above below between and but or nor not so yet both either neither each every all any few more most other some such no only own same than too very "
     "just because as until while if when where how what which who whom here there then now"
 ).split()
-COMMON_RECALL_WORDS = "archive recall restore retrieve search earlier previous before request tool user assistant bash read write edit grep glob mcp agent 恢复 找回 之前 存档 搜索".split()
-RECALL_PHRASES = ("recall archive", "restore archive", "retrieve archive", "search archive", "recall earlier", "restore earlier", "find earlier", "from earlier", "恢复存档", "找回存档", "恢复之前", "找回之前", "搜索存档")
+# Words that a recall is never looked up by, and phrases that ask for one.
+COMMON_RECALL_WORDS = (
+    "archive", "recall", "restore", "retrieve", "search", "earlier", "previous", "before", "request", "tool", "user", "assistant", "bash", "read", "write", "edit", "grep", "glob", "mcp", "agent",
+    "恢复", "找回", "之前", "存档", "搜索",
+)
+RECALL_PHRASES = (
+    "recall archive", "restore archive", "retrieve archive", "search archive", "recall earlier", "restore earlier", "find earlier", "from earlier",
+    "恢复存档", "找回存档", "恢复之前", "找回之前", "搜索存档",
+)
+# Names of inputs that hold paths, signs of decisions, tasks and passing reminders, headings of lasting context, sections of an archive.
 PATH_KEYS = ("file_path", "path", "filename", "file", "dir", "directory", "filePath")
 FILE_KEYS = ("file_path", "path", "filename", "file", "filePath")
 DECISION_MARKERS = ("nimm", "mach", "ja bitte", "nein", "bitte nicht", "so lassen", "lass uns", "entscheidung", "option", "variante", "ansatz", "take", "use", "go with", "let's do", "ja -", "ok -")
@@ -178,9 +186,14 @@ def line_count(text: Column) -> Column:
     return occurrences(text, "\n") + 1
 
 
+# The patterns of a signature and of a function's line.
+SIGNATURE = r"(?i)\b(func|type|class|def|export)\s+(\w[\w.]*)"
+FUNCTION = r"(?m)^func\s+(\([^)]+\)\s+)?(\w+)\s*\("
+
+
 def signatures(text: Column, most: int = 5) -> Column:
-    found = F.slice(F.regexp_extract_all(text, F.lit(r"(?i)(\b(?:func|type|class|def|export)\s+\w[\w.]*)"), F.lit(1)), 1, most)
-    return F.transform(found, lambda s: F.concat(F.lower(F.regexp_extract(s, r"^(\w+)", 1)), F.lit(" "), F.regexp_extract(s, r"(\w[\w.]*)$", 1)))
+    part = lambda group: F.slice(F.regexp_extract_all(text, F.lit(SIGNATURE), F.lit(group)), 1, most)
+    return F.zip_with(part(1), part(2), lambda kind, name: F.concat(F.lower(kind), F.lit(" "), name))
 
 
 def result_facts(content: Column) -> Column:
@@ -199,7 +212,7 @@ def eager_stub(name: Column, input_: Column, content: Column) -> Column:
     lines = F.split(content, "\n", -1)
     n = F.size(lines)
     count = n.cast("string")
-    names = F.transform(F.slice(F.regexp_extract_all(content, F.lit(r"(?m)^func\s+(?:\([^)]+\)\s+)?(\w+)\s*\("), F.lit(1)), 1, 20), lambda f: F.concat(f, F.lit("()")))
+    names = F.transform(F.slice(F.regexp_extract_all(content, F.lit(FUNCTION), F.lit(2)), 1, 20), lambda f: F.concat(f, F.lit("()")))
     named = F.when(F.size(names) > 0, F.concat(F.lit(" | "), F.array_join(names, ", "))).otherwise(F.lit(""))
     ends = F.when(n <= 6, content).otherwise(F.concat(F.array_join(F.slice(lines, 1, 3), "\n"), F.lit("\n[...]\n"), F.array_join(F.slice(lines, -3, 3), "\n")))
     first = F.when(n <= 10, content).otherwise(F.concat(F.array_join(F.slice(lines, 1, 10), "\n"), F.lit("\n[... +"), (n - 10).cast("string"), F.lit(" more]")))

@@ -400,7 +400,7 @@ def inject(spark, sf):
 def compaction_stats(spark, sf):
     """How often calls name each file within each run that compaction finds."""
     runs = H.compactable_runs(stages(spark, sf))
-    inside = tool_uses(spark, sf).join(runs, "session_id").filter("idx between start and end")
+    inside = H.in_runs(tool_uses(spark, sf), runs.select("session_id", "start", "end")).filter("run is not null").select("*", "run.start", "run.end")
     return A.file_counts(inside, "session_id", "start", "end")
 
 

@@ -89,12 +89,11 @@ def compact(spark, sf):
     s = stages(spark, sf)
     runs = H.compactable_runs(s)
     pieces = H.compacted_rows(s, runs)
-    u = tool_uses(spark, sf).select("session_id", F.col("idx").alias("at"), F.col("name").alias("key"))
-    counts = pieces.join(u, "session_id").filter("at between start and end").groupBy("session_id", "start", "end", "role", "key").agg(F.count("*").alias("n"))
+    u = tool_uses(spark, sf).select("session_id", "idx", F.col("name").alias("key"))
+    counts = H.in_runs(u, pieces.select("session_id", "start", "end", "role")).filter("run is not null").groupBy("session_id", "run.start", "run.end", "run.role", "key").agg(F.count("*").alias("n"))
     line = counts.groupBy("session_id", "start", "end", "role").agg(X.counts_line(F.collect_list(F.struct("key", "n"))).alias("tools"))
     made = line.select("session_id", F.col("start").alias("idx"), "role", X.compacted_text(F.col("start"), F.col("end"), F.lit(""), F.col("tools")).alias("text"))
-    within = runs.select("session_id", "start", "end")
-    left = s.join(within, (s.session_id == within.session_id) & s.idx.between(within.start, within.end), "left_anti")
+    left = H.in_runs(s, runs.select("session_id", "start", "end")).filter("run is null")
     return left.select("session_id", "idx", "role", F.lit(None).cast("string").alias("text")).unionByName(made)
 
 
