@@ -203,7 +203,8 @@ def result_facts(content: Column) -> Column:
 
 def result_summary(name: Column, facts: Column, keywords: Column) -> Column:
     """What stands for a large tool result: the tool, the lines, up to five signatures, a hint."""
-    key = F.when(facts["key"] != "", F.concat(F.lit(", key: "), facts["key"])).otherwise(F.lit(""))
+    # Names the key once: signatures of a large text are worth finding only once.
+    key = F.array_join(F.transform(F.filter(F.array(facts["key"]), lambda k: k != ""), lambda k: F.concat(F.lit(", key: "), k)), "")
     return with_hint(F.concat(F.lit("[context compressed: "), F.coalesce(name, F.lit("tool")), F.lit(", "), facts["lines"].cast("string"), F.lit(" lines"), key, F.lit("]")), keywords)
 
 

@@ -37,24 +37,27 @@ def phrase_in(tokens: Column, phrase: Column) -> Column:
 def bm25(posts: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, posting_id, block_id, keyword, rank): postings that hold a phrase of a query, best (most negative) rank first.
 
-    queries: query_id, term. Corpus figures count all postings. A phrase is looked up by its longest word, an equi
-    join that only postings with an asked word pass, and its frequency is the number of postings that hold it all.
+    queries: query_id, term. Corpus figures count all postings, and a phrase's frequency is the number of postings
+    that hold it all. A posting's rank depends on its keyword alone, so phrases are looked up, by their longest
+    word, among the keywords that occur, each with the number of its postings; postings are met only at the end.
     """
-    figures = posts.agg(F.struct(F.count("*").alias("n"), F.coalesce(F.avg("size"), F.lit(1.0)).alias("mean"))).scalar()
+    words = posts.groupBy("keyword").agg(F.count("*").alias("n")).withColumn("tokens", search_tokens(F.col("keyword"))).withColumn("size", F.size("tokens"))
+    figures = words.agg(F.struct(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("n") * F.col("size")) / F.nullif(F.sum("n"), F.lit(0)), F.lit(1.0)).alias("mean"))).scalar()
     n, mean = figures["n"], figures["mean"]
     asked = queries.select("query_id", "term", search_tokens(F.col("term")).alias("phrase")).filter(F.size("phrase") > 0).distinct()
     longest = F.element_at(F.array_sort(F.transform("phrase", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
     pick = asked.select("term", "phrase", longest.alias("word")).distinct()
-    held = posts.select("posting_id", "block_id", "keyword", "tokens", "size", F.explode(F.array_distinct("tokens")).alias("word"))
-    hits = held.join(pick, "word").filter(phrase_in(F.col("tokens"), F.col("phrase")))
+    held = words.select("keyword", "n", "tokens", "size", F.explode(F.array_distinct("tokens")).alias("word"))
+    met = held.join(pick, "word").filter(phrase_in(F.col("tokens"), F.col("phrase")))
     starts = F.sequence(F.lit(1), F.col("size") - F.size("phrase") + 1)
     times = F.size(F.filter(starts, lambda i: F.slice("tokens", i, F.size("phrase")) == F.col("phrase")))
-    hits = hits.select("term", "posting_id", "block_id", "keyword", "size", times.alias("times"))
-    count = hits.groupBy("term").agg(F.count("*").alias("hits"))
+    met = met.select("term", "keyword", "n", "size", times.alias("times"))
+    count = met.groupBy("term").agg(F.sum("n").alias("hits"))
     idf = F.greatest(F.log((n - F.col("hits") + 0.5) / (F.col("hits") + 0.5)), F.lit(1e-6))
     score = idf * F.col("times") * (K1 + 1) / (F.col("times") + K1 * (1 - B + B * F.col("size") / mean))
-    scored = hits.join(count, "term").select("term", "posting_id", "block_id", "keyword", score.alias("score"))
-    return asked.select("query_id", "term").join(scored, "term").groupBy("query_id", "posting_id", "block_id", "keyword").agg((-F.sum("score")).alias("rank"))
+    scored = met.join(count, "term").select("term", "keyword", score.alias("score"))
+    ranks = asked.select("query_id", "term").join(scored, "term").groupBy("query_id", "keyword").agg((-F.sum("score")).alias("rank"))
+    return posts.select("posting_id", "block_id", "keyword").join(ranks, "keyword").select("query_id", "posting_id", "block_id", "keyword", "rank")
 
 
 def by_block(matches: DataFrame, blocks: DataFrame) -> DataFrame:
