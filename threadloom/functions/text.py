@@ -192,8 +192,8 @@ FUNCTION = r"(?m)^func\s+(\([^)]+\)\s+)?(\w+)\s*\("
 
 
 def signatures(text: Column, most: int = 5) -> Column:
-    part = lambda group: F.slice(F.regexp_extract_all(text, F.lit(SIGNATURE), F.lit(group)), 1, most)
-    return F.zip_with(part(1), part(2), lambda kind, name: F.concat(F.lower(kind), F.lit(" "), name))
+    found = F.slice(F.regexp_extract_all(text, F.lit(SIGNATURE), F.lit(0)), 1, most)
+    return F.transform(found, lambda s: F.concat(F.lower(F.regexp_extract(s, SIGNATURE, 1)), F.lit(" "), F.regexp_extract(s, SIGNATURE, 2)))
 
 
 def result_facts(content: Column) -> Column:
