@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import text as X
 from threadloom.functions import tokens as T
 from threadloom.operators.history import latest_user_text
+from threadloom.sources.tables import kept
 
 K1, B = 1.2, 0.75
 # Accents that the tokenizer folds.
@@ -40,6 +41,8 @@ def bm25(posts: DataFrame, queries: DataFrame) -> DataFrame:
     queries: query_id, term. Corpus figures count all postings, and a phrase's frequency is the number of postings
     that hold it all. A posting's rank depends on its keyword alone, so phrases are looked up, by their longest
     word, among the keywords that occur, each with the number of its postings; postings are met only at the end.
+    The ranks of the keywords that were asked for are written first, so that the join with the postings goes by
+    their size: a broadcast below Spark's own bound, shuffles above it.
     """
     words = posts.groupBy("keyword").agg(F.count("*").alias("n")).withColumn("tokens", search_tokens(F.col("keyword"))).withColumn("size", F.size("tokens"))
     figures = words.agg(F.struct(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("n") * F.col("size")) / F.nullif(F.sum("n"), F.lit(0)), F.lit(1.0)).alias("mean"))).scalar()
@@ -56,14 +59,14 @@ def bm25(posts: DataFrame, queries: DataFrame) -> DataFrame:
     idf = F.greatest(F.log((n - F.col("hits") + 0.5) / (F.col("hits") + 0.5)), F.lit(1e-6))
     score = idf * F.col("times") * (K1 + 1) / (F.col("times") + K1 * (1 - B + B * F.col("size") / mean))
     scored = met.join(count, "term").select("term", "keyword", score.alias("score"))
-    ranks = asked.select("query_id", "term").join(scored, "term").groupBy("query_id", "keyword").agg((-F.sum("score")).alias("rank"))
+    ranks = kept(asked.select("query_id", "term").join(scored, "term").groupBy("query_id", "keyword").agg((-F.sum("score")).alias("rank")))
     return posts.select("posting_id", "block_id", "keyword").join(ranks, "keyword").select("query_id", "posting_id", "block_id", "keyword", "rank")
 
 
 def by_block(matches: DataFrame, blocks: DataFrame) -> DataFrame:
     """(query_id, block columns, terms, matched, rank) of visible blocks."""
-    m = matches.groupBy("query_id", "block_id").agg(F.countDistinct("keyword").alias("matched"), F.sum("rank").alias("rank"), F.array_sort(F.collect_set("keyword")).alias("terms"))
-    return m.join(blocks.filter("isolated = 0"), "block_id")
+    m = matches.groupBy("query_id", "block_id").agg(F.sum("rank").alias("rank"), F.array_sort(F.collect_set("keyword")).alias("terms"))
+    return m.withColumn("matched", F.size("terms").cast("bigint")).join(blocks.filter("isolated = 0"), "block_id")
 
 
 def top(found: DataFrame, k: int) -> DataFrame:

@@ -20,6 +20,7 @@ from threadloom.plans.registry import query
 from threadloom.plans.texts import EAGER, EVENT, SENTENCES
 from threadloom.plans.views import ACT, ARCHIVE, KW_SQL, MSG, archives, drop_uses, list_sql, messages, table, tool_results, tool_uses, truncate_sql, words_sql
 from threadloom.sources.store import Store, scratch
+from threadloom.sources.tables import kept
 
 NL = "chr(10)"
 
@@ -284,19 +285,25 @@ def stubify(spark, sf):
     return R.stubbed_rows(m, 2).select("session_id", "idx", "action")
 
 
-KWS = f"""posts AS (SELECT doc_id * 100000 + row_number() OVER (PARTITION BY doc_id ORDER BY w) AS posting_id, doc_id AS block_id, w AS keyword FROM (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest({words_sql("text")}) AS w FROM documents) WHERE regexp_full_match(w, '[a-z]+'))),
-probe AS (SELECT item_id AS query_id, unnest(list_filter(ws, lambda w, i: list_position(ws, w) = i AND regexp_full_match(w, '[a-z]+') AND NOT list_contains({list_sql([*X.STOP_WORDS, *X.COMMON_RECALL_WORDS])}, w))[1:8]) AS term FROM (SELECT item_id, {words_sql("text")} AS ws FROM benchmark)),
-h AS (SELECT term, count(*) AS hits FROM (SELECT DISTINCT term FROM probe) JOIN posts ON keyword = term GROUP BY 1),
-mt AS (SELECT query_id, posting_id, block_id, keyword, -greatest(ln(((SELECT count(*) FROM posts) - hits + 0.5) / (hits + 0.5)), 1e-6) AS rank FROM (SELECT DISTINCT query_id, term FROM probe) JOIN h USING (term) JOIN posts ON keyword = term)"""
+FOLDED = lambda w: f"list_filter(regexp_split_to_array(translate(lower({w}), '{S.ACCENTED}', '{S.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+TIMES = "len(list_filter(range(1, greatest(len(tokens) - len(phrase), -1) + 2), lambda i: tokens[i:i + len(phrase) - 1] = phrase))"
+KWS = f"""posts AS (SELECT doc_id * 100000 + row_number() OVER (PARTITION BY doc_id ORDER BY w) AS posting_id, doc_id AS block_id, w AS keyword FROM (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest({words_sql("text")}) AS w FROM documents))),
+vocabulary AS (SELECT keyword, n, {FOLDED("keyword")} AS tokens FROM (SELECT keyword, count(*) AS n FROM posts GROUP BY 1)),
+figures AS (SELECT sum(n) AS total, sum(n * len(tokens)) / sum(n) AS mean FROM vocabulary),
+probe AS (SELECT DISTINCT query_id, term, phrase FROM (SELECT query_id, term, {FOLDED("term")} AS phrase FROM (SELECT item_id AS query_id, unnest(list_filter(list_filter(ws, lambda w, i: list_position(ws, w) = i), lambda w: NOT list_contains({list_sql([*X.STOP_WORDS, *X.COMMON_RECALL_WORDS])}, w))[1:8]) AS term FROM (SELECT item_id, {words_sql("text")} AS ws FROM benchmark))) WHERE len(phrase) > 0),
+held AS (SELECT DISTINCT keyword, n, tokens, unnest(tokens) AS word FROM vocabulary),
+met AS (SELECT *, {TIMES} AS times FROM (SELECT DISTINCT term, phrase, phrase[1] AS word FROM probe) JOIN held USING (word)),
+h AS (SELECT term, sum(n) AS hits FROM met WHERE times > 0 GROUP BY 1),
+scored AS (SELECT term, keyword, greatest(ln((total - hits + 0.5) / (hits + 0.5)), 1e-6) * times * {S.K1 + 1} / (times + {S.K1} * (1 - {S.B} + {S.B} * len(tokens) / mean)) AS score FROM met JOIN h USING (term), figures WHERE times > 0),
+mt AS (SELECT query_id, posting_id, block_id, keyword, rank FROM (SELECT query_id, keyword, -sum(score) AS rank FROM probe JOIN scored USING (term) GROUP BY 1, 2) JOIN posts USING (keyword))"""
 
 
 def kw_posts(spark, sf):
-    words = F.array_sort(F.filter(F.array_distinct(X.words(F.col("text"))), lambda w: w.rlike("^[a-z]+$")))
+    """The keyword table of an archive, a posting for each different word of a document, written as a store would hold it; and queries of benchmark's words."""
+    words = F.sort_array(F.array_distinct(X.words(F.col("text"))))
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("block_id"), F.posexplode(words).alias("pos", "keyword")).withColumn("posting_id", F.col("block_id") * 100000 + F.col("pos") + 1).drop("pos")
-    terms = F.filter(X.words(F.col("text")), lambda w: w.rlike("^[a-z]+$"))
-    few = F.slice(F.array_except(F.array_distinct(terms), X.strings([*X.STOP_WORDS, *X.COMMON_RECALL_WORDS])), 1, 8)
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(few).alias("term"))
-    return S.postings(d), q
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(X.recall_terms(F.col("text"))).alias("term"))
+    return S.postings(kept(d)), q
 
 
 @query("h2_bm25", f"WITH {KWS} SELECT query_id, posting_id, round(rank, 4) AS rank FROM mt")

@@ -9,7 +9,6 @@ starts again from the commit that took it. Paths go through Spark's own file sys
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -18,19 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.operators import storage
+from threadloom.sources.tables import scratch  # noqa: F401
 
 BLOCK_DEFAULTS = {"history_epoch": ("bigint", 1), "isolated": ("int", 0), "content_hash": ("string", None)}
 STATE = "key string, value string, updated_at timestamp"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; where that is unset a temporary one, in local mode only."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{base or 'file://' + tempfile.mkdtemp(prefix='threadloom-store-')}/store-{uuid.uuid4().hex}"
-
-
 #: How often a writer starts again because another one took its number.
 TRIES = 20
 #: What a change makes of the parts that a table has: (parts to keep, rows to add).
