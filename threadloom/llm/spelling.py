@@ -32,6 +32,7 @@ LETTERS, COUNT, FACTOR = 5, 3, 2
 RAREST = 3
 #: a-z and the 64 characters from U+00C0 to U+00FF.
 ALPHABET = 90
+#: Characters beyond which a word's checksum and edits are found one word at a time.
 LONG = 64
 ASCII_LETTER = np.zeros(256, bool)
 ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -188,6 +189,16 @@ def _listed(rank: np.ndarray):
     return run
 
 
+def one_edit(a: str, b: str) -> F.Column:
+    """Whether two different words are one edit apart. Built-in edit distance takes the square of a word's length: long ones go by their first difference."""
+    one, other = F.col(a), F.col(b)
+    m, n = F.length(one), F.length(other)
+    at = F.array_position(F.zip_with(F.split(one, ""), F.split(other, ""), lambda x, y: x != y), True).cast("int")
+    at = F.when(at == 0, F.least(m, n) + 1).otherwise(at)
+    long = F.when(m == n, F.substr(one, at + 1) == F.substr(other, at + 1)).when(m == n + 1, F.substr(one, at + 1) == F.substr(other, at)).when(n == m + 1, F.substr(other, at + 1) == F.substr(one, at)).otherwise(False)
+    return F.when(m <= LONG, F.levenshtein(one, other, 1) == 1).otherwise(long)
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """(one, other, n_one, n_other) for each pair of words (word, n; at least four characters of the alphabet) that differ by exactly one edit; one < other."""
     counted = words.select("word").mapInArrow(_bigrams, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # 8100 rows at most
@@ -196,7 +207,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     rank[grams[np.lexsort((grams, n))]] = np.arange(len(grams))
     listed = words.mapInArrow(_listed(rank), "word string, n bigint, long boolean, at bigint").repartition("at")
     a, b = listed.alias("a"), listed.alias("b")
-    met = a.join(b, (F.col("a.at") == F.col("b.at")) & ~(F.col("a.long") & F.col("b.long")) & (F.col("a.word") < F.col("b.word")) & (F.levenshtein("a.word", "b.word", 1) == 1))
+    met = a.join(b, (F.col("a.at") == F.col("b.at")) & ~(F.col("a.long") & F.col("b.long")) & (F.col("a.word") < F.col("b.word")) & one_edit("a.word", "b.word"))
     return met.select(F.col("a.word").alias("one"), F.col("b.word").alias("other"), F.col("a.n").alias("n_one"), F.col("b.n").alias("n_other")).distinct()
 
 
