@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,11 +12,13 @@ FENCE = "```"
 # What words are trimmed of, and the words that never count.
 WORD_EDGES = ".,;:!?\"'()[]{}…—"
 STOP_WORDS = (
-    "the a an is are was were be been being have has had do does did will would shall should may might must can could i you he she it we they "
-    "me him her us them my your his its our their this that these those in on at to for of with by from up about into through during before after "
-    "above below between and but or nor not so yet both either neither each every all any few more most other some such no only own same than too very "
-    "just because as until while if when where how what which who whom here there then now"
-).split()
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "shall",
+    "should", "may", "might", "must", "can", "could", "i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them", "my", "your",
+    "his", "its", "our", "their", "this", "that", "these", "those", "in", "on", "at", "to", "for", "of", "with", "by", "from", "up", "about", "into",
+    "through", "during", "before", "after", "above", "below", "between", "and", "but", "or", "nor", "not", "so", "yet", "both", "either", "neither",
+    "each", "every", "all", "any", "few", "more", "most", "other", "some", "such", "no", "only", "own", "same", "than", "too", "very", "just",
+    "because", "as", "until", "while", "if", "when", "where", "how", "what", "which", "who", "whom", "here", "there", "then", "now",
+)
 # Words that a recall is never looked up by, and phrases that ask for one.
 COMMON_RECALL_WORDS = (
     "archive", "recall", "restore", "retrieve", "search", "earlier", "previous", "before", "request", "tool", "user", "assistant", "bash", "read", "write", "edit", "grep", "glob", "mcp", "agent",
@@ -53,7 +57,7 @@ def occurrences(text: Column, part: str) -> Column:
     return F.size(F.split(text, F.lit("\\Q" + part + "\\E"), -1)) - 1
 
 
-def truncate(text: Column, most: int) -> Column:
+def truncate(text: Column, most: int | Column) -> Column:
     """At most so many code points and an ellipsis; a code fence that this leaves open is closed."""
     cut = F.concat(F.substring(text, 1, most), F.lit("…"))
     return F.when(F.length(text) <= most, text).otherwise(F.when(occurrences(cut, FENCE) % 2 == 1, F.concat(cut, F.lit("\n" + FENCE))).otherwise(cut))
@@ -299,25 +303,33 @@ def archive_text(start: Column, end: Column, count: Column, tokens: Column, tool
     )
 
 
-def shorten_summary(text: Column, most: int) -> Column:
-    """An archive text cut by sections: head, errors and conclusion stay, others in order as they fit.
+def summary_parts(text: Column) -> Column:
+    """(text, some, head, must, sections) of an archive text, each section searched for once: what shortened() folds over."""
+    marks = F.struct(*(F.instr(text, f"\n### {s}\n").alias(f"m{i}") for i, s in enumerate(SECTIONS)), F.length(text).alias("n"))
+
+    def cut(m: Column) -> Column:
+        starts = [F.when(m[f"m{i}"] > 0, m[f"m{i}"]) for i in range(len(SECTIONS))]
+        ends = [F.least(*starts[i + 1 :], m["n"] + 1) if i + 1 < len(SECTIONS) else m["n"] + 1 for i in range(len(SECTIONS))]
+        bodies = [F.when(start > 0, F.substring(text, start, end - start)) for start, end in zip(starts, ends, strict=True)]
+        head = F.substring(text, F.lit(1), F.least(*starts) - 1)
+        parts = F.array(*(F.struct(F.lit(s).alias("name"), c.alias("body"), F.lit(i >= 4).alias("kept")) for i, (s, c) in enumerate(zip(SECTIONS, bodies, strict=True))))
+        must = F.concat(head, F.coalesce(bodies[4], F.lit("")), F.coalesce(bodies[5], F.lit("")))
+        return F.struct(text.alias("text"), F.least(*starts).isNotNull().alias("some"), head.alias("head"), must.alias("must"), F.filter(parts, lambda p: p["body"].isNotNull()).alias("sections"))
+
+    return _let(marks, cut)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def shortened(found: Column, most: Column) -> Column:
+    """An archive text of summary_parts cut by sections: head, errors and conclusion stay, others in order as they fit.
 
     A fold over the sections: what is kept, room left, and names left out since the last kept one.
     """
-    marks = [F.instr(text, f"\n### {s}\n") for s in SECTIONS]
-    n = F.length(text)
-    some = F.greatest(*marks) > 0
-    begin = F.least(*(F.when(m > 0, m) for m in marks))
-    head = F.substring(text, F.lit(1), begin - 1)
-    chunks = []
-    for i, m in enumerate(marks):
-        later = [F.when(x > 0, x) for x in marks[i + 1 :]] + [n + 1]
-        end = F.least(*later) if len(later) > 1 else later[0]
-        chunks.append(F.when(m > 0, F.substring(text, m, end - m)))
-    must = F.concat(head, F.coalesce(chunks[4], F.lit("")), F.coalesce(chunks[5], F.lit("")))
-    parts = F.array(*(F.struct(F.lit(s).alias("name"), c.alias("body"), F.lit(i >= 4).alias("kept")) for i, (s, c) in enumerate(zip(SECTIONS, chunks, strict=True))))
-    parts = F.filter(parts, lambda p: p["body"].isNotNull())
-    zero = F.struct(head.alias("out"), (F.lit(most) - F.length(must)).alias("room"), F.lit("").alias("left_out"))
+    zero = F.struct(found["head"].alias("out"), (most - F.length(found["must"])).alias("room"), F.lit("").alias("left_out"))
 
     def note(acc: Column) -> Column:
         return F.when(acc["left_out"] == "", F.lit("")).otherwise(F.concat(F.lit("\n[...omitted: "), acc["left_out"], F.lit("...]\n")))
@@ -331,8 +343,15 @@ def shorten_summary(text: Column, most: int) -> Column:
             F.when(fits, F.lit("")).when(acc["left_out"] == "", p["name"]).otherwise(F.concat(acc["left_out"], F.lit(", "), p["name"])).alias("left_out"),
         )
 
-    folded = F.aggregate(parts, zero, step, lambda acc: F.concat(acc["out"], note(acc)))
-    return F.when(n <= most, text).when(~some, truncate(text, most)).when(F.length(must) > most, truncate(must, most)).otherwise(folded)
+    folded = F.aggregate(found["sections"], zero, step, lambda acc: F.concat(acc["out"], note(acc)))
+    text = found["text"]
+    return F.when(F.length(text) <= most, text).when(~found["some"], truncate(text, most)).when(F.length(found["must"]) > most, truncate(found["must"], most)).otherwise(folded)
+
+
+def shorten_summary(text: Column, most: int | Column) -> Column:
+    """shortened() of a text."""
+    limit = F.lit(most) if isinstance(most, int) else most
+    return _let(summary_parts(text), lambda p: shortened(p, limit))
 
 
 def hints(text: Column) -> Column:

@@ -64,9 +64,14 @@ def bm25(posts: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def by_block(matches: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(query_id, block columns, terms, matched, rank) of visible blocks."""
-    m = matches.groupBy("query_id", "block_id").agg(F.sum("rank").alias("rank"), F.array_sort(F.collect_set("keyword")).alias("terms"))
-    return m.withColumn("matched", F.size("terms").cast("bigint")).join(blocks.filter("isolated = 0"), "block_id")
+    """(query_id, block columns, terms, matched, rank) of visible blocks.
+
+    A block's keywords differ, so its matches are as many as its postings. terms holds the keywords that could be
+    paths; nothing else is asked of them.
+    """
+    path_like = F.when(F.col("keyword").rlike(r"[/\\]"), F.col("keyword"))
+    m = matches.groupBy("query_id", "block_id").agg(F.sum("rank").alias("rank"), F.count("*").alias("matched"), F.collect_set(path_like).alias("terms"))
+    return m.join(blocks.filter("isolated = 0"), "block_id")
 
 
 def top(found: DataFrame, k: int) -> DataFrame:
@@ -81,10 +86,25 @@ def meets(matched: Column, same_session: Column, exact_path: Column, terms: Colu
     return F.when(F.coalesce(exact_path, F.lit("")) != "", named).otherwise(matched >= F.when(same_session, 2).otherwise(3))
 
 
+def rank_keys() -> list[Column]:
+    """Own session, terms, rank, time, span, id."""
+    return [F.desc("same_session"), F.desc("matched"), F.asc("rank"), F.desc("created_at"), F.desc("span"), F.asc("block_id")]
+
+
 def ranked(candidates: DataFrame) -> DataFrame:
-    """place 1, 2, ... within a query: own session, terms, rank, time, span, id."""
-    order = W.partitionBy("query_id").orderBy(F.desc("same_session"), F.desc("matched"), F.asc("rank"), F.desc("created_at"), F.desc("span"), F.asc("block_id"))
-    return candidates.withColumn("place", F.row_number().over(order))
+    """place 1, 2, ... within a query by rank_keys; for few candidates of a query or few places."""
+    return candidates.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(*rank_keys())))
+
+
+def ranked_by_ranges(candidates: DataFrame, ranges: int | None = None) -> DataFrame:
+    """As ranked, for all places of queries that find very many blocks: rows are dealt by ranges of query and keys, so that a query's order is made in many tasks."""
+    n = ranges or int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = kept(candidates.repartitionByRange(n, "query_id", *rank_keys()).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("query_id", "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("query_id").orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.select("query_id", "_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(W.partitionBy("query_id", "_range").orderBy(*rank_keys()))
+    return dealt.withColumn("place", place).join(sizes, ["query_id", "_range"]).withColumn("place", F.col("place") + F.col("_before")).drop("_range", "_before")
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -117,9 +137,10 @@ def budgeted(chosen: DataFrame, limit: Column) -> DataFrame:
     chosen: query_id, place, block_id, prefix, summary_text. A summary is tried at 2000, 1000 and 500 code points;
     one that doesn't fit is passed over.
     """
-    costs = [T.estimate(F.concat("prefix", X.shorten_summary(F.col("summary_text"), n))) for n in (2000, 1000, 500)]
+    found = chosen.withColumn("_parts", X.summary_parts(F.col("summary_text"))).withColumn("_limit", limit)
+    costs = [T.estimate(F.concat("prefix", X.shortened(F.col("_parts"), F.lit(n)))) for n in (2000, 1000, 500)]
     item = F.struct("place", "block_id", *(c.alias(f"c{i}") for i, c in enumerate(costs)))
-    lists = chosen.withColumn("_limit", limit).groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("all"), F.first("_limit").alias("most"))
+    lists = found.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("all"), F.first("_limit").alias("most"))
     out_type = "array<struct<block_id:bigint,place:int,cost:bigint,level:int>>"
     zero = F.struct(F.lit(0).cast("bigint").alias("spent"), F.array().cast(out_type).alias("out"))
 
@@ -137,9 +158,9 @@ def signals(messages: DataFrame, most: int = 3) -> DataFrame:
     """(session_id, place, kind, query, terms, exact_path, idx): what a session's last user text asks to recall, at most three.
 
     Hints in any message count if they share two terms with that text or name a path it names; then one
-    request to recover something.
+    request to recover something. A session whose last user row says nothing (a bare answer to a call) asks nothing.
     """
-    latest = latest_user_text(messages, skip_empty=True).withColumn("asked", X.recall_terms(F.col("latest")))
+    latest = latest_user_text(messages).filter("latest <> ''").withColumn("asked", X.recall_terms(F.col("latest")))
     h = messages.select("session_id", "idx", F.posexplode(X.hints(F.col("text"))).alias("pos", "query")).join(latest, "session_id")
     h = h.withColumn("terms", X.recall_terms(F.col("query"))).withColumn("exact_path", F.get(X.paths(F.col("query")), F.lit(0)))
     shared = F.size(F.array_intersect("asked", "terms")) >= 2
@@ -173,9 +194,8 @@ def recalled(messages: DataFrame, posts: DataFrame, blocks: DataFrame, limit: in
     c = c.filter(F.col("summary_text") != "").withColumn("prefix", prefix)
     spent = budgeted(c.select("query_id", "place", "block_id", "prefix", "summary_text"), F.lit(limit).cast("bigint"))
     out = spent.join(c.select("query_id", "block_id", "kind", "idx", "prefix", "summary_text"), ["query_id", "block_id"])
-    short = F.when(F.col("level") == 2000, X.shorten_summary(F.col("summary_text"), 2000)).when(F.col("level") == 1000, X.shorten_summary(F.col("summary_text"), 1000)).otherwise(X.shorten_summary(F.col("summary_text"), 500))
     stub = messages.select(F.col("session_id").alias("query_id"), "idx", F.col("text").alias("stub_text"))
-    out = out.withColumn("payload", F.concat("prefix", short)).join(stub, ["query_id", "idx"], "left")
+    out = out.withColumn("payload", F.concat("prefix", X.shorten_summary(F.col("summary_text"), F.col("level")))).join(stub, ["query_id", "idx"], "left")
     return out.select(F.col("query_id").alias("session_id"), "place", "block_id", "kind", "idx", "stub_text", "payload", "cost", "level")
 
 

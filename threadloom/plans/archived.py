@@ -346,7 +346,8 @@ def placed(spark, sf):
 
 @query("h7_ranked", f"WITH {FOUND}, {RANKING} SELECT query_id, block_id, k AS place FROM ranked")
 def ranking(spark, sf):
-    return placed(spark, sf).select("query_id", "block_id", "place")
+    all_ = own(found(spark, sf)).withColumn("span", F.col("block_range_end") - F.col("block_range_start"))
+    return S.ranked_by_ranges(all_.select("query_id", "block_id", "same_session", "matched", "rank", "created_at", "span")).select("query_id", "block_id", "place")
 
 
 def dominates(a: str, b: str) -> str:
@@ -381,18 +382,32 @@ def budgeted(spark, sf):
 
 
 def hinted(spark, sf):
-    """Messages of which every third assistant row has a hint with the words of the session's last user row, and users ask to recall."""
+    """Messages of which every third assistant row has a hint with words of the session's last user row. That row asks to recall in two of five sessions, once with a path, and is empty in a third."""
     m = messages(spark, sf)
-    last = H.latest_user_text(m, True).withColumn("few", F.array_join(F.slice(X.recall_terms(F.col("latest")), 1, 3), " "))
+    last = m.filter("role = 'user'").groupBy("session_id").agg(F.max("idx").alias("last"), F.max_by("text", "idx").alias("latest"))
+    last = last.select("session_id", "last", F.array_join(F.slice(X.recall_terms(F.col("latest")), 1, 3), " ").alias("few"))
     hint = F.concat(F.lit(" deep_search('"), F.col("few"), F.lit(" "), F.col("idx").cast("string"), F.lit("')"))
-    return m.join(last.select("session_id", "few"), "session_id", "left").withColumn("text", F.when((F.col("idx") % 3 == 1) & (F.size(F.split("few", " ")) >= 2), F.concat("text", hint)).otherwise(F.col("text"))).select("session_id", "idx", "role", "text")
+    kind = F.when(F.col("idx") == F.col("last"), F.col("session_id") % 5)
+    asked = F.when(kind == 2, F.concat(F.lit("please recall earlier "), F.col("text"))).when(kind == 4, F.concat(F.lit("please recall earlier work on src/alpha.py: "), F.col("text"))).when(kind == 3, "").otherwise(F.col("text"))
+    text = F.when((F.col("role") == "assistant") & (F.col("idx") % 3 == 1) & (F.size(F.split("few", " ")) >= 2), F.concat("text", hint)).otherwise(asked)
+    return m.join(last, "session_id", "left").select("session_id", "idx", "role", text.alias("text"))
 
 
-@query("h5_signals", f"""WITH {MSG}, l AS (SELECT session_id, max_by(text, idx) AS latest FROM msg WHERE role = 'user' AND text <> '' GROUP BY 1),
-t AS (SELECT session_id, array_to_string(list_filter(list_filter(ws, lambda w, i: list_position(ws, w) = i), lambda w: NOT list_contains({list_sql([*X.STOP_WORDS, *X.COMMON_RECALL_WORDS])}, w))[1:3], ' ') AS few FROM (SELECT session_id, {words_sql('latest')} AS ws FROM l)),
-s AS (SELECT session_id, idx, few || ' ' || idx AS query, row_number() OVER (PARTITION BY session_id ORDER BY idx) AS place FROM msg JOIN t USING (session_id) WHERE idx % 3 = 1 AND few LIKE '% %') SELECT session_id, place, 'deep_search' AS kind, query, idx FROM s WHERE place <= 3""")
+def recall_terms_sql(text: str) -> str:
+    return f"(SELECT list_filter(list_filter(ws, lambda w, i: list_position(ws, w) = i), lambda w: NOT list_contains({list_sql([*X.STOP_WORDS, *X.COMMON_RECALL_WORDS])}, w))[1:8] FROM (SELECT {words_sql(text)} AS ws))"
+
+
+HINTED = f"""l AS (SELECT session_id, max(idx) AS last, max_by(text, idx) AS said FROM msg WHERE role = 'user' GROUP BY 1),
+t AS (SELECT session_id, last, array_to_string({recall_terms_sql('said')}[1:3], ' ') AS few, CASE session_id % 5 WHEN 2 THEN 'please recall earlier ' || said WHEN 4 THEN 'please recall earlier work on src/alpha.py: ' || said WHEN 3 THEN '' ELSE said END AS latest FROM l),
+q AS (SELECT session_id, latest, {recall_terms_sql('latest')} AS asked FROM t WHERE latest <> ''),
+hs AS (SELECT session_id, 'deep_search' AS kind, few || ' ' || idx AS query, idx, idx AS spot FROM msg JOIN t USING (session_id) WHERE role = 'assistant' AND idx % 3 = 1 AND few LIKE '% %' AND latest <> ''),
+rs AS (SELECT session_id, 'recovery' AS kind, CASE WHEN latest LIKE '%src/alpha.py%' THEN 'src/alpha.py' ELSE array_to_string(asked, ' ') END AS query, -1 AS idx, 1 << 60 AS spot FROM q WHERE len(list_filter({list_sql(X.RECALL_PHRASES)}, lambda p: contains(lower(latest), p))) > 0 AND (latest LIKE '%src/alpha.py%' OR len(asked) > 0)),
+sg AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY spot) AS place FROM (SELECT * FROM hs UNION ALL SELECT * FROM rs) QUALIFY place <= 3)"""
+
+
+@query("h5_signals", f"WITH {MSG}, {HINTED} SELECT session_id, place, kind, query, idx FROM sg")
 def signals(spark, sf):
-    return S.signals(hinted(spark, sf)).filter("kind = 'deep_search'").select("session_id", "place", "kind", "query", "idx")
+    return S.signals(hinted(spark, sf)).select("session_id", "place", "kind", "query", "idx")
 
 
 @query("h10_inject", f"""WITH {MSG}, u AS (SELECT session_id, max(idx) AS last_user FROM msg WHERE role = 'user' GROUP BY 1) SELECT session_id, idx, CASE WHEN session_id % 2 = 0 AND idx = 1 THEN '[Retrieved]' WHEN session_id % 2 = 1 AND idx = last_user THEN text || {NL} || '[Retrieved]' ELSE text END AS text FROM msg LEFT JOIN u USING (session_id)""")
@@ -435,22 +450,42 @@ def transition(spark, sf):
     return store.state().select("key", "value").withColumn("hidden", F.lit(hidden))
 
 
-FOLDED_ROWS = f"""{TAIL}, pre AS (SELECT m.* FROM msg m JOIN o USING (session_id) WHERE cutoff > 0 AND idx < cutoff),
+NOISE, CONTEXT = "<system-reminder>noise</system-reminder>", "<system-reminder>\n# claudeMd\nrules of the house</system-reminder>"
+
+
+def tagged(spark, sf):
+    """Messages with reminders: lasting context before the first user row of a quarter of sessions, alone in the last user row of another, noise before every second user row."""
+    m = messages(spark, sf).select("session_id", "idx", "role", "text")
+    user = F.when(F.col("role") == "user", F.col("idx"))
+    m = m.withColumns({"_first": F.min(user).over(H.in_session()), "_last": F.max(user).over(H.in_session())})
+    kind, mine = F.col("session_id") % 4, F.col("role") == "user"
+    text = F.when(mine & (F.col("idx") == F.col("_last")) & (kind == 2), CONTEXT).when(mine & (F.col("idx") == F.col("_first")) & (kind == 1), F.concat(F.lit(CONTEXT), "text"))
+    return m.select("session_id", "idx", "role", text.when(mine & (F.col("idx") % 4 == 2), F.concat(F.lit(NOISE), "text")).otherwise(F.col("text")).alias("text"))
+
+
+#: Rows as they are once context is out and reminders are gone; the last user row that is left keeps its own.
+TAGGED = f"""raw AS (SELECT conv_id AS session_id, turn AS idx, role, text, min(turn) FILTER (role = 'user') OVER w AS first, max(turn) FILTER (role = 'user') OVER w AS last FROM conversations WINDOW w AS (PARTITION BY conv_id)),
+det AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY idx) - 1 AS idx, role, text, role = 'user' AND idx % 4 = 2 AND NOT (idx = first AND session_id % 4 = 1) AS noisy FROM raw WHERE NOT (role = 'user' AND idx = last AND session_id % 4 = 2)),
+cln AS (SELECT session_id, idx, role, CASE WHEN NOT noisy THEN text WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' OR idx = max(idx) FILTER (role = 'user') OVER (PARTITION BY session_id) THEN '{NOISE}' || text ELSE trim(text, ' ' || chr(9) || chr(10) || chr(13)) END AS text FROM det),
+msg AS (SELECT session_id, idx, role, text, 4 + strlen(role) // 4 + strlen(text) // 4 AS tok FROM cln)"""
+WITH_CONTEXT = f"""cx AS (SELECT session_id FROM raw WHERE role = 'user' AND ((idx = last AND session_id % 4 = 2) OR (idx = first AND session_id % 4 = 1)) GROUP BY 1),
+wc AS (SELECT session_id, idx + (cx.session_id IS NOT NULL)::INT AS idx, role, text FROM fr LEFT JOIN cx USING (session_id) UNION ALL SELECT session_id, 0, 'user', '{CONTEXT}' FROM cx)"""
+FOLDED_ROWS = f"""{TAIL.replace(MSG, TAGGED)}, pre AS (SELECT m.* FROM msg m JOIN o USING (session_id) WHERE cutoff > 0 AND idx < cutoff),
 sp AS (SELECT session_id, min(idx) AS a, max(idx) AS b, count(*) AS n, sum(tok)::BIGINT AS t FROM pre GROUP BY 1),
 tl AS (SELECT session_id, list(event ORDER BY idx) AS l FROM (SELECT session_id, idx, '- [' || idx || '] U: ' || CASE WHEN length({SAID}) <= 120 THEN {SAID} ELSE substr({SAID}, 1, 120) || '…' END || {NL} AS event FROM pre WHERE role = 'user' AND {SAID} <> '' AND {SAID} NOT LIKE '[%') GROUP BY 1),
 cn AS (SELECT session_id, max_by(said, idx) AS said FROM (SELECT session_id, idx, {truncate_sql('c', 300)} AS said FROM (SELECT session_id, idx, array_to_string(s[-2:], ' ') AS c FROM (SELECT session_id, idx, {SENTENCES} AS s FROM pre) WHERE len(s) > 0)) WHERE said <> '' GROUP BY 1),
 su AS (SELECT session_id, 'Archived messages ' || a || '–' || b || '（共 ' || n || ' 条，约 ' || t || ' tokens）' || CASE WHEN l IS NULL THEN '' WHEN len(l) > 120 THEN {NL} || '### Timeline' || {NL} || array_to_string(l[1:20], '') || '  [...' || (len(l) - 120) || ' events omitted...]' || {NL} || array_to_string(l[-100:], '') ELSE {NL} || '### Timeline' || {NL} || array_to_string(l, '') END
 || coalesce({NL} || '### Conclusion' || {NL} || said || {NL}, '') AS text FROM sp LEFT JOIN tl USING (session_id) LEFT JOIN cn USING (session_id)),
-fr AS (SELECT m.session_id, CASE WHEN cutoff < 0 OR m.idx = 0 THEN m.idx ELSE m.idx - cutoff + 2 END AS idx, m.role, CASE WHEN cutoff > 0 AND m.idx = 0 THEN {HOLDER} ELSE m.text END AS text FROM msg m JOIN oc USING (session_id) WHERE cutoff < 0 OR m.idx = 0 OR m.idx >= cutoff UNION ALL SELECT session_id, 1, 'user', text FROM su)"""
+fr AS (SELECT m.session_id, CASE WHEN cutoff < 0 OR m.idx = 0 THEN m.idx ELSE m.idx - cutoff + 2 END AS idx, m.role, CASE WHEN cutoff > 0 AND m.idx = 0 THEN {HOLDER} ELSE m.text END AS text FROM msg m JOIN oc USING (session_id) WHERE cutoff < 0 OR m.idx = 0 OR m.idx >= cutoff UNION ALL SELECT session_id, 1, 'user', text FROM su), {WITH_CONTEXT}"""
 
 
-@query("e2e_folded", f"{FOLDED_ROWS} SELECT session_id, idx, role, text FROM fr")
+@query("e2e_folded", f"{FOLDED_ROWS} SELECT session_id, idx, role, text FROM wc")
 def forwarded_all(spark, sf):
     """Every conversation as it would go on."""
-    return forwarded(messages(spark, sf).select("session_id", "idx", "role", "text"), EngineConfig(keep_recent=2), floor=400)
+    return forwarded(tagged(spark, sf), EngineConfig(keep_recent=2), floor=400)
 
 
-@query("e2e_forwarded", f"{FOLDED_ROWS} SELECT session_id, count(*) AS n FROM fr GROUP BY 1")
+@query("e2e_forwarded", f"{FOLDED_ROWS} SELECT session_id, count(*) AS n FROM wc GROUP BY 1")
 def forwarded_counts(spark, sf):
     """How many rows of every conversation would go on."""
     return forwarded_all(spark, sf).groupBy("session_id").agg(F.count("*").alias("n"))

@@ -38,13 +38,13 @@ def with_context(messages: DataFrame, context: DataFrame) -> DataFrame:
 
 
 def forwarded(messages: DataFrame, config: EngineConfig | None = None, floor: int | None = None) -> DataFrame:
-    """(session_id, idx, role, text) of what goes on: cleaned, context in front, folded where the history is over the floor.
+    """(session_id, idx, role, text) of what goes on: context taken out, cleaned, context in front, folded where the history is over the floor.
 
     messages: session_id, idx, role, text. All steps keep the session as their key.
     """
     c = config or EngineConfig()
-    history, context = detached(cleaned(messages))
-    history = history.withColumn("tok", T.message_tokens(F.col("role"), T.estimate(F.col("text"))))
+    history, context = detached(messages)
+    history = cleaned(history).withColumn("tok", T.message_tokens(F.col("role"), T.estimate(F.col("text"))))
     cuts = H.collapse_cutoff(history, floor if floor is not None else c.collapse_floor, c.keep_recent, c.max_messages)
     prefix = history.join(cuts.filter("cutoff > 0").select("session_id", "cutoff"), "session_id").filter("idx < cutoff")
     no_uses = history.sparkSession.createDataFrame([], "session_id bigint, idx bigint, name string, input map<string,string>, tok bigint")
