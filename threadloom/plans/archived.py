@@ -401,7 +401,7 @@ HINTED = f"""l AS (SELECT session_id, max(idx) AS last, max_by(text, idx) AS sai
 t AS (SELECT session_id, last, array_to_string({recall_terms_sql('said')}[1:3], ' ') AS few, CASE session_id % 5 WHEN 2 THEN 'please recall earlier ' || said WHEN 4 THEN 'please recall earlier work on src/alpha.py: ' || said WHEN 3 THEN '' ELSE said END AS latest FROM l),
 q AS (SELECT session_id, latest, {recall_terms_sql('latest')} AS asked FROM t WHERE latest <> ''),
 hs AS (SELECT session_id, 'deep_search' AS kind, few || ' ' || idx AS query, idx, idx AS spot FROM msg JOIN t USING (session_id) WHERE role = 'assistant' AND idx % 3 = 1 AND few LIKE '% %' AND latest <> ''),
-rs AS (SELECT session_id, 'recovery' AS kind, CASE WHEN latest LIKE '%src/alpha.py%' THEN 'src/alpha.py' ELSE array_to_string(asked, ' ') END AS query, -1 AS idx, 1 << 60 AS spot FROM q WHERE len(list_filter({list_sql(X.RECALL_PHRASES)}, lambda p: contains(lower(latest), p))) > 0 AND (latest LIKE '%src/alpha.py%' OR len(asked) > 0)),
+rs AS (SELECT session_id, 'recovery' AS kind, CASE WHEN latest LIKE '%src/alpha.py%' THEN 'src/alpha.py' ELSE array_to_string(asked, ' ') END AS query, -1 AS idx, 1000000000000 AS spot FROM q WHERE len(list_filter({list_sql(X.RECALL_PHRASES)}, lambda p: contains(lower(latest), p))) > 0 AND (latest LIKE '%src/alpha.py%' OR len(asked) > 0)),
 sg AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY spot) AS place FROM (SELECT * FROM hs UNION ALL SELECT * FROM rs) QUALIFY place <= 3)"""
 
 

@@ -137,3 +137,33 @@ def list_sql(values) -> str:
 def truncate_sql(text: str, most: int) -> str:
     cut = f"(substr({text}, 1, {most}) || '…')"
     return f"CASE WHEN length({text}) <= {most} THEN {text} WHEN len(string_split({cut}, '```')) % 2 = 0 THEN {cut} || chr(10) || '```' ELSE {cut} END"
+
+
+BLOCK = "type string, text string, thinking string, signature string, id string, name string, input map<string,string>, tool_use_id string, content string, is_error boolean"
+
+
+def histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of whole histories, three rows for each event of a user: what the user says (a text of benchmark, every fourth with a task), thinking of every fourth event, words and a call of the assistant (one in thirteen has lost it), and the answer, a document.
+
+    Of every third session the last request is still open. seq and the state of rows are those of a 300th request: early rows have been stubs
+    for long, those of the third quarter for 60 requests.
+    """
+    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    n_items, n_docs = items.agg(F.count("*")).scalar(), docs.agg(F.count("*")).scalar()
+    e = _events(spark, sf_dir).withColumns({"n_ev": F.count("*").over(W.partitionBy("session_id")), "item_id": F.col("event_id") % n_items, "doc_id": F.col("event_id") % n_docs, "thought_id": F.when(F.col("event_id") % 4 == 0, (F.col("event_id") * 7) % n_docs)})
+    e = e.join(tool_uses(spark, sf_dir).select("event_id", "id", "name", "input"), "event_id").join(items.select("item_id", F.col("text").alias("said")), "item_id")
+    e = e.join(docs.select("doc_id", F.col("text").alias("content")), "doc_id").join(docs.select(F.col("doc_id").alias("thought_id"), F.col("text").alias("thought")), "thought_id", "left")
+    kinds = dict(part.strip().split(" ", 1) for part in BLOCK.split(", "))
+    row = lambda off, pos, role, **known: F.struct(F.lit(off).alias("off"), F.lit(pos).alias("pos"), F.lit(role).alias("role"), *(known.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()))
+    n = F.col("event_id")
+    blocks = F.array(
+        row(0, 0, "user", type=F.lit("text"), text=F.concat("said", F.when(n % 4 == 1, F.concat(F.lit(" TODO: k"), "k")).otherwise(F.lit("")))),
+        row(1, 0, "assistant", type=F.lit("thinking"), thinking=F.col("thought"), signature=F.when(n % 8 == 0, F.concat(F.lit("s"), "k"))),
+        row(1, 1, "assistant", type=F.lit("text"), text=F.concat(F.lit("Next "), "event_type", F.lit(" of k"), "k", F.lit("."))),
+        row(1, 2, "assistant", type=F.lit("tool_use"), id=F.col("id"), name=F.col("name"), input=F.col("input")),
+        row(2, 0, "user", type=F.lit("tool_result"), tool_use_id=F.col("id"), content=F.col("content"), is_error=F.col("event_type") == "error"),
+    )
+    b = e.select("session_id", "event_id", "r", "n_ev", F.inline(blocks)).filter("not (type = 'thinking' and thinking is null) and not (type = 'tool_use' and event_id % 13 = 0) and not (session_id % 3 = 0 and r = n_ev - 1 and off > 0)")
+    idx, total = F.col("r") * 3 + F.col("off"), F.col("n_ev") * 3
+    stubbed = F.when(idx * 2 < total, F.when(idx % 67 == 0, 280).otherwise(10)).when(idx * 4 < total * 3, 240)
+    return b.select("session_id", idx.cast("bigint").alias("idx"), "pos", "role", *kinds, F.lit(300).alias("seq"), stubbed.alias("stubbed_at"), ((idx % 5) / F.lit(5.0)).alias("heat"), (idx % 31 == 0).alias("pinned"))
