@@ -354,6 +354,37 @@ def shorten_summary(text: Column, most: int | Column) -> Column:
     return _let(summary_parts(text), lambda p: shortened(p, limit))
 
 
+def message_line(role: Column, blocks: Column) -> Column:
+    """A message as one entry of a full expansion: its texts, [tool: name] for calls, [result] and 200 code points for answers; null if that says nothing."""
+
+    def piece(b: Column) -> Column:
+        answer = F.when(F.coalesce(b["content"], F.lit("")) != "", F.concat(F.lit("[result] "), truncate(b["content"], 200)))
+        return F.when(b["type"] == "text", b["text"]).when(b["type"] == "tool_use", F.concat(F.lit("[tool: "), F.coalesce(b["name"], F.lit("")), F.lit("]"))).when(b["type"] == "tool_result", answer)
+
+    said = F.array_join(F.filter(F.transform(blocks, piece), lambda p: F.coalesce(p, F.lit("")) != ""), "\n")
+    return F.when(said != "", F.concat(F.lit("["), role, F.lit("]: "), truncate(said, 2000)))
+
+
+def last_lines(lines: Column, room: Column) -> Column:
+    """The last of lines (array<struct<idx, line>> in order) that fit into `room` code points, and how many messages are left out before them; null if none fits.
+
+    A fold from the end: room used, lines taken, and the message at which it stopped.
+    """
+    zero = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("taken"), F.lit(-1).cast("bigint").alias("left_out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        used = acc["used"] + F.length(x["line"]) + 1
+        stop = F.struct(acc["used"].alias("used"), acc["taken"].alias("taken"), (x["idx"] + 1).alias("left_out"))
+        return F.when(acc["left_out"] >= 0, acc).when(used > room, stop).otherwise(F.struct(used.alias("used"), (acc["taken"] + 1).alias("taken"), acc["left_out"].alias("left_out")))
+
+    def told(acc: Column) -> Column:
+        shown = F.array_join(F.transform(F.slice(lines, F.size(lines) - acc["taken"] + 1, acc["taken"]), lambda x: x["line"]), "\n")
+        head = F.when(acc["left_out"] > 0, F.concat(F.lit("[..."), acc["left_out"].cast("string"), F.lit(" earlier messages omitted...]\n"))).otherwise(F.lit(""))
+        return F.when(acc["taken"] > 0, F.concat(head, shown))
+
+    return F.aggregate(F.reverse(lines), zero, step, told)
+
+
 def hints(text: Column) -> Column:
     """What stands in deep_search('...') marks."""
     return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?s)deep_search\('(.*?)'\)"), F.lit(1)), trim), lambda h: h != "")

@@ -62,7 +62,7 @@ def archive_blocks(uses: DataFrame, results: DataFrame, texts: DataFrame) -> Dat
     commits = uses.filter((F.col("name") == "Bash") & F.try_element_at("input", F.lit("command")).contains("git commit")).withColumn("message", X.commit_message(F.try_element_at("input", F.lit("command")))).filter("message <> ''")
     commits = commits.groupBy(*by).agg(ordered("message").alias("commits"))
     errors = results.groupBy(*by).agg(F.count_if(F.coalesce("is_error", F.lit(False))).alias("errors"))
-    ends = texts.withColumn("said", X.conclusion(F.col("text"))).filter("said <> ''").groupBy(*by).agg(F.max_by("said", "idx").alias("conclusion"))
+    ends = texts.filter("role = 'assistant'").withColumn("said", X.conclusion(F.col("text"))).filter("said <> ''").groupBy(*by).agg(F.max_by("said", "idx").alias("conclusion"))
     out = span
     for part in (tools, paths, told, commits, errors, ends):
         out = out.join(part, by, "left")
@@ -102,5 +102,12 @@ def full_messages(rows: DataFrame, room: int) -> DataFrame:
     return out.select("session_id", F.when(F.col("omitted").isNotNull(), F.concat(F.lit("[..."), F.col("omitted").cast("string"), F.lit(" earlier messages omitted...]\n"), F.col("text"))).otherwise(F.col("text")).alias("text"))
 
 
+def message_lines(blocks: DataFrame) -> DataFrame:
+    """(session_id, lines) of histories of blocks (session_id, idx, pos, role, type, text, name, content): what a full expansion can show, for last_lines."""
+    b = blocks.groupBy("session_id", "idx").agg(F.first("role").alias("role"), F.array_sort(F.collect_list(F.struct("pos", "type", "text", "name", "content"))).alias("blocks"))
+    m = b.select("session_id", "idx", X.message_line(F.col("role"), F.col("blocks")).alias("line")).filter("line is not null")
+    return m.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("idx", "line"))).alias("lines"))
+
+
 def tokens_of(frame: DataFrame, role: str, column: str) -> DataFrame:
     return frame.withColumn("tok", T.message_tokens(F.lit(role), T.estimate(F.col(column))))

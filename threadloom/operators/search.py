@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -67,10 +67,11 @@ def by_block(matches: DataFrame, blocks: DataFrame) -> DataFrame:
     """(query_id, block columns, terms, matched, rank) of visible blocks.
 
     A block's keywords differ, so its matches are as many as its postings. terms holds the keywords that could be
-    paths; nothing else is asked of them.
+    paths; nothing else is asked of them. Ranks are rounded at nine digits, so that the order in which they are added
+    up decides no ties.
     """
     path_like = F.when(F.col("keyword").rlike(r"[/\\]"), F.col("keyword"))
-    m = matches.groupBy("query_id", "block_id").agg(F.sum("rank").alias("rank"), F.count("*").alias("matched"), F.collect_set(path_like).alias("terms"))
+    m = matches.groupBy("query_id", "block_id").agg(F.round(F.sum("rank"), 9).alias("rank"), F.count("*").alias("matched"), F.collect_set(path_like).alias("terms"))
     return m.join(blocks.filter("isolated = 0"), "block_id")
 
 
@@ -131,27 +132,47 @@ def undominated(candidates: DataFrame, most: int = 3) -> DataFrame:
     return lists.select("query_id", F.posexplode(kept).alias("at", "c")).select("query_id", F.col("c.block_id").alias("block_id"), (F.col("at") + 1).alias("place"))
 
 
+#: What stands between a summary and the messages it sums up.
+FULL = "\n\n--- Full messages ---\n"
+
+
 def budgeted(chosen: DataFrame, limit: Column) -> DataFrame:
-    """(query_id, block_id, place, cost, level): what is injected in order of place while the budget lasts.
+    """(query_id, block_id, place, cost, level, full): what is injected in order of place while the budget lasts.
 
     chosen: query_id, place, block_id, prefix, summary_text. A summary is tried at 2000, 1000 and 500 code points;
-    one that doesn't fit is passed over.
+    one that doesn't fit is passed over. With `lines` (of message_lines; null where there are none) and raw_there
+    (the request still holds those messages) the first block that can takes its last messages along, as many as
+    half the tokens' code points that remain: level is 0 then and full what follows the summary.
     """
+    whole = "lines" in chosen.columns
     found = chosen.withColumn("_parts", X.summary_parts(F.col("summary_text"))).withColumn("_limit", limit)
     costs = [T.estimate(F.concat("prefix", X.shortened(F.col("_parts"), F.lit(n)))) for n in (2000, 1000, 500)]
-    item = F.struct("place", "block_id", *(c.alias(f"c{i}") for i, c in enumerate(costs)))
+    more = (F.octet_length(F.concat("prefix", X.shortened(F.col("_parts"), F.lit(2000)))).alias("bytes"), F.when(~F.col("raw_there"), F.col("lines")).alias("lines")) if whole else ()
+    item = F.struct("place", "block_id", *(c.alias(f"c{i}") for i, c in enumerate(costs)), *more)
     lists = found.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("all"), F.first("_limit").alias("most"))
-    out_type = "array<struct<block_id:bigint,place:int,cost:bigint,level:int>>"
-    zero = F.struct(F.lit(0).cast("bigint").alias("spent"), F.array().cast(out_type).alias("out"))
+    out_type = "array<struct<block_id:bigint,place:int,cost:bigint,level:int,full:string>>"
+    zero = F.struct(F.lit(0).cast("bigint").alias("spent"), F.lit(False).alias("expanded"), F.array().cast(out_type).alias("out"))
+    no = F.lit(None).cast("string")
 
     def step(acc: Column, c: Column) -> Column:
         room = F.col("most") - acc["spent"]
-        cost = F.when(c["c0"] <= room, c["c0"]).when(c["c1"] <= room, c["c1"]).when(c["c2"] <= room, c["c2"])
-        level = F.when(c["c0"] <= room, 2000).when(c["c1"] <= room, 1000).otherwise(500)
-        one = F.struct(c["block_id"].cast("bigint").alias("block_id"), c["place"].cast("int").alias("place"), cost.alias("cost"), level.alias("level"))
-        return F.when(cost.isNull(), acc).otherwise(F.struct((acc["spent"] + cost).alias("spent"), F.concat(acc["out"], F.array(one)).alias("out")))
+        level = F.when(c["c0"] <= room, 2000).when(c["c1"] <= room, 1000).when(c["c2"] <= room, 500)
+        cost = F.when(level == 2000, c["c0"]).when(level == 1000, c["c1"]).when(level == 500, c["c2"])
+
+        def put(full: Column) -> Column:
+            taken = F.floor((c["bytes"] + len(FULL) + F.octet_length(full)) / 4).cast("bigint") if whole else F.lit(None).cast("bigint")
+            fits = F.coalesce(taken <= room, F.lit(False))
+            spent = F.when(fits, taken).otherwise(cost)
+            one = F.struct(c["block_id"].cast("bigint").alias("block_id"), c["place"].cast("int").alias("place"), spent.alias("cost"), F.when(fits, 0).otherwise(level).alias("level"), F.when(fits, full).alias("full"))
+            return F.when(spent.isNull(), acc).otherwise(F.struct((acc["spent"] + spent).alias("spent"), (acc["expanded"] | fits).alias("expanded"), F.concat(acc["out"], F.array(one)).alias("out")))
 
-    return lists.select("query_id", F.explode(F.aggregate("all", zero, step)["out"]).alias("x")).select("query_id", "x.*")
+        if not whole:
+            return put(no)
+        rest = room - c["c0"]
+        return F.get(F.transform(F.array(F.when(~acc["expanded"] & (rest > 0) & c["lines"].isNotNull(), X.last_lines(c["lines"], rest * 2))), put), F.lit(0))
+
+    out = lists.select("query_id", F.explode(F.aggregate("all", zero, step)["out"]).alias("x")).select("query_id", "x.*")
+    return out if whole else out.drop("full")
 
 
 def signals(messages: DataFrame, most: int = 3) -> DataFrame:
@@ -174,31 +195,72 @@ def signals(messages: DataFrame, most: int = 3) -> DataFrame:
     return once.withColumn("place", F.row_number().over(W.partitionBy("session_id").orderBy("order"))).filter(F.col("place") <= most).drop("_n", "order")
 
 
+def found_blocks(messages: DataFrame, posts: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(signals, found): what conversations ask for and the best visible block for each signal, a block once for the first signal that finds it; usable says if it meets that signal's threshold. At most three rows of each for a conversation, written once."""
+    s = kept(signals(messages).withColumn("query_id", F.concat_ws(":", F.col("session_id").cast("string"), F.col("place").cast("string"))))
+    asked = F.when(F.col("exact_path").isNotNull(), F.array("exact_path")).otherwise(F.col("terms"))
+    best = top(by_block(bm25(posts, s.select("query_id", F.explode(asked).alias("term"))), blocks), 1).drop("place")
+    by = s.select("query_id", F.col("session_id").alias("asker"), F.col("place").alias("signal"), "kind", "idx", "exact_path")
+    c = best.join(by, "query_id").withColumn("_n", F.row_number().over(W.partitionBy("asker", "block_id").orderBy("signal"))).filter("_n = 1").drop("_n")
+    c = c.withColumn("same_session", F.col("session_id") == F.col("asker").cast("string"))
+    return s, kept(c.withColumn("usable", meets(F.col("matched"), F.col("same_session"), F.col("exact_path"), F.col("terms"))))
+
+
+def chosen_blocks(found: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Usable blocks in order without dominated ones, three at most, with what is written before each. sizes (query_id, n: rows of each conversation) says whether a request still holds a block's messages."""
+    c = ranked(found.filter("usable").withColumn("query_id", F.col("asker")).withColumn("span", F.col("block_range_end") - F.col("block_range_start")))
+    c = undominated(c).join(c.drop("place"), ["query_id", "block_id"])
+    prefix = F.concat(F.lit("[Retrieved archive #"), F.col("place").cast("string"), F.lit(" — source="), F.col("session_id"), F.lit(", range="), F.col("block_range_start").cast("string"), F.lit("-"), F.col("block_range_end").cast("string"), F.lit(", ~"), F.col("estimated_tokens").cast("string"), F.lit(" tokens]\n\n"))
+    c = c.filter(F.col("summary_text") != "").withColumn("prefix", prefix)
+    if sizes is None:
+        return c
+    return c.join(sizes, "query_id", "left").withColumn("raw_there", F.coalesce(F.col("same_session") & (F.col("block_range_end") < F.col("n")), F.lit(False)))
+
+
 def recalled(messages: DataFrame, posts: DataFrame, blocks: DataFrame, limit: int) -> DataFrame:
     """(session_id, place, block_id, kind, idx, stub_text, payload, cost, level): what goes into each conversation.
 
     Each signal of a conversation asks for the best block that is visible; a block counts for the first signal that
     finds it and must meet that signal's threshold. What is left is ranked, freed of dominated blocks, and taken
     while the budget of `limit` tokens lasts. messages: session_id, idx, role, text; posts: postings(); blocks:
-    archive blocks.
+    archive blocks; if they have lines (message_lines), one block of a conversation can bring its messages along.
     """
-    s = signals(messages).withColumn("query_id", F.concat_ws(":", F.col("session_id").cast("string"), F.col("place").cast("string")))
-    asked = F.when(F.col("exact_path").isNotNull(), F.array("exact_path")).otherwise(F.col("terms"))
-    best = top(by_block(bm25(posts, s.select("query_id", F.explode(asked).alias("term"))), blocks), 1).drop("place")
-    s = s.select("query_id", F.col("session_id").alias("asker"), F.col("place").alias("signal"), "kind", "idx", "exact_path")
-    c = best.join(s, "query_id").withColumn("_n", F.row_number().over(W.partitionBy("asker", "block_id").orderBy("signal"))).filter("_n = 1")
-    c = c.withColumn("same_session", F.col("session_id") == F.col("asker").cast("string")).filter(meets(F.col("matched"), F.col("same_session"), F.col("exact_path"), F.col("terms")))
-    c = ranked(c.withColumn("query_id", F.col("asker")).withColumn("span", F.col("block_range_end") - F.col("block_range_start")))
-    c = undominated(c).join(c.drop("place"), ["query_id", "block_id"])
-    prefix = F.concat(F.lit("[Retrieved archive #"), F.col("place").cast("string"), F.lit(" — source="), F.col("session_id"), F.lit(", range="), F.col("block_range_start").cast("string"), F.lit("-"), F.col("block_range_end").cast("string"), F.lit(", ~"), F.col("estimated_tokens").cast("string"), F.lit(" tokens]\n\n"))
-    c = c.filter(F.col("summary_text") != "").withColumn("prefix", prefix)
-    spent = budgeted(c.select("query_id", "place", "block_id", "prefix", "summary_text"), F.lit(limit).cast("bigint"))
+    _, found = found_blocks(messages, posts, blocks)
+    return _taken(messages, found, limit)
+
+
+def _taken(messages: DataFrame, found: DataFrame, limit: int) -> DataFrame:
+    whole = "lines" in found.columns
+    sizes = messages.groupBy(F.col("session_id").alias("query_id")).agg((F.max("idx") + 1).alias("n")) if whole else None
+    c = chosen_blocks(found, sizes)
+    spent = budgeted(c.select("query_id", "place", "block_id", "prefix", "summary_text", *(("lines", "raw_there") if whole else ())), F.lit(limit).cast("bigint"))
     out = spent.join(c.select("query_id", "block_id", "kind", "idx", "prefix", "summary_text"), ["query_id", "block_id"])
+    short = X.shorten_summary(F.col("summary_text"), F.when(F.col("level") == 0, 2000).otherwise(F.col("level")))
+    payload = F.concat("prefix", short, F.coalesce(F.concat(F.lit(FULL), F.col("full")), F.lit(""))) if whole else F.concat("prefix", short)
     stub = messages.select(F.col("session_id").alias("query_id"), "idx", F.col("text").alias("stub_text"))
-    out = out.withColumn("payload", F.concat("prefix", X.shorten_summary(F.col("summary_text"), F.col("level")))).join(stub, ["query_id", "idx"], "left")
+    out = out.withColumn("payload", payload).join(stub, ["query_id", "idx"], "left")
     return out.select(F.col("query_id").alias("session_id"), "place", "block_id", "kind", "idx", "stub_text", "payload", "cost", "level")
 
 
+def recall_outcomes(messages: DataFrame, posts: DataFrame, blocks: DataFrame, limit: int) -> DataFrame:
+    """A row for each conversation that asks: session_id, candidates (blocks found), selected (of them in order, with a text), injected, discarded, cost, budget_limit, remaining."""
+    s, found = found_blocks(messages, posts, blocks)
+    asked = s.select("session_id").distinct()
+    seen = found.groupBy(F.col("asker").alias("session_id")).agg(F.count("*").alias("candidates"))
+    chosen = chosen_blocks(found).groupBy(F.col("query_id").alias("session_id")).agg(F.count("*").alias("selected"))
+    put = _taken(messages, found, limit).groupBy("session_id").agg(F.count("*").alias("injected"), F.sum("cost").alias("cost"))
+    all_ = asked.join(seen, "session_id", "left").join(chosen, "session_id", "left").join(put, "session_id", "left").na.fill(0)
+    most = F.lit(limit).cast("bigint")
+    return all_.select("session_id", "candidates", "selected", "injected", (F.col("selected") - F.col("injected")).alias("discarded"), "cost", most.alias("budget_limit"), (most - F.col("cost")).alias("remaining"))
+
+
+def outcome_totals(outcomes: DataFrame, name: str = "recall") -> tuple[DataFrame, Observation]:
+    """The outcomes, and their totals, which are there once an action has run over them: no second pass."""
+    seen = Observation(name)
+    figures = [F.count("*").alias("attempted"), *(F.sum(c).alias(c) for c in ("candidates", "selected", "injected", "discarded", "cost", "remaining"))]
+    return outcomes.observe(seen, *figures), seen
+
+
 def with_recalled(messages: DataFrame, posts: DataFrame, blocks: DataFrame, limit: int) -> DataFrame:
     """Messages with what they recall put in."""
     return inject(messages, recalled(messages, posts, blocks, limit))

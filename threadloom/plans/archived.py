@@ -473,7 +473,7 @@ wc AS (SELECT session_id, idx + (cx.session_id IS NOT NULL)::INT AS idx, role, t
 FOLDED_ROWS = f"""{TAIL.replace(MSG, TAGGED)}, pre AS (SELECT m.* FROM msg m JOIN o USING (session_id) WHERE cutoff > 0 AND idx < cutoff),
 sp AS (SELECT session_id, min(idx) AS a, max(idx) AS b, count(*) AS n, sum(tok)::BIGINT AS t FROM pre GROUP BY 1),
 tl AS (SELECT session_id, list(event ORDER BY idx) AS l FROM (SELECT session_id, idx, '- [' || idx || '] U: ' || CASE WHEN length({SAID}) <= 120 THEN {SAID} ELSE substr({SAID}, 1, 120) || '…' END || {NL} AS event FROM pre WHERE role = 'user' AND {SAID} <> '' AND {SAID} NOT LIKE '[%') GROUP BY 1),
-cn AS (SELECT session_id, max_by(said, idx) AS said FROM (SELECT session_id, idx, {truncate_sql('c', 300)} AS said FROM (SELECT session_id, idx, array_to_string(s[-2:], ' ') AS c FROM (SELECT session_id, idx, {SENTENCES} AS s FROM pre) WHERE len(s) > 0)) WHERE said <> '' GROUP BY 1),
+cn AS (SELECT session_id, max_by(said, idx) AS said FROM (SELECT session_id, idx, {truncate_sql('c', 300)} AS said FROM (SELECT session_id, idx, array_to_string(s[-2:], ' ') AS c FROM (SELECT session_id, idx, {SENTENCES} AS s FROM pre WHERE role = 'assistant') WHERE len(s) > 0)) WHERE said <> '' GROUP BY 1),
 su AS (SELECT session_id, 'Archived messages ' || a || '–' || b || '（共 ' || n || ' 条，约 ' || t || ' tokens）' || CASE WHEN l IS NULL THEN '' WHEN len(l) > 120 THEN {NL} || '### Timeline' || {NL} || array_to_string(l[1:20], '') || '  [...' || (len(l) - 120) || ' events omitted...]' || {NL} || array_to_string(l[-100:], '') ELSE {NL} || '### Timeline' || {NL} || array_to_string(l, '') END
 || coalesce({NL} || '### Conclusion' || {NL} || said || {NL}, '') AS text FROM sp LEFT JOIN tl USING (session_id) LEFT JOIN cn USING (session_id)),
 fr AS (SELECT m.session_id, CASE WHEN cutoff < 0 OR m.idx = 0 THEN m.idx ELSE m.idx - cutoff + 2 END AS idx, m.role, CASE WHEN cutoff > 0 AND m.idx = 0 THEN {HOLDER} ELSE m.text END AS text FROM msg m JOIN oc USING (session_id) WHERE cutoff < 0 OR m.idx = 0 OR m.idx >= cutoff UNION ALL SELECT session_id, 1, 'user', text FROM su), {WITH_CONTEXT}"""

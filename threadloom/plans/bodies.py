@@ -12,9 +12,7 @@ from threadloom.functions import requests as RQ
 from threadloom.functions import tokens as T
 from threadloom.operators import continuity as C
 from threadloom.operators import requests as Q
-from threadloom.operators import search as S
 from threadloom.operators import storage as ST
-from threadloom.plans.archived import hinted, kw_posts
 from threadloom.plans.registry import query
 from threadloom.plans.views import ARCHIVE, MSG, archives, list_sql, messages, table
 from threadloom.sources import bodies as B
@@ -179,19 +177,3 @@ def migrated(spark, sf):
     old = e.filter("event_type = 'view'").groupBy("session_id").agg(F.max("event_id").alias("value"))
     now = e.filter("event_type = 'click' and user_id % 2 = 0").groupBy("session_id", (F.col("event_id") % 3).alias("epoch")).agg(F.max("event_id").alias("value"))
     return C.migrated(old, now)
-
-
-def recall_inputs(spark, sf):
-    """Conversations that hint at earlier ones or ask to recall them, and archives with the words of documents."""
-    m = hinted(spark, sf)
-    last = m.filter("role = 'user'").groupBy("session_id").agg(F.max("idx").alias("last"))
-    asks = (F.col("idx") == F.col("last")) & (F.col("session_id") % 2 == 0)
-    m = m.join(last, "session_id", "left").withColumn("text", F.when(asks, F.concat("text", F.lit(" please recall earlier"))).otherwise(F.col("text"))).drop("last")
-    return m, kw_posts(spark, sf)[0], archives(spark, sf)
-
-
-@query("h11_recall")
-def recall(spark, sf):
-    """What every conversation recalls from the archives within its budget: signals, search, threshold, order, dominance, budget."""
-    m, posts, blocks = recall_inputs(spark, sf)
-    return S.recalled(m, posts, blocks, 700).select("session_id", "block_id", "place", "kind", "cost", "level")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from threadloom.plans import archived, bodies, measure, ordered, path, registry, state, texts  # noqa: F401
+from threadloom.plans import archived, bodies, measure, ordered, path, recall, registry, state, texts  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
