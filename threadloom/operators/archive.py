@@ -15,6 +15,16 @@ def tool_counts(uses: DataFrame) -> DataFrame:
     return uses.filter("name <> ''").groupBy("session_id", "name").agg(F.count("*").alias("n"))
 
 
+def top_counts(counts: DataFrame, *by: str, most: int = 5) -> DataFrame:
+    """(by, line) of counts (by, key, n): the largest as key(n), and how many more. Only `most` keys of a group are ever in one place."""
+    order = W.partitionBy(*by).orderBy(F.desc("n"), "key")
+    top = counts.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= most)
+    shown = F.transform(F.array_sort(F.collect_list(F.struct("_k", "key", "n"))), lambda x: F.concat(x["key"], F.lit("("), x["n"].cast("string"), F.lit(")")))
+    rest = F.when(F.col("all") > most, F.concat(F.lit(", +"), (F.col("all") - most).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
+    lines = top.groupBy(*by).agg(F.array_join(shown, ", ").alias("line")).join(counts.groupBy(*by).agg(F.count("*").alias("all")), list(by))
+    return lines.select(*by, F.concat("line", rest).alias("line"))
+
+
 def files(uses: DataFrame) -> DataFrame:
     """(session_id, path): the distinct paths that calls name."""
     return uses.select("session_id", F.explode(X.all_paths(F.col("input"))).alias("path")).distinct()

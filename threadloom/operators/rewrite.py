@@ -11,20 +11,21 @@ from threadloom.functions import tokens as T
 from threadloom.operators.history import in_session, rows_before
 
 
-def call_info(uses: DataFrame) -> DataFrame:
-    """(session_id, tool_use_id, use_idx, name, input, keywords): of calls that share an id the last one."""
-    u = uses.filter("id <> ''").groupBy("session_id", F.col("id").alias("tool_use_id")).agg(F.max("idx").alias("use_idx"), F.max_by("name", "idx").alias("name"), F.max_by("input", "idx").alias("input"))
-    return u.withColumn("keywords", X.tool_keywords(F.col("name"), F.col("input")))
-
-
 def with_calls(results: DataFrame, uses: DataFrame, previous_only: bool = False) -> DataFrame:
-    """Answers with what their calls say; with previous_only just the call in the row before counts."""
-    info = call_info(uses)
-    met = results.join(info, ["session_id", "tool_use_id"], "left")
+    """Answers with use_idx, name, input and keywords of their calls, of calls that share an id the last; with previous_only just the call in the row before counts.
+
+    Calls and answers meet in a window of their session, so that the answers' texts are shuffled once, by session:
+    what joins them by session afterwards moves no text.
+    """
+    calls = uses.filter("id <> ''").select("session_id", F.col("id").alias("tool_use_id"), F.struct(F.col("idx").alias("use_idx"), "name", "input").alias("_call"))
+    both = results.withColumn("_answer", F.lit(True)).unionByName(calls, allowMissingColumns=True).repartition("session_id")
+    call = F.max_by("_call", F.col("_call.use_idx")).over(W.partitionBy("session_id", "tool_use_id"))
+    met = both.withColumn("_call", call).filter("_answer").select(*results.columns, "_call.*")
+    known = F.col("use_idx").isNotNull()
     if previous_only:
-        near = F.col("use_idx") == F.col("idx") - 1
-        met = met.withColumns({c: F.when(near, F.col(c)) for c in ("name", "input", "keywords")})
-    return met
+        known = F.col("use_idx") == F.col("idx") - 1
+        met = met.withColumns({c: F.when(known, F.col(c)) for c in ("name", "input")})
+    return met.withColumn("keywords", F.when(known, X.tool_keywords(F.col("name"), F.col("input"))))
 
 
 def orphans(results: DataFrame, uses: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as X
+from threadloom.operators import archive as A
 from threadloom.operators import history as H
 from threadloom.plans.registry import query
 from threadloom.plans.views import ACT, KW_SQL, MSG, drop_uses, list_sql, messages, table, tool_results, tool_uses, truncate_sql, words_sql
@@ -131,7 +133,7 @@ def timeline_label(spark, sf):
 @query("c24_top5_counts", "WITH c AS (SELECT source, w, count(*) AS n FROM (SELECT source, unnest(string_split(text, ' ')) AS w FROM documents) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, w) AS k, count(*) OVER (PARTITION BY source) AS m FROM c) SELECT source, string_agg(w || '(' || n || ')', ', ' ORDER BY k) || CASE WHEN max(m) > 5 THEN ', +' || (max(m) - 5) || ' more' ELSE '' END AS line FROM r WHERE k <= 5 GROUP BY 1")
 def top5_counts(spark, sf):
     w = table(spark, sf, "documents").select("source", F.explode(F.split("text", " ", -1)).alias("key")).groupBy("source", "key").agg(F.count("*").alias("n"))
-    return w.groupBy("source").agg(F.collect_list(F.struct("key", "n")).alias("pairs")).select("source", X.counts_line(F.col("pairs")).alias("line"))
+    return A.top_counts(w, "source")
 
 
 @query("c28_hints", rf"SELECT doc_id, trim(h, ' ' || chr(9) || chr(10) || chr(13)) AS hint FROM (SELECT doc_id, unnest(regexp_extract_all(text || ' deep_search(''' || text || ''') and deep_search(''  Read src/k' || (doc_id % 9) || '.py '')', '(?s)deep_search\(''(.*?)''\)', 1)) AS h FROM documents) WHERE hint <> ''")
@@ -260,4 +262,19 @@ def pinned_paths(spark, sf):
 def overlap(spark, sf):
     w = table(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(X.words(F.col("text")))).alias("w"))
     d = docs(spark, sf).select("doc_id", F.explode(F.array_distinct(X.words(F.col("text")))).alias("w"))
-    return w.join(d, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared")).filter("shared >= 8")
+    return shared_words(w, d, 8)
+
+
+def shared_words(items, documents, least):
+    """(item_id, doc_id, shared) of items (item_id, w) and documents (doc_id, w) that share at least so many words.
+
+    A prefix filter: without its `least // 2` most frequent words an item still shares least - least // 2 with each
+    such document. Only those words are joined; what the frequent ones add is looked up for the pairs that are left.
+    """
+    set_aside = least // 2
+    often = documents.groupBy("w").agg(F.count("*").alias("n"))
+    order = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc_nulls_last("n"), "w"))
+    ranked = items.join(often, "w", "left").withColumn("k", order)
+    met = ranked.filter(F.col("k") > set_aside).select("item_id", "w").join(documents, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("rare")).filter(F.col("rare") >= least - set_aside)
+    more = met.join(ranked.filter(F.col("k") <= set_aside).select("item_id", "w"), "item_id", "left").join(documents.withColumn("there", F.lit(1)), ["doc_id", "w"], "left")
+    return more.groupBy("item_id", "doc_id").agg((F.first("rare") + F.count("there")).alias("shared")).filter(F.col("shared") >= least)
