@@ -16,7 +16,7 @@ from threadloom.plans.forwarding import forwarded
 from threadloom.plans.registry import query
 from threadloom.plans.views import MSG, REQ, USAGE, messages, requests, table, usage
 from threadloom.sources.bodies import parse_content, probes
-from threadloom.sources.events import event_rows, lifecycles, scaled_events
+from threadloom.sources.events import event_rows, lifecycles, scaled_answers, scaled_events
 
 HASHES = f"WITH {MSG}, {REQ}, hs AS (SELECT session_id, seq, list(sha256(role || chr(31) || text) ORDER BY idx) AS h FROM req GROUP BY 1, 2)"
 EPOCHS = f"""{HASHES}, lg AS (SELECT *, lag(h) OVER (PARTITION BY session_id ORDER BY seq) AS p FROM hs),
@@ -162,6 +162,29 @@ def n3(spark, sf):
     return usage(spark, sf).select("event_id", *(c.alias(k) for k, c in U.scaled(fields(), F.col("output_tokens"), F.col("has_total"), 0.5).items()))
 
 
+def answers(spark, sf):
+    """An answer in one piece for each event, with its usage; one in nine failed, one in ten is no JSON."""
+    u = usage(spark, sf)
+    n = F.col("event_id")
+    quoted = F.when(n % 7 == 0, F.concat(F.lit('"'), "input_tokens", F.lit('"'))).otherwise(F.col("input_tokens"))
+    more = F.coalesce(F.concat(F.lit(',"cache_read_input_tokens":'), "cache_read_input_tokens"), F.lit(""))
+    total = F.when(F.col("has_total"), ',"total_tokens":1').otherwise("")
+    body = F.concat(F.lit('{"usage":{"input_tokens":'), quoted, F.lit(',"cache_creation_input_tokens":'), "cache_creation_input_tokens", more, F.lit(',"output_tokens":'), F.col("output_tokens").cast("string"), total, F.lit('},"type":"message"}'))
+    return u.select("event_id", F.when(n % 9 == 0, 500).otherwise(200).alias("status"), F.when(n % 10 == 3, F.concat(F.lit("no "), body)).otherwise(body).alias("body"))
+
+
+HALF = lambda k: f"floor(TRY_CAST({k} AS DOUBLE) * 0.5)::BIGINT"
+RAW = """'{"usage":{"input_tokens":' || CASE WHEN event_id % 7 = 0 THEN '"bad"' ELSE input_tokens END || ',"cache_creation_input_tokens":' || cache_creation_input_tokens || coalesce(',"cache_read_input_tokens":' || cache_read_input_tokens, '') || ',"output_tokens":' || output_tokens || CASE WHEN has_total THEN ',"total_tokens":1' ELSE '' END || '},"type":"message"}'"""
+
+
+@query("a12_answers", f"""WITH {USAGE}, u AS (SELECT *, {HALF('cache_creation_input_tokens')} AS a, {HALF('cache_read_input_tokens')} AS b, {HALF('input_tokens')} AS c, event_id % 9 <> 0 AND event_id % 10 <> 3 AS good FROM usage)
+SELECT event_id, CASE WHEN good THEN '{{"type":"message","usage":{{"cache_creation_input_tokens":' || a || coalesce(',"cache_read_input_tokens":' || b, '') || ',"input_tokens":' || coalesce(c::VARCHAR, '"bad"') || ',"output_tokens":' || output_tokens || CASE WHEN has_total THEN ',"total_tokens":' || (a + coalesce(b, 0) + coalesce(c, 0) + output_tokens) ELSE '' END || '}}}}' WHEN event_id % 10 = 3 THEN 'no ' || {RAW} ELSE {RAW} END AS body,
+CASE WHEN good AND event_id % 7 <> 0 THEN nullif(input_tokens::BIGINT + cache_creation_input_tokens::BIGINT + coalesce(cache_read_input_tokens::BIGINT, 0), 0) END AS actual FROM u""")
+def a12(spark, sf):
+    """Every answer's body as it goes on, and what its session's baseline learns from it."""
+    return scaled_answers(answers(spark, sf), 0.5).select("event_id", "body", "actual")
+
+
 @query("n5_update_kind", f"WITH {USAGE} SELECT event_id, CASE WHEN output_tokens <= 0 OR event_id % 5 = 0 OR event_id % 7 = 1 THEN 'none' WHEN event_id % 3 = 0 THEN 'stale' ELSE 'exact' END AS kind FROM usage")
 def n5(spark, sf):
     n = F.col("event_id")

@@ -18,15 +18,20 @@ def event_rows(streams: DataFrame) -> DataFrame:
     return e.select("stream_id", "seq", line("event").alias("event"), line("data").alias("data"), F.get_json_object(line("data"), "$.type").alias("type"), (count("event") * 100 + count("data")).alias("fields"))
 
 
-def lifecycles(events: DataFrame) -> DataFrame:
-    """(stream_id, complete, actual): a stream counts if it has one start with valid usage, then one stop, both named as their data say."""
+def event_facts(events: DataFrame) -> DataFrame:
+    """Events with what a stream's life depends on: start, stop, bad (a start or stop that is not well formed), actual (a start's input tokens)."""
     part = F.col("event").isin("message_start", "message_stop") | F.coalesce(F.col("type").isin("message_start", "message_stop"), F.lit(False))
     use = {k: F.get_json_object("data", f"$.message.usage.{k}") for k in U.INPUTS}
-    actual = U.strict_total(F.get_json_object("data", "$.message.type"), use)
-    start, stop = F.col("type") == "message_start", F.col("type") == "message_stop"
-    bad = part & (F.coalesce(F.col("event") != F.col("type"), F.lit(True)) | (F.col("fields") != 101) | (start & actual.isNull()))
-    g = events.groupBy("stream_id").agg(
-        F.count_if(start).alias("starts"), F.count_if(stop).alias("stops"), F.min(F.when(start, F.col("seq"))).alias("first"), F.max(F.when(stop, F.col("seq"))).alias("last"), F.coalesce(F.bool_or(bad), F.lit(False)).alias("bad"), F.max(F.when(start, actual)).alias("actual")
+    start, stop = F.coalesce(F.col("type") == "message_start", F.lit(False)), F.coalesce(F.col("type") == "message_stop", F.lit(False))
+    e = events.withColumns({"start": start, "stop": stop, "actual": F.when(start, U.strict_total(F.get_json_object("data", "$.message.type"), use))})
+    bad = part & (F.coalesce(F.col("event") != F.col("type"), F.lit(True)) | (F.col("fields") != 101) | (F.col("start") & F.col("actual").isNull()))
+    return e.withColumn("bad", F.coalesce(bad, F.lit(False)))
+
+
+def lifecycles(events: DataFrame) -> DataFrame:
+    """(stream_id, complete, actual): a stream counts if it has one start with valid usage, then one stop, both named as their data say."""
+    g = event_facts(events).groupBy("stream_id").agg(
+        F.count_if("start").alias("starts"), F.count_if("stop").alias("stops"), F.min(F.when(F.col("start"), F.col("seq"))).alias("first"), F.max(F.when(F.col("stop"), F.col("seq"))).alias("last"), F.bool_or("bad").alias("bad"), F.max("actual").alias("actual")
     )
     ok = (F.col("starts") == 1) & (F.col("stops") == 1) & (F.col("first") < F.col("last")) & ~F.col("bad")
     return g.select("stream_id", F.coalesce(ok, F.lit(False)).alias("complete"), F.when(ok, F.col("actual")).alias("actual"))
@@ -82,6 +87,23 @@ def scaled_events(events: DataFrame, factor: float) -> DataFrame:
     return e.withColumn("data", F.coalesce(fresh, "data")).drop("_whole", "_message")
 
 
+def scaled_answers(answers: DataFrame, factor: float) -> DataFrame:
+    """Answers (status, body) that came in one piece: body with scaled usage, and actual, the input tokens that a baseline can be made of.
+
+    A body of a status from 200 to 299 that is a JSON object is written anew, compact and with the names of objects in
+    order, whether or not it has a usage object; all others stay as they are, byte for byte, and have no actual.
+    actual is null unless the body is a message with well-formed usage.
+    """
+    good = F.col("status").between(200, 299) & F.coalesce(F.schema_of_variant(F.try_parse_json("body")).startswith("OBJECT"), F.lit(False))
+    a = answers.withColumn("_whole", F.when(good, F.from_json("body", OBJECT)))
+    use = {k: F.get_json_object("body", f"$.usage.{k}") for k in U.INPUTS}
+    found = F.try_element_at("_whole", F.lit("usage"))
+    usage = F.when(F.schema_of_variant(found).startswith("OBJECT"), F.try_variant_get(found, "$", OBJECT))
+    whole = F.transform_values("_whole", lambda k, v: F.when((k == "usage") & usage.isNotNull(), F.to_variant_object(scaled_usage(usage, factor))).otherwise(v))
+    a = a.withColumn("actual", F.when(F.col("_whole").isNotNull(), U.strict_total(F.get_json_object("body", "$.type"), use)))
+    return a.withColumn("body", F.coalesce(F.to_json(F.to_variant_object(whole)), "body")).drop("_whole")
+
+
 def baseline_changes(lifecycles_: DataFrame, requests: DataFrame) -> DataFrame:
     """Complete streams beside their requests, the last of each session and epoch first."""
     order = W.partitionBy("session_id", "epoch").orderBy(F.desc("generation"))
