@@ -217,6 +217,26 @@ def test_embedding_join(spark):
         assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i, _ in bad[:-1]) and got[None].component_id is None
 
 
+def test_full_leaves_are_split(spark, monkeypatch):
+    """Cuts from a sample far below the leaves: results are those of brute force, and no part of a leaf holds over four times the mean."""
+    from threadloom.llm import embedding_join as E
+
+    r = np.random.default_rng(8)
+    x = r.standard_normal((1500, 32)) * np.r_[np.ones(2) * 4, np.ones(30) * 0.05] + 3.0  # all near one direction: leaves can't tell them apart
+    x[:40] = x[40:80] + r.standard_normal((40, 32)) * 0.001
+    monkeypatch.setattr(E, "SAMPLE", 24)
+    monkeypatch.setattr(E, "PER_LEAF", 0)
+    seen = []
+    real = E._parted
+    monkeypatch.setattr(E, "_parted", lambda dealt, full: seen.append(real(dealt, full)) or seen[-1])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(3)
+    got = {t.vec_id: t.n_links for t in E.embedding_join(df, leaf=16, threshold=0.999).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert got == dict(enumerate(((unit @ unit.T >= 0.999).sum(axis=1) - 1).tolist()))
+    loads = [t.n for t in seen[0].filter("not visitor").groupBy("task").agg(F.count("*").alias("n")).collect()]
+    assert max(loads) <= 4 * max(16, np.mean(loads)) and sum(loads) == 2 * 1500
+
+
 def test_embedding_join_lengths(spark):
     x = {d: rng.standard_normal((40, d)) for d in (3, 9, 20)}
     for v in x.values():

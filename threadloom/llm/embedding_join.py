@@ -2,7 +2,8 @@
 
 Unit vectors are rotated and split into blocks of few dimensions. cos >= c means |a-b|^2 <= 2-2c, so in one
 block at least the squared distance is within the block's share of that, in proportion to its dimensions.
-Each block is range-joined on its own: median cuts of a bounded sample give leaves, a vector lies in one leaf and
+Each block is range-joined on its own: median cuts of a sample that grows with the leaves give these, a leaf that is
+still too full is split into parts that meet in pairs, a vector lies in one leaf and
 visits the later leaves that its budget reaches, each cut crossed spending what its gap adds to the squared
 distance. Only block coordinates travel for that; what has a near vector in some leaf goes on with its whole
 vector and is verified in double precision. A pair counts in the first block where it is near and in the later of
@@ -26,8 +27,13 @@ from .grouping import binary_matrix, components, local_roots
 BLOCK_DIMS = 16
 #: Vectors that a leaf should hold.
 LEAF = 8192
-#: Vectors from which the cuts are taken. They place the cuts only; any cuts give the same result.
-SAMPLE = 16384
+#: Vectors from which the cuts are taken: so many at least, and so many for each leaf, which is one in 2048 of all. They
+#: come to the driver as float32. They place the cuts only; any cuts give the same result.
+SAMPLE, PER_LEAF = 16384, 4
+#: A leaf of more than so many times the vectors it should hold is split into parts.
+FULL = 4
+#: Bits of a task's number for the part of a leaf.
+PARTS = 20
 #: Rows and columns of the largest matrix of distances.
 CHUNK = 1024
 #: Values that rounding could carry over a bound are computed again, by one formula for all tasks.
@@ -90,6 +96,12 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return np.asarray(c.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(c), dims)
 
 
+def _sampled(column: pa.ChunkedArray, dims: int) -> np.ndarray:
+    """Vectors as float32 place cuts; those whose components leave that range don't count."""
+    x = _matrix(column, dims)
+    return x[np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)]
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     """Rows of length 1; divided by the largest component first, so that no square overflows or vanishes."""
     x = x / np.abs(x).max(axis=1, keepdims=True) if len(x) else x
@@ -107,7 +119,7 @@ def _deal(dims: int, trees: list[tuple[np.ndarray, np.ndarray]], budget: list[fl
                 rotated = _unit(v[lo : lo + 2048]) @ turn
                 for k, s in enumerate(blocks_of(dims)):
                     own, at, leaf = leaves_within(rotated[:, s], trees[k], budget[k])
-                    who, task = np.concatenate([np.arange(len(own)), at]), (np.int64(k) << 48) | np.concatenate([own, leaf])
+                    who, task = np.concatenate([np.arange(len(own)), at]), (np.int64(k) << 48) | (np.concatenate([own, leaf]) << PARTS)
                     visits = np.arange(len(who)) >= len(own)
                     flat = np.ascontiguousarray(rotated[:, s], np.float32)
                     for x in range(0, len(who), 8192):
@@ -118,6 +130,31 @@ def _deal(dims: int, trees: list[tuple[np.ndarray, np.ndarray]], budget: list[fl
     return run
 
 
+def _loads(dims: int, trees: list[tuple[np.ndarray, np.ndarray]]):
+    """(task, n) of each batch: how many vectors lie in a leaf."""
+    turn = rotation(dims)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = _matrix(b.column("v"), dims)
+            for lo in range(0, b.num_rows, 2048):
+                rotated = _unit(v[lo : lo + 2048]) @ turn
+                found = [(np.int64(k) << 48) | (leaves_within(rotated[:, s], trees[k], -1.0)[0] << PARTS) for k, s in enumerate(blocks_of(dims))]
+                task, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(task), pa.array(n)], names=["task", "n"])
+
+    return run
+
+
+def _parted(dealt: DataFrame, full: DataFrame) -> DataFrame:
+    """Rows of full leaves (task, parts) dealt to parts: a vector is data in one part and visits the later ones, a visitor visits all."""
+    rows = dealt.join(full, "task", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint")))
+    own = F.pmod(F.xxhash64("vec"), F.col("parts"))
+    first = F.when(F.col("visitor"), F.lit(0).cast("bigint")).otherwise(own)
+    rows = rows.withColumn("own", own).withColumn("part", F.explode(F.sequence(first, F.col("parts") - 1)))
+    return rows.select((F.col("task") + F.col("part")).alias("task"), (F.col("visitor") | (F.col("part") != F.col("own"))).alias("visitor"), "vec", "x")
+
+
 def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, pa.RecordBatch, bool]]:
     """(task, whether visitors, rows, whether these are the last of the task) of a stream sorted by task and visitor."""
     held = None
@@ -275,10 +312,18 @@ def _links(used: DataFrame, dims: int, n: int, threshold: float, leaf: int) -> D
     """(vec, root, links) among classes (v, vec, copies) of n vectors of one length."""
     budget, parts = budgets(dims, threshold), blocks_of(dims)
     levels = max(0, int(np.ceil(np.log2(max(n / leaf, 1)))))
-    taken = used.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("v").toPandas() if levels else None
-    points = _unit(np.array(taken["v"].tolist(), np.float64)) @ rotation(dims) if levels else np.zeros((0, dims))
+    few = min(1.0, 1.1 * max(SAMPLE, PER_LEAF << levels) / max(n, 1))
+    taken = used.filter(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(np.ceil(few * (1 << 30)))).select(F.col("v").cast("array<float>").alias("v")).toArrow() if levels else None
+    points = np.zeros((0, dims), np.float32)
+    if levels and taken.num_rows:
+        points = (_unit(_sampled(taken.column("v"), dims)) @ rotation(dims)).astype(np.float32)
     trees = [cuts_of(points[:, s], levels) for s in parts]
     dealt = used.select("vec", "v").mapInArrow(_deal(dims, trees, budget), "task bigint, visitor boolean, vec bigint, x binary")
+    if levels:
+        loads = used.select("v").mapInArrow(_loads(dims, trees), "task bigint, n bigint").groupBy("task").agg(F.sum("n").alias("n"))
+        full = kept_table(loads.filter(F.col("n") > FULL * leaf).select("task", F.ceil(F.col("n") / leaf).cast("bigint").alias("parts")), "full-leaves")
+        if not full.isEmpty():
+            dealt = _parted(dealt, full)
     near = dealt.repartition("task").sortWithinPartitions("task", "visitor").mapInArrow(_near(budget, [s.stop - s.start for s in parts]), "task bigint, visitor boolean, vec bigint")
     met = kept_table(near, "near").hint("merge").join(used, "vec").select("task", "visitor", "vec", "copies", "v")
     return met.repartition("task").sortWithinPartitions("task", "visitor").mapInArrow(_compare(dims, threshold, budget), "vec bigint, root bigint, links bigint")
