@@ -446,8 +446,8 @@ def transition(spark, sf):
     store.save_blocks(archives(spark, sf))
     store.put_state([("k1", "v1")])
     store.commit_transition("k1", "v2", "src3", 50)
-    hidden = store.blocks().filter("isolated = 1").count()
-    return store.state().select("key", "value").withColumn("hidden", F.lit(hidden))
+    hidden = store.blocks().filter("isolated = 1").agg(F.count("*")).scalar()
+    return store.state().select("key", "value").withColumn("hidden", hidden)
 
 
 NOISE, CONTEXT = "<system-reminder>noise</system-reminder>", "<system-reminder>\n# claudeMd\nrules of the house</system-reminder>"

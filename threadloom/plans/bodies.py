@@ -95,11 +95,10 @@ def block_texts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", RQ.block_texts(raw).alias("said"))
 
 
-@query("b3_envelopes", "SELECT doc_id, doc_id % 36 = (doc_id // 36) % 36 AND doc_id % 36 BETWEEN 1 AND 32 AS whole FROM documents WHERE text IS NOT NULL")
+@query("b3_envelopes", "SELECT doc_id, n_chars % 36 = (doc_id // 36) % 36 AND n_chars % 36 BETWEEN 1 AND 32 AS whole FROM documents WHERE text IS NOT NULL")
 def envelopes(spark, sf):
-    """Texts in some opening and some closing tags, up to 35 of each."""
-    n = F.col("doc_id")
-    t = F.concat(F.repeat(F.lit("<session>"), (n % 36).cast("int")), "text", F.repeat(F.lit("</session>"), (F.floor(n / 36) % 36).cast("int")))
+    """Texts in some opening and some closing tags, up to 35 of each, as many as lengths and ids say."""
+    t = F.concat(F.repeat(F.lit("<session>"), (F.col("n_chars") % 36).cast("int")), "text", F.repeat(F.lit("</session>"), (F.floor(F.col("doc_id") / 36) % 36).cast("int")))
     return table(spark, sf, "documents").filter("text is not null").select("doc_id", RQ.title_envelope(t).alias("whole"))
 
 

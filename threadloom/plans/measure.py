@@ -116,7 +116,7 @@ def spending(spark, sf):
     return table(spark, sf, "part").select(k.alias("id"), T.spent_in_order(F.array(F.lit(40).cast("bigint"), k % 90, k % 50), F.lit(100)).alias("fits"))
 
 
-@query("d15_cache_gap", "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 3660 ELSE 240 END AS gap, CASE WHEN p_partkey % 2 = 0 THEN 3900 ELSE 1800 END AS keep FROM part")
+@query("d15_cache_gap", "SELECT event_id AS id, CASE WHEN event_type = 'view' AND value > 50 THEN 3660 ELSE 240 END AS gap, CASE WHEN event_type = 'view' AND value > 50 THEN 3900 ELSE 1800 END AS keep FROM events")
 def cache_gap(spark, sf):
-    ttl = F.when(F.col("p_partkey") % 2 == 0, "1h").otherwise("ephemeral")
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), T.cache_gap_seconds(ttl).alias("gap"), T.snapshot_ttl_seconds(ttl).alias("keep"))
+    ttl = F.when((F.col("event_type") == "view") & (F.col("value") > 50), "1h").when(F.col("event_type") == "click", "ephemeral")
+    return table(spark, sf, "events").select(F.col("event_id").alias("id"), T.cache_gap_seconds(ttl).alias("gap"), T.snapshot_ttl_seconds(ttl).alias("keep"))

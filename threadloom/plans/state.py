@@ -14,7 +14,7 @@ from threadloom.operators import continuity as C
 from threadloom.operators.requests import tracked as keep
 from threadloom.plans.forwarding import forwarded
 from threadloom.plans.registry import query
-from threadloom.plans.views import MSG, REQ, USAGE, messages, requests, table, usage
+from threadloom.plans.views import MSG, REQ, USAGE, list_sql, messages, requests, table, usage
 from threadloom.sources.bodies import parse_content, probes
 from threadloom.sources.events import event_rows, lifecycles, scaled_answers, scaled_events
 
@@ -128,11 +128,10 @@ def l5(spark, sf):
     return table(spark, sf, "events").select(F.col("user_id").alias("session_id")).distinct().select("session_id", FP.session_hash(F.col("session_id")).alias("hash"))
 
 
-@query("l6_validity", "SELECT doc_id, doc_id % 3 = 0 AS long, doc_id % 3 = 1 AS short FROM documents")
+@query("l6_validity", "SELECT doc_id, regexp_full_match(c, '[0-9a-f]{64}') AS long, regexp_full_match(c, '[0-9a-f]{16}') AS short FROM (SELECT doc_id, CASE lang WHEN 'en' THEN h WHEN 'de' THEN h[1:16] WHEN 'fr' THEN upper(h) ELSE 'G' || h[2:] END AS c FROM (SELECT doc_id, lang, sha256(text) AS h FROM documents))")
 def l6(spark, sf):
     h = F.sha2("text", 256)
-    c = F.when(F.col("doc_id") % 3 == 0, h).when(F.col("doc_id") % 3 == 1, F.substring(h, 1, 16)).otherwise(F.upper(h))
-    c = F.when(F.col("doc_id") % 3 == 2, F.concat(F.lit("G"), c)).otherwise(c)
+    c = F.when(F.col("lang") == "en", h).when(F.col("lang") == "de", F.substring(h, 1, 16)).when(F.col("lang") == "fr", F.upper(h)).otherwise(F.concat(F.lit("G"), F.substring(h, 2, 63)))
     return table(spark, sf, "documents").select("doc_id", FP.is_fingerprint(c).alias("long"), FP.is_short_hash(c).alias("short"))
 
 
@@ -198,40 +197,61 @@ def n6(spark, sf):
     return usage(spark, sf).join(t, "session_id").select("event_id", FP.session_hash(F.col("session_id")).alias("session_hash"), "selected", actual.alias("actual"), T.saturating_subtract(actual, F.col("selected")).alias("actual_minus_selected"))
 
 
-SUBAGENT = "sess; cc_is_subagent = true"
+EK = "ek AS (SELECT event_id, event_type, value, json_extract_string(props, '$.k') AS k FROM events)"
 
 
-@query("b8_agent_role", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'agent_id_header' WHEN 1 THEN 'billing_marker' WHEN 2 THEN 'agent_context_type' WHEN 3 THEN 'agent_context_parent' WHEN 4 THEN 'system_attribution' ELSE 'no_subagent_marker' END AS reason, CASE WHEN event_id % 6 = 5 THEN 'main' ELSE 'subagent' END AS role FROM events")
+def cells(spark, sf):
+    """event_id, event_type, value and the k of an event's properties: what the inputs of requests are made of."""
+    return table(spark, sf, "events").select("event_id", "event_type", "value", F.get_json_object("props", "$.k").alias("k"))
+
+
+def by_type(**parts):
+    """A text for each event_type, of column names in braces and literals; null for the types that aren't named."""
+    out = F.when(F.lit(False), "")
+    for kind, text in parts.items():
+        out = out.when(F.col("event_type") == kind, F.concat(*(F.col(x[1:-1]) if x.startswith("{") and x.endswith("}") and x[1:-1].isidentifier() else F.lit(x) for x in text)))
+    return out
+
+
+@query("b8_agent_role", f"""WITH {EK}, i AS (SELECT event_id, CASE event_type WHEN 'view' THEN repeat(k, (k::INT % 2)) END AS header, CASE event_type WHEN 'click' THEN 'sess; cc_is_subagent = ' || CASE WHEN value > 50 THEN 'true' ELSE 'false' END END AS bill, CASE event_type WHEN 'purchase' THEN '{{"agentType": "' || CASE WHEN value > 50 THEN ' SubAgent ' ELSE k END || '"}}' WHEN 'signup' THEN '{{"agentType": "main", "parentSessionId": "' || repeat(' ', k::INT % 3) || repeat(k, k::INT % 2) || '"}}' END AS ctx,
+CASE event_type WHEN 'error' THEN ' x-anthropic-billing-header: cc_is_subagent=' || CASE WHEN value > 50 THEN 'true;' ELSE k END END AS sys FROM ek),
+r AS (SELECT event_id, CASE WHEN trim(coalesce(header, '')) <> '' THEN 'agent_id_header' WHEN bill LIKE '%= true' THEN 'billing_marker' WHEN lower(trim(ctx->>'$.agentType')) = 'subagent' THEN 'agent_context_type' WHEN trim(ctx->>'$.parentSessionId') <> '' THEN 'agent_context_parent' WHEN sys LIKE '%=true;' THEN 'system_attribution' ELSE 'no_subagent_marker' END AS reason FROM i)
+SELECT event_id, reason, CASE reason WHEN 'no_subagent_marker' THEN 'main' ELSE 'subagent' END AS role FROM r""")
 def b8(spark, sf):
-    k = F.col("event_id") % 6
-    context = F.when(k == 2, '{"agentType": " SubAgent "}').when(k == 3, '{"agentType": "main", "parentSessionId": "p"}').when(k == 5, '{"agentType": "main", "parentSessionId": " "}')
-    system = F.when(k == 4, '[{"type": "text", "text": " x-anthropic-billing-header: cc_is_subagent=true;"}]').otherwise('[{"type": "text", "text": "cc_is_subagent=true"}]')
+    large = F.col("value") > 50
+    half = F.expr("repeat(k, cast(k as int) % 2)")
+    e = cells(spark, sf).withColumns({"half": half, "gap": F.concat(F.expr("repeat(' ', cast(k as int) % 3)"), half), "yes": F.when(large, "true").otherwise("false"), "kind": F.when(large, " SubAgent ").otherwise(F.col("k")), "mark": F.when(large, "true;").otherwise(F.col("k"))})
+    context = by_type(purchase=('{"agentType": "', "{kind}", '"}'), signup=('{"agentType": "main", "parentSessionId": "', "{gap}", '"}'))
+    system = by_type(error=('[{"type": "text", "text": " x-anthropic-billing-header: cc_is_subagent=', "{mark}", '"}]'))
     type_, parent = RQ.agent_context(context)
-    role, reason = RQ.agent_role(F.when(k == 0, "a1"), RQ.is_subagent_mark(F.when(k == 1, SUBAGENT).otherwise("cc_is_subagent=false")), type_, parent, RQ.system_facts(system)[2])
-    return table(spark, sf, "events").select("event_id", reason.alias("reason"), role.alias("role"))
+    role, reason = RQ.agent_role(by_type(view=("{half}",)), RQ.is_subagent_mark(by_type(click=("sess; cc_is_subagent = ", "{yes}"))), type_, parent, RQ.system_facts(system)[2])
+    return e.select("event_id", reason.alias("reason"), role.alias("role"))
 
 
-@query("b10_agent_context", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'missing' WHEN 1 THEN 'malformed' WHEN 2 THEN 'main' WHEN 3 THEN 'other' WHEN 4 THEN 'malformed' ELSE 'missing' END AS type, event_id % 6 IN (2, 5) AS parent FROM events")
+@query("b10_agent_context", f"""WITH {EK}, i AS (SELECT event_id, CASE event_type WHEN 'click' THEN '{{"agentType": "MAIN", "parentSessionId": "' || k || '"}}' WHEN 'purchase' THEN '{{"agentType": "' || event_type || k || '"}}' WHEN 'signup' THEN '{{"agentType": ' || k || '}}' WHEN 'error' THEN '{{"parentSessionId": "' || repeat(k, k::INT % 2) || '"}}' END AS c FROM ek)
+SELECT event_id, CASE WHEN c IS NULL OR json_type(c, '$.agentType') IS NULL THEN 'missing' WHEN json_type(c, '$.agentType') <> 'VARCHAR' THEN 'malformed' WHEN lower(c->>'$.agentType') IN ('main', 'subagent') THEN lower(c->>'$.agentType') ELSE 'other' END AS type, coalesce(c->>'$.parentSessionId' <> '', false) AS parent FROM i""")
 def b10(spark, sf):
-    k = F.col("event_id") % 6
-    raw = F.when(k == 1, "null").when(k == 2, '{"agentType": "MAIN", "parentSessionId": "x"}').when(k == 3, '{"agentType": "helper"}').when(k == 4, '{"agentType": 5}').when(k == 5, '{"parentSessionId": "x"}')
+    e = cells(spark, sf).withColumn("half", F.expr("repeat(k, cast(k as int) % 2)"))
+    raw = by_type(click=('{"agentType": "MAIN", "parentSessionId": "', "{k}", '"}'), purchase=('{"agentType": "', "{event_type}", "{k}", '"}'), signup=('{"agentType": ', "{k}", "}"), error=('{"parentSessionId": "', "{half}", '"}'))
     type_, parent = RQ.agent_context(raw)
-    return table(spark, sf, "events").select("event_id", type_.alias("type"), parent.alias("parent"))
+    return e.select("event_id", type_.alias("type"), parent.alias("parent"))
 
 
-@query("b11_family", "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'deepseek' WHEN 1 THEN 'claude-haiku' WHEN 2 THEN 'claude' ELSE 'unknown' END AS family FROM part")
+@query("b11_family", f"""WITH {EK}, i AS (SELECT event_id AS id, lower(CASE event_type WHEN 'view' THEN 'DeepSeek-V' || k WHEN 'click' THEN 'claude-' || k || '-Haiku' WHEN 'purchase' THEN 'CLAUDE-' || k ELSE event_type || '-haiku' END) AS m FROM ek)
+SELECT id, CASE WHEN contains(m, 'deepseek') THEN 'deepseek' WHEN contains(m, 'claude') THEN CASE WHEN contains(m, 'haiku') THEN 'claude-haiku' ELSE 'claude' END ELSE 'unknown' END AS family FROM i""")
 def b11(spark, sf):
-    k = F.col("p_partkey") % 4
-    m = F.when(k == 0, "DeepSeek-V3").when(k == 1, "claude-3-Haiku").when(k == 2, "CLAUDE-x").otherwise("other")
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), RQ.model_family(m).alias("family"))
+    other = ("{event_type}", "-haiku")
+    m = by_type(view=("DeepSeek-V", "{k}"), click=("claude-", "{k}", "-Haiku"), purchase=("CLAUDE-", "{k}"), signup=other, error=other)
+    return cells(spark, sf).select(F.col("event_id").alias("id"), RQ.model_family(m).alias("family"))
 
 
-@query("b12_system_shape", "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'string' WHEN 1 THEN 'array' WHEN 2 THEN 'unknown' ELSE 'missing' END AS shape, p_partkey % 4 < 2 AS sdk FROM part")
+@query("b12_system_shape", f"""WITH {EK}, i AS (SELECT event_id AS id, CASE event_type WHEN 'view' THEN '"x cc_entrypoint=sdk-' || CASE WHEN value > 50 THEN 'ts' ELSE k END || '"' WHEN 'click' THEN '[{{"type": "text", "text": "' || k || '"}}, {{"type": "text", "text": "cc_entrypoint=sdk-' || CASE WHEN value > 50 THEN 'ts' ELSE k END || '"}}]' WHEN 'purchase' THEN '{{"a": ' || k || '}}' WHEN 'error' THEN k END AS s FROM ek)
+SELECT id, CASE WHEN s IS NULL THEN 'missing' WHEN json_type(s) = 'VARCHAR' THEN 'string' WHEN json_type(s) = 'ARRAY' THEN 'array' ELSE 'unknown' END AS shape, coalesce(contains(s, 'cc_entrypoint=sdk-ts'), false) AS sdk FROM i""")
 def b12(spark, sf):
-    k = F.col("p_partkey") % 4
-    raw = F.when(k == 0, '"x cc_entrypoint=sdk-ts"').when(k == 1, '[{"type": "text", "text": "a"}, {"type": "text", "text": "cc_entrypoint=sdk-ts"}]').when(k == 2, '{"a": 1}')
+    e = cells(spark, sf).withColumn("mark", F.when(F.col("value") > 50, "ts").otherwise(F.col("k")))
+    raw = by_type(view=('"x cc_entrypoint=sdk-', "{mark}", '"'), click=('[{"type": "text", "text": "', "{k}", '"}, {"type": "text", "text": "cc_entrypoint=sdk-', "{mark}", '"}]'), purchase=('{"a": ', "{k}", "}"), error=("{k}",))
     shape, sdk, _ = RQ.system_facts(raw)
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), shape.alias("shape"), sdk.alias("sdk"))
+    return e.select(F.col("event_id").alias("id"), shape.alias("shape"), sdk.alias("sdk"))
 
 
 @query("b1_title", "SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'title_prompt_fallback' WHEN 1 THEN 'title_schema' WHEN 6 THEN 'title_prompt_fallback' END AS reason FROM events")
@@ -247,19 +267,20 @@ def b1(spark, sf):
     return table(spark, sf, "events").select("event_id", RQ.auxiliary(F.lit(1), F.lit("user"), text, system, config).alias("reason"))
 
 
-@query("b14_probes", "SELECT event_id, 'm' || event_id % 3 AS model, (event_id % 4)::INT AS n, event_id % 2 = 0 AS stream FROM events")
+@query("b14_probes", f"""WITH {EK}, i AS (SELECT event_id, '{{"model": "' || event_type || '-' || k || '", "stream": ' || CASE WHEN value > 50 THEN 'true' ELSE 'false' END || ', "messages": [' || array_to_string(list_transform(range(k::INT % 7), lambda x: '{{}}'), ',') || ']}}' AS b FROM ek)
+SELECT event_id, b->>'$.model' AS model, json_array_length(b, '$.messages')::INT AS n, (b->>'$.stream') = 'true' AS stream FROM i""")
 def b14(spark, sf):
-    n = F.col("event_id")
-    body = F.concat(F.lit('{"model": "m'), (n % 3).cast("string"), F.lit('", "stream": '), F.when(n % 2 == 0, "true").otherwise("false"), F.lit(', "messages": ['), F.array_join(F.array_repeat(F.lit("{}"), (n % 4).cast("int")), ","), F.lit("]}"))
+    many = F.array_join(F.array_repeat(F.lit("{}"), F.col("k").cast("int") % 7), ",")
+    body = F.concat(F.lit('{"model": "'), "event_type", F.lit("-"), "k", F.lit('", "stream": '), F.when(F.col("value") > 50, "true").otherwise("false"), F.lit(', "messages": ['), many, F.lit("]}"))
     model, count, stream = probes(body)
-    return table(spark, sf, "events").select("event_id", model.alias("model"), count.alias("n"), stream.alias("stream"))
+    return cells(spark, sf).select("event_id", model.alias("model"), count.alias("n"), stream.alias("stream"))
 
 
-@query("a15_redacted_headers", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '[REDACTED]' ELSE 'v' || event_id END AS value FROM events")
+@query("a15_redacted_headers", f"""WITH {EK} SELECT event_id, CASE WHEN list_contains({list_sql(RQ.SENSITIVE_HEADERS)}, lower(trim(h))) THEN '[REDACTED]' ELSE k END AS value FROM (SELECT event_id, k, CASE event_type WHEN 'view' THEN ' Authorization' WHEN 'click' THEN 'X-Api-Key ' WHEN 'purchase' THEN 'Set-Cookie' ELSE 'x-' || event_type END AS h FROM ek)""")
 def a15(spark, sf):
-    n = F.col("event_id")
-    h = F.create_map(F.when(n % 2 == 0, " Authorization").otherwise("accept"), F.concat(F.lit("v"), n.cast("string")))
-    return table(spark, sf, "events").select("event_id", F.map_values(RQ.redacted_headers(h))[0].alias("value"))
+    other = ("x-", "{event_type}")
+    h = F.create_map(by_type(view=(" Authorization",), click=("X-Api-Key ",), purchase=("Set-Cookie",), signup=other, error=other), F.col("k"))
+    return cells(spark, sf).select("event_id", F.map_values(RQ.redacted_headers(h))[0].alias("value"))
 
 
 @query("a5_content_kinds", f"WITH {MSG} SELECT session_id, idx, CASE idx % 4 WHEN 0 THEN 'string' WHEN 1 THEN 'array' WHEN 2 THEN 'invalid' ELSE 'empty' END AS kind, CASE WHEN idx % 4 = 0 THEN text WHEN idx % 4 = 1 THEN 'a' WHEN idx % 4 = 2 THEN '' END AS first, CASE WHEN idx % 4 = 3 THEN 0 ELSE 1 END AS n FROM msg")
@@ -315,7 +336,7 @@ def session_window(spark, sf):
     return e.groupBy("user_id", F.session_window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("began"), "n")
 
 
-@query("b23_tracked", "SELECT event_id FROM events WHERE event_id % 4 IN (0, 3)")
+@query("b23_tracked", "SELECT event_id FROM events WHERE event_type NOT IN ('click', 'purchase')")
 def tracked(spark, sf):
-    role = F.when(F.col("event_id") % 4 == 0, "main").when(F.col("event_id") % 4 == 1, "subagent").when(F.col("event_id") % 4 == 2, "title").otherwise("unknown")
+    role = by_type(view=("main",), click=("subagent",), purchase=("title",), signup=("unknown",), error=("unknown",))
     return keep(table(spark, sf, "events").select("event_id", role.alias("request_role"))).select("event_id")

@@ -188,9 +188,11 @@ def decay(spark, sf):
     return messages(spark, sf).select("session_id", "idx", X.decayed(F.col("text"), F.col("idx") % 4, F.col("role")).alias("text"))
 
 
-@query("c34_decay_stub", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN s WHEN 1 THEN '[→] T x — one two three' WHEN 2 THEN '[→] T x' ELSE '' END AS stub FROM (SELECT event_id, '[→] T x — one two three four' AS s FROM events)")
+@query("c34_decay_stub", "SELECT item_id, stage, CASE stage WHEN 0 THEN '[→] T ' || item_id || ' — ' || text WHEN 1 THEN '[→] T ' || item_id || CASE WHEN array_to_string(string_split(text, ' ')[1:3], ' ') = '' THEN '' ELSE ' — ' || array_to_string(string_split(text, ' ')[1:3], ' ') END WHEN 2 THEN '[→] T ' || item_id ELSE '' END AS stub FROM benchmark, (SELECT unnest([0, 1, 2, 3]) AS stage)")
 def decay_stub(spark, sf):
-    return table(spark, sf, "events").select("event_id", X.decayed_stub(F.lit("[→] T x — one two three four"), F.col("event_id") % 4).alias("stub"))
+    """Stubs with benchmark's texts as notes, in each stage."""
+    b = table(spark, sf, "benchmark").withColumn("stage", F.explode(F.array(*(F.lit(k) for k in range(4)))))
+    return b.select("item_id", "stage", X.decayed_stub(F.concat(F.lit("[→] T "), F.col("item_id").cast("string"), F.lit(" — "), "text"), F.col("stage")).alias("stub"))
 
 
 @query("c36_recall_terms", f"SELECT item_id, array_to_string(list_filter(list_distinct_in_order, lambda w: NOT list_contains({list_sql([*X.STOP_WORDS, *X.COMMON_RECALL_WORDS])}, w))[1:8], ' ') AS terms FROM (SELECT item_id, list_filter(ws, lambda w, i: list_position(ws, w) = i) AS list_distinct_in_order FROM (SELECT item_id, {words_sql('text')} AS ws FROM benchmark))")
