@@ -91,9 +91,9 @@ def k8(spark, sf):
 @query("k10_evict", "SELECT user_id AS session_id, max(ts) AS last_access FROM events GROUP BY 1 HAVING max(ts) > (SELECT max(ts) FROM events) - INTERVAL 5 HOUR")
 def k10(spark, sf):
     e = table(spark, sf, "events")
-    now = e.agg(F.max("ts")).first()[0]
+    now = e.agg(F.max("ts")).scalar()
     snap = e.groupBy(F.col("user_id").alias("session_id")).agg(F.max("ts").alias("last_access"))
-    return C.evicted(snap, F.lit(now), 5 * 3600)
+    return C.evicted(snap, now, 5 * 3600)
 
 
 @query("k12_decay_state", "SELECT user_id AS session_id, event_id % 2 AS epoch, event_id % 20 AS idx, min(event_id) AS stubbed_at, min_by(value, event_id) AS intensity, min_by(props, event_id) AS file_path FROM events GROUP BY ALL")
