@@ -13,6 +13,11 @@ def event_rows(streams: DataFrame) -> DataFrame:
     """(stream_id, seq, event, data, type, fields) of (stream_id, text): events between blank lines, the last one with or without its blank line."""
     parts = F.filter(F.split(F.regexp_replace("text", "\r\n", "\n"), "\n\n", -1), lambda e: F.trim(e) != "")
     e = streams.select("stream_id", F.posexplode(parts).alias("seq", "raw"))
+    return event_columns(e)
+
+
+def event_columns(e: DataFrame) -> DataFrame:
+    """(stream_id, seq, event, data, type, fields) of events as text (stream_id, seq, raw)."""
     line = lambda name: F.regexp_extract("raw", rf"(?m)^{name}:\s*(.*?)\s*$", 1)
     count = lambda name: F.size(F.split("raw", rf"(?m)^{name}:", -1)) - 1
     return e.select("stream_id", "seq", line("event").alias("event"), line("data").alias("data"), F.get_json_object(line("data"), "$.type").alias("type"), (count("event") * 100 + count("data")).alias("fields"))
