@@ -30,7 +30,11 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tool_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session_id, idx, id, name, input: a tool call for each event. One in thirteen is missing, see drop_uses."""
-    e = _events(spark, sf_dir)
+    return _called(_events(spark, sf_dir)).select("session_id", (F.col("r") * 2).alias("idx"), "id", "name", "input", "event_id")
+
+
+def _called(e: DataFrame) -> DataFrame:
+    """Events with the id, name and input of their calls."""
     k, n = F.col("k"), F.col("event_id")
     file = F.concat(F.lit("src/k"), k, F.lit(".py"))
     command = (
@@ -40,7 +44,7 @@ def tool_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = lambda *parts: F.create_map(*parts)
     made = F.when(kind == "click", pair(F.lit("pattern"), F.concat(F.lit("k"), k), F.lit("path"), F.concat(F.lit("src/k"), k))).when(kind == "error", pair(F.lit("command"), command)).otherwise(pair(F.lit("file_path"), file))
     name = F.when(kind == "view", "Read").when(kind == "click", "Grep").when(kind == "purchase", "Edit").when(kind == "signup", "Write").otherwise("Bash")
-    return e.select("session_id", (F.col("r") * 2).alias("idx"), F.concat(F.lit("tu_"), n.cast("string")).alias("id"), name.alias("name"), made.alias("input"), "event_id")
+    return e.withColumns({"id": F.concat(F.lit("tu_"), n.cast("string")), "name": name, "input": made})
 
 
 def tool_results(spark: SparkSession, sf_dir: str, **of_text: Column) -> DataFrame:
@@ -150,20 +154,23 @@ def histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
     n_items, n_docs = items.agg(F.count("*")).scalar(), docs.agg(F.count("*")).scalar()
-    e = _events(spark, sf_dir).withColumns({"n_ev": F.count("*").over(W.partitionBy("session_id")), "item_id": F.col("event_id") % n_items, "doc_id": F.col("event_id") % n_docs, "thought_id": F.when(F.col("event_id") % 4 == 0, (F.col("event_id") * 7) % n_docs)})
-    e = e.join(tool_uses(spark, sf_dir).select("event_id", "id", "name", "input"), "event_id").join(items.select("item_id", F.col("text").alias("said")), "item_id")
-    e = e.join(docs.select("doc_id", F.col("text").alias("content")), "doc_id").join(docs.select(F.col("doc_id").alias("thought_id"), F.col("text").alias("thought")), "thought_id", "left")
+    e = _called(_events(spark, sf_dir)).withColumns({"n_ev": F.count("*").over(W.partitionBy("session_id")), "item_id": F.col("event_id") % n_items, "doc_id": F.col("event_id") % n_docs, "thought_id": F.when(F.col("event_id") % 4 == 0, (F.col("event_id") * 7) % n_docs)})
+    e = e.join(items.select("item_id", F.col("text").alias("said")), "item_id")
     kinds = dict(part.strip().split(" ", 1) for part in BLOCK.split(", "))
-    row = lambda off, pos, role, **known: F.struct(F.lit(off).alias("off"), F.lit(pos).alias("pos"), F.lit(role).alias("role"), *(known.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()))
+    row = lambda off, pos, role, **known: F.struct(F.lit(off).alias("off"), F.lit(pos).alias("pos"), F.lit(role).alias("role"), known.get("text_id", F.lit(None)).cast("bigint").alias("text_id"), *(known.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()))
     n = F.col("event_id")
     blocks = F.array(
         row(0, 0, "user", type=F.lit("text"), text=F.concat("said", F.when(n % 4 == 1, F.concat(F.lit(" TODO: k"), "k")).otherwise(F.lit("")))),
-        row(1, 0, "assistant", type=F.lit("thinking"), thinking=F.col("thought"), signature=F.when(n % 8 == 0, F.concat(F.lit("s"), "k"))),
+        row(1, 0, "assistant", type=F.lit("thinking"), text_id=F.col("thought_id"), signature=F.when(n % 8 == 0, F.concat(F.lit("s"), "k"))),
         row(1, 1, "assistant", type=F.lit("text"), text=F.concat(F.lit("Next "), "event_type", F.lit(" of k"), "k", F.lit("."))),
         row(1, 2, "assistant", type=F.lit("tool_use"), id=F.col("id"), name=F.col("name"), input=F.col("input")),
-        row(2, 0, "user", type=F.lit("tool_result"), tool_use_id=F.col("id"), content=F.col("content"), is_error=F.col("event_type") == "error"),
+        row(2, 0, "user", type=F.lit("tool_result"), tool_use_id=F.col("id"), text_id=F.col("doc_id"), is_error=F.col("event_type") == "error"),
     )
-    b = e.select("session_id", "event_id", "r", "n_ev", F.inline(blocks)).filter("not (type = 'thinking' and thinking is null) and not (type = 'tool_use' and event_id % 13 = 0) and not (session_id % 3 = 0 and r = n_ev - 1 and off > 0)")
+    b = e.select("session_id", "event_id", "r", "n_ev", F.inline(blocks)).filter("not (type = 'thinking' and text_id is null) and not (type = 'tool_use' and event_id % 13 = 0) and not (session_id % 3 = 0 and r = n_ev - 1 and off > 0)")
+    # Documents are attached last, to the blocks that show one: their texts are shuffled once.
+    shown = b.filter("text_id is not null").join(docs.select(F.col("doc_id").alias("text_id"), F.col("text").alias("_text")), "text_id")
+    shown = shown.withColumns({"thinking": F.when(F.col("type") == "thinking", F.col("_text")), "content": F.when(F.col("type") == "tool_result", F.col("_text"))})
+    b = shown.drop("_text").unionByName(b.filter("text_id is null"))
     idx, total = F.col("r") * 3 + F.col("off"), F.col("n_ev") * 3
     stubbed = F.when(idx * 2 < total, F.when(idx % 67 == 0, 280).otherwise(10)).when(idx * 4 < total * 3, 240)
     return b.select("session_id", idx.cast("bigint").alias("idx"), "pos", "role", *kinds, F.lit(300).alias("seq"), stubbed.alias("stubbed_at"), ((idx % 5) / F.lit(5.0)).alias("heat"), (idx % 31 == 0).alias("pinned"))
