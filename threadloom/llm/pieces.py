@@ -300,7 +300,9 @@ def encode_pieces(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
             sizes = [[int(hi - lo + sum(len(v) - (chunk_at[p + 1] - chunk_at[p]) for p, v in changed.items())) for _, changed in w] for w, lo, hi in zip(ways, bounds[:-1], bounds[1:], strict=True)]
             more = [pa.array([[s for s, _ in w] for w in ways], lists["n_best_scores"]), pa.array(sizes, lists["n_best_sizes"])]
             if all_ids:
-                more.append(pa.array([[n_best_ids(ids, lo, hi, changed, chunk_at) for _, changed in w] for w, lo, hi in zip(ways, bounds[:-1], bounds[1:], strict=True)], lists["n_best_ids"]))
+                whole = [n_best_ids(ids, lo, hi, changed, chunk_at) for w, lo, hi in zip(ways, bounds[:-1], bounds[1:], strict=True) for _, changed in w]
+                each = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, whole)], dtype=np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *whole]).astype(np.int32)))
+                more.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ways)], dtype=np.int32)), each))
             column = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(best), column, *more, pa.array(exact)], names=["id", "n_pieces", "score", "ids", *lists, "exact"])
 

@@ -58,7 +58,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_pieces(table(spark, sf_dir, "documents"))
+    return encode_pieces(table(spark, sf_dir, "documents"), all_ids=True)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
