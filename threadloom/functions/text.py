@@ -97,10 +97,15 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"([^.!?。！？]*[.!?。！？]|[^.!?。！？]+$)"), F.lit(1)), trim), lambda s: s != "")
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed one time however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def conclusion(text: Column) -> Column:
     """The last two sentences, at most 300 code points."""
-    s = sentences(trim(text))
-    return F.when(F.size(s) > 0, truncate(trim(F.array_join(F.slice(s, -F.least(F.size(s), F.lit(2)), F.lit(2)), " ")), 300)).otherwise(F.lit(""))
+    last = once(sentences(trim(text)), lambda s: F.when(F.size(s) > 0, trim(F.array_join(F.slice(s, -F.least(F.size(s), F.lit(2)), F.lit(2)), " "))))
+    return once(last, lambda c: F.when(c.isNull(), "").otherwise(truncate(c, 300)))
 
 
 def base_path(path: Column) -> Column:
