@@ -40,12 +40,18 @@ def repaired(results: DataFrame, uses: DataFrame) -> DataFrame:
     return results.filter("tool_use_id = '' or tool_use_id is null").unionByName(results.filter("tool_use_id <> ''").join(calls, ["session_id", "tool_use_id"], "left_semi").select(results.columns))
 
 
-def compress(results: DataFrame, uses: DataFrame, sizes: DataFrame, keep_recent: int, least: int = 500) -> DataFrame:
+def with_texts(answers: DataFrame, texts: DataFrame | None) -> DataFrame:
+    """Answers with their content: their own, or that of texts (text_id, content)."""
+    return answers if texts is None else answers.join(texts, "text_id")
+
+
+def compress(results: DataFrame, uses: DataFrame, sizes: DataFrame, keep_recent: int, least: int = 500, texts: DataFrame | None = None) -> DataFrame:
     """(session_id, idx, tool_use_id, content, compressed): large answers before the recent rows become summaries.
 
-    sizes: session_id, n, active_from (the first row of the active pair, null if there is none).
+    sizes: session_id, n, active_from (the first row of the active pair, null if there is none). Where answers share
+    texts, results may have text_id in place of content; texts (text_id, content) are joined last then.
     """
-    m = with_calls(results, uses).join(sizes, "session_id")
+    m = with_texts(with_calls(results, uses).join(sizes, "session_id"), texts)
     within = (F.col("idx") >= 1) & (F.col("idx") < F.greatest(F.col("n") - keep_recent, F.lit(1))) & (F.col("active_from").isNull() | (F.col("idx") < F.col("active_from")))
     large = within & (T.estimate(F.col("content")) > least)
     summary = X.result_summary(F.coalesce("name", F.lit("tool")), X.result_facts(F.col("content")), F.coalesce("keywords", F.lit("")))
@@ -68,16 +74,17 @@ def compress_thinking(blocks: DataFrame, least: int = 500) -> DataFrame:
     return m.filter(~(large & signed)).withColumn("thinking", F.when(large, "[context compressed: thinking block]").otherwise(F.col("thinking"))).drop("_other")
 
 
-def eager(results: DataFrame, uses: DataFrame, rows: DataFrame, boundary: int = 0, least: int = 500, remembered: DataFrame | None = None) -> DataFrame:
+def eager(results: DataFrame, uses: DataFrame, rows: DataFrame, boundary: int = 0, least: int = 500, remembered: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
     """(session_id, idx, tool_use_id, content, fresh, sticky): answers that an assistant has seen become stubs if large or once stubbed.
 
-    rows: session_id, n, last_assistant, active_result (null if there is none).
+    rows: session_id, n, last_assistant, active_result (null if there is none). texts: as for compress.
     """
     m = with_calls(results, uses, previous_only=True).join(rows, "session_id")
     known = F.lit(False)
     if remembered is not None:
         m = m.join(remembered.select("session_id", "tool_use_id", F.lit(True).alias("_known")).distinct(), ["session_id", "tool_use_id"], "left")
         known = F.coalesce("_known", F.lit(False))
+    m = with_texts(m, texts)
     usable = (F.col("idx") >= boundary) & (F.col("active_result").isNull() | (F.col("idx") != F.col("active_result")))
     seen = F.col("last_assistant") > F.col("idx")
     sticky = usable & known
