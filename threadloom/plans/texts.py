@@ -9,7 +9,7 @@ from threadloom.functions import text as X
 from threadloom.operators import archive as A
 from threadloom.operators import history as H
 from threadloom.plans.registry import query
-from threadloom.plans.views import ACT, KW_SQL, MSG, drop_uses, list_sql, messages, table, tool_results, tool_uses, truncate_sql, words_sql
+from threadloom.plans.views import ACT, KW_SQL, MSG, answer_texts, drop_uses, list_sql, messages, table, tool_answers, tool_results, tool_uses, truncate_sql, words_sql
 
 
 def docs(spark, sf):
@@ -113,7 +113,8 @@ ELSE '[' || name || ' result — ' || n || ' lines archived]' END"""
 @query("c19_eager_stub", f"WITH {ACT}, c AS (SELECT r.tool_use_id, u.*, content, string_split(content, {NL}) AS l, len(string_split(content, {NL})) AS n FROM results r JOIN uses u ON u.session_id = r.session_id AND u.id = r.tool_use_id) SELECT tool_use_id, {EAGER} AS stub FROM c")
 def eager_stub(spark, sf):
     u = tool_uses(spark, sf).select("session_id", F.col("id").alias("tool_use_id"), "name", "input")
-    return tool_results(spark, sf).join(u, ["session_id", "tool_use_id"]).select("tool_use_id", X.eager_stub(F.col("name"), F.col("input"), F.col("content")).alias("stub"))
+    r = tool_answers(spark, sf).join(u, ["session_id", "tool_use_id"]).join(answer_texts(spark, sf), "text_id")
+    return r.select("tool_use_id", X.eager_stub(F.col("name"), F.col("input"), F.col("content")).alias("stub"))
 
 
 @query("c21_commits", f"WITH {ACT} SELECT id, 'fix k' || k AS message FROM uses JOIN ev USING (event_id) WHERE command LIKE 'git commit%'")
