@@ -4,7 +4,7 @@ A lattice edge is a piece of the vocabulary with its score; characters without a
 pieces. The forward Viterbi score of a node is the best any path from the start can have there, so a search
 that grows paths backward from the end and takes the one of best forward score plus score so far pops the
 segmentations in order: A-star with an exact heuristic. Where no piece can cross, before a run of blanks and
-around bytes that are in no piece, the lattice falls apart into chunks. Chunks that recur in a batch are solved
+around bytes that are in no piece, the lattice falls apart into chunks. Chunks that recur in a task are solved
 once, forward and backward, as arrays; the N best of a text are combined from its chunks of least regret, the
 only ones that can deviate in them.
 """
@@ -28,6 +28,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 #: Bytes of text whose lattice is built at once.
 LATTICE = 1 << 20
+#: Bytes of solved chunks that a task keeps from slice to slice.
+KNOWN = 8 << 20
 NEVER = -1e18
 
 
@@ -193,6 +195,61 @@ class Solved:
         return {c: backward_search(into, self.forward, int(self.first[c]), int(self.last[c]), most) for c in wanted.tolist()}
 
 
+def gathered(values: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs values[at[k]:at[k + 1]] of all k in which, end to end, and where each begins."""
+    size = np.diff(at)[which]
+    ends = np.r_[0, np.cumsum(size)]
+    return values[np.arange(int(ends[-1])) - np.repeat(ends[:-1] - at[:-1][which], size)], ends
+
+
+class Known:
+    """Chunks that a task has solved, in the order they came, up to KNOWN bytes; then it begins anew."""
+
+    def __init__(self, lat: Lattice):
+        self.lat = lat
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.order = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.bytes, self.at = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.path, self.path_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.best, self.regret = np.zeros(0), np.zeros(0)
+        self.ways: dict[int, list[tuple[float, tuple[int, ...]]]] = {}
+
+    def places(self, keys: np.ndarray, flat: np.ndarray, at: np.ndarray) -> np.ndarray | None:
+        """Where chunks with different keys stand here, those not known before solved and added; None if two have one key."""
+        if len(self.bytes) + len(flat) > KNOWN:
+            self.clear()
+        where = np.searchsorted(self.keys, keys, sorter=self.order)
+        place = np.full(len(keys), -1)
+        inside = where < len(self.keys)
+        place[inside] = self.order[where[inside]]
+        place[inside] = np.where(self.keys[place[inside]] == keys[inside], place[inside], -1)
+        old, new = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+        (mine, ends), (theirs, others) = gathered(flat, at, old), gathered(self.bytes, self.at, place[old])
+        if not (np.array_equal(ends, others) and np.array_equal(mine, theirs)):
+            return None
+        if len(new):
+            fresh, fresh_at = gathered(flat, at, new)
+            done = Solved(self.lat, fresh, fresh_at[:-1])
+            place[new] = len(self.keys) + np.arange(len(new))
+            self.keys = np.r_[self.keys, keys[new]]
+            self.order = np.argsort(self.keys, kind="stable")
+            self.bytes, self.at = np.r_[self.bytes, fresh], np.r_[self.at, self.at[-1] + fresh_at[1:]]
+            self.path, self.path_at = np.r_[self.path, done.path], np.r_[self.path_at, self.path_at[-1] + done.path_at[1:]]
+            self.best, self.regret = np.r_[self.best, done.best], np.r_[self.regret, done.regret]
+        return place
+
+    def alternatives(self, wanted: np.ndarray, most: int) -> dict[int, list[tuple[float, tuple[int, ...]]]]:
+        """As Solved.alternatives; those found before for as many are not looked for again."""
+        new = np.array([c for c in wanted.tolist() if c not in self.ways], np.int64)
+        if len(new):
+            flat, at = gathered(self.bytes, self.at, new)
+            found = Solved(self.lat, flat, at[:-1]).alternatives(np.arange(len(new)), most)
+            self.ways |= {int(c): found[k] for k, c in enumerate(new)}
+        return self.ways
+
+
 def backward_search(into: dict[int, list[tuple[int, int, float]]], forward: np.ndarray, first: int, last: int, most: int) -> list[tuple[float, tuple[int, ...]]]:
     """Paths from first to last in order of score. into: for each node (start, id, score) of the edges that end there.
 
@@ -218,6 +275,7 @@ def backward_search(into: dict[int, list[tuple[int, int, float]]], forward: np.n
 def combined(best: float, found: list[tuple[int, list[tuple[float, tuple[int, ...]]]]], most: int) -> list[tuple[float, dict[int, tuple[int, ...]]]]:
     """The N best ways to choose one of each list of (place, alternatives in order): (score, {place: ids that aren't the best})."""
     out, seen = [], {(0,) * len(found)}
+    lost = [[ways[0][0] - score for score, _ in ways] for _, ways in found]
     agenda = [(0.0, (0,) * len(found))]
     while agenda and len(out) < most:
         loss, pick = heapq.heappop(agenda)
@@ -227,12 +285,12 @@ def combined(best: float, found: list[tuple[int, list[tuple[float, tuple[int, ..
                 other = (*pick[:k], j + 1, *pick[k + 1 :])
                 if other not in seen:
                     seen.add(other)
-                    heapq.heappush(agenda, (sum(found[x][1][0][0] - found[x][1][y][0] for x, y in enumerate(other)), other))
+                    heapq.heappush(agenda, (sum(map(list.__getitem__, lost, other)), other))
     return out
 
 
-def encode_batch(lat: Lattice, column: pa.Array, most: int):
-    """ids end to end, bounds of texts, best scores, and for each text its N best as (score, {place of a chunk: other ids}), chunk bounds."""
+def encode_batch(lat: Lattice, column: pa.Array, most: int, known: Known | None = None):
+    """ids end to end, bounds of texts, best scores, and for each text its N best as (score, {place of a chunk: other ids}), chunk bounds. known: what was solved for the same number before."""
     flat, offsets = text_buffer(column)
     size = np.diff(offsets)
     full = size > 0
@@ -248,13 +306,14 @@ def encode_batch(lat: Lattice, column: pa.Array, most: int):
     once_at = np.r_[0, np.cumsum(length)]
     place = np.arange(int(once_at[-1])) - np.repeat(once_at[:-1], length) + np.repeat(starts[one], length)
     once = padded[place]
-    same = np.array_equal(once[np.arange(len(padded)) - np.repeat(starts, ends - starts) + np.repeat(once_at[which], ends - starts)], padded) if len(starts) else True
-    if not same:  # two chunks with one hash: every chunk for itself
-        which, once, once_at = np.arange(len(starts)), padded, np.r_[starts, len(padded)]
-    done = Solved(lat, once, once_at[:-1])
-    counts = np.diff(done.path_at)[which]
-    chunk_at = np.r_[0, np.cumsum(counts)]
-    ids = done.path[np.arange(int(chunk_at[-1])) - np.repeat(chunk_at[:-1], counts) + np.repeat(done.path_at[which], counts)]
+    same = np.array_equal(gathered(once, once_at, which)[0], padded) if len(starts) else True
+    done = known or Known(lat)
+    places = done.places(key[one], once, once_at) if same else None
+    if places is not None:
+        which = places[which]
+    else:  # two chunks with one hash: every chunk for itself
+        done, which = Solved(lat, padded, starts), np.arange(len(starts))
+    ids, chunk_at = gathered(done.path, done.path_at, which)
     text_at = np.searchsorted(starts, bounds)
     best = np.array([done.best[which[a:b]].sum() for a, b in zip(text_at[:-1], text_at[1:], strict=True)], np.float64)
     ways: list = []
@@ -293,8 +352,9 @@ def encode_pieces(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(vocabulary)
+        known = Known(lat)
         for b in (part for whole in batches for part in slices(whole, "t", LATTICE)):
-            ids, bounds, best, ways, chunk_at, padded, text_bounds = encode_batch(lat, b.column("t"), n_best)
+            ids, bounds, best, ways, chunk_at, padded, text_bounds = encode_batch(lat, b.column("t"), n_best, known)
             back, back_at = lat.decode(ids, bounds)
             exact = np.array([np.array_equal(back[p:q], padded[x:y]) for p, q, x, y in zip(back_at[:-1], back_at[1:], text_bounds[:-1], text_bounds[1:], strict=True)], bool)
             sizes = [[int(hi - lo + sum(len(v) - (chunk_at[p + 1] - chunk_at[p]) for p, v in changed.items())) for _, changed in w] for w, lo, hi in zip(ways, bounds[:-1], bounds[1:], strict=True)]
