@@ -161,9 +161,14 @@ def n3(spark, sf):
     return usage(spark, sf).select("event_id", *(c.alias(k) for k, c in U.scaled(fields(), F.col("output_tokens"), F.col("has_total"), 0.5).items()))
 
 
+def dealt(events):
+    """Events by their ids: a file holds so many of these short rows that its few row groups would be few tasks for work on every row."""
+    return events.repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), "event_id")
+
+
 def answers(spark, sf):
     """An answer in one piece for each event, with its usage; one in nine failed, one in ten is no JSON."""
-    u = usage(spark, sf)
+    u = dealt(usage(spark, sf))
     n = F.col("event_id")
     quoted = F.when(n % 7 == 0, F.concat(F.lit('"'), "input_tokens", F.lit('"'))).otherwise(F.col("input_tokens"))
     more = F.coalesce(F.concat(F.lit(',"cache_read_input_tokens":'), "cache_read_input_tokens"), F.lit(""))
@@ -303,7 +308,7 @@ def streams(spark, sf):
     delta = F.lit('event: content_block_delta\ndata: {"type":"content_block_delta"}')
     spent = F.concat(F.lit('event: message_delta\ndata: {"type":"message_delta","delta":{"stop_reason":"end_turn"},"usage":{"input_tokens":'), n.cast("string"), F.lit(',"output_tokens":7,"total_tokens":'), (n + 7).cast("string"), F.lit("}}"))
     text = F.when(k == 0, F.concat_ws("\n\n", start, delta, stop)).when(k == 1, F.concat_ws("\n\n", stop, start)).when(k == 2, F.concat_ws("\n\n", start, start, stop)).when(k == 3, F.concat_ws("\n\n", start, spent)).when(k == 4, F.concat_ws("\n\n", start, F.lit('event: message_stop\ndata: {"type":"ping"}'), stop)).otherwise(delta)
-    return table(spark, sf, "events").select(n.alias("stream_id"), text.alias("text"))
+    return dealt(table(spark, sf, "events").select("event_id")).select(n.alias("stream_id"), text.alias("text"))
 
 
 @query("k15_sse_lifecycle", "SELECT event_id AS stream_id, event_id % 6 = 0 AS complete, CASE WHEN event_id % 6 = 0 THEN 8 + event_id END AS actual FROM events")

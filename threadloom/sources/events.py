@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,9 +20,11 @@ def event_rows(streams: DataFrame) -> DataFrame:
 
 def event_columns(e: DataFrame) -> DataFrame:
     """(stream_id, seq, event, data, type, fields) of events as text (stream_id, seq, raw)."""
-    line = lambda name: F.regexp_extract("raw", rf"(?m)^{name}:\s*(.*?)\s*$", 1)
+    # Up to the last character of the line that is no space: found from the line's end, without a try at each of its characters.
+    line = lambda name: F.regexp_extract("raw", rf"(?m)^{name}:\s*((?:.*[^\s\u0085\u2028\u2029])?)\s*$", 1)
     count = lambda name: F.size(F.split("raw", rf"(?m)^{name}:", -1)) - 1
-    return e.select("stream_id", "seq", line("event").alias("event"), line("data").alias("data"), F.get_json_object(line("data"), "$.type").alias("type"), (count("event") * 100 + count("data")).alias("fields"))
+    e = e.select("stream_id", "seq", line("event").alias("event"), line("data").alias("data"), (count("event") * 100 + count("data")).alias("fields"))
+    return e.select("stream_id", "seq", "event", "data", F.get_json_object("data", "$.type").alias("type"), "fields")
 
 
 def event_facts(events: DataFrame) -> DataFrame:
@@ -47,8 +51,7 @@ OBJECT = "map<string,variant>"
 
 def _number(value: Column) -> Column:
     """A variant's number; null for anything else."""
-    kind = F.schema_of_variant(value)
-    return F.when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.try_variant_get(value, "$", "double"))
+    return F.when(F.schema_of_variant(value).rlike(r"^(BIGINT$|DOUBLE$|FLOAT$|DECIMAL)"), F.try_variant_get(value, "$", "double"))
 
 
 def _json_number(value: Column) -> Column:
@@ -56,16 +59,33 @@ def _json_number(value: Column) -> Column:
     return F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(value.cast("string"))
 
 
+def _once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with value computed once however often `of` names it: Spark shares no expressions inside of lambdas."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def scaled_usage(usage: Column, factor: float) -> Column:
     """A usage object (a map of variants) with positive input fields times the factor, rounded down, and its total, if there is one, made anew from them and the output."""
     if factor >= 1:
         return usage
-    scaled = F.transform_values(usage, lambda k, v: F.when(k.isin(*U.INPUTS) & (_number(v) > 0), F.floor(_number(v) * factor).cast("double")))
-    total = F.coalesce(_number(F.try_element_at(usage, F.lit("output_tokens"))), F.lit(0.0))
-    for k in U.INPUTS:
-        total = total + F.coalesce(F.try_element_at(scaled, F.lit(k)), F.lit(0.0))
-    put = lambda k, v: F.when(k == "total_tokens", total).otherwise(F.try_element_at(scaled, k))
-    return F.transform_values(usage, lambda k, v: F.coalesce(F.parse_json(_json_number(put(k, v))), v))
+    field = lambda u, k: _number(F.try_element_at(u, F.lit(k)))
+
+    def made(u: Column, n: Column) -> Column:
+        """The object, of its numbers."""
+        put = {k: F.when(n[k] > 0, F.floor(n[k] * factor).cast("double")) for k in U.INPUTS}
+        total = F.coalesce(n["output_tokens"], F.lit(0.0))
+        for c in put.values():
+            total = total + F.coalesce(c, F.lit(0.0))
+
+        def fresh(k: Column) -> Column:
+            value = F.when(k == "total_tokens", total)
+            for name, c in put.items():
+                value = value.when(k == name, c)
+            return value
+
+        return F.transform_values(u, lambda k, v: F.when(k.isin("total_tokens", *U.INPUTS), F.coalesce(_once(fresh(k), lambda x: F.parse_json(_json_number(x))), v)).otherwise(v))
+
+    return _once(usage, lambda u: _once(F.struct(*(field(u, k).alias(k) for k in (*U.INPUTS, "output_tokens"))), lambda n: made(u, n)))
 
 
 def scaled_events(events: DataFrame, factor: float) -> DataFrame:
@@ -78,18 +98,17 @@ def scaled_events(events: DataFrame, factor: float) -> DataFrame:
         return F.transform_values(whole, lambda k, v: F.when(k == name, value).otherwise(v))
 
     def inner(whole: Column, name: str) -> Column:
-        v = F.try_element_at(whole, F.lit(name))
-        return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.try_variant_get(v, "$", OBJECT))
+        return _once(F.try_element_at(whole, F.lit(name)), lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), F.try_variant_get(v, "$", OBJECT)))
 
     e = events.withColumn("_whole", F.when(F.col("type").isin("message_start", "message_delta"), F.from_json("data", OBJECT)))
-    e = e.withColumn("_message", inner(F.col("_whole"), "message"))
-    start = inner(F.col("_message"), "usage")
-    delta = inner(F.col("_whole"), "usage")
-    left = F.map_filter(delta, lambda k, v: ~k.isin(*U.INPUTS))
-    started = put(F.col("_whole"), "message", F.to_variant_object(put(F.col("_message"), "usage", F.to_variant_object(scaled_usage(start, factor)))))
-    ended = put(F.col("_whole"), "usage", F.to_variant_object(scaled_usage(left, factor)))
-    fresh = F.when((F.col("type") == "message_start") & start.isNotNull(), F.to_json(F.to_variant_object(started))).when((F.col("type") == "message_delta") & delta.isNotNull(), F.to_json(F.to_variant_object(ended)))
-    return e.withColumn("data", F.coalesce(fresh, "data")).drop("_whole", "_message")
+    e = e.withColumn("_message", F.when(F.col("type") == "message_start", inner(F.col("_whole"), "message")))
+    # What is scaled: of a start its message's usage, of a delta its own without input fields.
+    own = inner(F.when(F.col("type") == "message_delta", F.col("_whole")), "usage")
+    e = e.withColumn("_usage", F.coalesce(inner(F.col("_message"), "usage"), F.map_filter(own, lambda k, v: ~k.isin(*U.INPUTS))))
+    e = e.withColumn("_usage", F.to_variant_object(scaled_usage(F.col("_usage"), factor)))
+    started = put(F.col("_whole"), "message", F.to_variant_object(put(F.col("_message"), "usage", F.col("_usage"))))
+    fresh = F.when(F.col("_usage").isNotNull(), F.to_json(F.to_variant_object(F.when(F.col("type") == "message_start", started).otherwise(put(F.col("_whole"), "usage", F.col("_usage"))))))
+    return e.withColumn("data", F.coalesce(fresh, "data")).drop("_whole", "_message", "_usage")
 
 
 def scaled_answers(answers: DataFrame, factor: float) -> DataFrame:
@@ -102,11 +121,11 @@ def scaled_answers(answers: DataFrame, factor: float) -> DataFrame:
     good = F.col("status").between(200, 299) & F.coalesce(F.schema_of_variant(F.try_parse_json("body")).startswith("OBJECT"), F.lit(False))
     a = answers.withColumn("_whole", F.when(good, F.from_json("body", OBJECT)))
     use = {k: F.get_json_object("body", f"$.usage.{k}") for k in U.INPUTS}
-    found = F.try_element_at("_whole", F.lit("usage"))
-    usage = F.when(F.schema_of_variant(found).startswith("OBJECT"), F.try_variant_get(found, "$", OBJECT))
-    whole = F.transform_values("_whole", lambda k, v: F.when((k == "usage") & usage.isNotNull(), F.to_variant_object(scaled_usage(usage, factor))).otherwise(v))
+    usage = _once(F.try_element_at("_whole", F.lit("usage")), lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), F.try_variant_get(v, "$", OBJECT)))
+    a = a.withColumn("_usage", usage).withColumn("_usage", F.to_variant_object(scaled_usage(F.col("_usage"), factor)))
+    whole = F.transform_values("_whole", lambda k, v: F.when((k == "usage") & F.col("_usage").isNotNull(), F.col("_usage")).otherwise(v))
     a = a.withColumn("actual", F.when(F.col("_whole").isNotNull(), U.strict_total(F.get_json_object("body", "$.type"), use)))
-    return a.withColumn("body", F.coalesce(F.to_json(F.to_variant_object(whole)), "body")).drop("_whole")
+    return a.withColumn("body", F.coalesce(F.to_json(F.to_variant_object(whole)), "body")).drop("_whole", "_usage")
 
 
 def baseline_changes(lifecycles_: DataFrame, requests: DataFrame) -> DataFrame:
