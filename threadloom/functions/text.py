@@ -359,15 +359,26 @@ def shorten_summary(text: Column, most: int | Column) -> Column:
     return _let(summary_parts(text), lambda p: shortened(p, limit))
 
 
-def message_line(role: Column, blocks: Column) -> Column:
-    """A message as one entry of a full expansion: its texts, [tool: name] for calls, [result] and 200 code points for answers; null if that says nothing."""
+#: Code points of a message that a full expansion shows, and of an answer in it.
+LINE, ANSWER = 2000, 200
+
+
+def message_piece(block: Column) -> Column:
+    """What a block (type, text, name, content) adds to its message's line: its text, [tool: name] for a call, [result] and 200 code points for an answer. A text is cut where no line shows more of it."""
+    answer = F.when(F.coalesce(block["content"], F.lit("")) != "", F.concat(F.lit("[result] "), truncate(block["content"], ANSWER)))
+    text = F.substring(block["text"], 1, LINE + 1)
+    return F.when(block["type"] == "text", text).when(block["type"] == "tool_use", F.concat(F.lit("[tool: "), F.coalesce(block["name"], F.lit("")), F.lit("]"))).when(block["type"] == "tool_result", answer)
 
-    def piece(b: Column) -> Column:
-        answer = F.when(F.coalesce(b["content"], F.lit("")) != "", F.concat(F.lit("[result] "), truncate(b["content"], 200)))
-        return F.when(b["type"] == "text", b["text"]).when(b["type"] == "tool_use", F.concat(F.lit("[tool: "), F.coalesce(b["name"], F.lit("")), F.lit("]"))).when(b["type"] == "tool_result", answer)
 
-    said = F.array_join(F.filter(F.transform(blocks, piece), lambda p: F.coalesce(p, F.lit("")) != ""), "\n")
-    return F.when(said != "", F.concat(F.lit("["), role, F.lit("]: "), truncate(said, 2000)))
+def line_of_pieces(role: Column, pieces: Column) -> Column:
+    """A message as one entry of a full expansion, of its pieces in order, none of them empty; null if there are none."""
+    said = F.array_join(pieces, "\n")
+    return F.when(said != "", F.concat(F.lit("["), role, F.lit("]: "), truncate(said, LINE)))
+
+
+def message_line(role: Column, blocks: Column) -> Column:
+    """A message as one entry of a full expansion, of its blocks; null if that says nothing."""
+    return line_of_pieces(role, F.filter(F.transform(blocks, message_piece), lambda p: F.coalesce(p, F.lit("")) != ""))
 
 
 def last_lines(lines: Column, room: Column) -> Column:

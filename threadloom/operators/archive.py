@@ -114,8 +114,10 @@ def full_messages(rows: DataFrame, room: int) -> DataFrame:
 
 def message_lines(blocks: DataFrame) -> DataFrame:
     """(session_id, lines) of histories of blocks (session_id, idx, pos, role, type, text, name, content): what a full expansion can show, for last_lines."""
-    b = blocks.groupBy("session_id", "idx").agg(F.first("role").alias("role"), F.array_sort(F.collect_list(F.struct("pos", "type", "text", "name", "content"))).alias("blocks"))
-    m = b.select("session_id", "idx", X.message_line(F.col("role"), F.col("blocks")).alias("line")).filter("line is not null")
+    # A block's piece is cut before anything is shuffled: whole answers and thinking stay where they are read.
+    told = blocks.filter(F.col("type").isin("text", "tool_use", "tool_result")).select("session_id", "idx", "pos", "role", X.message_piece(F.struct("type", "text", "name", "content")).alias("piece"))
+    b = told.filter("piece <> ''").repartition("session_id").groupBy("session_id", "idx").agg(F.first("role").alias("role"), F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("pieces"))
+    m = b.select("session_id", "idx", X.line_of_pieces(F.col("role"), F.transform("pieces", lambda p: p["piece"])).alias("line"))
     return m.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("idx", "line"))).alias("lines"))
 
 

@@ -11,6 +11,7 @@ from threadloom.plans.archived import COST, FOLDED, FOUND, HINTED, KWS, LEVEL, N
 from threadloom.plans.path import HIST
 from threadloom.plans.registry import query
 from threadloom.plans.views import ACT, ARCHIVE, MSG, archives, histories, truncate_sql
+from threadloom.sources.tables import kept
 
 PIECE = f"CASE type WHEN 'text' THEN text WHEN 'tool_use' THEN '[tool: ' || name || ']' WHEN 'tool_result' THEN CASE WHEN content <> '' THEN '[result] ' || {truncate_sql('content', 200)} END END"
 LINES = f"""lt AS (SELECT session_id, idx, any_value(role) AS role, string_agg(piece, {NL} ORDER BY pos) AS said FROM (SELECT *, {PIECE} AS piece FROM hist) WHERE coalesce(piece, '') <> '' GROUP BY 1, 2),
@@ -25,7 +26,7 @@ def shown(room: str) -> str:
 @query("c27_full_blocks", f"WITH {ACT}, {HIST}, {LINES} SELECT hs AS session_id, {shown('3000')} AS text FROM ln GROUP BY 1 HAVING count(*) FILTER (cum <= 3000) > 0")
 def full_blocks(spark, sf):
     """The last messages of histories with calls and answers that fit into 3000 code points."""
-    return A.message_lines(histories(spark, sf)).select("session_id", X.last_lines(F.col("lines"), F.lit(3000)).alias("text")).filter("text is not null")
+    return A.message_lines(histories(spark, sf, X.ANSWER + 1)).select("session_id", X.last_lines(F.col("lines"), F.lit(3000)).alias("text")).filter("text is not null")
 
 
 def budget_sql(source: str, limit: int, whole: bool = False) -> str:
@@ -48,9 +49,12 @@ EXPANDABLE = f"""ch AS (SELECT query_id, block_id, place, summary_text, '[Retrie
 @query("h9_full", f"WITH {FOUND}, {RANKING}, {UNDOMINATED}, {ACT}, {HIST}, {LINES}, {EXPANDABLE}, {budget_sql('ch', 2500, True)} SELECT query_id, block_id, place, cost, level FROM inj")
 def full_expansion(spark, sf):
     """Injection within a budget where the first block that can brings its last messages along (level 0); a third of blocks have none, and those of the own session may still be there."""
-    lines = A.message_lines(histories(spark, sf)).select(F.col("session_id").alias("hs"), "lines")
     blocks = archives(spark, sf).select("block_id", "session_id", "block_range_end", "summary_text", F.when(F.col("block_id") % 3 != 0, F.col("block_id") % 97).alias("hs"))
-    c = own(S.undominated(placed(spark, sf).filter("place <= 3")).join(blocks, "block_id")).join(lines, "hs", "left")
+    c = kept(own(S.undominated(placed(spark, sf).filter("place <= 3")).join(blocks, "block_id")))
+    # Only of the histories that a chosen block comes from lines are made.
+    asked = c.select(F.col("hs").alias("session_id")).distinct()
+    lines = A.message_lines(histories(spark, sf, X.ANSWER + 1).join(asked, "session_id", "left_semi")).select(F.col("session_id").alias("hs"), "lines")
+    c = c.join(lines, "hs", "left")
     c = c.withColumn("prefix", F.concat(F.lit("[Retrieved archive #"), F.col("place").cast("string"), F.lit("]\n"))).withColumn("raw_there", F.col("same_session") & (F.col("block_range_end") < 60))
     return S.budgeted(c.select("query_id", "place", "block_id", "prefix", "summary_text", "lines", "raw_there"), F.lit(2500)).drop("full")
 
