@@ -10,6 +10,7 @@ from threadloom.operators import archive as A
 from threadloom.operators import history as H
 from threadloom.plans.registry import query
 from threadloom.plans.views import ACT, KW_SQL, MSG, answer_texts, drop_uses, list_sql, messages, table, tool_answers, tool_results, tool_uses, truncate_sql, words_sql
+from threadloom.sources.tables import kept
 
 
 def docs(spark, sf):
@@ -273,8 +274,12 @@ def shared_words(items, documents, least):
 
     A prefix filter: without its `least // 2` most frequent words an item still shares least - least // 2 with each
     such document. Only those words are joined; what the frequent ones add is looked up for the pairs that are left.
+    Words that no item has go first, and the rest is written, so that texts are read and cut once.
     """
     set_aside = least // 2
+    documents = kept(documents.join(items.select("w").distinct(), "w", "left_semi").select("doc_id", "w"))
+    # So small a table would be few tasks, but pairs are many; dealt by document they are counted where they are made.
+    documents = documents.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     often = documents.groupBy("w").agg(F.count("*").alias("n"))
     order = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc_nulls_last("n"), "w"))
     ranked = items.join(often, "w", "left").withColumn("k", order)
