@@ -217,15 +217,23 @@ def result_summary(name: Column, facts: Column, keywords: Column) -> Column:
     return with_hint(F.concat(F.lit("[context compressed: "), F.coalesce(name, F.lit("tool")), F.lit(", "), facts["lines"].cast("string"), F.lit(" lines"), key, F.lit("]")), keywords)
 
 
-def eager_stub(name: Column, input_: Column, content: Column) -> Column:
-    at = lambda key: F.coalesce(F.try_element_at(input_, F.lit(key)), F.lit(""))
+def eager_facts(content: Column) -> Column:
+    """What eager stubs say of an answer's text, so that it is read once however many calls answer with it; ends and first are null where they are the whole text."""
     lines = F.split(content, "\n", -1)
     n = F.size(lines)
-    count = n.cast("string")
     names = F.transform(F.slice(F.regexp_extract_all(content, F.lit(FUNCTION), F.lit(2)), 1, 20), lambda f: F.concat(f, F.lit("()")))
     named = F.when(F.size(names) > 0, F.concat(F.lit(" | "), F.array_join(names, ", "))).otherwise(F.lit(""))
-    ends = F.when(n <= 6, content).otherwise(F.concat(F.array_join(F.slice(lines, 1, 3), "\n"), F.lit("\n[...]\n"), F.array_join(F.slice(lines, -3, 3), "\n")))
-    first = F.when(n <= 10, content).otherwise(F.concat(F.array_join(F.slice(lines, 1, 10), "\n"), F.lit("\n[... +"), (n - 10).cast("string"), F.lit(" more]")))
+    ends = F.when(n > 6, F.concat(F.array_join(F.slice(lines, 1, 3), "\n"), F.lit("\n[...]\n"), F.array_join(F.slice(lines, -3, 3), "\n")))
+    first = F.when(n > 10, F.concat(F.array_join(F.slice(lines, 1, 10), "\n"), F.lit("\n[... +"), (n - 10).cast("string"), F.lit(" more]")))
+    return F.struct(n.alias("lines"), named.alias("named"), ends.alias("ends"), first.alias("first"))
+
+
+def eager_stub(name: Column, input_: Column, content: Column, facts: Column | None = None) -> Column:
+    """What stands for an answer that was taken up; facts: eager_facts of its content, if they are there."""
+    at = lambda key: F.coalesce(F.try_element_at(input_, F.lit(key)), F.lit(""))
+    facts = eager_facts(content) if facts is None else facts
+    count, named = facts["lines"].cast("string"), facts["named"]
+    ends, first = F.coalesce(facts["ends"], content), F.coalesce(facts["first"], content)
     return (
         F.when(name == "Read", F.concat(F.lit("[Read "), at("file_path"), F.lit(" — "), count, F.lit(" lines"), named, F.lit("]")))
         .when(name == "Grep", F.concat(F.lit("[Grep '"), at("pattern"), F.lit("' in "), at("path"), F.lit(" — "), count, F.lit(" matches]")))

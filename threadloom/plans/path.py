@@ -10,7 +10,7 @@ from threadloom.plans.archived import NL, SECTION
 from threadloom.plans.ordered import CUT
 from threadloom.plans.registry import query
 from threadloom.plans.texts import EAGER, EVENT, STUB
-from threadloom.plans.views import ACT, KW_SQL, histories, list_sql, words_sql
+from threadloom.plans.views import ACT, KW_SQL, answer_texts, histories, list_sql, words_sql
 
 THRESHOLD, FLOOR = 50_000, 17_000
 HIST = """he AS (SELECT ev.*, count(*) OVER (PARTITION BY session_id) AS n_ev, event_id % (SELECT count(*) FROM benchmark) AS item_id, event_id % (SELECT count(*) FROM documents) AS doc_id, CASE WHEN event_id % 4 = 0 THEN (event_id * 7) % (SELECT count(*) FROM documents) END AS thought_id FROM ev),
@@ -101,5 +101,5 @@ fin AS (SELECT ok.*, CASE WHEN lacks THEN run ELSE place END::BIGINT AS at_row F
 SELECT session_id, at_row AS idx, (row_number() OVER (PARTITION BY session_id, at_row ORDER BY idx, pos) - 1)::INT AS pos, role, type, coalesce(content, text, thinking) AS body, CASE WHEN type = 'tool_use' THEN name END AS name FROM fin""")
 def blocks_forwarded(spark, sf):
     """Every history of calls and answers as it would go on: compressed, folded or stubbed, aged, compacted, mended."""
-    out = B.forwarded_blocks(histories(spark, sf), THRESHOLD, FLOOR)
+    out = B.forwarded_blocks(histories(spark, sf, facts=B.text_facts), THRESHOLD, FLOOR, texts=answer_texts(spark, sf))
     return out.select("session_id", "idx", "pos", "role", "type", F.coalesce("content", "text", "thinking").alias("body"), "name")

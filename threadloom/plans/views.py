@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -157,11 +159,12 @@ def truncate_sql(text: str, most: int) -> str:
 BLOCK = "type string, text string, thinking string, signature string, id string, name string, input map<string,string>, tool_use_id string, content string, is_error boolean"
 
 
-def histories(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+def histories(spark: SparkSession, sf_dir: str, most: int | None = None, facts: Callable[[Column], Column] | None = None) -> DataFrame:
     """Blocks of whole histories, three rows for each event of a user: what the user says (a text of benchmark, every fourth with a task), thinking of every fourth event, words and a call of the assistant (one in thirteen has lost it), and the answer, a document.
 
     Of every third session the last request is still open. seq and the state of rows are those of a 300th request: early rows have been stubs
     for long, those of the third quarter for 60 requests. most: code points of documents that are shown, for work that looks at no more of them.
+    facts: blocks have text_id and these facts of a document's text in place of the text; answer_texts has the texts.
     """
     items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
     n_items, n_docs = items.agg(F.count("*")).scalar(), docs.agg(F.count("*")).scalar()
@@ -179,9 +182,11 @@ def histories(spark: SparkSession, sf_dir: str, most: int | None = None) -> Data
     )
     b = e.select("session_id", "event_id", "r", "n_ev", F.inline(blocks)).filter("not (type = 'thinking' and text_id is null) and not (type = 'tool_use' and event_id % 13 = 0) and not (session_id % 3 = 0 and r = n_ev - 1 and off > 0)")
     # Documents are attached last, to the blocks that show one: their texts are shuffled once.
-    shown = b.filter("text_id is not null").join(docs.select(F.col("doc_id").alias("text_id"), (F.substring("text", 1, most) if most else F.col("text")).alias("_text")), "text_id")
-    shown = shown.withColumns({"thinking": F.when(F.col("type") == "thinking", F.col("_text")), "content": F.when(F.col("type") == "tool_result", F.col("_text"))})
-    b = shown.drop("_text").unionByName(b.filter("text_id is null"))
+    text, of_text = F.substring("text", 1, most) if most else F.col("text"), () if facts is None else ("text_id", "facts")
+    shown = b.filter("text_id is not null").join(docs.select(F.col("doc_id").alias("text_id"), (facts(text).alias("facts") if facts else text.alias("_text"))), "text_id")
+    if facts is None:
+        shown = shown.withColumns({"thinking": F.when(F.col("type") == "thinking", F.col("_text")), "content": F.when(F.col("type") == "tool_result", F.col("_text"))}).drop("_text")
+    b = shown.unionByName(b.filter("text_id is null"), allowMissingColumns=True)
     idx, total = F.col("r") * 3 + F.col("off"), F.col("n_ev") * 3
     stubbed = F.when(idx * 2 < total, F.when(idx % 67 == 0, 280).otherwise(10)).when(idx * 4 < total * 3, 240)
-    return b.select("session_id", idx.cast("bigint").alias("idx"), "pos", "role", *kinds, F.lit(300).alias("seq"), stubbed.alias("stubbed_at"), ((idx % 5) / F.lit(5.0)).alias("heat"), (idx % 31 == 0).alias("pinned"))
+    return b.select("session_id", idx.cast("bigint").alias("idx"), "pos", "role", *kinds, F.lit(300).alias("seq"), stubbed.alias("stubbed_at"), ((idx % 5) / F.lit(5.0)).alias("heat"), (idx % 31 == 0).alias("pinned"), *of_text)
