@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import text as X
 from threadloom.operators import archive as A
 from threadloom.operators import search as S
-from threadloom.plans.archived import COST, FOLDED, FOUND, HINTED, KWS, LEVEL, NL, OWN, RANKING, TRY, UNDOMINATED, hinted, kw_posts, own, placed
+from threadloom.plans.archived import COST, FOLDED, FOUND, HINTED, KWS, LEVEL, NL, OWN, RANKING, TRY, UNDOMINATED, candidates, hinted, kw_posts, own, undominated
 from threadloom.plans.path import HIST
 from threadloom.plans.registry import query
 from threadloom.plans.views import ACT, ARCHIVE, MSG, archives, histories, truncate_sql
@@ -50,7 +50,7 @@ EXPANDABLE = f"""ch AS (SELECT query_id, block_id, place, summary_text, '[Retrie
 def full_expansion(spark, sf):
     """Injection within a budget where the first block that can brings its last messages along (level 0); a third of blocks have none, and those of the own session may still be there."""
     blocks = archives(spark, sf).select("block_id", "session_id", "block_range_end", "summary_text", F.when(F.col("block_id") % 3 != 0, F.col("block_id") % 97).alias("hs"))
-    c = kept(own(S.undominated(placed(spark, sf).filter("place <= 3")).join(blocks, "block_id")))
+    c = kept(own(undominated(spark, sf, candidates(spark, sf)).join(blocks, "block_id")))
     # Only of the histories that a chosen block comes from lines are made.
     asked = c.select(F.col("hs").alias("session_id")).distinct()
     lines = A.message_lines(histories(spark, sf, X.ANSWER + 1).join(asked, "session_id", "left_semi")).select(F.col("session_id").alias("hs"), "lines")
