@@ -86,15 +86,16 @@ def compactable_runs(stages: DataFrame, least: int = 50, tail: int = 5) -> DataF
     return found.groupBy("session_id", "run").agg(F.max("idx").alias("end")).filter(F.col("end") - F.col("run") + 1 >= least).select("session_id", F.col("run").alias("start"), "end")
 
 
-def in_runs(rows: DataFrame, runs: DataFrame, at: str = "idx") -> DataFrame:
+def in_runs(rows: DataFrame, runs: DataFrame, at: str = "idx", parts: int | None = None) -> DataFrame:
     """Rows with `run`: the run (start, end and what else runs have) of their session in which they lie, null outside of all.
 
     Runs of a session are disjoint, so the last one that began before a row is the only one that can hold it: one
-    window over both instead of a join of a session's rows with all its runs.
+    window over both instead of a join of a session's rows with all its runs. parts: into how many tasks sessions are dealt.
     """
     run = F.struct(*(c for c in runs.columns if c != "session_id"))
     marks = runs.select("session_id", F.col("start").alias(at), run.alias("_mark"), F.lit(0).alias("_row"))
     both = rows.withColumn("_row", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    both = both.repartition(parts, "session_id") if parts else both
     before = W.partitionBy("session_id").orderBy(at, "_row").rowsBetween(W.unboundedPreceding, 0)
     met = both.withColumn("_last", F.last("_mark", ignorenulls=True).over(before)).filter("_row = 1")
     return met.withColumn("run", F.when(F.col(at) <= F.col("_last")["end"], F.col("_last"))).drop("_row", "_mark", "_last")

@@ -10,6 +10,7 @@ from threadloom.operators import history as H
 from threadloom.plans.registry import query
 from threadloom.plans.texts import EVENT
 from threadloom.plans.views import ACT, MSG, messages, tool_results, tool_uses
+from threadloom.sources.tables import kept
 
 CUT = """n AS (SELECT *, count(*) OVER (PARTITION BY session_id) AS n, sum(tok) OVER (PARTITION BY session_id ORDER BY idx DESC) AS kept FROM rows),
 f AS (SELECT session_id, any_value(n) AS n, max(CASE WHEN kept >= {floor} AND idx >= 1 THEN idx END) AS found, min(CASE WHEN active THEN idx END) AS act FROM n GROUP BY 1),
@@ -81,19 +82,26 @@ def roles(spark, sf):
     return H.compacted_rows(s, H.compactable_runs(s))
 
 
+#: Rows that a task sorts by session, about.
+ROWS = 200_000
+
+
 @query("g5_compact", f"""WITH {ACT_ROWS}, {PIECES}, t AS (SELECT p.session_id, p.start, p."end", p.role, name, count(*) AS c FROM pieces p JOIN uses u ON u.session_id = p.session_id AND u.idx BETWEEN p.start AND p."end" GROUP BY ALL),
 l AS (SELECT session_id, start, "end", role, string_agg(name || '(' || c || ')', ', ' ORDER BY c DESC, name) AS tools FROM t GROUP BY ALL)
 SELECT session_id, start AS idx, role, '[Compacted: Messages ' || start || '-' || "end" || ' (' || ("end" - start + 1) || ' msgs)]' || chr(10) || 'Tools: ' || tools AS text FROM l
 UNION ALL SELECT r.session_id, r.idx, r.role, NULL FROM rows r WHERE NOT EXISTS (SELECT 1 FROM runs WHERE runs.session_id = r.session_id AND r.idx BETWEEN start AND "end")""")
 def compact(spark, sf):
-    s = stages(spark, sf)
-    runs = H.compactable_runs(s)
+    # Rows are written, and dealt to tasks by their number: such rows shrink so much that a task of some bytes would sort very many.
+    s = kept(stages(spark, sf))
+    parts = s.count() // ROWS + 1
+    s = s.repartition(parts, "session_id")
+    runs = kept(H.compactable_runs(s))
     pieces = H.compacted_rows(s, runs)
     u = tool_uses(spark, sf).select("session_id", "idx", F.col("name").alias("key"))
-    counts = H.in_runs(u, pieces.select("session_id", "start", "end", "role")).filter("run is not null").groupBy("session_id", "run.start", "run.end", "run.role", "key").agg(F.count("*").alias("n"))
+    counts = H.in_runs(u, pieces.select("session_id", "start", "end", "role"), parts=parts).filter("run is not null").groupBy("session_id", "run.start", "run.end", "run.role", "key").agg(F.count("*").alias("n"))
     line = counts.groupBy("session_id", "start", "end", "role").agg(X.counts_line(F.collect_list(F.struct("key", "n"))).alias("tools"))
     made = line.select("session_id", F.col("start").alias("idx"), "role", X.compacted_text(F.col("start"), F.col("end"), F.lit(""), F.col("tools")).alias("text"))
-    left = H.in_runs(s, runs.select("session_id", "start", "end")).filter("run is null")
+    left = H.in_runs(s, runs.select("session_id", "start", "end"), parts=parts).filter("run is null")
     return left.select("session_id", "idx", "role", F.lit(None).cast("string").alias("text")).unionByName(made)
 
 
