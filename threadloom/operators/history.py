@@ -111,14 +111,18 @@ def roles_between(left: Column, right: Column) -> Column:
     )
 
 
-def compacted_rows(roles: DataFrame, runs: DataFrame) -> DataFrame:
+def compacted_rows(roles: DataFrame, runs: DataFrame, parts: int | None = None) -> DataFrame:
     """(session_id, start, end, role): what replaces each run; roles has session_id, idx, role.
 
-    A run between two different roles becomes two rows that halve it, any other run one row.
+    A run between two different roles becomes two rows that halve it, any other run one row. The places beside runs
+    find their rows by one window over both: no join that could send all rows to every task. parts: as for in_runs.
     """
-    left = roles.select("session_id", (F.col("idx") + 1).alias("start"), F.col("role").alias("left_role"))
-    right = roles.select("session_id", (F.col("idx") - 1).alias("end"), F.col("role").alias("right_role"))
-    r = runs.join(left, ["session_id", "start"], "left").join(right, ["session_id", "end"], "left").withColumn("roles", roles_between(F.col("left_role"), F.col("right_role")))
+    beside = F.array(F.struct((F.col("start") - 1).alias("idx"), F.lit(True).alias("_before")), F.struct((F.col("end") + 1).alias("idx"), F.lit(False).alias("_before")))
+    both = roles.select("session_id", "idx", "role").unionByName(runs.select("session_id", "start", "end", F.inline(beside)), allowMissingColumns=True)
+    both = both.repartition(parts, "session_id") if parts else both
+    there = F.when(F.col("session_id").isNotNull(), F.max("role").over(W.partitionBy("session_id", "idx")))
+    met = both.withColumn("role", there).filter("_before is not null").groupBy("session_id", "start", "end")
+    r = met.agg(F.max(F.when(F.col("_before"), F.col("role"))).alias("left_role"), F.max(F.when(~F.col("_before"), F.col("role"))).alias("right_role")).withColumn("roles", roles_between(F.col("left_role"), F.col("right_role")))
     half = F.col("start") + F.floor((F.col("end") - F.col("start")) / 2)
     piece = lambda a, b, role: F.struct(a.alias("start"), b.alias("end"), role.alias("role"))
     parts = F.when(F.size("roles") == 1, F.array(piece(F.col("start"), F.col("end"), F.element_at("roles", 1)))).otherwise(F.array(piece(F.col("start"), half, F.element_at("roles", 1)), piece(half + 1, F.col("end"), F.element_at("roles", -1))))

@@ -94,9 +94,8 @@ def compact(spark, sf):
     # Rows are written, and dealt to tasks by their number: such rows shrink so much that a task of some bytes would sort very many.
     s = kept(stages(spark, sf))
     parts = s.count() // ROWS + 1
-    s = s.repartition(parts, "session_id")
-    runs = kept(H.compactable_runs(s))
-    pieces = H.compacted_rows(s, runs)
+    runs = kept(H.compactable_runs(s.repartition(parts, "session_id")))
+    pieces = H.compacted_rows(s, runs, parts)
     u = tool_uses(spark, sf).select("session_id", "idx", F.col("name").alias("key"))
     counts = H.in_runs(u, pieces.select("session_id", "start", "end", "role"), parts=parts).filter("run is not null").groupBy("session_id", "run.start", "run.end", "run.role", "key").agg(F.count("*").alias("n"))
     line = counts.groupBy("session_id", "start", "end", "role").agg(X.counts_line(F.collect_list(F.struct("key", "n"))).alias("tools"))
